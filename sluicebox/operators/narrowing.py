@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from sluicebox.operators.lookups import join_lookup
-from sluicebox.operators.sampling import newest_version_sample
+from sluicebox.operators.sampling import newest_version_sample, staged_sample
 from sluicebox.operators.versions import KEYS, VERSION, newest_version
 from sluicebox.session import materialise
 
@@ -39,18 +39,23 @@ def narrow_wide(
     version: str = VERSION,
     order_by: Sequence[str] = (),
     order: str = "text",
+    staged: bool = False,
+    scratch: str | None = None,
 ) -> DataFrame:
     """All groups in one table: a column outside a group's sample schema is null there, types stay as read.
 
     Groups without a version are left out. The newest versions and the flags are small written tables; the events
-    themselves are only scanned, never shuffled.
+    themselves are only scanned, never shuffled. ``staged`` says that ``df`` is a plain read of Parquet files.
     """
     if version not in df.columns:
         return df.limit(0)
     others = [c for c in df.columns if c not in keys]
-    newest = materialise(newest_version(df, keys, version, order), "newest")
-    sample = newest_version_sample(df, newest, keys, version, order_by=order_by)
-    flags = materialise(column_flags(sample, others, keys), "flags")
+    newest = materialise(newest_version(df, keys, version, order), "newest", scratch)
+    if staged:
+        sample = staged_sample(df, newest, keys, version, order_by=order_by, scratch=scratch)
+    else:
+        sample = newest_version_sample(df, newest, keys, version, order_by=order_by)
+    flags = materialise(column_flags(sample, others, keys), "flags", scratch)
     shown = {c: F.when(F.col("_shown")[i], _col(c)).alias(c) for i, c in enumerate(others)}
     return join_lookup(df, flags, keys).select([shown.get(c, _col(c)) for c in df.columns])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,8 +15,8 @@ from sluicebox.functions.predicates import DENIED_TYPES
 from sluicebox.operators.event_types import retain_event_types
 from sluicebox.operators.flatten import DROPPED_FIELDS, flatten_events
 from sluicebox.operators.narrowing import group_schemas, narrow_wide, typed_columns
-from sluicebox.operators.sampling import newest_version_sample
-from sluicebox.operators.versions import KEYS, VERSION, newest_version
+from sluicebox.operators.sampling import staged_sample
+from sluicebox.operators.versions import VERSION, newest_version
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.json_events import batch_hours, infer_hour_schemas, infer_json_schema, kept_schema, read_hours
 from sluicebox.sources.layout import publish_partitions, remove_tree
@@ -25,7 +24,8 @@ from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet
 
 log = logging.getLogger(__name__)
 
-CONCURRENT_WRITES = 8
+# Write jobs submitted at once; each reads a part of the split, so several are needed to keep a cluster busy.
+CONCURRENT_WRITES = 32
 
 
 def split_events(
@@ -38,66 +38,83 @@ def split_events(
     return retain_event_types(flatten_events(raw, dropped, fix_locale), denied)
 
 
-def stage_split(flat: DataFrame, path: str) -> DataFrame:
+def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
     """Write flat events once, by hour and event type, and read them back.
 
     The raw text is parsed a single time; the later steps read only the columns and directories they need. The
     type is also kept as a column, since a directory name cannot tell an empty type from a missing one.
     """
     split = flat.withColumn("et", F.col("event_type"))
-    clustered(split, ["hh", "et"]).write.partitionBy("hh", "et").parquet(path)
-    fields = [f for f in flat.schema.fields if f.name != "hh"]
-    partitions = [StructField("hh", StringType()), StructField("et", StringType())]
+    clustered(split, [hour, "et"]).write.partitionBy(hour, "et").parquet(path)
+    fields = [f for f in flat.schema.fields if f.name not in (hour, "et")]
+    partitions = [StructField(hour, StringType()), StructField("et", StringType())]
     return flat.sparkSession.read.schema(StructType([*fields, *partitions])).parquet(path)
 
 
 def narrow_split(
     split: DataFrame,
     staged: str,
+    hour: str = "hh",
+    *,
+    order: str = "text",
     order_by: Sequence[str] = (),
     max_rows: int = MAX_ROWS_PER_FILE,
     concurrent: int = CONCURRENT_WRITES,
+    scratch: str | None = None,
 ) -> int:
     """Write a staged split as Parquet, each (hour, type) with exactly its sample's columns and types.
 
     Groups with equal schemas are written by one job, which reads only their directories and shuffles nothing.
     Returns the number of jobs.
     """
-    columns = [c for c in split.columns if c not in ("hh", "et")]
+    columns = [c for c in split.columns if c not in (hour, "et")]
     if VERSION not in columns:
         log.warning("no event has a version, so no type is written")
         return 0
-    newest = materialise(newest_version(split, KEYS), "newest")
-    sample = newest_version_sample(split, newest, KEYS, order_by=order_by)
+    keys = [hour, "event_type"]
+    newest = materialise(newest_version(split, keys, order=order), "newest", scratch)
+    sample = staged_sample(split, newest, keys, order_by=order_by, scratch=scratch)
 
     by_schema: dict[str, tuple[StructType, list[str]]] = {}
-    for (hour, event_type), schema in group_schemas(sample, columns, KEYS):
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(f"{hour}/{event_type}")
-    directory = F.concat(F.col("hh"), F.lit("/"), F.coalesce(F.col("et"), F.lit("")))
+    for (hour_value, event_type), schema in group_schemas(sample, columns, keys):
+        by_schema.setdefault(schema.json(), (schema, []))[1].append(f"{hour_value}/{event_type}")
+    directory = F.concat(F.col(hour), F.lit("/"), F.coalesce(F.col("et"), F.lit("")))
 
     def write(number: int, schema: StructType, groups: list[str]) -> None:
-        part = split.where(directory.isin(groups)).select(*typed_columns(split, schema), "et", "hh")
-        write_parquet(part, under(staged, str(number)), ["et", "hh"], max_rows=max_rows)
+        part = split.where(directory.isin(groups)).select(*typed_columns(split, schema), "et", hour)
+        write_parquet(part, under(staged, str(number)), ["et", hour], max_rows=max_rows)
 
     with ThreadPoolExecutor(concurrent) as pool:
-        jobs = [pool.submit(write, i, *entry) for i, entry in enumerate(by_schema.values())]
+        jobs = [pool.submit(write, number, *entry) for number, entry in enumerate(by_schema.values())]
         for job in jobs:
             job.result()
     return len(jobs)
 
 
 def publish_wide(
-    df: DataFrame, target: str, day: str, order_by: Sequence[str] = (), max_rows: int = MAX_ROWS_PER_FILE
+    df: DataFrame,
+    target: str,
+    day: str,
+    hour: str = "hh",
+    *,
+    order: str = "text",
+    order_by: Sequence[str] = (),
+    max_rows: int = MAX_ROWS_PER_FILE,
+    staged: bool = False,
+    scratch: str | None = None,
 ) -> None:
     """Narrow flat events into one table under ``target``, partitioned by day, type and hour, in one committed write.
 
-    Only the partitions of this run are replaced, so a rerun gives the same table.
+    Only the partitions of this run are replaced, so a rerun gives the same table. ``staged`` says that ``df`` comes
+    from :func:`stage_split`, whose files already hold one partition each; other input is shuffled before the write.
     """
-    narrowed = narrow_wide(df, order_by=order_by)
-    if "et" not in narrowed.columns:
-        narrowed = narrowed.withColumn("et", F.col("event_type"))
-    dated = narrowed.withColumn("dt", F.lit(day))
-    write_parquet(dated, target, ["dt", "et", "hh"], "overwrite", max_rows)
+    if "dt" in df.columns:
+        raise ValueError("the events have a column 'dt', which names the day's partition")
+    keys = [hour, "event_type"]
+    narrowed = narrow_wide(df, keys, order=order, order_by=order_by, staged=staged, scratch=scratch)
+    dated = narrowed.withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
+    partitions = ["dt", "et", hour]
+    write_parquet(dated if staged else clustered(dated, partitions), target, partitions, "overwrite", max_rows)
 
 
 def preprocess_day(
@@ -112,50 +129,50 @@ def preprocess_day(
     denied: Iterable[str] = DENIED_TYPES,
     dropped: Iterable[str] = DROPPED_FIELDS,
     fix_locale: bool = False,
+    order: str = "text",
     order_by: Sequence[str] = (),
     max_rows: int = MAX_ROWS_PER_FILE,
+    hour_column: str = "hh",
 ) -> list[str]:
     """Events under ``source/yyyy/mm/dd/hh/`` to Parquet; nothing is published unless every hour succeeded.
 
     ``narrow`` writes ``target/yyyy/mm/dd/type/hh/``, each directory with the columns and types of its own sample.
-    ``wide`` writes one table under ``target`` with the partitions ``dt``, ``et`` and ``hh``.
-    A given ``schema`` spares the scan that infers one. Returns the directories published (narrow only).
+    ``wide`` writes one table under ``target`` with the partitions ``dt``, ``et`` and the hour.
+    A given ``schema`` spares the scan that infers one. ``order`` is the order of versions, ``order_by`` that of the
+    sampled rows. Returns the directories published (narrow only).
     """
+    if layout not in ("narrow", "wide"):
+        raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
     configure(spark)
     names = [hour_name(hour) for hour in hours]
     denied, dropped = list(denied), list(dropped)
-    scratch = scratch_path(spark, "split")
+    scratch = scratch_path(spark, "run")
+    options = {"order": order, "order_by": order_by, "max_rows": max_rows, "scratch": scratch}
 
-    def staged_split(number: int, batch: Sequence[str], batch_schema: StructType) -> DataFrame:
-        for reserved in ("hh", "et", "dt"):
-            if reserved in batch_schema.names:
-                raise ValueError(f"the events have a field named {reserved!r}, which names a partition here")
-        raw = read_hours(spark, source, day, batch, batch_schema)
-        return stage_split(split_events(raw, denied, dropped, fix_locale), under(scratch, str(number)))
+    def staged_split(batch: Sequence[str], batch_schema: StructType) -> DataFrame:
+        raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
+        flat = split_events(raw, denied, dropped, fix_locale)
+        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column)
 
+    staged = scratch_path(spark, "_staging", target)
     try:
         if layout == "wide":
             base = under(source, day_path(day))
             found = schema or infer_json_schema(spark, [under(base, name) for name in names])
-            split = staged_split(0, names, kept_schema(found, dropped, fix_locale))
-            publish_wide(split, target, day, order_by, max_rows)
+            split = staged_split(names, kept_schema(found, dropped, fix_locale))
+            publish_wide(split, target, day, hour_column, staged=True, **options)
             return []
-        if layout != "narrow":
-            raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
-
         if schema is None:
-            batches = batch_hours(infer_hour_schemas(spark, source, day, names), dropped, fix_locale)
+            found = infer_hour_schemas(spark, source, day, names)
+            batches = batch_hours(found, dropped, fix_locale)
         else:
             batches = [(names, kept_schema(schema, dropped, fix_locale))]
-        staged = under(target, f"_staging-{uuid.uuid4().hex}")
-        try:
-            for number, (batch, batch_schema) in enumerate(batches):
-                split = staged_split(number, batch, batch_schema)
-                narrow_split(split, under(staged, str(number)), order_by, max_rows)
-            return publish_partitions(spark, f"{staged}/*", under(target, day_path(day)), ["et", "hh"])
-        finally:
-            remove_tree(spark, staged)
+        for number, (batch, batch_schema) in enumerate(batches):
+            split = staged_split(batch, batch_schema)
+            narrow_split(split, under(staged, str(number)), hour_column, **options)
+        return publish_partitions(spark, f"{staged}/*", under(target, day_path(day)), ["et", hour_column])
     finally:
+        remove_tree(spark, staged)
         remove_tree(spark, scratch)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse
 from sluicebox.queries.raw_events import DAY, DENIED, load_events, raw_events
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.compaction import compact_text
-from sluicebox.sources.json_events import list_types, read_json, read_type
+from sluicebox.sources.json_events import read_json, read_types
 from sluicebox.sources.layout import publish_partitions
 from sluicebox.sources.sinks import clustered, write_parquet, write_split
 from sluicebox.sources.tables import read_day, read_table, register_view, write_table
@@ -127,12 +128,8 @@ def json_roundtrip_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "split")
     write_split(_retained(spark, sf_dir), path)
-    types = [row.et for row in list_types(spark, path).toLocalIterator()]
-    scans = [read_type(spark, path, et).withColumn("et", F.lit(et)) for et in types]
-    rows = scans[0]
-    for scan in scans[1:]:
-        rows = rows.unionByName(scan, allowMissingColumns=True)
-    return rows
+    scans = [scan.withColumn("et", F.lit(et)) for et, scan in read_types(spark, path).items()]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
 
 
 def json_schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +158,7 @@ def publish_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "published")
     retained = _retained(spark, sf_dir)
     for _ in range(2):
-        publish_wide(retained, path, DAY, ["event_id"])
+        publish_wide(retained, path, DAY, order_by=["event_id"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in retained.schema.fields)
     return spark.read.schema(f"{fields}, dt string, et string").parquet(path)
 

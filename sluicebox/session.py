@@ -46,14 +46,14 @@ def sql_settings(spark: SparkSession, **values: object):
                 spark.conf.set(key, value)
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share.
+def scratch_path(spark: SparkSession, label: str, root: str | None = None) -> str:
+    """A new path under ``root``, by default in the folder that all executors share.
 
     The folder is ``spark.checkpoint.dir``. Only a local session may do without that setting; it gets a
     temporary folder, which driver and tasks share because they are one process.
     """
     global _local_scratch
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
@@ -63,12 +63,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a derived table to the scratch folder and read it back.
+def materialise(df: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Write a derived table to the scratch folder, or below ``root``, and read it back.
 
     The result survives lost executors, is computed once however often it is used, and has a known size.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, root)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

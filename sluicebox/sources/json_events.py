@@ -120,3 +120,10 @@ def list_types(spark: SparkSession, split_root: str) -> DataFrame:
 def read_type(spark: SparkSession, split_root: str, event_type: str) -> DataFrame:
     """Events of one type of a split, with the schema this type's lines show and without the column ``et``."""
     return read_json(spark, under(split_root, f"et={escape_value(event_type)}"))
+
+
+def read_types(spark: SparkSession, split_root: str, concurrent: int = 8) -> dict[str, DataFrame]:
+    """Every type of a split with its own inferred schema, in the order of the names."""
+    types = [row["et"] or "" for row in list_types(spark, split_root).collect()]
+    with ThreadPoolExecutor(concurrent) as pool:
+        return dict(zip(types, pool.map(lambda et: read_type(spark, split_root, et), types), strict=True))
