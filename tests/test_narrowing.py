@@ -1,0 +1,120 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sluicebox.operators.narrowing import (
+    column_counts,
+    group_schemas,
+    infer_schema,
+    narrow_wide,
+    schema_table,
+    typed_columns,
+)
+
+KEYS = ["hh", "event_type"]
+
+
+def test_inferred_types(spark):
+    texts = [
+        '[{"a":1},{"a":1.5}]',
+        '[{"b":2,"a":1}]',
+        '[{"a":1},{"a":{"q":1}}]',
+        '[{"e":{},"n":null,"d":12345678901234567890,"l":[],"t":true}]',
+    ]
+    found = [schema.simpleString() for schema in infer_schema(spark, texts)]
+    assert found == [
+        "struct<a:double>",
+        "struct<a:bigint,b:bigint>",
+        "struct<a:string>",
+        "struct<d:decimal(20,0),l:array<string>,n:string,t:boolean>",
+    ]
+
+
+def test_group_schemas_drop_fields_without_a_value(spark):
+    rows = [("00", "a", 1, None, None), ("00", "a", 2, 1.5, None), ("00", "b", 3, None, [])]
+    df = spark.createDataFrame(rows, "hh string, event_type string, x bigint, y double, z array<bigint>")
+    found = {group: schema.simpleString() for group, schema in group_schemas(df, ["event_type", "x", "y", "z"], KEYS, batch=1)}
+    assert found == {
+        ("00", "a"): "struct<event_type:string,x:bigint,y:double>",
+        ("00", "b"): "struct<event_type:string,x:bigint,z:array<string>>",
+    }
+    table = {(r.hh, r.event_type): r.type_schema for r in schema_table(df, ["event_type", "x", "y", "z"], KEYS).collect()}
+    assert table == found
+
+
+def test_column_counts(spark):
+    df = spark.createDataFrame([("00", "a", 1, None), ("00", "a", None, None)], "hh string, event_type string, x int, y int")
+    assert column_counts(df).first().asDict() == {"hh": "00", "event_type": "a", "n_x": 1, "n_y": 0}
+
+
+def test_values_that_do_not_fit_become_null(spark):
+    df = spark.createDataFrame(
+        [(7, 1.5, "t", [1, 2]), (None, float("nan"), None, None)], "d bigint, x double, s string, l array<bigint>"
+    ).withColumn("d", F.when(F.col("d") == 7, F.lit("12345678901234567890").cast("decimal(20,0)")))
+    schema = StructType.fromDDL("d bigint, x double, s string, l array<string>")
+    first, second = df.select(*typed_columns(df, schema)).collect()
+    assert tuple(first) == (None, 1.5, "t", ["1", "2"])
+    assert second.d is None and second.x != second.x and second.s is None and second.l is None
+
+
+def test_columns_that_agree_are_passed_on_untouched(spark):
+    df = spark.range(1).select("id", F.lit("a").alias("s"))
+    plan = df.select(*typed_columns(df, StructType.fromDDL("id bigint, s string")))._jdf.queryExecution().toString()
+    assert "from_json" not in plan and "to_json" not in plan
+
+
+def random_events(seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1500):
+        kind = "hot" if rng.random() < 0.4 else rng.choice(["a", "b", "none"])
+        version = None if kind == "none" else f"{rng.randint(1, 3)}.0.0"
+        rows.append(
+            (
+                i,
+                f"{rng.randint(0, 2):02d}",
+                kind,
+                version,
+                *[rng.randint(0, 9) if rng.random() < share else None for share in (0.9, 0.3, 0.05, 0.0)],
+            )
+        )
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_narrowing_is_a_projection(spark, seed):
+    """Each narrowed row is its event restricted to the columns of the group's sample, and none is lost."""
+    rows = random_events(seed)
+    names = ["event_id", "hh", "event_type", "app_version_name", "p", "q", "r", "s"]
+    types = ["int", "string", "string", "string", "int", "int", "int", "int"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types))).repartition(8)
+
+    newest, samples = {}, {}
+    for row in rows:
+        if row[3]:
+            newest[row[1:3]] = max(row[3], newest.get(row[1:3], ""))
+    for row in sorted(rows):
+        if row[3] and row[3] == newest[row[1:3]] and len(samples.setdefault(row[1:3], [])) < 10:
+            samples[row[1:3]].append(row)
+    shown = {key: [any(r[i] is not None for r in found) for i in range(len(names))] for key, found in samples.items()}
+    want = [tuple(v if shown[row[1:3]][i] else None for i, v in enumerate(row)) for row in rows if row[1:3] in shown]
+
+    narrowed = narrow_wide(df, order_by=["event_id"])
+    assert narrowed.columns == names
+    assert sorted(map(tuple, narrowed.collect()), key=str) == sorted(want, key=str)
+
+
+def test_events_without_any_version_column(spark):
+    df = spark.createDataFrame([("00", "a", 1)], "hh string, event_type string, x int")
+    assert narrow_wide(df).count() == 0
+
+
+def test_events_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [(i, "00", "a", "1.0.0") for i in range(100)]
+    spark.createDataFrame(rows, "event_id int, hh string, event_type string, app_version_name string").write.parquet(path)
+    plan = narrow_wide(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan

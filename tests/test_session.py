@@ -1,0 +1,63 @@
+import pytest
+
+from sluicebox import __main__ as cli
+from sluicebox import session
+from sluicebox.session import materialise, scratch_path, sql_settings
+
+
+def test_scratch_lies_in_the_folder_the_session_names(spark):
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    assert scratch_path(spark, "x", "s3a://b/t/").startswith("s3a://b/t/x-")
+
+
+def test_a_cluster_must_name_the_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "yarn"
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(Cluster(), "x")
+    Context.master = "local[2]"
+    assert scratch_path(Cluster(), "x").startswith(session._local_scratch)
+
+
+def test_settings_are_restored(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(KeyError), sql_settings(spark, spark__sql__shuffle__partitions=3, spark__sluicebox__x="y"):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+        raise KeyError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sluicebox.x", None) is None
+
+
+def test_materialised_table_is_read_from_files(spark):
+    df = materialise(spark.range(5).selectExpr("id", "id * 2 AS twice"), "five")
+    assert df.count() == 5 and df.inputFiles()
+
+
+def test_command_line(monkeypatch):
+    calls = []
+    monkeypatch.setattr(cli, "build_session", lambda name: name)
+    for job in ("preprocess_day", "warehouse_to_lake", "lake_to_warehouse", "country_chain"):
+        monkeypatch.setattr(cli, job, lambda *args, _job=job, **kwargs: calls.append((_job, args[1:], kwargs)))
+    cli.main(["preprocess", "20180601", "s3a://raw/", "s3a://out/", "--hours", "0,1"])
+    cli.main(["preprocess", "20180601", "a", "b"])
+    cli.main(["warehouse-to-lake", "20180601", "d", "t", "s3a://out/"])
+    cli.main(["lake-to-warehouse", "20180601", "s3a://in/", "d", "t"])
+    cli.main(["country-chain", "20180601", "s3a://in/"])
+    assert calls[0] == (
+        "preprocess_day",
+        ("20180601", "s3a://raw/", "s3a://out/"),
+        {"hours": [0, 1], "layout": "narrow", "fix_locale": False},
+    )
+    assert calls[1][2]["hours"] == list(range(24))
+    assert calls[2] == ("warehouse_to_lake", ("20180601", "d.t", "s3a://out/"), {"mode": "errorifexists"})
+    assert calls[3] == ("lake_to_warehouse", ("20180601", "s3a://in/", "d.t"), {})
+    assert calls[4] == ("country_chain", ("20180601", "s3a://in/"), {})

@@ -1,0 +1,95 @@
+import pytest
+from pyspark.errors import AnalysisException
+
+from sluicebox.plans.transfer import country_chain, distinct_countries, lake_to_warehouse, warehouse_to_lake
+from sluicebox.sources.tables import read_day, read_extract, read_table, register_view, write_table
+
+DAY = "20180601"
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def database(spark, tmp_path):
+    name = f"db_{abs(hash(str(tmp_path)))}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/db'")
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["orders", "embeddings", "documents"])
+def test_table_to_lake_and_back(spark, database, tmp_path, name):
+    original = spark.read.parquet(f"{SF}/{name}.parquet")
+    write_table(original, f"{database}.{name}", "overwrite")
+    path = warehouse_to_lake(spark, DAY, f"{database}.{name}", f"{tmp_path}/lake/")
+    assert path == f"{tmp_path}/lake/2018/06/01"
+    for _ in range(2):
+        lake_to_warehouse(spark, DAY, f"{tmp_path}/lake/", f"{database}.copy")
+    copy = read_table(spark, f"{database}.copy")
+    assert copy.dtypes == original.dtypes
+    assert rows(copy) == rows(original)
+
+
+def test_lake_path_that_exists(spark, database, tmp_path):
+    write_table(spark.range(3), f"{database}.t")
+    lake = str(tmp_path / "lake")
+    warehouse_to_lake(spark, DAY, f"{database}.t", lake)
+    with pytest.raises(AnalysisException):
+        warehouse_to_lake(spark, DAY, f"{database}.t", lake)
+    warehouse_to_lake(spark, DAY, f"{database}.t", lake, mode="overwrite")
+    warehouse_to_lake(spark, "20180602", f"{database}.t", lake)
+    assert read_day(spark, lake, DAY).count() == 3
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc", "csv"])
+def test_extracts_in_other_formats(spark, tmp_path, fmt):
+    extract, lake = str(tmp_path / "extract"), str(tmp_path / "lake")
+    df = spark.createDataFrame([("1", "a"), ("2", None)], "x string, y string")
+    df.write.format(fmt).option("header", "true").save(extract)
+    warehouse_to_lake(spark, DAY, extract, lake, fmt=fmt, options={"header": "true"})
+    assert rows(read_day(spark, lake, DAY)) == rows(df)
+
+
+def test_avro_is_passed_to_the_reader_by_name(spark, tmp_path):
+    with pytest.raises(AnalysisException, match="(?i)avro"):
+        read_extract(spark, str(tmp_path))
+
+
+def test_load_replaces_rows_and_schema(spark, database, tmp_path):
+    write_table(spark.createDataFrame([("old",)], "a string"), f"{database}.t")
+    spark.range(2).write.parquet(f"{tmp_path}/lake/2018/06/01")
+    lake_to_warehouse(spark, DAY, f"{tmp_path}/lake", f"{database}.t")
+    assert rows(read_table(spark, f"{database}.t")) == [(0,), (1,)]
+    lake_to_warehouse(spark, DAY, f"{tmp_path}/lake", f"{database}.t", mode="append")
+    assert read_table(spark, f"{database}.t").count() == 4
+
+
+def test_transfer_plan_has_no_shuffle(spark, database):
+    write_table(spark.range(5), f"{database}.t")
+    assert "Exchange" not in read_table(spark, f"{database}.t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_countries(spark):
+    df = spark.createDataFrame([("US",), ("DE",), (None,), ("US",)], "country string")
+    assert [r[0] for r in distinct_countries(df).collect()] == [None, "DE", "US"]
+
+
+def test_country_chain(spark, database, tmp_path):
+    users = spark.createDataFrame([(1, "US"), (2, "US"), (3, None), (4, "IS")], "user_id int, country string")
+    write_table(users, f"{database}.user_info_{DAY}", "overwrite")
+    names = {"source": f"{database}.user_info", "result": f"{database}.result", "copy": f"{database}.copy"}
+    assert country_chain(spark, DAY, str(tmp_path / "lake"), **names) == f"{database}.copy_{DAY}"
+    assert rows(read_table(spark, f"{database}.copy_{DAY}")) == [("IS",), ("US",), (None,)]
+    # The first step appends, so a rerun doubles the result unless it is told to replace it.
+    country_chain(spark, DAY, str(tmp_path / "lake"), **names, lake_mode="overwrite")
+    assert read_table(spark, f"{database}.copy_{DAY}").count() == 6
+    country_chain(spark, DAY, str(tmp_path / "lake"), **names, mode="overwrite", lake_mode="overwrite")
+    assert read_table(spark, f"{database}.copy_{DAY}").count() == 3
+
+
+def test_view(spark):
+    register_view(spark.range(3), "three_rows")
+    assert spark.sql("SELECT count(*) AS n FROM three_rows").first().n == 3
