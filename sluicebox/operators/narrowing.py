@@ -56,7 +56,7 @@ def narrow_wide(
     else:
         sample = newest_version_sample(df, newest, keys, version, order_by=order_by)
     flags = materialise(column_flags(sample, others, keys), "flags", scratch)
-    shown = {c: F.when(F.col("_shown")[i], _col(c)).alias(c) for i, c in enumerate(others)}
+    shown = {c: F.when(F.get("_shown", F.lit(i)), _col(c)).alias(c) for i, c in enumerate(others)}
     return join_lookup(df, flags, keys).select([shown.get(c, _col(c)) for c in df.columns])
 
 

@@ -136,9 +136,10 @@ ORACLE: dict[str, str] = {
     "events_per_type_hour": _after(
         "retained", "SELECT event_type, hh, count(*) AS n FROM retained GROUP BY event_type, hh"
     ),
-    "events_per_day_path": """
-        SELECT strftime(ts, '%Y/%m/%d') AS day_path, count(*) AS n, max(strftime(ts, '%Y-%m-%d')) AS day
-        FROM events GROUP BY 1""",
+    "events_per_path": """
+        SELECT strftime(ts, '%Y/%m/%d') AS day_path, strftime(ts, '%H') AS hh, count(*) AS n,
+               max(strftime(ts, '%Y-%m-%d')) AS day
+        FROM events GROUP BY 1, 2""",
     "version_counts": _after("counts", "SELECT * FROM counts"),
     "version_pattern": _after(
         "flat",
@@ -182,7 +183,7 @@ ORACLE: dict[str, str] = {
     ),
     "compact_small_files": "SELECT event_id, user_id, event_type, value, props FROM events",
     "parquet_capped_write": _after("retained", "SELECT * FROM retained"),
-    "publish_day": _after("narrowed", f"SELECT *, '20180601' AS dt, event_type AS et FROM narrowed"),
+    "publish_day": _after("narrowed", "SELECT *, '20180601' AS dt, event_type AS et FROM narrowed"),
     "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
     "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
     "warehouse_to_lake": """

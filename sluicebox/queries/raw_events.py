@@ -6,35 +6,52 @@ flat events must be. The thirty days of the table count as one day, so that each
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sluicebox.functions.dates import hour_column
 from sluicebox.session import configure
 
 DAY = "20180601"
 DENIED = ["error"]
 
-
-def _text(column: Column) -> Column:
-    return column.cast("string")
-
-
-def _version(event_id: Column, user_id: Column) -> Column:
-    numbered = F.concat_ws(".", _text(user_id % 12 + 1), _text(event_id % 10), F.lit("0"))
-    return F.when(event_id % 40 == 0, F.lit(None)).when(event_id % 41 == 0, "dev").otherwise(numbered)
-
-
-def _by_user(user_id: Column, values: list[str | None]) -> Column:
-    """Values for user_id % 4 = 0, 1, 2, 3."""
-    chosen = F.when(user_id % 4 == 0, F.lit(values[0]))
-    for remainder in (1, 2, 3):
-        chosen = chosen.when(user_id % 4 == remainder, F.lit(values[remainder]))
-    return chosen
-
-
-def _apple(user_id: Column, yes: str, no: str) -> Column:
-    return F.when(user_id % 2 == 0, yes).otherwise(no)
+FIELDS = [
+    """CASE WHEN event_id % 50 = 0 THEN 'bad_type' WHEN event_id % 77 = 0 THEN NULL ELSE event_type END AS event_type""",
+    "'account' AS awsAccountId",
+    "struct('c' AS custom) AS client_context",
+    """struct(
+        'com.example.app' AS package_name,
+        'Example' AS title,
+        string(user_id % 12 + 1) AS version_code,
+        'app' || user_id % 3 AS app_id,
+        'pool' AS cognito_identity_pool_id,
+        CASE WHEN event_id % 40 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'dev'
+             ELSE concat_ws('.', user_id % 12 + 1, event_id % 10, 0) END AS version_name,
+        struct('2.4' AS version, 'sdk' AS name) AS sdk) AS application""",
+    """struct(
+        's' || (user_id * 100 + event_id % 7) AS session_id,
+        (event_id - event_id % 7) * 1000 AS start_timestamp) AS session""",
+    """struct(
+        struct(
+            CASE user_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'IS' WHEN 2 THEN 'DE' END AS country,
+            CASE user_id % 4 WHEN 0 THEN 'en_US' WHEN 1 THEN 'is_IS' ELSE 'de_DE' END AS code,
+            CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'is' ELSE 'de' END AS language) AS locale,
+        struct(
+            string(user_id % 5 + 7) AS version,
+            if(user_id % 2 = 0, 'ios', 'android') AS name) AS platform,
+        if(user_id % 2 = 0, 'apple', 'acme') AS make,
+        'm' || user_id % 9 AS model) AS device""",
+    "struct('cg' || user_id AS cognito_id, 'cl' || user_id AS client_id) AS client",
+    "struct(string(user_id) AS user_id, string(event_id % 5) AS Level) AS attributes",
+    "event_id",
+    "event_id * 1000 AS event_timestamp",
+    "date_format(ts, 'HH') AS hh",
+    "struct(CASE WHEN event_type = 'purchase' THEN value END AS amount) AS metrics",
+]
+
+# Arrays of structs, and arrays of those within arrays.
+ITEMS = """array(
+    struct('k' || user_id % 5 AS sku, event_id % 4 AS qty,
+           array(struct(event_id % 3 AS code), struct(event_id % 5 AS code)) AS offers),
+    struct('gift' AS sku, 1L AS qty, array(struct(user_id % 2 AS code)) AS offers)) AS items"""
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,64 +59,5 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str, with_items: bool = False) -> DataFrame:
-    """Nested events; ``with_items`` adds arrays of structs, and arrays of those within arrays."""
-    events = load_events(spark, sf_dir)
-    event_id, user_id, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    application = F.struct(
-        F.lit("com.example.app").alias("package_name"),
-        F.lit("Example").alias("title"),
-        _text(user_id % 12 + 1).alias("version_code"),
-        F.concat(F.lit("app"), _text(user_id % 3)).alias("app_id"),
-        F.lit("pool").alias("cognito_identity_pool_id"),
-        _version(event_id, user_id).alias("version_name"),
-        F.struct(F.lit("2.4").alias("version"), F.lit("sdk").alias("name")).alias("sdk"),
-    )
-    session = F.struct(
-        F.concat(F.lit("s"), _text(user_id * 100 + event_id % 7)).alias("session_id"),
-        ((event_id - event_id % 7) * 1000).alias("start_timestamp"),
-    )
-    device = F.struct(
-        F.struct(
-            _by_user(user_id, ["US", "IS", "DE", None]).alias("country"),
-            _by_user(user_id, ["en_US", "is_IS", "de_DE", "de_DE"]).alias("code"),
-            _by_user(user_id, ["en", "is", "de", "de"]).alias("language"),
-        ).alias("locale"),
-        F.struct(
-            _text(user_id % 5 + 7).alias("version"),
-            _apple(user_id, "ios", "android").alias("name"),
-        ).alias("platform"),
-        _apple(user_id, "apple", "acme").alias("make"),
-        F.concat(F.lit("m"), _text(user_id % 9)).alias("model"),
-    )
-    client = F.struct(
-        F.concat(F.lit("cg"), _text(user_id)).alias("cognito_id"),
-        F.concat(F.lit("cl"), _text(user_id)).alias("client_id"),
-    )
-    attributes = F.struct(_text(user_id).alias("user_id"), _text(event_id % 5).alias("Level"))
-    item = F.struct(
-        F.concat(F.lit("k"), _text(user_id % 5)).alias("sku"),
-        (event_id % 4).alias("qty"),
-        F.array(F.struct((event_id % 3).alias("code")), F.struct((event_id % 5).alias("code"))).alias("offers"),
-    )
-    second = F.struct(
-        F.lit("gift").alias("sku"),
-        F.lit(1).cast("bigint").alias("qty"),
-        F.array(F.struct((user_id % 2).alias("code"))).alias("offers"),
-    )
-    columns = [
-        F.when(event_id % 50 == 0, "bad_type").when(event_id % 77 == 0, F.lit(None)).otherwise(kind).alias("event_type"),
-        F.lit("account").alias("awsAccountId"),
-        F.struct(F.lit("c").alias("custom")).alias("client_context"),
-        application.alias("application"),
-        session.alias("session"),
-        device.alias("device"),
-        client.alias("client"),
-        attributes.alias("attributes"),
-        event_id.alias("event_id"),
-        (event_id * 1000).alias("event_timestamp"),
-        hour_column(F.col("ts")).alias("hh"),
-        F.struct(F.when(kind == "purchase", F.col("value")).alias("amount")).alias("metrics"),
-    ]
-    if with_items:
-        columns.append(F.array(item, second).alias("items"))
-    return events.select(*columns)
+    fields = [*FIELDS, ITEMS] if with_items else FIELDS
+    return load_events(spark, sf_dir).selectExpr(*fields)

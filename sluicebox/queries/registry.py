@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.functions.dates import dated_table, day_column, day_path_column, under
+from sluicebox.functions.dates import dated_table, day_column, day_path_column, hour_column, under
 from sluicebox.functions.predicates import is_version
 from sluicebox.operators.event_types import count_events, distinct_event_types, retain_event_types
 from sluicebox.operators.flatten import flatten_events
@@ -65,12 +65,13 @@ def events_per_type_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_events(_retained(spark, sf_dir))
 
 
-def events_per_day_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     compact_day = F.date_format("ts", "yyyyMMdd")
+    ts = F.col("ts")
     dated = load_events(spark, sf_dir).select(
-        day_path_column(F.col("ts")).alias("day_path"), day_column(compact_day).alias("day")
+        day_path_column(ts).alias("day_path"), hour_column(ts).alias("hh"), day_column(compact_day).alias("day")
     )
-    return dated.groupBy("day_path").agg(
+    return dated.groupBy("day_path", "hh").agg(
         F.count(F.lit(1)).alias("n"), F.date_format(F.max("day"), "yyyy-MM-dd").alias("day")
     )
 
@@ -248,7 +249,7 @@ QUERIES: dict[str, Query] = {
     "distinct_event_types": distinct_types,
     "retained_events": retained_events,
     "events_per_type_hour": events_per_type_hour,
-    "events_per_day_path": events_per_day_path,
+    "events_per_path": events_per_path,
     "version_counts": version_counts_per_group,
     "version_pattern": version_pattern,
     "top_versions_per_type": top_versions_per_type,
