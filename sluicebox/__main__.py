@@ -25,6 +25,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
         job.add_argument(name)
     job.add_argument("--hours", default="0-23", help="0-23, or a list such as 0,1")
     job.add_argument("--layout", choices=["narrow", "wide"], default="narrow")
+    job.add_argument("--publish", choices=["move", "direct"], default="move")
     job.add_argument("--fix-locale", action="store_true")
 
     job = jobs.add_parser("warehouse-to-lake")
@@ -58,6 +59,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             args.target,
             hours=parse_hours(args.hours),
             layout=args.layout,
+            publish=args.publish,
             fix_locale=args.fix_locale,
         )
     elif args.job == "warehouse-to-lake":

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -18,16 +20,34 @@ from sluicebox.operators.narrowing import group_schemas, narrow_wide, typed_colu
 from sluicebox.operators.sampling import staged_sample
 from sluicebox.operators.versions import VERSION, newest_version
 from sluicebox.session import configure, materialise, scratch_path
-from sluicebox.sources.json_events import batch_hours, infer_hour_schemas, infer_json_schema, kept_schema, read_hours
-from sluicebox.sources.layout import publish_partitions, remove_tree
-from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet
+from sluicebox.sources.json_events import (
+    batch_hours,
+    infer_hour_schemas,
+    infer_json_schema,
+    kept_schema,
+    read_hours,
+    read_split,
+)
+from sluicebox.sources.layout import escape_value, publish_partitions, remove_tree
+from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 
 log = logging.getLogger(__name__)
 
+# Column of a staged split that orders its rows if the caller names no order.
+ROW_ORDER = "_row_order"
+
 # Write jobs submitted at once; each reads a part of the split, so several are needed to keep a cluster busy.
 CONCURRENT_WRITES = 32
 
 
+class Group(NamedTuple):
+    """Events of one type within one hour, and the schema that the sample of their newest version shows."""
+
+    hour: str
+    event_type: str
+    schema: StructType
+
+
 def split_events(
     raw: DataFrame,
     denied: Iterable[str] = DENIED_TYPES,
@@ -38,12 +58,32 @@ def split_events(
     return retain_event_types(flatten_events(raw, dropped, fix_locale), denied)
 
 
-def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
+def split_hour(
+    spark: SparkSession,
+    source: str,
+    split: str,
+    *,
+    denied: Iterable[str] = DENIED_TYPES,
+    dropped: Iterable[str] = DROPPED_FIELDS,
+    fix_locale: bool = False,
+) -> None:
+    """The raw JSON lines below one folder to gzip JSON lines in one folder per event type."""
+    configure(spark)
+    dropped = list(dropped)
+    schema = kept_schema(infer_json_schema(spark, [source]), dropped, fix_locale)
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(source)
+    write_split(split_events(raw, denied, dropped, fix_locale), split)
+
+
+def stage_split(flat: DataFrame, path: str, hour: str = "hh", with_order: bool = True) -> DataFrame:
     """Write flat events once, by hour and event type, and read them back.
 
     The raw text is parsed a single time; the later steps read only the columns and directories they need. The
     type is also kept as a column, since a directory name cannot tell an empty type from a missing one.
+    ``with_order`` adds a hash of each row, so that samples do not depend on the order in which rows were written.
     """
+    if with_order:
+        flat = flat.withColumn(ROW_ORDER, F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns]))
     split = flat.withColumn("et", F.col("event_type"))
     clustered(split, [hour, "et"]).write.partitionBy(hour, "et").parquet(path)
     fields = [f for f in flat.schema.fields if f.name not in (hour, "et")]
@@ -51,44 +91,131 @@ def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
     return flat.sparkSession.read.schema(StructType([*fields, *partitions])).parquet(path)
 
 
-def narrow_split(
+def _row_order(split: DataFrame) -> list[str]:
+    return [ROW_ORDER] if ROW_ORDER in split.columns else []
+
+
+def find_groups(
     split: DataFrame,
-    staged: str,
     hour: str = "hh",
     *,
     order: str = "text",
     order_by: Sequence[str] = (),
-    max_rows: int = MAX_ROWS_PER_FILE,
-    concurrent: int = CONCURRENT_WRITES,
     scratch: str | None = None,
-) -> int:
-    """Write a staged split as Parquet, each (hour, type) with exactly its sample's columns and types.
-
-    Groups with equal schemas are written by one job, which reads only their directories and shuffles nothing.
-    Returns the number of jobs.
-    """
-    columns = [c for c in split.columns if c not in (hour, "et")]
+) -> list[Group]:
+    """The (hour, type) groups of a staged split that have a version, with the schemas of their samples."""
+    columns = [c for c in split.columns if c not in (hour, "et", ROW_ORDER)]
     if VERSION not in columns:
         log.warning("no event has a version, so no type is written")
-        return 0
+        return []
     keys = [hour, "event_type"]
     newest = materialise(newest_version(split, keys, order=order), "newest", scratch)
-    sample = staged_sample(split, newest, keys, order_by=order_by, scratch=scratch)
+    sample = staged_sample(split, newest, keys, order_by=order_by or _row_order(split), scratch=scratch)
+    return [Group(*values, schema) for values, schema in group_schemas(sample, columns, keys)]
 
-    by_schema: dict[str, tuple[StructType, list[str]]] = {}
-    for (hour_value, event_type), schema in group_schemas(sample, columns, keys):
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(f"{hour_value}/{event_type}")
-    directory = F.concat(F.col(hour), F.lit("/"), F.coalesce(F.col("et"), F.lit("")))
-
-    def write(number: int, schema: StructType, groups: list[str]) -> None:
-        part = split.where(directory.isin(groups)).select(*typed_columns(split, schema), "et", hour)
-        write_parquet(part, under(staged, str(number)), ["et", hour], max_rows=max_rows)
 
+def _concurrently(jobs: Sequence[Callable[[], object]], concurrent: int) -> list:
+    """Run write jobs side by side; the first error is raised after the jobs under way have ended."""
     with ThreadPoolExecutor(concurrent) as pool:
-        jobs = [pool.submit(write, number, *entry) for number, entry in enumerate(by_schema.values())]
-        for job in jobs:
-            job.result()
-    return len(jobs)
+        running = [pool.submit(job) for job in jobs]
+        try:
+            return [job.result() for job in running]
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
+
+
+def _directory(hour: str) -> Column:
+    """Hour and type of a staged directory, for choosing directories without reading them."""
+    return F.concat(F.col(hour), F.lit("/"), F.coalesce(F.col("et"), F.lit("")))
+
+
+def write_staged(
+    split: DataFrame, groups: Sequence[Group], staged: str, hour: str = "hh", max_rows: int = MAX_ROWS_PER_FILE
+) -> list[Callable[[], object]]:
+    """Jobs that write the groups of a split below ``staged``, one job for all groups with the same schema.
+
+    A job reads only the directories of its groups and shuffles nothing.
+    """
+    by_schema: dict[str, list[Group]] = {}
+    for group in groups:
+        by_schema.setdefault(group.schema.json(), []).append(group)
+
+    def write(number: int, alike: list[Group]) -> None:
+        part = split.where(_directory(hour).isin([f"{group.hour}/{group.event_type}" for group in alike]))
+        typed = part.select(*typed_columns(split, alike[0].schema), "et", hour)
+        write_parquet(typed, under(staged, str(number)), ["et", hour], max_rows=max_rows)
+
+    return [partial(write, number, alike) for number, alike in enumerate(by_schema.values())]
+
+
+def write_direct(
+    split: DataFrame, groups: Sequence[Group], target: str, hour: str = "hh", max_rows: int = MAX_ROWS_PER_FILE
+) -> list[Callable[[], str]]:
+    """Jobs that write each group of a split to ``target/type/hour/``, replacing what is there."""
+
+    def write(group: Group) -> str:
+        part = split.where(_directory(hour) == f"{group.hour}/{group.event_type}")
+        path = under(target, escape_value(group.event_type), escape_value(group.hour))
+        write_parquet(part.select(*typed_columns(split, group.schema)), path, mode="overwrite", max_rows=max_rows)
+        return path
+
+    return [partial(write, group) for group in groups]
+
+
+def write_groups(
+    spark: SparkSession,
+    found: Sequence[tuple[DataFrame, Sequence[Group]]],
+    target: str,
+    hour: str = "hh",
+    *,
+    publish: str = "move",
+    staging: str | None = None,
+    max_rows: int = MAX_ROWS_PER_FILE,
+    concurrent: int = CONCURRENT_WRITES,
+) -> list[str]:
+    """Write the groups of some splits to ``target/type/hour/``, each with the columns and types of its own sample.
+
+    ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the finished directories, so
+    that a failed write leaves the target as it was. ``direct`` writes each directory in place through Spark's
+    committer, for object stores, where a rename copies the data. Returns the directories written.
+    """
+    if publish == "direct":
+        jobs = [job for split, groups in found for job in write_direct(split, groups, target, hour, max_rows)]
+        return sorted(_concurrently(jobs, concurrent))
+    staged = scratch_path(spark, "_staging", staging or target)
+    try:
+        jobs = []
+        for number, (split, groups) in enumerate(found):
+            jobs += write_staged(split, groups, under(staged, str(number)), hour, max_rows)
+        _concurrently(jobs, concurrent)
+        return publish_partitions(spark, f"{staged}/*", target, ["et", hour])
+    finally:
+        remove_tree(spark, staged)
+
+
+def narrow_hour(
+    spark: SparkSession,
+    split: str,
+    target: str,
+    hour: str,
+    *,
+    hour_column: str = "hh",
+    order: str = "text",
+    order_by: Sequence[str] = (),
+    publish: str = "move",
+    max_rows: int = MAX_ROWS_PER_FILE,
+) -> list[str]:
+    """What :func:`split_hour` wrote to Parquet under ``target/type/hour/``; options as for :func:`preprocess_day`."""
+    configure(spark)
+    scratch = scratch_path(spark, "run")
+    events = read_split(spark, split).drop("et").withColumn(hour_column, F.lit(hour))
+    try:
+        staged = stage_split(events, under(scratch, "split"), hour_column, not order_by)
+        groups = find_groups(staged, hour_column, order=order, order_by=order_by, scratch=scratch)
+        return write_groups(spark, [(staged, groups)], target, hour_column, publish=publish, max_rows=max_rows)
+    finally:
+        remove_tree(spark, scratch)
 
 
 def publish_wide(
@@ -111,8 +238,9 @@ def publish_wide(
     if "dt" in df.columns:
         raise ValueError("the events have a column 'dt', which names the day's partition")
     keys = [hour, "event_type"]
+    order_by = order_by or _row_order(df)
     narrowed = narrow_wide(df, keys, order=order, order_by=order_by, staged=staged, scratch=scratch)
-    dated = narrowed.withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
+    dated = narrowed.drop(ROW_ORDER).withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
     partitions = ["dt", "et", hour]
     write_parquet(dated if staged else clustered(dated, partitions), target, partitions, "overwrite", max_rows)
 
@@ -126,6 +254,7 @@ def preprocess_day(
     hours: Iterable[int] = range(24),
     schema: StructType | None = None,
     layout: str = "narrow",
+    publish: str = "move",
     denied: Iterable[str] = DENIED_TYPES,
     dropped: Iterable[str] = DROPPED_FIELDS,
     fix_locale: bool = False,
@@ -134,45 +263,46 @@ def preprocess_day(
     max_rows: int = MAX_ROWS_PER_FILE,
     hour_column: str = "hh",
 ) -> list[str]:
-    """Events under ``source/yyyy/mm/dd/hh/`` to Parquet; nothing is published unless every hour succeeded.
+    """Events under ``source/yyyy/mm/dd/hh/`` to Parquet; the target is written after every hour was worked out.
 
-    ``narrow`` writes ``target/yyyy/mm/dd/type/hh/``, each directory with the columns and types of its own sample.
-    ``wide`` writes one table under ``target`` with the partitions ``dt``, ``et`` and the hour.
-    A given ``schema`` spares the scan that infers one. ``order`` is the order of versions, ``order_by`` that of the
-    sampled rows. Returns the directories published (narrow only).
+    ``narrow`` writes ``target/yyyy/mm/dd/type/hh/``, each directory with the columns and types of its own sample;
+    for ``publish`` see :func:`write_groups`. ``wide`` writes one table under ``target`` with the partitions ``dt``,
+    ``et`` and the hour. A given ``schema`` spares the scan that infers one. ``order`` is the order of versions,
+    ``order_by`` that of the sampled rows. Returns the directories published (narrow only).
     """
     if layout not in ("narrow", "wide"):
         raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
+    if publish not in ("move", "direct"):
+        raise ValueError(f"publish must be 'move' or 'direct', not {publish!r}")
     configure(spark)
     names = [hour_name(hour) for hour in hours]
     denied, dropped = list(denied), list(dropped)
     scratch = scratch_path(spark, "run")
-    options = {"order": order, "order_by": order_by, "max_rows": max_rows, "scratch": scratch}
+    sampling = {"order": order, "order_by": order_by, "scratch": scratch}
 
     def staged_split(batch: Sequence[str], batch_schema: StructType) -> DataFrame:
         raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
         flat = split_events(raw, denied, dropped, fix_locale)
-        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column)
+        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column, not order_by)
 
-    staged = scratch_path(spark, "_staging", target)
     try:
         if layout == "wide":
             base = under(source, day_path(day))
             found = schema or infer_json_schema(spark, [under(base, name) for name in names])
             split = staged_split(names, kept_schema(found, dropped, fix_locale))
-            publish_wide(split, target, day, hour_column, staged=True, **options)
+            publish_wide(split, target, day, hour_column, staged=True, max_rows=max_rows, **sampling)
             return []
         if schema is None:
-            found = infer_hour_schemas(spark, source, day, names)
-            batches = batch_hours(found, dropped, fix_locale)
+            batches = batch_hours(infer_hour_schemas(spark, source, day, names), dropped, fix_locale)
         else:
             batches = [(names, kept_schema(schema, dropped, fix_locale))]
-        for number, (batch, batch_schema) in enumerate(batches):
-            split = staged_split(batch, batch_schema)
-            narrow_split(split, under(staged, str(number)), hour_column, **options)
-        return publish_partitions(spark, f"{staged}/*", under(target, day_path(day)), ["et", hour_column])
+        splits = [staged_split(batch, batch_schema) for batch, batch_schema in batches]
+        grouped = [(split, find_groups(split, hour_column, **sampling)) for split in splits]
+        day_target = under(target, day_path(day))
+        return write_groups(
+            spark, grouped, day_target, hour_column, publish=publish, staging=target, max_rows=max_rows
+        )
     finally:
-        remove_tree(spark, staged)
         remove_tree(spark, scratch)
 
 

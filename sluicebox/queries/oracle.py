@@ -62,53 +62,41 @@ COLUMN_TYPES = {
     "metrics_amount": "double",
 }
 
-RETAINED = """
-SELECT * FROM flat
-WHERE event_type IS NOT NULL AND event_type NOT IN ('error') AND NOT regexp_matches(event_type, '[_,\\s]')
-"""
-
-COUNTS = """
-SELECT hh, event_type, app_version_name, count(*) AS n FROM retained GROUP BY hh, event_type, app_version_name
-"""
-
-NEWEST = """
-SELECT hh, event_type, max(app_version_name) AS app_version_name
-FROM (SELECT *, row_number() OVER (PARTITION BY hh, event_type ORDER BY app_version_name DESC NULLS LAST) AS version_rank
-      FROM counts) AS ranked
-WHERE version_rank <= 100 AND regexp_matches(app_version_name, '\\d+.\\d+.\\d+')
-GROUP BY hh, event_type
-"""
-
-SAMPLE = """
-SELECT * FROM (
-  SELECT retained.*,
-         row_number() OVER (PARTITION BY retained.hh, retained.event_type ORDER BY retained.event_id) AS sample_rank
-  FROM retained JOIN newest USING (hh, event_type, app_version_name)) AS ranked
-WHERE sample_rank <= 10
-"""
-
 _counts = ", ".join(f"count({c}) AS n_{c}" for c in COLUMN_TYPES)
-FLAGS = f"SELECT hh, event_type, {_counts} FROM sample GROUP BY hh, event_type"
-
 _masked = ", ".join(f"CASE WHEN n_{c} > 0 THEN retained.{c} END AS {c}" for c in COLUMN_TYPES)
-NARROWED = f"SELECT retained.hh, retained.event_type, {_masked} FROM retained JOIN flags USING (hh, event_type)"
-
-_STEPS = {
-    "flat": FLAT,
-    "retained": RETAINED,
-    "counts": COUNTS,
-    "newest": NEWEST,
-    "sample": SAMPLE,
-    "flags": FLAGS,
-    "narrowed": NARROWED,
-}
 
 
-def _after(last: str, query: str) -> str:
+def _steps(group: str) -> dict[str, str]:
+    """Steps of the narrowing, each reading the ones before it, for groups by the given columns."""
+    return {
+        "flat": FLAT,
+        "retained": """
+            SELECT * FROM flat
+            WHERE event_type IS NOT NULL AND event_type NOT IN ('error')
+              AND NOT regexp_matches(event_type, '[_,\\s]')""",
+        "counts": f"SELECT {group}, app_version_name, count(*) AS n FROM retained GROUP BY {group}, app_version_name",
+        "newest": f"""
+            SELECT {group}, max(app_version_name) AS app_version_name
+            FROM (SELECT *, row_number() OVER (
+                    PARTITION BY {group} ORDER BY app_version_name DESC NULLS LAST) AS version_rank
+                  FROM counts) AS ranked
+            WHERE version_rank <= 100 AND regexp_matches(app_version_name, '\\d+.\\d+.\\d+')
+            GROUP BY {group}""",
+        "sample": f"""
+            SELECT * FROM (
+              SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY event_id) AS sample_rank
+              FROM retained JOIN newest USING ({group}, app_version_name)) AS ranked
+            WHERE sample_rank <= 10""",
+        "flags": f"SELECT {group}, {_counts} FROM sample GROUP BY {group}",
+        "narrowed": f"SELECT retained.hh, retained.event_type, {_masked} FROM retained JOIN flags USING ({group})",
+    }
+
+
+def _after(last: str, query: str, group: str = "hh, event_type") -> str:
     """The query with the steps up to ``last`` before it."""
-    names = list(_STEPS)
-    steps = names[: names.index(last) + 1]
-    return "WITH " + ",\n".join(f"{name} AS ({_STEPS[name]})" for name in steps) + "\n" + query
+    steps = _steps(group)
+    needed = list(steps)[: list(steps).index(last) + 1]
+    return "WITH " + ",\n".join(f"{name} AS ({steps[name]})" for name in needed) + "\n" + query
 
 
 def _schema_text() -> str:
@@ -184,6 +172,8 @@ ORACLE: dict[str, str] = {
     "compact_small_files": "SELECT event_id, user_id, event_type, value, props FROM events",
     "parquet_capped_write": _after("retained", "SELECT * FROM retained"),
     "publish_day": _after("narrowed", "SELECT *, '20180601' AS dt, event_type AS et FROM narrowed"),
+    # All events are one hour here, so the type alone makes a group.
+    "split_and_narrow_hour": _after("narrowed", "SELECT * FROM narrowed", "event_type"),
     "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
     "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
     "warehouse_to_lake": """

@@ -15,7 +15,14 @@ from sluicebox.operators.flatten import flatten_events
 from sluicebox.operators.narrowing import column_counts, narrow_wide, schema_table
 from sluicebox.operators.sampling import newest_version_sample
 from sluicebox.operators.versions import newest_version, top_versions, version_counts
-from sluicebox.plans.preprocess import preprocess_day, publish_wide, read_published, split_events
+from sluicebox.plans.preprocess import (
+    narrow_hour,
+    preprocess_day,
+    publish_wide,
+    read_published,
+    split_events,
+    split_hour,
+)
 from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse_to_lake
 from sluicebox.queries.raw_events import DAY, DENIED, load_events, raw_events
 from sluicebox.session import configure, materialise, scratch_path
@@ -172,6 +179,14 @@ def _write_raw_hours(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def split_and_narrow_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, split, target = (scratch_path(spark, name) for name in ("raw", "split", "hour"))
+    raw_events(spark, sf_dir).write.json(source)
+    split_hour(spark, source, split, denied=DENIED)
+    narrow_hour(spark, split, target, "00", hour_column="hour_dir", order_by=["event_id"])
+    return spark.read.option("mergeSchema", "true").parquet(f"{target}/*/00")
+
+
 def preprocess_day_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
     for _ in range(2):
@@ -265,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "compact_small_files": compact_small_files,
     "parquet_capped_write": parquet_capped_write,
     "publish_day": publish_day,
+    "split_and_narrow_hour": split_and_narrow_hour,
     "preprocess_day_narrow": preprocess_day_narrow,
     "preprocess_day_wide": preprocess_day_wide,
     "warehouse_to_lake": warehouse_to_lake_orders,

@@ -12,6 +12,8 @@ SETTINGS = {
     # Event fields that differ only in case are different columns.
     "spark.sql.caseSensitive": "true",
     "spark.sql.parquet.mergeSchema": "false",
+    # Hot event types are divided at run time.
+    "spark.sql.adaptive.enabled": "true",
     # The JVM does not compile methods above 8000 bytes, and a select of a few hundred columns makes such methods.
     # With this limit Spark generates several small ones for them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",

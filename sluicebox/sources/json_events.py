@@ -117,6 +117,12 @@ def list_types(spark: SparkSession, split_root: str) -> DataFrame:
     return files.select("et").distinct().orderBy("et")
 
 
+def read_split(spark: SparkSession, split_root: str) -> DataFrame:
+    """All types of a split with one schema and the type of the directory as ``et``."""
+    with sql_settings(spark, spark__sql__sources__partitionColumnTypeInference__enabled="false"):
+        return read_json(spark, split_root)
+
+
 def read_type(spark: SparkSession, split_root: str, event_type: str) -> DataFrame:
     """Events of one type of a split, with the schema this type's lines show and without the column ``et``."""
     return read_json(spark, under(split_root, f"et={escape_value(event_type)}"))

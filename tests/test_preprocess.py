@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from sluicebox.functions.predicates import VERSION_PATTERN
 from sluicebox.plans import preprocess
-from sluicebox.plans.preprocess import preprocess_day, read_published, split_events
+from sluicebox.plans.preprocess import narrow_hour, preprocess_day, read_published, split_events, split_hour
 from sluicebox.sources.json_events import read_types
 from sluicebox.sources.sinks import write_split
 
@@ -83,6 +83,18 @@ def test_each_hour_and_type_has_its_own_schema(spark, raw, tmp_path):
     assert {r.event_id for r in read_published(spark, target, DAY, "view", "00").collect()} == {1, 2}
 
 
+def test_direct_and_moved_output_agree(spark, raw, tmp_path):
+    source = raw(h00=random_hour(5), h01=random_hour(6))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    moved = run(spark, source, one, [0, 1])
+    for _ in range(2):
+        direct = run(spark, source, two, [0, 1], publish="direct")
+    assert [path.removeprefix(one) for path in moved] == [path.removeprefix(two) for path in direct]
+    assert published(spark, one) == published(spark, two)
+    with pytest.raises(ValueError, match="publish"):
+        run(spark, source, two, [0], publish="later")
+
+
 def test_types_narrow_as_they_do_through_files(spark, raw, tmp_path):
     big = 12345678901234567890
     source = raw(
@@ -149,13 +161,15 @@ def test_nothing_is_published_if_an_hour_fails(spark, raw, tmp_path, monkeypatch
             raise RuntimeError("second batch")
         return real(*args, **kwargs)
 
-    real = preprocess.narrow_split
-    monkeypatch.setattr(preprocess, "narrow_split", failing)
-    with pytest.raises(RuntimeError):
-        run(spark, source, target, [0, 1])
-    assert not Path(target, "2018").exists()
-    assert list(Path(target).iterdir()) == []
-    monkeypatch.undo()
+    for step, publish in (("find_groups", "direct"), ("find_groups", "move"), ("write_parquet", "move")):
+        calls.clear()
+        real = getattr(preprocess, step)
+        monkeypatch.setattr(preprocess, step, failing)
+        with pytest.raises(RuntimeError):
+            run(spark, source, target, [0, 1], publish=publish)
+        assert not list(Path(target).glob("2018/06/01/*"))
+        assert not list(Path(target).glob("**/_staging*"))
+        monkeypatch.undo()
     run(spark, source, target, [0, 1])
     assert sorted(published(spark, target)) == ["a/00", "a/01"]
 
@@ -241,3 +255,32 @@ def test_narrow_output_equals_the_way_through_files(spark, raw, tmp_path, seed):
             sorted((tuple(r) for r in narrowed.collect()), key=str),
         )
     assert published(spark, target) == want and len(want) >= 3
+
+
+def test_split_and_narrow_hour_by_hour(spark, write_lines, tmp_path):
+    lines = [event("view", 1, x=1), event("view", 2, "0.9.0", y=1.5), event("007", 3), event("", 4), event("Event2", 5)]
+    source = write_lines("raw/00/a.json", lines)
+    split, target = str(tmp_path / "split"), str(tmp_path / "events/2018/06/01")
+    split_hour(spark, str(Path(source).parent), split)
+    assert sorted(p.name for p in Path(split).glob("et=*")) == ["et=007", "et=__HIVE_DEFAULT_PARTITION__", "et=view"]
+    for _ in range(2):
+        moved = narrow_hour(spark, split, target, "00")
+        assert [m.removeprefix(f"{target}/") for m in moved] == ["007/00", "__HIVE_DEFAULT_PARTITION__/00", "view/00"]
+    found = published(spark, str(tmp_path / "events"))
+    assert found["view/00"] == (
+        "app_version_name:string,event_id:bigint,event_type:string,x:bigint",
+        [("0.9.0", 2, "view", None), ("1.0.0", 1, "view", 1)],
+    )
+    assert found["007/00"][1] == [("1.0.0", 3, "007")]
+
+
+def test_runs_without_an_order_agree(spark, raw, tmp_path):
+    records = random_hour(9)
+    results = []
+    for name in ("one", "two"):
+        random.Random(name).shuffle(records)
+        target = str(tmp_path / name)
+        preprocess_day(spark, DAY, raw(h00=records), target, hours=[0])
+        results.append(published(spark, target))
+    assert results[0] == results[1]
+    assert "_row_order" not in str(results[0])

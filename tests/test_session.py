@@ -55,7 +55,7 @@ def test_command_line(monkeypatch):
     assert calls[0] == (
         "preprocess_day",
         ("20180601", "s3a://raw/", "s3a://out/"),
-        {"hours": [0, 1], "layout": "narrow", "fix_locale": False},
+        {"hours": [0, 1], "layout": "narrow", "publish": "move", "fix_locale": False},
     )
     assert calls[1][2]["hours"] == list(range(24))
     assert calls[2] == ("warehouse_to_lake", ("20180601", "d.t", "s3a://out/"), {"mode": "errorifexists"})
