@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -14,8 +13,9 @@ from sluicebox.operators.sampling import newest_version_sample, staged_sample
 from sluicebox.operators.versions import KEYS, VERSION, newest_version
 from sluicebox.session import materialise
 
-# Group schemas are inferred this many at a time, so the driver holds few sample rows.
+# Group schemas are inferred this many at a time, or fewer if the text is long, so the driver holds few sample rows.
 SCHEMA_BATCH = 64
+SCHEMA_CHARACTERS = 16 * 1024 * 1024
 
 
 def _col(name: str) -> Column:
@@ -64,11 +64,23 @@ def _json_text(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[_col(c) for c in columns]))
 
 
-def infer_schema(spark: SparkSession, texts: Sequence[str]) -> list[StructType]:
-    """Schema of each text, a JSON array of objects, by Spark's own JSON inference."""
+def infer_ddl(spark: SparkSession, texts: Sequence[str]) -> list[str]:
+    """Type of each text, a JSON array of objects, by Spark's own JSON inference."""
     inferred = [F.schema_of_json(F.lit(text)).alias(f"s{i}") for i, text in enumerate(texts)]
-    row = spark.range(1).select(*inferred).first()
-    return [DataType.fromDDL(ddl).elementType for ddl in row]
+    return list(spark.range(1).select(*inferred).first())
+
+
+def _batches(rows: Iterable[Row], count: int, characters: int) -> Iterator[list[Row]]:
+    batch: list[Row] = []
+    size = 0
+    for row in rows:
+        batch.append(row)
+        size += len(row["text"])
+        if len(batch) == count or size >= characters:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
 
 
 def group_schemas(
@@ -77,14 +89,17 @@ def group_schemas(
     """Inferred schema of each group's sample (a few rows per group), as (key values, schema).
 
     The sample rows pass as JSON text, as they would through files: fields without a value do not exist, and a
-    value shows the type its text has. Groups come to the driver one batch at a time.
+    value shows the type its text has. Groups come to the driver a batch at a time, and equal schemas are one object.
     """
     rows = F.array_join(F.collect_list(_json_text(sample, columns)), ",")
     texts = sample.groupBy(*keys).agg(F.concat(F.lit("["), rows, F.lit("]")).alias("text"))
-    groups = texts.toLocalIterator()
-    while chunk := list(islice(groups, batch)):
-        schemas = infer_schema(sample.sparkSession, [row["text"] for row in chunk])
-        yield from zip([tuple(row[k] for k in keys) for row in chunk], schemas, strict=True)
+    known: dict[str, StructType] = {}
+    for groups in _batches(texts.toLocalIterator(), batch, SCHEMA_CHARACTERS):
+        found = infer_ddl(sample.sparkSession, [row["text"] for row in groups])
+        for row, ddl in zip(groups, found, strict=True):
+            if ddl not in known:
+                known[ddl] = DataType.fromDDL(ddl).elementType
+            yield tuple(row[k] for k in keys), known[ddl]
 
 
 def schema_table(sample: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -84,7 +84,7 @@ def _steps(group: str) -> dict[str, str]:
             GROUP BY {group}""",
         "sample": f"""
             SELECT * FROM (
-              SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY event_id) AS sample_rank
+              SELECT *, cast(row_number() OVER (PARTITION BY {group} ORDER BY event_id) AS integer) AS sample_rank
               FROM retained JOIN newest USING ({group}, app_version_name)) AS ranked
             WHERE sample_rank <= 10""",
         "flags": f"SELECT {group}, {_counts} FROM sample GROUP BY {group}",
@@ -137,7 +137,8 @@ ORACLE: dict[str, str] = {
         "retained",
         """SELECT * FROM (
              SELECT event_type, app_version_name, count(*) AS n,
-                    row_number() OVER (PARTITION BY event_type ORDER BY app_version_name DESC NULLS LAST) AS version_rank
+                    cast(row_number() OVER (
+                      PARTITION BY event_type ORDER BY app_version_name DESC NULLS LAST) AS integer) AS version_rank
              FROM retained GROUP BY event_type, app_version_name) AS ranked
            WHERE version_rank <= 100""",
     ),
@@ -181,7 +182,7 @@ ORACLE: dict[str, str] = {
                strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
         FROM orders""",
     "lake_to_warehouse": """
-        SELECT vec_id, label, len(embedding) AS dimensions,
+        SELECT vec_id, label, cast(len(embedding) AS integer) AS dimensions,
                cast(list_min(embedding) AS double) AS least, cast(list_max(embedding) AS double) AS greatest
         FROM embeddings""",
     "lake_to_warehouse_lineitem": """

@@ -1,9 +1,17 @@
+import random
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sluicebox.operators.flatten import flatten_events, kept_leaves, leaves, prune_schema
 
+# Parsing a schema text needs a session.
+pytestmark = pytest.mark.usefixtures("spark")
+
 
 def parsed(spark, text, schema):
     return spark.createDataFrame([(text,)], "v string").select(F.from_json("v", schema).alias("r")).select("r.*")
@@ -104,3 +112,59 @@ def test_scan_reads_only_the_leaves_that_are_used(spark, tmp_path):
     assert "ReadSchema: struct<l:array<struct<x:int>>,s:struct<a:int>>" in plan or (
         "ReadSchema: struct<s:struct<a:int>,l:array<struct<x:int>>>" in plan
     )
+
+
+NAMES = st.sampled_from(["a", "b", "c_d", "x.y", "Ab", "s p", "q'", "n"])
+
+
+def types(depth):
+    if depth == 0:
+        return st.just(LongType())
+    inner = types(depth - 1)
+    struct = st.lists(st.tuples(NAMES, inner), min_size=1, max_size=3, unique_by=lambda pair: pair[0]).map(
+        lambda pairs: StructType([StructField(name, data_type) for name, data_type in pairs])
+    )
+    return st.one_of(st.just(LongType()), struct, struct.map(ArrayType), inner.map(ArrayType))
+
+
+SCHEMAS = st.lists(st.tuples(NAMES, types(3)), min_size=1, max_size=4, unique_by=lambda pair: pair[0]).map(
+    lambda pairs: StructType([StructField(f"{name}{i}", data_type) for i, (name, data_type) in enumerate(pairs)])
+)
+
+
+def sample_value(data_type, rng):
+    if rng.random() < 0.15:
+        return None
+    if isinstance(data_type, StructType):
+        return {f.name: sample_value(f.dataType, rng) for f in data_type.fields}
+    if isinstance(data_type, ArrayType):
+        return [sample_value(data_type.elementType, rng) for _ in range(rng.randint(0, 3))]
+    return rng.randint(0, 99)
+
+
+def reach(value, parts):
+    """The value of a path, with one result per element of every array on the way."""
+    if value is None or not parts:
+        return value
+    if isinstance(value, list):
+        return [reach(element, parts) for element in value]
+    return reach(value[parts[0]], parts[1:])
+
+
+def plain(value):
+    if isinstance(value, Row):
+        return {name: plain(value[name]) for name in value.__fields__}
+    return [plain(element) for element in value] if isinstance(value, list) else value
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+@given(schema=SCHEMAS, seed=st.integers(0, 1000))
+def test_values_of_any_nested_schema(spark, schema, seed):
+    rng = random.Random(seed)
+    records = [{f.name: sample_value(f.dataType, rng) for f in schema.fields} for _ in range(4)]
+    df = spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in records], schema)
+    found = [leaf for leaf in leaves(schema)]
+    assert len({leaf.parts for leaf in found}) == len(found)
+    rows = df.select([leaf.column().alias(f"c{i}") for i, leaf in enumerate(found)]).collect()
+    for record, row in zip(records, rows):
+        assert [plain(value) for value in row] == [reach(record, leaf.parts) for leaf in found]

@@ -18,6 +18,9 @@ from sluicebox.sources.json_events import (
 )
 from sluicebox.sources.sinks import write_split
 
+# Parsing a schema text needs a session.
+pytestmark = pytest.mark.usefixtures("spark")
+
 
 def ddl(text):
     return StructType.fromDDL(text)

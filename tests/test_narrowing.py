@@ -2,12 +2,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
+from sluicebox.operators import narrowing
 from sluicebox.operators.narrowing import (
     column_counts,
     group_schemas,
-    infer_schema,
+    infer_ddl,
     narrow_wide,
     schema_table,
     typed_columns,
@@ -23,7 +24,7 @@ def test_inferred_types(spark):
         '[{"a":1},{"a":{"q":1}}]',
         '[{"e":{},"n":null,"d":12345678901234567890,"l":[],"t":true}]',
     ]
-    found = [schema.simpleString() for schema in infer_schema(spark, texts)]
+    found = [DataType.fromDDL(ddl).elementType.simpleString() for ddl in infer_ddl(spark, texts)]
     assert found == [
         "struct<a:double>",
         "struct<a:bigint,b:bigint>",
@@ -44,6 +45,21 @@ def test_group_schemas_drop_fields_without_a_value(spark):
     assert table == found
 
 
+def test_schemas_are_inferred_in_batches_by_number_and_by_length(spark, monkeypatch):
+    rows = [("00", f"t{i % 9}", "x" * 100, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "hh string, event_type string, s string, n bigint")
+    sizes = []
+    real = narrowing.infer_ddl
+    monkeypatch.setattr(narrowing, "infer_ddl", lambda spark, texts: sizes.append(len(texts)) or real(spark, texts))
+    found = dict(group_schemas(df, ["s", "n"], KEYS, batch=4))
+    assert sizes == [4, 4, 1] and len(found) == 9
+    assert len({id(schema) for schema in found.values()}) == 1
+    sizes.clear()
+    monkeypatch.setattr(narrowing, "SCHEMA_CHARACTERS", 2000)
+    assert dict(group_schemas(df, ["s", "n"], KEYS)) == found
+    assert max(sizes) == 2
+
+
 def test_column_counts(spark):
     df = spark.createDataFrame([("00", "a", 1, None), ("00", "a", None, None)], "hh string, event_type string, x int, y int")
     assert column_counts(df).first().asDict() == {"hh": "00", "event_type": "a", "n_x": 1, "n_y": 0}
