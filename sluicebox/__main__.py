@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from pathlib import Path
+
+from pyspark.sql.types import StructType
 
 from sluicebox.plans.preprocess import preprocess_day
 from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse_to_lake
@@ -27,6 +30,8 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     job.add_argument("--layout", choices=["narrow", "wide"], default="narrow")
     job.add_argument("--publish", choices=["move", "direct"], default="move")
     job.add_argument("--fix-locale", action="store_true")
+    job.add_argument("--schema-file", help="file with the schema of the raw events as DDL text; spares a scan")
+    job.add_argument("--order-by", default="", help="columns that order the sampled rows, such as event_id")
 
     job = jobs.add_parser("warehouse-to-lake")
     for name in ("day", "dataset", "table", "directory"):
@@ -48,6 +53,10 @@ def parse_hours(text: str) -> list[int]:
     return list(range(int(first), int(last) + 1)) if dash else [int(hour) for hour in text.split(",")]
 
 
+def read_schema(path: str) -> StructType:
+    return StructType.fromDDL(Path(path).read_text())
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = build_session(f"sluicebox {args.job}")
@@ -61,6 +70,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             layout=args.layout,
             publish=args.publish,
             fix_locale=args.fix_locale,
+            schema=read_schema(args.schema_file) if args.schema_file else None,
+            order_by=[name for name in args.order_by.split(",") if name],
         )
     elif args.job == "warehouse-to-lake":
         mode = "overwrite" if args.overwrite else "errorifexists"

@@ -55,9 +55,19 @@ def test_command_line(monkeypatch):
     assert calls[0] == (
         "preprocess_day",
         ("20180601", "s3a://raw/", "s3a://out/"),
-        {"hours": [0, 1], "layout": "narrow", "publish": "move", "fix_locale": False},
+        {"hours": [0, 1], "layout": "narrow", "publish": "move", "fix_locale": False, "schema": None, "order_by": []},
     )
     assert calls[1][2]["hours"] == list(range(24))
     assert calls[2] == ("warehouse_to_lake", ("20180601", "d.t", "s3a://out/"), {"mode": "errorifexists"})
     assert calls[3] == ("lake_to_warehouse", ("20180601", "s3a://in/", "d.t"), {})
     assert calls[4] == ("country_chain", ("20180601", "s3a://in/"), {})
+
+
+def test_preprocess_from_the_command_line(spark, write_lines, tmp_path):
+    write_lines("raw/2018/06/01/00/a.json", [{"event_type": "a", "event_id": 1, "application": {"version_name": "1.0.0"}}])
+    schema = tmp_path / "schema.ddl"
+    schema.write_text("event_type string, event_id bigint, application struct<version_name: string>, other int")
+    options = ["--hours", "0", "--schema-file", str(schema), "--order-by", "event_id"]
+    cli.main(["preprocess", "20180601", f"{tmp_path}/raw/", f"{tmp_path}/out/", *options])
+    found = spark.read.parquet(f"{tmp_path}/out/2018/06/01/a/00")
+    assert found.columns == ["app_version_name", "event_id", "event_type"] and found.count() == 1
