@@ -33,7 +33,7 @@ from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet,
 
 log = logging.getLogger(__name__)
 
-# Column of a staged split that orders its rows if the caller names no order.
+# Column of a staged split that orders its rows, after the columns that the caller names.
 ROW_ORDER = "_row_order"
 
 # Write jobs submitted at once; each reads a part of the split, so several are needed to keep a cluster busy.
@@ -75,15 +75,14 @@ def split_hour(
     write_split(split_events(raw, denied, dropped, fix_locale), split)
 
 
-def stage_split(flat: DataFrame, path: str, hour: str = "hh", with_order: bool = True) -> DataFrame:
+def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
     """Write flat events once, by hour and event type, and read them back.
 
     The raw text is parsed a single time; the later steps read only the columns and directories they need. The
     type is also kept as a column, since a directory name cannot tell an empty type from a missing one.
-    ``with_order`` adds a hash of each row, so that samples do not depend on the order in which rows were written.
+    A hash of each row is added, so that samples do not depend on the order in which rows were written.
     """
-    if with_order:
-        flat = flat.withColumn(ROW_ORDER, F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns]))
+    flat = flat.withColumn(ROW_ORDER, F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns]))
     split = flat.withColumn("et", F.col("event_type"))
     clustered(split, [hour, "et"]).write.partitionBy(hour, "et").parquet(path)
     fields = [f for f in flat.schema.fields if f.name not in (hour, "et")]
@@ -110,7 +109,7 @@ def find_groups(
         return []
     keys = [hour, "event_type"]
     newest = materialise(newest_version(split, keys, order=order), "newest", scratch)
-    sample = staged_sample(split, newest, keys, order_by=order_by or _row_order(split), scratch=scratch)
+    sample = staged_sample(split, newest, keys, order_by=[*order_by, *_row_order(split)], scratch=scratch)
     return [Group(*values, schema) for values, schema in group_schemas(sample, columns, keys)]
 
 
@@ -176,9 +175,10 @@ def write_groups(
 ) -> list[str]:
     """Write the groups of some splits to ``target/type/hour/``, each with the columns and types of its own sample.
 
-    ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the finished directories, so
-    that a failed write leaves the target as it was. ``direct`` writes each directory in place through Spark's
-    committer, for object stores, where a rename copies the data. Returns the directories written.
+    ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the
+    finished directories, so that a failed write leaves the target as it was. ``direct`` writes each directory in
+    place through Spark's committer, for object stores, where a rename copies the data. Returns the directories
+    written.
     """
     if publish == "direct":
         jobs = [job for split, groups in found for job in write_direct(split, groups, target, hour, max_rows)]
@@ -211,7 +211,7 @@ def narrow_hour(
     scratch = scratch_path(spark, "run")
     events = read_split(spark, split).drop("et").withColumn(hour_column, F.lit(hour))
     try:
-        staged = stage_split(events, under(scratch, "split"), hour_column, not order_by)
+        staged = stage_split(events, under(scratch, "split"), hour_column)
         groups = find_groups(staged, hour_column, order=order, order_by=order_by, scratch=scratch)
         return write_groups(spark, [(staged, groups)], target, hour_column, publish=publish, max_rows=max_rows)
     finally:
@@ -238,7 +238,7 @@ def publish_wide(
     if "dt" in df.columns:
         raise ValueError("the events have a column 'dt', which names the day's partition")
     keys = [hour, "event_type"]
-    order_by = order_by or _row_order(df)
+    order_by = [*order_by, *_row_order(df)]
     narrowed = narrow_wide(df, keys, order=order, order_by=order_by, staged=staged, scratch=scratch)
     dated = narrowed.drop(ROW_ORDER).withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
     partitions = ["dt", "et", hour]
@@ -283,7 +283,7 @@ def preprocess_day(
     def staged_split(batch: Sequence[str], batch_schema: StructType) -> DataFrame:
         raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
         flat = split_events(raw, denied, dropped, fix_locale)
-        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column, not order_by)
+        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column)
 
     try:
         if layout == "wide":

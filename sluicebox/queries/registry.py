@@ -51,11 +51,11 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_array_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = flatten_events(raw_events(spark, sf_dir, with_items=True))
-    offers = F.transform("items_offers_code", lambda codes: F.array_join(F.transform(codes, lambda c: c.cast("string")), "+"))
+    offers = F.transform("items_offers_code", lambda codes: F.array_join(codes.cast("array<string>"), "+"))
     return flat.select(
         "event_id",
         F.array_join("items_sku", ",").alias("items_sku"),
-        F.array_join(F.transform("items_qty", lambda q: q.cast("string")), ",").alias("items_qty"),
+        F.array_join(F.col("items_qty").cast("array<string>"), ",").alias("items_qty"),
         F.array_join(offers, ",").alias("items_offers_code"),
     )
 
@@ -143,8 +143,8 @@ def json_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json")
     _flat(spark, sf_dir).write.json(path)
-    schema = "event_id string, event_timestamp bigint, app_version_code bigint, metrics_amount string, hh string, absent string"
-    return read_json(spark, path, schema)
+    wanted = "event_id string, event_timestamp bigint, app_version_code bigint"
+    return read_json(spark, path, f"{wanted}, metrics_amount string, hh string, absent string")
 
 
 def compact_small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
