@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = entry_points.QUERIES, entry_points.ORACLE
 
 
 @pytest.fixture(scope="module")
