@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm.bpe import decode_ids, encode_texts
+from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.packing import pack_documents
+from sluicebox.llm.secret_scan import KINDS, scan_secrets
 from sluicebox.llm.sharding import shard_documents
+from sluicebox.llm.topk import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +27,31 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(*columns)
 
 
+def _listed(spans: Column) -> Column:
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(parts, ",")
+
+
+def op5_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(documents(spark, sf_dir), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[-1])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op7_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_texts(documents(spark, sf_dir)))
     return coded.select(
@@ -38,9 +62,31 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), ["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op3_jump_shards": op3_jump_shards,
+    "op5_token_secrets": op5_token_secrets,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_impact_ordered_topk": op7_impact_ordered_topk,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_tokeniser_fertility": op10_tokeniser_fertility,
+}
+ORACLE: dict[str, str] = {
+    "op7_impact_ordered_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
 }
-ORACLE: dict[str, str] = {}
