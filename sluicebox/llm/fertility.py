@@ -23,9 +23,9 @@ ENTROPY_TOKENS = 256
 #: Texts of fewer tokens vary more; the deviation counts by the root of the share.
 STEADY_TOKENS = 512
 #: A band reaches so many robust standard deviations from the language's median.
-BANDS = {"chars_per_token": (-6.0, None), "byte_share": (None, 10.0), "token_entropy": (-6.0, None)}
+BANDS = {"chars_per_token": (-4.5, None), "byte_share": (None, 10.0), "token_entropy": (-3.0, None)}
 #: The least standard deviation of each measure, so that a uniform language has no empty band.
-LEAST_SPREAD = {"chars_per_token": 0.05, "byte_share": 0.004, "token_entropy": 0.02}
+LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.004, "token_entropy": 0.02}
 
 MEASURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.llm.bpe import decode_ids, encode_texts
 from sluicebox.llm.fertility import quality_rules
+from sluicebox.llm.near_duplicates import near_duplicates
 from sluicebox.llm.packing import pack_documents
 from sluicebox.llm.secret_scan import KINDS, scan_secrets
 from sluicebox.llm.sharding import shard_documents
@@ -52,6 +53,11 @@ def op7_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op8_odd_sketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_texts(documents(spark, sf_dir)))
     return coded.select(
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_secrets": op5_token_secrets,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_impact_ordered_topk": op7_impact_ordered_topk,
+    "op8_odd_sketch_duplicates": op8_odd_sketch_duplicates,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_tokeniser_fertility": op10_tokeniser_fertility,
 }
