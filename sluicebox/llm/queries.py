@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm.bpe import decode_ids, encode_texts
+from sluicebox.llm.bpe import encode_texts
 from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.near_duplicates import near_duplicates
 from sluicebox.llm.packing import pack_documents
 from sluicebox.llm.secret_scan import KINDS, scan_secrets
 from sluicebox.llm.sharding import shard_documents
 from sluicebox.llm.topk import top_products
+from sluicebox.llm.toxicity import classify_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_dictionary_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(documents(spark, sf_dir), 8)
     columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"]
@@ -59,7 +68,7 @@ def op8_odd_sketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode_ids(encode_texts(documents(spark, sf_dir)))
+    coded = encode_texts(documents(spark, sf_dir), decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -73,6 +82,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_dictionary_toxicity": op2_dictionary_toxicity,
     "op3_jump_shards": op3_jump_shards,
     "op5_token_secrets": op5_token_secrets,
     "op6_best_fit_packing": op6_best_fit_packing,
