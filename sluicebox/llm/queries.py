@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.llm.bpe import encode_texts
 from sluicebox.llm.fertility import quality_rules
+from sluicebox.llm.main_text import extract_main_text
 from sluicebox.llm.near_duplicates import near_duplicates
 from sluicebox.llm.packing import pack_documents
 from sluicebox.llm.secret_scan import KINDS, scan_secrets
@@ -37,6 +38,12 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(*columns)
 
 
+def op4_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+    text = F.col("main_text")
+    return pages.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def _listed(spans: Column) -> Column:
     parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return F.array_join(parts, ",")
@@ -84,6 +91,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_dictionary_toxicity": op2_dictionary_toxicity,
     "op3_jump_shards": op3_jump_shards,
+    "op4_boosted_extraction": op4_boosted_extraction,
     "op5_token_secrets": op5_token_secrets,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_impact_ordered_topk": op7_impact_ordered_topk,
