@@ -1,24 +1,69 @@
-"""Stages that clean and pack the documents, each on all that its predecessor kept."""
+"""Stages that clean the documents and pack them, each on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluicebox.llm.cotraining import classify_quality
+from sluicebox.llm.fertility import quality_rules
+from sluicebox.llm.near_duplicates import near_duplicates
 from sluicebox.llm.packing import pack_documents
+from sluicebox.llm.secret_scan import redact_secrets
 from sluicebox.session import materialise
 
 
+def with_page(docs: DataFrame, *columns) -> DataFrame:
+    """All columns of a document as one, so that no name can clash, beside those that a stage looks at."""
+    return docs.select(F.struct("*").alias("PAGE"), *columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what passes the quality rules."""
+    judged = quality_rules(with_page(docs, "lang", "text"), ["PAGE"])
+    return judged.where("kept").select("PAGE.*")
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the co-trained classifiers take for good, taught by all labels of what is left."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = classify_quality(with_page(docs, "doc_id", "text", "lang", "source", "n_chars"), labels, ["PAGE"])
+    return judged.where("kept").select("PAGE.*")
+
+
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    rows = materialise(with_page(docs, "text", F.monotonically_increasing_id().alias("ROW")), "rows")
+    copies = near_duplicates(rows, key="ROW", words=5, percent=80).where("NOT kept").select("ROW")
+    return rows.join(copies, "ROW", "left_anti").select("PAGE.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; every document stays."""
+    clean = redact_secrets(with_page(docs, "text"), "PAGE")
+    new = {"text": F.col("redacted"), "n_chars": F.char_length("redacted").cast("long")}
+    return clean.select(*(new.get(c, F.col(f"PAGE.`{c}`")).alias(c) for c in docs.columns))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is kept into training sequences."""
+    """Pack what is left into training sequences."""
     return pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", packing)]
+STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("near_duplicates", deduplication),
+    ("secret_scan", secrets),
+    ("best_fit_packing", packing),
+]
+
+#: Tokenisers, sketches and classifiers are beyond SQL; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; every stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm.bpe import encode_texts
+from sluicebox.llm.cotraining import classify_quality
 from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.main_text import extract_main_text
 from sluicebox.llm.near_duplicates import near_duplicates
@@ -15,7 +16,7 @@ from sluicebox.llm.packing import pack_documents
 from sluicebox.llm.secret_scan import KINDS, scan_secrets
 from sluicebox.llm.sharding import shard_documents
 from sluicebox.llm.topk import top_products
-from sluicebox.llm.toxicity import classify_toxicity
+from sluicebox.llm.toxicity import classify_toxicity, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify_quality(documents(spark, sf_dir), labels(spark, sf_dir), ["doc_id"], ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "content_margin", "meta_margin", "score", "kept")
+
+
 def op2_dictionary_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -89,6 +95,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cotrained_quality": op1_cotrained_quality,
     "op2_dictionary_toxicity": op2_dictionary_toxicity,
     "op3_jump_shards": op3_jump_shards,
     "op4_boosted_extraction": op4_boosted_extraction,
