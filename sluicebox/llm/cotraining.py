@@ -96,7 +96,7 @@ def view_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             F.col("lang").cast("string").alias("lang"),
             F.col("source").cast("string").alias("source"),
             F.col("n_chars").cast("long").alias("n_chars"),
-        ).alias("PAGE"),
+        ).alias("INPUT"),
     )
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     ddl = f"{kept}, content array<double>, meta array<double>"
@@ -106,7 +106,7 @@ def view_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                page = part.column("PAGE")
+                page = part.column("INPUT")
                 texts = page.field("text").to_pylist()
                 extra = zip(texts, *(page.field(n).to_pylist() for n in names))
                 made = {
