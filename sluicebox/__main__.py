@@ -3,7 +3,7 @@
 python -m sluicebox preprocess 20180601 s3a://bucket/raw/ s3a://bucket/events/
 python -m sluicebox warehouse-to-lake 20180601 dataset table s3a://bucket/target/
 python -m sluicebox lake-to-warehouse 20180601 s3a://bucket/source/ dataset table
-python -m sluicebox country-chain 20180601 s3a://bucket/user_info_test/
+python -m sluicebox country-chain 20180601 s3a://bucket/user_info_test/ events.user_info test.result test.copy
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pathlib import Path
 
 from pyspark.sql.types import StructType
 
+from sluicebox.functions.predicates import DENIED_TYPES
+from sluicebox.operators.flatten import DROPPED_FIELDS
 from sluicebox.plans.preprocess import preprocess_day
 from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse_to_lake
 from sluicebox.session import build_session
+from sluicebox.sources.sinks import MAX_ROWS_PER_FILE
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -28,10 +31,16 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
         job.add_argument(name)
     job.add_argument("--hours", default="0-23", help="0-23, or a list such as 0,1")
     job.add_argument("--layout", choices=["narrow", "wide"], default="narrow")
-    job.add_argument("--publish", choices=["move", "direct"], default="move")
+    job.add_argument("--publish", choices=["move", "run"], default="move")
     job.add_argument("--fix-locale", action="store_true")
     job.add_argument("--schema-file", help="file with the schema of the raw events as DDL text; spares a scan")
-    job.add_argument("--order-by", default="", help="columns that order the sampled rows, such as event_id")
+    job.add_argument("--denied", help="event types that are left out, with commas; empty for none")
+    job.add_argument("--dropped", help="top-level fields that are left out, with commas; empty for none")
+    job.add_argument("--order", choices=["text", "numeric"], default="text", help="order of versions")
+    job.add_argument("--rows", type=int, help="rows of the newest version that show a type's schema; default all")
+    job.add_argument("--order-by", default="", help="columns that order these rows, such as event_id")
+    job.add_argument("--max-rows", type=int, default=MAX_ROWS_PER_FILE, help="rows per Parquet file")
+    job.add_argument("--hour-column", default="hh")
 
     job = jobs.add_parser("warehouse-to-lake")
     for name in ("day", "dataset", "table", "directory"):
@@ -43,8 +52,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
         job.add_argument(name)
 
     job = jobs.add_parser("country-chain")
-    for name in ("day", "directory"):
+    for name in ("day", "directory", "source", "result", "copy"):
         job.add_argument(name)
+    job.add_argument("--overwrite", action="store_true", help="replace the result table and the lake path")
     return parser.parse_args(argv)
 
 
@@ -53,6 +63,10 @@ def parse_hours(text: str) -> list[int]:
     return list(range(int(first), int(last) + 1)) if dash else [int(hour) for hour in text.split(",")]
 
 
+def names(text: str) -> list[str]:
+    return [name for name in text.split(",") if name]
+
+
 def read_schema(path: str) -> StructType:
     return StructType.fromDDL(Path(path).read_text())
 
@@ -71,7 +85,13 @@ def main(argv: Sequence[str] | None = None) -> None:
             publish=args.publish,
             fix_locale=args.fix_locale,
             schema=read_schema(args.schema_file) if args.schema_file else None,
-            order_by=[name for name in args.order_by.split(",") if name],
+            order=args.order,
+            rows=args.rows,
+            order_by=names(args.order_by),
+            max_rows=args.max_rows,
+            hour_column=args.hour_column,
+            denied=DENIED_TYPES if args.denied is None else names(args.denied),
+            dropped=DROPPED_FIELDS if args.dropped is None else names(args.dropped),
         )
     elif args.job == "warehouse-to-lake":
         mode = "overwrite" if args.overwrite else "errorifexists"
@@ -79,7 +99,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.job == "lake-to-warehouse":
         lake_to_warehouse(spark, args.day, args.directory, f"{args.dataset}.{args.table}")
     else:
-        country_chain(spark, args.day, args.directory)
+        modes = {"mode": "overwrite", "lake_mode": "overwrite"} if args.overwrite else {}
+        tables = {"source": args.source, "result": args.result, "copy": args.copy}
+        country_chain(spark, args.day, args.directory, **tables, **modes)
 
 
 if __name__ == "__main__":

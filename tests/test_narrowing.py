@@ -2,14 +2,14 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import StructType
 
-from sluicebox.operators import narrowing
 from sluicebox.operators.narrowing import (
     column_counts,
     group_schemas,
-    infer_ddl,
     narrow_wide,
+    parse_variant_type,
+    read_type,
     schema_table,
     typed_columns,
 )
@@ -17,26 +17,34 @@ from sluicebox.operators.narrowing import (
 KEYS = ["hh", "event_type"]
 
 
-def test_inferred_types(spark):
-    texts = [
-        '[{"a":1},{"a":1.5}]',
-        '[{"b":2,"a":1}]',
-        '[{"a":1},{"a":{"q":1}}]',
-        '[{"e":{},"n":null,"d":12345678901234567890,"l":[],"t":true}]',
-    ]
-    found = [DataType.fromDDL(ddl).elementType.simpleString() for ddl in infer_ddl(spark, texts)]
-    assert found == [
-        "struct<a:double>",
-        "struct<a:bigint,b:bigint>",
-        "struct<a:string>",
-        "struct<d:decimal(20,0),l:array<string>,n:string,t:boolean>",
+def schemas(df, columns):
+    return {group: schema.simpleString() for group, schema in group_schemas(df, columns, KEYS)}
+
+
+def test_types_of_variants_are_those_of_the_json_reader(spark):
+    records = [
+        ['{"a":[1]}', '{"a":[1.5]}'],
+        ['{"a":[]}', '{"a":[null]}'],
+        ['{"a":[1]}', '{"a":["x"]}'],
+        ['{"a":[true]}', '{"a":[1]}'],
+        ['{"a":[[{"c":1}]]}', '{"a":[[{"c d":true, "OBJECT<":1}]]}'],
+        ['{"a":3}', '{"a":10000000000000000000}'],
+        ['{"a":[10000000000000000000]}', '{"a":[1.5]}'],
+        ['{"a":[{"b":1}]}', '{"a":[2]}'],
+        ['{"a":{"e":{}}}'],
     ]
+    for lines in records:
+        df = spark.createDataFrame([(line,) for line in lines], "line string")
+        text = df.agg(F.schema_of_variant_agg(F.parse_json("line"))).first()[0]
+        want = spark.read.json(spark.sparkContext.parallelize(lines)).schema
+        found = read_type(parse_variant_type(text)) or StructType()
+        assert found.simpleString() == want.simpleString(), lines
 
 
 def test_group_schemas_drop_fields_without_a_value(spark):
     rows = [("00", "a", 1, None, None), ("00", "a", 2, 1.5, None), ("00", "b", 3, None, [])]
     df = spark.createDataFrame(rows, "hh string, event_type string, x bigint, y double, z array<bigint>")
-    found = {group: schema.simpleString() for group, schema in group_schemas(df, ["event_type", "x", "y", "z"], KEYS, batch=1)}
+    found = schemas(df, ["event_type", "x", "y", "z"])
     assert found == {
         ("00", "a"): "struct<event_type:string,x:bigint,y:double>",
         ("00", "b"): "struct<event_type:string,x:bigint,z:array<string>>",
@@ -45,19 +53,19 @@ def test_group_schemas_drop_fields_without_a_value(spark):
     assert table == found
 
 
-def test_schemas_are_inferred_in_batches_by_number_and_by_length(spark, monkeypatch):
+def test_a_column_that_the_first_rows_lack_is_kept(spark):
+    rows = [(i, "00", "a", "1.0.0", None if i < 10 else 1.5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "event_id int, hh string, event_type string, app_version_name string, price double")
+    narrowed = narrow_wide(df)
+    assert narrowed.where("price = 1.5").count() == 990
+    assert narrow_wide(df, rows=10, order_by=["event_id"]).where("price IS NOT NULL").count() == 0
+
+
+def test_equal_schemas_are_one_object(spark):
     rows = [("00", f"t{i % 9}", "x" * 100, i) for i in range(90)]
     df = spark.createDataFrame(rows, "hh string, event_type string, s string, n bigint")
-    sizes = []
-    real = narrowing.infer_ddl
-    monkeypatch.setattr(narrowing, "infer_ddl", lambda spark, texts: sizes.append(len(texts)) or real(spark, texts))
-    found = dict(group_schemas(df, ["s", "n"], KEYS, batch=4))
-    assert sizes == [4, 4, 1] and len(found) == 9
-    assert len({id(schema) for schema in found.values()}) == 1
-    sizes.clear()
-    monkeypatch.setattr(narrowing, "SCHEMA_CHARACTERS", 2000)
-    assert dict(group_schemas(df, ["s", "n"], KEYS)) == found
-    assert max(sizes) == 2
+    found = dict(group_schemas(df, ["s", "n"], KEYS))
+    assert len(found) == 9 and len({id(schema) for schema in found.values()}) == 1
 
 
 def test_column_counts(spark):
@@ -101,7 +109,7 @@ def random_events(seed):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_narrowing_is_a_projection(spark, seed):
-    """Each narrowed row is its event restricted to the columns of the group's sample, and none is lost."""
+    """Each narrowed row is its event restricted to the columns of the group's newest version, and none is lost."""
     rows = random_events(seed)
     names = ["event_id", "hh", "event_type", "app_version_name", "p", "q", "r", "s"]
     types = ["int", "string", "string", "string", "int", "int", "int", "int"]
@@ -112,12 +120,12 @@ def test_narrowing_is_a_projection(spark, seed):
         if row[3]:
             newest[row[1:3]] = max(row[3], newest.get(row[1:3], ""))
     for row in sorted(rows):
-        if row[3] and row[3] == newest[row[1:3]] and len(samples.setdefault(row[1:3], [])) < 10:
-            samples[row[1:3]].append(row)
+        if row[3] and row[3] == newest[row[1:3]]:
+            samples.setdefault(row[1:3], []).append(row)
     shown = {key: [any(r[i] is not None for r in found) for i in range(len(names))] for key, found in samples.items()}
     want = [tuple(v if shown[row[1:3]][i] else None for i, v in enumerate(row)) for row in rows if row[1:3] in shown]
 
-    narrowed = narrow_wide(df, order_by=["event_id"])
+    narrowed = narrow_wide(df)
     assert narrowed.columns == names
     assert sorted(map(tuple, narrowed.collect()), key=str) == sorted(want, key=str)
 
@@ -125,12 +133,3 @@ def test_narrowing_is_a_projection(spark, seed):
 def test_events_without_any_version_column(spark):
     df = spark.createDataFrame([("00", "a", 1)], "hh string, event_type string, x int")
     assert narrow_wide(df).count() == 0
-
-
-def test_events_are_not_shuffled(spark, tmp_path):
-    path = str(tmp_path / "events")
-    rows = [(i, "00", "a", "1.0.0") for i in range(100)]
-    spark.createDataFrame(rows, "event_id int, hh string, event_type string, app_version_name string").write.parquet(path)
-    plan = narrow_wide(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan

@@ -83,18 +83,51 @@ def test_each_hour_and_type_has_its_own_schema(spark, raw, tmp_path):
     assert {r.event_id for r in read_published(spark, target, DAY, "view", "00").collect()} == {1, 2}
 
 
-def test_direct_and_moved_output_agree(spark, raw, tmp_path):
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_runs_and_moved_output_agree(spark, raw, tmp_path):
     source = raw(h00=random_hour(5), h01=random_hour(6))
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
     moved = run(spark, source, one, [0, 1])
-    for _ in range(2):
-        direct = run(spark, source, two, [0, 1], publish="direct")
-    assert [path.removeprefix(one) for path in moved] == [path.removeprefix(two) for path in direct]
-    assert published(spark, one) == published(spark, two)
+    for _ in range(3):
+        run(spark, source, two, [0, 1], publish="run")
+    for path in moved:
+        kind, hour = path.removeprefix(f"{one}/2018/06/01/").split("/")
+        found = read_published(spark, two, DAY, kind, hour)
+        want = spark.read.parquet(path)
+        assert found.schema.simpleString() == want.schema.simpleString() and rows_of(found) == rows_of(want)
+    assert len(list(Path(two, "2018/06/01").glob("run-*"))) == 2
     with pytest.raises(ValueError, match="publish"):
         run(spark, source, two, [0], publish="later")
 
 
+def test_a_run_replaces_its_hours_at_once(spark, raw, tmp_path, monkeypatch):
+    target = str(tmp_path / "events")
+    run(spark, raw(h00=[event("a", 1), event("b", 2)], h01=[event("a", 3)]), target, [0, 1], publish="run")
+    events = lambda: sorted(r.event_id for r in read_published(spark, target, DAY).collect())
+    assert events() == [1, 2, 3]
+    source = raw(h00=[event("a", 4)])
+
+    def stop(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    for step in ("write_parquet", "switch_current"):
+        monkeypatch.setattr(preprocess, step, stop)
+        with pytest.raises(RuntimeError):
+            run(spark, source, target, [0], publish="run")
+        monkeypatch.undo()
+        assert events() == [1, 2, 3] and len(list(Path(target, "2018/06/01").glob("run-*"))) == 1
+    monkeypatch.setattr(preprocess, "remove_runs", stop)
+    with pytest.raises(RuntimeError):
+        run(spark, source, target, [0], publish="run")
+    monkeypatch.undo()
+    assert events() == [3, 4]
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, target, DAY, "b", "00")
+
+
 def test_types_narrow_as_they_do_through_files(spark, raw, tmp_path):
     big = 12345678901234567890
     source = raw(
@@ -143,7 +176,7 @@ def test_rerun_replaces(spark, raw, tmp_path):
     raw(h00=[event("a", 3)])
     run(spark, source, target, [0])
     after = published(spark, target)
-    assert after["a/00"][1] == [("1.0.0", 3, "a")] and after["b/00"] == first["b/00"]
+    assert after == {"a/00": ("app_version_name:string,event_id:bigint,event_type:string", [("1.0.0", 3, "a")])}
 
 
 def test_nothing_is_published_if_an_hour_fails(spark, raw, tmp_path, monkeypatch):
@@ -161,13 +194,13 @@ def test_nothing_is_published_if_an_hour_fails(spark, raw, tmp_path, monkeypatch
             raise RuntimeError("second batch")
         return real(*args, **kwargs)
 
-    for step, publish in (("find_groups", "direct"), ("find_groups", "move"), ("write_parquet", "move")):
+    for step, publish in (("find_groups", "run"), ("find_groups", "move"), ("write_parquet", "move")):
         calls.clear()
         real = getattr(preprocess, step)
         monkeypatch.setattr(preprocess, step, failing)
         with pytest.raises(RuntimeError):
             run(spark, source, target, [0, 1], publish=publish)
-        assert not list(Path(target).glob("2018/06/01/*"))
+        assert not list(Path(target).glob("2018/06/01/[!_.]*"))
         assert not list(Path(target).glob("**/_staging*"))
         monkeypatch.undo()
     run(spark, source, target, [0, 1])
@@ -232,7 +265,7 @@ def random_hour(seed):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_narrow_output_equals_the_way_through_files(spark, raw, tmp_path, seed):
-    """Write each type as JSON, infer its schema from a written sample, read its lines with that schema."""
+    """Write each type as JSON, infer its schema from the written rows of its newest version, read its lines with that schema."""
     source = raw(h00=random_hour(seed))
     target, split = str(tmp_path / "events"), str(tmp_path / "split")
     run(spark, source, target, [0])
@@ -247,7 +280,7 @@ def test_narrow_output_equals_the_way_through_files(spark, raw, tmp_path, seed):
         if newest is None:
             continue
         sample = str(tmp_path / f"sample{len(want)}")
-        lines.where(lines.app_version_name == newest).orderBy("event_id").limit(10).write.json(sample)
+        lines.where(lines.app_version_name == newest).write.json(sample)
         escaped = kind.replace(":", "%3A")
         narrowed = spark.read.json(f"{split}/et={escaped}", spark.read.json(sample).schema)
         want[f"{escaped}/00"] = (
@@ -283,4 +316,38 @@ def test_runs_without_an_order_agree(spark, raw, tmp_path):
         preprocess_day(spark, DAY, raw(h00=records), target, hours=[0])
         results.append(published(spark, target))
     assert results[0] == results[1]
-    assert "_row_order" not in str(results[0])
+
+
+def test_fields_with_names_of_our_own(spark, raw, tmp_path):
+    names = ["_row_order", "sample_rank", "_file", "_row", "_lane", "_rank", "_salt", "_shown", "n"]
+    target = str(tmp_path / "events")
+    run(spark, raw(h00=[event("a", 1, **{name: 7 for name in names})]), target, [0])
+    schema, rows = published(spark, target)["a/00"]
+    assert all(f"{name}:bigint" in schema.split(",") for name in names) and rows[0].count(7) == len(names)
+    with pytest.raises(ValueError, match="'et'"):
+        run(spark, raw(h00=[event("a", 1, et="x")]), target, [0])
+    with pytest.raises(ValueError, match="'et'"):
+        run(spark, raw(h00=[event("a", 1, et="x")]), target, [0], layout="wide")
+
+
+def test_what_is_left_out_is_reported(spark, raw, tmp_path, caplog):
+    records = [event("a", 1), event("old", 2, "dev"), event("old", 3, None), event("Event1", 4), event("x y", 5)]
+    source = raw(h00=[*records, {"event_id": 6}, "{broken"], h01=[event("old", 7, "2.0.0")])
+    done = run(spark, source, str(tmp_path / "events"), [0, 1])
+    assert done.skipped == {
+        ("no version", "old"): 2,
+        ("denied", None): 1,
+        ("unclean name", None): 1,
+        ("no type", None): 2,
+    }
+    assert "left out 2 events of type 'old': no version" in caplog.text
+    assert sorted(done)[0].endswith("a/00") and len(done) == 2
+
+
+def test_rows_limits_what_shows_the_schema(spark, raw, tmp_path):
+    records = [event("a", i, **({"price": 1.5} if i >= 10 else {})) for i in range(100)]
+    all_rows, ten = str(tmp_path / "all"), str(tmp_path / "ten")
+    run(spark, raw(h00=records), all_rows, [0])
+    run(spark, raw(h00=records), ten, [0], rows=10)
+    assert "price:double" in published(spark, all_rows)["a/00"][0]
+    assert "price" not in published(spark, ten)["a/00"][0]

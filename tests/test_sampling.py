@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.operators.lookups import join_lookup
-from sluicebox.operators.sampling import bernoulli_sample, first_rows, newest_version_sample, staged_sample
+from sluicebox.operators.sampling import bernoulli_sample, first_rows, newest_version_sample
 from sluicebox.operators.versions import newest_version
-from sluicebox.session import materialise
+from sluicebox.session import materialise, sql_settings
 
 KEYS = ["hh", "event_type"]
 
@@ -73,21 +73,6 @@ def test_sample_without_an_order_is_repeatable(spark):
     assert {k: len(v) for k, v in first.items()} == {k: len(v) for k, v in expected(rows, 10).items()}
 
 
-def test_staged_sample_equals_the_general_one(spark, tmp_path):
-    rows = events()
-    path = str(tmp_path / "staged")
-    frame(spark, rows).withColumn("et", F.col("event_type")).write.partitionBy("et").parquet(path)
-    split = spark.read.parquet(path)
-    newest = materialise(newest_version(split), "newest")
-    assert collected(staged_sample(split, newest, order_by=["event_id"])) == expected(rows, 10)
-    unordered = staged_sample(split, newest)
-    assert unordered.columns == [*split.columns, "sample_rank"]
-    by_group = collected(unordered)
-    wanted = expected(rows, len(rows))
-    assert {k: len(v) for k, v in by_group.items()} == {k: min(10, len(v)) for k, v in wanted.items()}
-    assert all(set(found) <= set(wanted[key]) for key, found in by_group.items())
-
-
 def test_bernoulli(spark):
     df = spark.range(1000)
     assert bernoulli_sample(df, 1.0).count() == 1000
@@ -96,14 +81,16 @@ def test_bernoulli(spark):
     assert part.distinct().count() == part.count()
 
 
-def test_large_lookups_are_shuffled_with_salts(spark):
+def test_lookups_are_broadcast_by_their_measured_size(spark):
     facts = spark.range(3000).select((F.col("id") % 3 * F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("k"), "id")
     lookup = materialise(spark.createDataFrame([(0, "zero"), (1, "one")], "k bigint, name string"), "lookup")
-    small = join_lookup(facts, lookup, ["k"])
-    large = join_lookup(facts, lookup, ["k"], broadcast_bytes=1, salts=4)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    plan = large._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-    assert large.columns == small.columns
-    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
-    assert large.count() == 2800
+    joined = join_lookup(facts, lookup, ["k"])
+    assert joined.count() == 2800
+    with sql_settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert join_lookup(facts, lookup, ["k"]).count() == 2800
+
+
+def test_fields_with_our_own_names_stay(spark):
+    fields = "event_id int, hh string, event_type string, app_version_name string, _lane int, _rank int"
+    df = spark.createDataFrame([(1, "00", "a", "1.0.0", 5, 6)], fields)
+    assert first_rows(df, KEYS, 3).columns == [*df.columns, "sample_rank"]

@@ -103,9 +103,10 @@ def test_small_files_are_merged_without_a_shuffle(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     compact_text(spark, str(source), target)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
-    files = list((tmp_path / "merged").glob("*.txt"))
-    assert len(files) == 1
-    assert sorted(files[0].read_text().splitlines()) == sorted(lines)
+    files = sorted((tmp_path / "merged").glob("*/*.txt"))
+    assert [f.parent.name for f in files] == ["directory=h0", "directory=h1", "directory=h2"]
+    assert sorted(line for f in files for line in f.read_text().splitlines()) == sorted(lines)
+    assert all(int(line.split("-")[0]) % 3 == i for i, f in enumerate(files) for line in f.read_text().splitlines())
 
 
 def test_merged_files_have_about_the_target_size(spark, tmp_path):
@@ -114,5 +115,5 @@ def test_merged_files_have_about_the_target_size(spark, tmp_path):
     for i in range(12):
         (source / f"f{i}.txt").write_text(("x" * 99 + "\n") * 3000)
     compact_text(spark, str(source), str(target), target_mib=1)
-    sizes = [f.stat().st_size for f in target.glob("*.txt")]
+    sizes = [f.stat().st_size for f in target.glob("*/*.txt")]
     assert sum(sizes) == 12 * 300000 and len(sizes) == 4 and max(sizes) <= 1.1 * 1024 * 1024

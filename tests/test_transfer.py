@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from sluicebox.plans.transfer import country_chain, distinct_countries, lake_to_warehouse, warehouse_to_lake
-from sluicebox.sources.tables import read_day, read_extract, read_table, register_view, write_table
+from sluicebox.sources.tables import read_day, read_extract, read_table, recover_table, register_view, write_table
 
 DAY = "20180601"
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,39 @@ def test_load_replaces_rows_and_schema(spark, database, tmp_path):
     assert read_table(spark, f"{database}.t").count() == 4
 
 
+@pytest.mark.parametrize("external", [False, True])
+def test_a_failed_load_leaves_the_table(spark, database, tmp_path, external):
+    name, path = f"{database}.safe", f"{tmp_path}/safe" if external else None
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    write_table(good, name, "overwrite", path)
+    with pytest.raises(Exception, match="no good"):
+        write_table(spark.range(5).selectExpr("if(id = 3, raise_error('no good'), id) AS z"), name, "overwrite", path)
+    assert read_table(spark, name).columns == ["x", "y"] and rows(read_table(spark, name)) == [(1, "a"), (2, "b")]
+    write_table(spark.range(2), name, "overwrite", path)
+    assert rows(read_table(spark, name)) == [(0,), (1,)]
+    assert [t.name for t in spark.catalog.listTables(database) if t.name.startswith("safe")] == ["safe"]
+
+
+def test_a_replacement_that_stopped_between_its_renames_is_taken_up(spark, database):
+    name = f"{database}.part"
+    write_table(spark.range(3), name)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_replaced")
+    recover_table(spark, name)
+    assert read_table(spark, name).count() == 3
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_replaced")
+    write_table(spark.range(1), name, "overwrite")
+    assert read_table(spark, name).count() == 1
+
+
+def test_country_chain_appends_nothing_if_the_lake_path_is_taken(spark, database, tmp_path):
+    write_table(spark.createDataFrame([(1, "US")], "user_id int, country string"), f"{database}.u_{DAY}")
+    names = {"source": f"{database}.u", "result": f"{database}.r", "copy": f"{database}.c"}
+    country_chain(spark, DAY, str(tmp_path / "taken"), **names)
+    with pytest.raises(FileExistsError):
+        country_chain(spark, DAY, str(tmp_path / "taken"), **names)
+    assert read_table(spark, f"{database}.r_{DAY}").count() == 1
+
+
 def test_transfer_plan_has_no_shuffle(spark, database):
     write_table(spark.range(5), f"{database}.t")
     assert "Exchange" not in read_table(spark, f"{database}.t")._jdf.queryExecution().executedPlan().toString()

@@ -19,11 +19,9 @@ def newest(spark, versions, **options):
     return rows[0].app_version_name if rows else None
 
 
-def by_hand(versions, limit=100):
-    """The greatest matching string among the greatest ``limit`` distinct ones, a missing version being least."""
-    distinct = sorted({v for v in versions if v is not None}, reverse=True)
-    matching = [v for v in distinct[:limit] if re.search(r"\d+.\d+.\d+", v)]
-    return max(matching, default=None)
+def by_hand(versions):
+    """The greatest of all matching strings."""
+    return max((v for v in versions if v is not None and re.search(r"\d+.\d+.\d+", v)), default=None)
 
 
 def test_text_order_puts_nine_before_ten(spark):
@@ -42,11 +40,15 @@ def test_group_without_a_version_has_no_row(spark):
     assert newest(spark, [None]) is None
 
 
-def test_match_below_the_hundredth_version_does_not_count(spark):
-    dev = [f"z{i:03d}" for i in range(100)]
-    assert newest(spark, [*dev, "1.2.3"]) is None
-    assert newest(spark, [*dev[:99], "1.2.3"]) == "1.2.3"
-    assert newest(spark, [*dev[:99], None, "1.2.3"]) == "1.2.3"
+@pytest.mark.parametrize("order", ["text", "numeric"])
+def test_greater_strings_that_do_not_match_hide_no_version(spark, order):
+    dev = [f"dev{i:03d}" for i in range(120)]
+    assert newest(spark, [*dev, None, *["1.2.3"] * 50], order=order) == "1.2.3"
+
+
+def test_newest_is_one_partial_aggregate(spark):
+    plan = newest_version(frame(spark, [("00", "a", "1.0.0")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
 
 
 def test_unknown_order(spark):
