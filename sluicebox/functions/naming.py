@@ -29,6 +29,7 @@ RENAMES = [
     ("attributes.user_id", "user_id"),
 ]
 
+# What a kept path has not, and what a name leaves out.
 _REJECTED = re.compile(r"[A-Z\s]")
 _NOT_IN_A_NAME = re.compile(r"[^A-Za-z0-9,._]")
 

@@ -24,6 +24,14 @@ def is_retained_type(event_type: Column, denied: Iterable[str] = DENIED_TYPES) -
     return wanted & ~event_type.isin(denied) if denied else wanted
 
 
+def left_out_reason(event_type: Column, denied: Iterable[str] = DENIED_TYPES) -> Column:
+    """Why an event of this type is left out, null if it is retained. A malformed line has no type."""
+    denied = list(denied)
+    reason = F.when(event_type.isNull(), "no type")
+    reason = reason.when(event_type.isin(denied), "denied") if denied else reason
+    return reason.when(event_type.rlike(_UNCLEAN_TYPE), "unclean name")
+
+
 def is_version(version: Column) -> Column:
     return version.cast("string").rlike(VERSION_PATTERN)
 

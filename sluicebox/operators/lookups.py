@@ -5,34 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A lookup is broadcast up to this size, measured as JSON text, which is longer than the rows in memory.
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
-
-def text_bytes(df: DataFrame) -> int:
-    """Length of a table as JSON text."""
-    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-
-
-def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
+def join_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join with a written lookup that has one row per key.
 
-    The lookup is broadcast only after its size was measured. Beyond the bound both sides are shuffled and sorted,
-    which can spill. Each lookup row is then repeated once per salt, so that one hot key is spread over ``salts``
-    tasks, and adaptive execution may divide those further.
+    Adaptive execution broadcasts the lookup if its measured size allows that. Else both sides are shuffled and sorted,
+    and it divides the hot keys.
     """
-    on = list(on)
-    if text_bytes(lookup) <= broadcast_bytes:
-        return facts.join(F.broadcast(lookup), on)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(repeated.hint("merge"), [*on, "_salt"]).drop("_salt")
+    return facts.join(lookup, list(on))

@@ -1,22 +1,32 @@
-"""Narrow each group of events to the columns that a sample of its newest version shows."""
+"""Narrow each group of events to the columns that the rows of its newest version show."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    LongType,
+    NullType,
+    StringType,
+    StructField,
+    StructType,
+    VariantType,
+)
 
 from sluicebox.operators.lookups import join_lookup
-from sluicebox.operators.sampling import newest_version_sample, staged_sample
+from sluicebox.operators.sampling import newest_version_sample
 from sluicebox.operators.versions import KEYS, VERSION, newest_version
 from sluicebox.session import materialise
 
-# Group schemas are inferred this many at a time, or fewer if the text is long, so the driver holds few sample rows.
-SCHEMA_BATCH = 64
-SCHEMA_CHARACTERS = 16 * 1024 * 1024
-
 
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -28,9 +38,23 @@ def column_counts(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.count(_col(c)).alias(f"n_{c}") for c in others])
 
 
-def column_flags(sample: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """One flag per column and group: does the sample hold a value? In the order of ``columns``."""
-    return sample.groupBy(*keys).agg(F.array(*[F.count(_col(c)) > 0 for c in columns]).alias("_shown"))
+def newest_rows(
+    df: DataFrame,
+    newest: DataFrame,
+    keys: Sequence[str] = KEYS,
+    version: str = VERSION,
+    rows: int | None = None,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """The rows of each group's newest version: all of them, or the first ``rows``, ordered by ``order_by``."""
+    if rows is not None:
+        return newest_version_sample(df, newest, keys, version, rows, order_by).drop("sample_rank")
+    return join_lookup(df, newest, [*keys, version]).select(*[f"`{c}`" for c in df.columns])
+
+
+def column_flags(shown: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """One flag per column and group: do the rows hold a value? In the order of ``columns``."""
+    return shown.groupBy(*keys).agg(F.array(*[F.count(_col(c)) > 0 for c in columns]).alias("SHOWN"))
 
 
 def narrow_wide(
@@ -39,74 +63,99 @@ def narrow_wide(
     version: str = VERSION,
     order_by: Sequence[str] = (),
     order: str = "text",
-    staged: bool = False,
+    rows: int | None = None,
     scratch: str | None = None,
 ) -> DataFrame:
-    """All groups in one table: a column outside a group's sample schema is null there, types stay as read.
+    """All groups in one table: a column that a group's newest version never fills is null there, types stay as read.
 
-    Groups without a version are left out. The newest versions and the flags are small written tables; the events
-    themselves are only scanned, never shuffled. ``staged`` says that ``df`` is a plain read of Parquet files.
+    Groups without a version are left out. The newest versions and the flags are small written tables. ``rows`` limits
+    the rows of the newest version that are looked at, ``order_by`` then orders them.
     """
     if version not in df.columns:
         return df.limit(0)
     others = [c for c in df.columns if c not in keys]
     newest = materialise(newest_version(df, keys, version, order), "newest", scratch)
-    if staged:
-        sample = staged_sample(df, newest, keys, version, order_by=order_by, scratch=scratch)
-    else:
-        sample = newest_version_sample(df, newest, keys, version, order_by=order_by)
-    flags = materialise(column_flags(sample, others, keys), "flags", scratch)
-    shown = {c: F.when(F.get("_shown", F.lit(i)), _col(c)).alias(c) for i, c in enumerate(others)}
-    return join_lookup(df, flags, keys).select([shown.get(c, _col(c)) for c in df.columns])
+    shown = newest_rows(df, newest, keys, version, rows, order_by)
+    flags = materialise(column_flags(shown, others, keys), "flags", scratch)
+    masked = {c: F.when(F.get("SHOWN", F.lit(i)), _col(c)).alias(c) for i, c in enumerate(others)}
+    return join_lookup(df, flags, keys).select([masked.get(c, _col(c)) for c in df.columns])
 
 
 def _json_text(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[_col(c) for c in columns]))
 
 
-def infer_ddl(spark: SparkSession, texts: Sequence[str]) -> list[str]:
-    """Type of each text, a JSON array of objects, by Spark's own JSON inference."""
-    inferred = [F.schema_of_json(F.lit(text)).alias(f"s{i}") for i, text in enumerate(texts)]
-    return list(spark.range(1).select(*inferred).first())
+def _plain(data_type: DataType) -> bool:
+    """A type whose JSON text always reads as itself."""
+    return isinstance(data_type, (BooleanType, DoubleType, LongType, StringType))
+
+
+def read_type(data_type: DataType) -> DataType | None:
+    """The type that the JSON reader gives to values whose variants have this type; None for an empty struct."""
+    if isinstance(data_type, StructType):
+        fields = [(f.name, read_type(f.dataType)) for f in data_type.fields]
+        kept = [StructField(name, inner) for name, inner in fields if inner is not None]
+        return StructType(sorted(kept, key=lambda f: f.name)) if kept else None
+    if isinstance(data_type, ArrayType):
+        inner = read_type(data_type.elementType)
+        return None if inner is None else ArrayType(inner)
+    if isinstance(data_type, DecimalType):
+        return data_type if data_type.scale == 0 else DoubleType()
+    if isinstance(data_type, FloatType):
+        return DoubleType()
+    return StringType() if isinstance(data_type, (NullType, VariantType)) else data_type
 
 
-def _batches(rows: Iterable[Row], count: int, characters: int) -> Iterator[list[Row]]:
-    batch: list[Row] = []
-    size = 0
-    for row in rows:
-        batch.append(row)
-        size += len(row["text"])
-        if len(batch) == count or size >= characters:
-            yield batch
-            batch, size = [], 0
-    if batch:
-        yield batch
+def parse_variant_type(text: str) -> DataType:
+    """The type that Spark spells as the schema of a variant; names may be quoted."""
+    parts = re.split(r"(`(?:[^`]|``)*`)", text)
+    return DataType.fromDDL("".join(p if p.startswith("`") else p.replace("OBJECT<", "STRUCT<") for p in parts))
 
 
 def group_schemas(
-    sample: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, batch: int = SCHEMA_BATCH
-) -> Iterator[tuple[tuple, StructType]]:
-    """Inferred schema of each group's sample (a few rows per group), as (key values, schema).
+    shown: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS
+) -> list[tuple[tuple, StructType]]:
+    """The schema that each group's rows show as JSON, as (key values, schema), in the order of the names.
 
-    The sample rows pass as JSON text, as they would through files: fields without a value do not exist, and a
-    value shows the type its text has. Groups come to the driver a batch at a time, and equal schemas are one object.
+    Fields without a value do not exist, and a value shows the type that its text has. One grouped aggregate on the
+    executors works this out over all rows: whether a plain column holds a value, and the merged type of the variants of
+    any other one. A row of flags and type names for each group comes to the driver, no event does.
     """
-    rows = F.array_join(F.collect_list(_json_text(sample, columns)), ",")
-    texts = sample.groupBy(*keys).agg(F.concat(F.lit("["), rows, F.lit("]")).alias("text"))
-    known: dict[str, StructType] = {}
-    for groups in _batches(texts.toLocalIterator(), batch, SCHEMA_CHARACTERS):
-        found = infer_ddl(sample.sparkSession, [row["text"] for row in groups])
-        for row, ddl in zip(groups, found, strict=True):
-            if ddl not in known:
-                known[ddl] = DataType.fromDDL(ddl).elementType
-            yield tuple(row[k] for k in keys), known[ddl]
-
-
-def schema_table(sample: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    fields = [shown.schema[c] for c in sorted(columns)]
+    count = [F.count(_col(f.name)) > 0 for f in fields]
+    odd = [f for f in fields if not _plain(f.dataType)]
+    types = [F.schema_of_variant_agg(F.parse_json(_json_text(shown, [f.name]))) for f in odd]
+    found = shown.groupBy(*keys).agg(
+        F.array(*count).alias("SHOWN"), F.array(*types, F.lit(None).cast("string")).alias("TYPES")
+    )
+    out, known = [], {}
+    for row in found.collect():
+        names = tuple(zip(row["SHOWN"], [f.name for f in fields])), tuple(row["TYPES"])
+        if names not in known:
+            known[names] = _schema(fields, row["SHOWN"], dict(zip([f.name for f in odd], row["TYPES"])))
+        out.append((tuple(row[k] for k in keys), known[names]))
+    return out
+
+
+def _schema(fields: Sequence[StructField], shown: Sequence[bool], types: dict[str, str]) -> StructType:
+    kept = []
+    for field, present in zip(fields, shown, strict=True):
+        if not present:
+            continue
+        if field.name not in types:
+            kept.append(StructField(field.name, field.dataType))
+            continue
+        inner = read_type(parse_variant_type(types[field.name]))
+        if inner is not None:
+            kept += [StructField(field.name, f.dataType) for f in inner.fields]
+    return StructType(kept)
+
+
+def schema_table(shown: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """The group schemas as a table of (keys, DDL text)."""
-    rows = [(*group, schema.simpleString()) for group, schema in group_schemas(sample, columns, keys)]
-    key_types = ", ".join(f"`{k}` {sample.schema[k].dataType.simpleString()}" for k in keys)
-    return sample.sparkSession.createDataFrame(rows, f"{key_types}, type_schema string")
+    rows = [(*group, schema.simpleString()) for group, schema in group_schemas(shown, columns, keys)]
+    key_types = ", ".join(f"`{k}` {shown.schema[k].dataType.simpleString()}" for k in keys)
+    return shown.sparkSession.createDataFrame(rows, f"{key_types}, type_schema string")
 
 
 def typed_columns(df: DataFrame, schema: StructType) -> list[Column]:

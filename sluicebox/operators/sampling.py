@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 
 from sluicebox.operators.lookups import join_lookup
 from sluicebox.operators.versions import KEYS, VERSION
-from sluicebox.session import materialise
 
 SAMPLE_ROWS = 10
 LANES = 512
 
-# Up to this many files, the rows of a sample are fetched from their own files only.
-FILES_NAMED = 10_000
-
 
 def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Each row with the given probability, without replacement; 1.0 keeps every row."""
@@ -39,11 +35,11 @@ def first_rows(
     lane per scan task, up to ``lanes``), so that the survivors of very many scan tasks do not all go to one task.
     """
     order = _row_order(df, order_by)
-    by_lane = Window.partitionBy(*keys, "_lane").orderBy(*order)
+    by_lane = Window.partitionBy(*keys, "LANE").orderBy(*order)
     by_group = Window.partitionBy(*keys).orderBy(*order)
-    laned = df.withColumn("_lane", F.spark_partition_id() % lanes)
-    survivors = laned.withColumn("_rank", F.row_number().over(by_lane)).where(F.col("_rank") <= rows)
-    ranked = survivors.drop("_lane", "_rank").withColumn("sample_rank", F.row_number().over(by_group))
+    laned = df.withColumn("LANE", F.spark_partition_id() % lanes)
+    survivors = laned.withColumn("RANK", F.row_number().over(by_lane)).where(F.col("RANK") <= rows)
+    ranked = survivors.drop("LANE", "RANK").withColumn("sample_rank", F.row_number().over(by_group))
     return ranked.where(F.col("sample_rank") <= rows)
 
 
@@ -59,27 +55,3 @@ def newest_version_sample(
     """Up to ``rows`` rows per group among those of its newest version, ranked in ``sample_rank``."""
     matching = join_lookup(df, newest, [*keys, version]).select(*[f"`{c}`" for c in df.columns])
     return first_rows(bernoulli_sample(matching, fraction), keys, rows, order_by)
-
-
-def staged_sample(
-    split: DataFrame,
-    newest: DataFrame,
-    keys: Sequence[str] = KEYS,
-    version: str = VERSION,
-    rows: int = SAMPLE_ROWS,
-    order_by: Sequence[str] = (),
-    scratch: str | None = None,
-) -> DataFrame:
-    """The same sample from events in Parquet files, without scanning their other columns.
-
-    A first scan reads the keys, the version and the order, and notes file and row number of the chosen rows. Whole
-    rows are then read from those files only. Without ``order_by`` the rows come in file order, hence from few files.
-    """
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    needed = list(dict.fromkeys([*keys, version, *order_by]))
-    thin = split.select(*[f"`{c}`" for c in needed], *place)
-    ranked = newest_version_sample(thin, newest, keys, version, rows, order_by or ["_file", "_row"])
-    chosen = materialise(ranked.select("_file", "_row", "sample_rank"), "chosen", scratch)
-    files = [row["_file"] for row in chosen.select("_file").distinct().limit(FILES_NAMED + 1).collect()]
-    found = split.where(F.col("_metadata.file_path").isin(files)) if len(files) <= FILES_NAMED else split
-    return join_lookup(found.select("*", *place), chosen, ["_file", "_row"]).drop("_file", "_row")

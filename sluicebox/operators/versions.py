@@ -11,7 +11,7 @@ from sluicebox.functions.predicates import is_version, version_numbers
 
 KEYS = ("hh", "event_type")
 VERSION = "app_version_name"
-VERSIONS_CONSIDERED = 100
+TOP_VERSIONS = 100
 
 
 def version_counts(df: DataFrame, keys: Sequence[str] = KEYS, version: str = VERSION) -> DataFrame:
@@ -20,7 +20,7 @@ def version_counts(df: DataFrame, keys: Sequence[str] = KEYS, version: str = VER
 
 
 def top_versions(
-    df: DataFrame, keys: Sequence[str] = KEYS, version: str = VERSION, limit: int = VERSIONS_CONSIDERED
+    df: DataFrame, keys: Sequence[str] = KEYS, version: str = VERSION, limit: int = TOP_VERSIONS
 ) -> DataFrame:
     """The greatest versions of each group as text, with their counts and ranks.
 
@@ -37,18 +37,15 @@ def newest_version(
     keys: Sequence[str] = KEYS,
     version: str = VERSION,
     order: str = "text",
-    limit: int = VERSIONS_CONSIDERED,
 ) -> DataFrame:
-    """The newest version of each group; a group in which no version matches the pattern has no row.
+    """The newest of all matching versions of each group; a group in which none matches the pattern has no row.
 
-    ``text`` takes the greatest matching string among the group's 100 greatest, so 9.0.0 is newer than 10.0.0.
-    ``numeric`` compares the numbers, over all matching versions.
+    ``text`` takes the greatest string, so 9.0.0 is newer than 10.0.0; ``numeric`` compares the numbers.
     """
+    matching = df.select(*keys, version).where(is_version(F.col(version)))
     if order == "text":
-        candidates = top_versions(df, keys, version, limit).where(is_version(F.col(version)))
-        return candidates.groupBy(*keys).agg(F.max(version).alias(version))
+        return matching.groupBy(*keys).agg(F.max(version).alias(version))
     if order == "numeric":
-        candidates = df.select(*keys, version).where(is_version(F.col(version))).distinct()
         newest = F.max(F.struct(version_numbers(F.col(version)), F.col(version).alias("text")))
-        return candidates.groupBy(*keys).agg(newest.getField("text").alias(version))
+        return matching.distinct().groupBy(*keys).agg(newest.getField("text").alias(version))
     raise ValueError(f"order must be 'text' or 'numeric', not {order!r}")

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sluicebox.functions.dates import day_path, hour_name, under
 from sluicebox.functions.predicates import DENIED_TYPES
-from sluicebox.operators.event_types import retain_event_types
+from sluicebox.operators.event_types import count_left_out, retain_event_types
 from sluicebox.operators.flatten import DROPPED_FIELDS, flatten_events
-from sluicebox.operators.narrowing import group_schemas, narrow_wide, typed_columns
-from sluicebox.operators.sampling import staged_sample
+from sluicebox.operators.narrowing import group_schemas, narrow_wide, newest_rows, typed_columns
 from sluicebox.operators.versions import VERSION, newest_version
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.json_events import (
@@ -28,20 +30,36 @@ from sluicebox.sources.json_events import (
     read_hours,
     read_split,
 )
-from sluicebox.sources.layout import escape_value, publish_partitions, remove_tree
+from sluicebox.sources.layout import (
+    glob_exists,
+    publish_partitions,
+    read_current,
+    remove_runs,
+    remove_stale,
+    remove_tree,
+    switch_current,
+)
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 
 log = logging.getLogger(__name__)
 
-# Column of a staged split that orders its rows, after the columns that the caller names.
-ROW_ORDER = "_row_order"
-
 # Write jobs submitted at once; each reads a part of the split, so several are needed to keep a cluster busy.
 CONCURRENT_WRITES = 32
 
 
+class Published(list):
+    """The directories written, and in ``skipped`` how many events were left out, by reason and type.
+
+    The reasons are those of :func:`left_out_reason`, and ``no version`` for the types of an hour without a version.
+    """
+
+    def __init__(self, paths: Iterable[str] = (), skipped: dict[tuple[str, str | None], int] | None = None):
+        super().__init__(paths)
+        self.skipped = skipped or {}
+
+
 class Group(NamedTuple):
-    """Events of one type within one hour, and the schema that the sample of their newest version shows."""
+    """Events of one type within one hour, and the schema that the rows of their newest version show."""
 
     hour: str
     event_type: str
@@ -80,9 +98,8 @@ def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
 
     The raw text is parsed a single time; the later steps read only the columns and directories they need. The
     type is also kept as a column, since a directory name cannot tell an empty type from a missing one.
-    A hash of each row is added, so that samples do not depend on the order in which rows were written.
     """
-    flat = flat.withColumn(ROW_ORDER, F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns]))
+    check_reserved(flat)
     split = flat.withColumn("et", F.col("event_type"))
     clustered(split, [hour, "et"]).write.partitionBy(hour, "et").parquet(path)
     fields = [f for f in flat.schema.fields if f.name not in (hour, "et")]
@@ -90,8 +107,11 @@ def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
     return flat.sparkSession.read.schema(StructType([*fields, *partitions])).parquet(path)
 
 
-def _row_order(split: DataFrame) -> list[str]:
-    return [ROW_ORDER] if ROW_ORDER in split.columns else []
+def check_reserved(flat: DataFrame) -> None:
+    """Raise if an event field has the name of the type's directory. Other names of ours hold a capital letter, which
+    no event field does."""
+    if "et" in flat.columns:
+        raise ValueError("the events have a field named 'et', which is taken by the directory of the type")
 
 
 def find_groups(
@@ -100,17 +120,28 @@ def find_groups(
     *,
     order: str = "text",
     order_by: Sequence[str] = (),
+    rows: int | None = None,
     scratch: str | None = None,
-) -> list[Group]:
-    """The (hour, type) groups of a staged split that have a version, with the schemas of their samples."""
-    columns = [c for c in split.columns if c not in (hour, "et", ROW_ORDER)]
-    if VERSION not in columns:
-        log.warning("no event has a version, so no type is written")
-        return []
+) -> tuple[list[Group], dict[tuple[str, str | None], int]]:
+    """The (hour, type) groups of a staged split that have a version, with the schemas that the rows of their newest
+    version show, and the number of events by type that are left out as their group has none."""
+    columns = [c for c in split.columns if c not in (hour, "et")]
     keys = [hour, "event_type"]
+    counts = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
+    if VERSION not in columns:
+        left = counts.groupBy("event_type").agg(F.sum("N").alias("N"))
+        return [], report_skipped({("no version", r["event_type"]): r["N"] for r in left.collect()})
     newest = materialise(newest_version(split, keys, order=order), "newest", scratch)
-    sample = staged_sample(split, newest, keys, order_by=[*order_by, *_row_order(split)], scratch=scratch)
-    return [Group(*values, schema) for values, schema in group_schemas(sample, columns, keys)]
+    left = counts.join(newest, keys, "left_anti").groupBy("event_type").agg(F.sum("N").alias("N"))
+    skipped = report_skipped({("no version", r["event_type"]): r["N"] for r in left.collect()})
+    shown = newest_rows(split, newest, keys, rows=rows, order_by=order_by)
+    return [Group(*values, schema) for values, schema in group_schemas(shown, columns, keys)], skipped
+
+
+def report_skipped(skipped: dict[tuple[str, str | None], int]) -> dict[tuple[str, str | None], int]:
+    for (reason, kind), n in sorted(skipped.items(), key=str):
+        log.warning("left out %d events%s: %s", n, "" if kind is None else f" of type {kind!r}", reason)
+    return skipped
 
 
 def _concurrently(jobs: Sequence[Callable[[], object]], concurrent: int) -> list:
@@ -148,24 +179,11 @@ def write_staged(
     return [partial(write, number, alike) for number, alike in enumerate(by_schema.values())]
 
 
-def write_direct(
-    split: DataFrame, groups: Sequence[Group], target: str, hour: str = "hh", max_rows: int = MAX_ROWS_PER_FILE
-) -> list[Callable[[], str]]:
-    """Jobs that write each group of a split to ``target/type/hour/``, replacing what is there."""
-
-    def write(group: Group) -> str:
-        part = split.where(_directory(hour) == f"{group.hour}/{group.event_type}")
-        path = under(target, escape_value(group.event_type), escape_value(group.hour))
-        write_parquet(part.select(*typed_columns(split, group.schema)), path, mode="overwrite", max_rows=max_rows)
-        return path
-
-    return [partial(write, group) for group in groups]
-
-
 def write_groups(
     spark: SparkSession,
     found: Sequence[tuple[DataFrame, Sequence[Group]]],
     target: str,
+    hours: Sequence[str],
     hour: str = "hh",
     *,
     publish: str = "move",
@@ -173,25 +191,42 @@ def write_groups(
     max_rows: int = MAX_ROWS_PER_FILE,
     concurrent: int = CONCURRENT_WRITES,
 ) -> list[str]:
-    """Write the groups of some splits to ``target/type/hour/``, each with the columns and types of its own sample.
-
-    ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the
-    finished directories, so that a failed write leaves the target as it was. ``direct`` writes each directory in
-    place through Spark's committer, for object stores, where a rename copies the data. Returns the directories
-    written.
+    """Write the groups of some splits, each with the columns and types of its own schema, one job for each schema.
+
+    ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the finished
+    directories to ``target/type/hour/``. A failed write leaves the target as it was; types that the given hours no
+    longer have are removed. ``run`` writes to ``target/run-.../n/et=type/hh=hour/``, on any store, and then makes the
+    run current for its hours by replacing one small file, which :func:`read_published` follows: whenever a run ends,
+    the hours are all old or all new. The run that was current before stays for its readers until the next one.
+    Returns the directories written, for ``run`` its folder.
     """
-    if publish == "direct":
-        jobs = [job for split, groups in found for job in write_direct(split, groups, target, hour, max_rows)]
-        return sorted(_concurrently(jobs, concurrent))
-    staged = scratch_path(spark, "_staging", staging or target)
+    if publish == "run":
+        name = f"run-{uuid.uuid4().hex}"
+        folder = under(target, name)
+    else:
+        folder = scratch_path(spark, "_staging", staging or target)
     try:
         jobs = []
         for number, (split, groups) in enumerate(found):
-            jobs += write_staged(split, groups, under(staged, str(number)), hour, max_rows)
+            place = under(folder, str(number)) if publish == "move" else under(folder, f"batch{number}")
+            jobs += write_staged(split, groups, place, hour, max_rows)
         _concurrently(jobs, concurrent)
-        return publish_partitions(spark, f"{staged}/*", target, ["et", hour])
+        if publish == "run":
+            before = read_current(spark, target)
+            now = {**before, **dict.fromkeys(hours, name)}
+            switch_current(spark, target, now)
+            remove_runs(spark, target, {*before.values(), *now.values()})
+            return [folder]
+        moved = publish_partitions(spark, f"{folder}/*", target, ["et", hour])
+        remove_stale(spark, target, hours, moved)
+        return moved
+    except BaseException:
+        if publish == "run" and name not in read_current(spark, target).values():
+            remove_tree(spark, folder)
+        raise
     finally:
-        remove_tree(spark, staged)
+        if publish == "move":
+            remove_tree(spark, folder)
 
 
 def narrow_hour(
@@ -203,17 +238,22 @@ def narrow_hour(
     hour_column: str = "hh",
     order: str = "text",
     order_by: Sequence[str] = (),
+    rows: int | None = None,
     publish: str = "move",
     max_rows: int = MAX_ROWS_PER_FILE,
-) -> list[str]:
+) -> Published:
     """What :func:`split_hour` wrote to Parquet under ``target/type/hour/``; options as for :func:`preprocess_day`."""
     configure(spark)
     scratch = scratch_path(spark, "run")
     events = read_split(spark, split).drop("et").withColumn(hour_column, F.lit(hour))
     try:
         staged = stage_split(events, under(scratch, "split"), hour_column)
-        groups = find_groups(staged, hour_column, order=order, order_by=order_by, scratch=scratch)
-        return write_groups(spark, [(staged, groups)], target, hour_column, publish=publish, max_rows=max_rows)
+        how = {"order": order, "order_by": order_by, "rows": rows, "scratch": scratch}
+        groups, skipped = find_groups(staged, hour_column, **how)
+        paths = write_groups(
+            spark, [(staged, groups)], target, [hour], hour_column, publish=publish, max_rows=max_rows
+        )
+        return Published(paths, skipped)
     finally:
         remove_tree(spark, scratch)
 
@@ -226,6 +266,7 @@ def publish_wide(
     *,
     order: str = "text",
     order_by: Sequence[str] = (),
+    rows: int | None = None,
     max_rows: int = MAX_ROWS_PER_FILE,
     staged: bool = False,
     scratch: str | None = None,
@@ -237,10 +278,11 @@ def publish_wide(
     """
     if "dt" in df.columns:
         raise ValueError("the events have a column 'dt', which names the day's partition")
+    if not staged:
+        check_reserved(df)
     keys = [hour, "event_type"]
-    order_by = [*order_by, *_row_order(df)]
-    narrowed = narrow_wide(df, keys, order=order, order_by=order_by, staged=staged, scratch=scratch)
-    dated = narrowed.drop(ROW_ORDER).withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
+    narrowed = narrow_wide(df, keys, order=order, order_by=order_by, rows=rows, scratch=scratch)
+    dated = narrowed.withColumn("et", F.col("event_type")).withColumn("dt", F.lit(day))
     partitions = ["dt", "et", hour]
     write_parquet(dated if staged else clustered(dated, partitions), target, partitions, "overwrite", max_rows)
 
@@ -260,53 +302,83 @@ def preprocess_day(
     fix_locale: bool = False,
     order: str = "text",
     order_by: Sequence[str] = (),
+    rows: int | None = None,
     max_rows: int = MAX_ROWS_PER_FILE,
     hour_column: str = "hh",
-) -> list[str]:
+) -> Published:
     """Events under ``source/yyyy/mm/dd/hh/`` to Parquet; the target is written after every hour was worked out.
 
-    ``narrow`` writes ``target/yyyy/mm/dd/type/hh/``, each directory with the columns and types of its own sample;
-    for ``publish`` see :func:`write_groups`. ``wide`` writes one table under ``target`` with the partitions ``dt``,
-    ``et`` and the hour. A given ``schema`` spares the scan that infers one. ``order`` is the order of versions,
-    ``order_by`` that of the sampled rows. Returns the directories published (narrow only).
+    ``narrow`` writes ``target/yyyy/mm/dd/type/hh/``, each directory with the columns and types that the newest version
+    of its events shows; for ``publish`` see :func:`write_groups`. ``wide`` writes one table under ``target`` with the
+    partitions ``dt``, ``et`` and the hour. A given ``schema`` spares the scan that infers one. ``order`` is the order of
+    versions. ``rows`` limits the rows of the newest version that are looked at, by default all, and ``order_by`` then
+    orders them. Returns the directories published (narrow only) and what was left out.
     """
     if layout not in ("narrow", "wide"):
         raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
-    if publish not in ("move", "direct"):
-        raise ValueError(f"publish must be 'move' or 'direct', not {publish!r}")
+    if publish not in ("move", "run"):
+        raise ValueError(f"publish must be 'move' or 'run', not {publish!r}")
     configure(spark)
     names = [hour_name(hour) for hour in hours]
     denied, dropped = list(denied), list(dropped)
     scratch = scratch_path(spark, "run")
-    sampling = {"order": order, "order_by": order_by, "scratch": scratch}
+    narrowing = {"order": order, "order_by": order_by, "rows": rows, "scratch": scratch}
+    skipped: Counter[tuple[str, str | None]] = Counter()
 
     def staged_split(batch: Sequence[str], batch_schema: StructType) -> DataFrame:
         raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
-        flat = split_events(raw, denied, dropped, fix_locale)
-        return stage_split(flat, scratch_path(spark, "split", scratch), hour_column)
+        flat = flatten_events(raw, dropped, fix_locale)
+        check_reserved(flat)
+        seen = Observation()
+        observed = flat.observe(seen, *count_left_out(denied))
+        split = stage_split(retain_event_types(observed, denied), scratch_path(spark, "split", scratch), hour_column)
+        try:
+            counts = seen.get
+        except Py4JJavaError:  # nothing is retained: Spark then drops the plan with the counts in it
+            counts = flat.agg(*count_left_out(denied)).first().asDict()
+        skipped.update(report_skipped({(reason, None): n for reason, n in counts.items() if n}))
+        return split
 
     try:
         if layout == "wide":
             base = under(source, day_path(day))
             found = schema or infer_json_schema(spark, [under(base, name) for name in names])
             split = staged_split(names, kept_schema(found, dropped, fix_locale))
-            publish_wide(split, target, day, hour_column, staged=True, max_rows=max_rows, **sampling)
-            return []
+            publish_wide(split, target, day, hour_column, staged=True, max_rows=max_rows, **narrowing)
+            return Published([], skipped)
         if schema is None:
             batches = batch_hours(infer_hour_schemas(spark, source, day, names), dropped, fix_locale)
         else:
             batches = [(names, kept_schema(schema, dropped, fix_locale))]
         splits = [staged_split(batch, batch_schema) for batch, batch_schema in batches]
-        grouped = [(split, find_groups(split, hour_column, **sampling)) for split in splits]
+        grouped = []
+        for split in splits:
+            groups, left = find_groups(split, hour_column, **narrowing)
+            grouped.append((split, groups))
+            skipped.update(left)
         day_target = under(target, day_path(day))
-        return write_groups(
-            spark, grouped, day_target, hour_column, publish=publish, staging=target, max_rows=max_rows
+        paths = write_groups(
+            spark, grouped, day_target, names, hour_column, publish=publish, staging=target, max_rows=max_rows
         )
+        return Published(paths, skipped)
     finally:
         remove_tree(spark, scratch)
 
 
-def read_published(spark: SparkSession, target: str, day: str, event_type: str = "*", hour: str = "*") -> DataFrame:
-    """Narrow output of a day; several directories are read as one table if their common columns agree in type."""
-    path = under(target, day_path(day), event_type, hour)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_published(
+    spark: SparkSession, target: str, day: str, event_type: str = "*", hour: str = "*", hour_column: str = "hh"
+) -> DataFrame:
+    """Narrow output of a day; several directories are read as one table if their common columns agree in type.
+
+    If the day was published by runs, each hour is read from its current run.
+    """
+    folder = under(target, day_path(day))
+    current = read_current(spark, folder)
+    paths = [under(folder, event_type, hour)]
+    if current:
+        wanted = [(h, run) for h, run in sorted(current.items()) if hour in ("*", h)]
+        paths = [under(folder, run, "*", "*", f"et={event_type}", f"{hour_column}={h}") for h, run in wanted]
+        paths = [path for path in paths if glob_exists(spark, path)]
+        if not paths:
+            raise FileNotFoundError(f"nothing is published for type {event_type!r} and hour {hour!r} in {folder}")
+    return spark.read.option("mergeSchema", "true").parquet(*paths)

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.functions.dates import dated_table
+from sluicebox.functions.dates import dated_table, day_path, under
+from sluicebox.sources.layout import path_exists
 from sluicebox.sources.sinks import write_day
 from sluicebox.sources.tables import read_day, read_extract, read_table, write_table
 
@@ -47,13 +48,18 @@ def country_chain(
     day: str,
     directory: str,
     *,
-    source: str = "events.user_info",
-    result: str = "test.user_info_test",
-    copy: str = "test.user_info_test_froms3",
+    source: str,
+    result: str,
+    copy: str,
     mode: str = "append",
     lake_mode: str = "errorifexists",
 ) -> str:
-    """Append the day's countries to a dated table, put that table into the lake, and load it from there again."""
+    """Append the day's countries to a dated table, put that table into the lake, and load it from there again.
+
+    The lake path is looked at before anything is appended, so that a repeated run does not append twice and then fail.
+    """
+    if lake_mode == "errorifexists" and path_exists(spark, under(directory, day_path(day))):
+        raise FileExistsError(f"{under(directory, day_path(day))} exists; nothing was appended")
     countries = distinct_countries(read_table(spark, dated_table(source, day)))
     write_table(countries, dated_table(result, day), mode)
     warehouse_to_lake(spark, day, dated_table(result, day), directory, mode=lake_mode)

@@ -76,18 +76,14 @@ def _steps(group: str) -> dict[str, str]:
               AND NOT regexp_matches(event_type, '[_,\\s]')""",
         "counts": f"SELECT {group}, app_version_name, count(*) AS n FROM retained GROUP BY {group}, app_version_name",
         "newest": f"""
-            SELECT {group}, max(app_version_name) AS app_version_name
-            FROM (SELECT *, row_number() OVER (
-                    PARTITION BY {group} ORDER BY app_version_name DESC NULLS LAST) AS version_rank
-                  FROM counts) AS ranked
-            WHERE version_rank <= 100 AND regexp_matches(app_version_name, '\\d+.\\d+.\\d+')
-            GROUP BY {group}""",
+            SELECT {group}, max(app_version_name) AS app_version_name FROM counts
+            WHERE regexp_matches(app_version_name, '\\d+.\\d+.\\d+') GROUP BY {group}""",
         "sample": f"""
             SELECT * FROM (
               SELECT *, cast(row_number() OVER (PARTITION BY {group} ORDER BY event_id) AS integer) AS sample_rank
               FROM retained JOIN newest USING ({group}, app_version_name)) AS ranked
             WHERE sample_rank <= 10""",
-        "flags": f"SELECT {group}, {_counts} FROM sample GROUP BY {group}",
+        "flags": f"SELECT {group}, {_counts} FROM retained JOIN newest USING ({group}, app_version_name) GROUP BY {group}",
         "narrowed": f"SELECT retained.hh, retained.event_type, {_masked} FROM retained JOIN flags USING ({group})",
     }
 
@@ -121,6 +117,14 @@ ORACLE: dict[str, str] = {
         FROM events""",
     "distinct_event_types": _after("flat", "SELECT DISTINCT event_type FROM flat ORDER BY event_type DESC NULLS LAST"),
     "retained_events": _after("retained", "SELECT event_id, hh, event_type FROM retained"),
+    "skipped_events": _after(
+        "flat",
+        """SELECT CASE WHEN event_type IS NULL THEN 'no type' WHEN event_type = 'error' THEN 'denied'
+                  ELSE 'unclean name' END AS reason, event_type, count(*) AS n
+           FROM flat
+           WHERE event_type IS NULL OR event_type = 'error' OR regexp_matches(event_type, '[_,\\s]')
+           GROUP BY event_type""",
+    ),
     "events_per_type_hour": _after(
         "retained", "SELECT event_type, hh, count(*) AS n FROM retained GROUP BY event_type, hh"
     ),
@@ -170,20 +174,24 @@ ORACLE: dict[str, str] = {
                   cast(metrics_amount AS varchar) AS metrics_amount, hh, cast(NULL AS varchar) AS absent
            FROM flat""",
     ),
-    "compact_small_files": "SELECT event_id, user_id, event_type, value, props FROM events",
-    "parquet_capped_write": _after("retained", "SELECT * FROM retained"),
+    "compact_small_files": """
+        SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, user_id, event_type, value, props,
+               'h' || strftime(ts, '%H') AS directory
+        FROM events""",
+    "parquet_capped_write": _after("retained", "SELECT *, true AS within_cap FROM retained"),
     "publish_day": _after("narrowed", "SELECT *, '20180601' AS dt, event_type AS et FROM narrowed"),
     # All events are one hour here, so the type alone makes a group.
     "split_and_narrow_hour": _after("narrowed", "SELECT * FROM narrowed", "event_type"),
-    "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
-    "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS} FROM narrowed"),
+    "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
+    "preprocess_day_runs": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
+    "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "warehouse_to_lake": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
                strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
         FROM orders""",
     "lake_to_warehouse": """
-        SELECT vec_id, label, cast(len(embedding) AS integer) AS dimensions,
-               cast(list_min(embedding) AS double) AS least, cast(list_max(embedding) AS double) AS greatest
+        SELECT vec_id, label, array_to_string(list_transform(embedding,
+                   lambda x: cast(floor(cast(x AS double) * 1099511627776) AS bigint)), ',') AS components
         FROM embeddings""",
     "lake_to_warehouse_lineitem": """
         SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem""",

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sluicebox.functions.dates import dated_table, day_column, day_path_column, hour_column, under
 from sluicebox.functions.predicates import is_version
-from sluicebox.operators.event_types import count_events, distinct_event_types, retain_event_types
+from sluicebox.operators.event_types import count_events, distinct_event_types, retain_event_types, skipped_events
 from sluicebox.operators.flatten import flatten_events
-from sluicebox.operators.narrowing import column_counts, narrow_wide, schema_table
+from sluicebox.operators.narrowing import column_counts, narrow_wide, newest_rows, schema_table
 from sluicebox.operators.sampling import newest_version_sample
 from sluicebox.operators.versions import newest_version, top_versions, version_counts
 from sluicebox.plans.preprocess import (
@@ -29,9 +30,11 @@ from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.compaction import compact_text
 from sluicebox.sources.json_events import read_json, read_types
 from sluicebox.sources.layout import publish_partitions
-from sluicebox.sources.sinks import clustered, write_parquet, write_split
+from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 from sluicebox.sources.tables import read_day, read_table, register_view, write_table
 
+_PLACE = [StructField("et", StringType()), StructField("hh", StringType())]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -68,6 +71,10 @@ def retained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain_event_types(_flat(spark, sf_dir), DENIED).select("event_id", "hh", "event_type")
 
 
+def skipped_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skipped_events(_flat(spark, sf_dir), DENIED)
+
+
 def events_per_type_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_events(_retained(spark, sf_dir))
 
@@ -119,12 +126,13 @@ def type_column_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = _sample(spark, sf_dir).drop("sample_rank")
-    return schema_table(sample, sample.columns)
+    retained = _retained(spark, sf_dir)
+    newest = materialise(newest_version(retained), "newest")
+    return schema_table(newest_rows(retained, newest), retained.columns)
 
 
 def narrowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return narrow_wide(_retained(spark, sf_dir), order_by=["event_id"])
+    return narrow_wide(_retained(spark, sf_dir))
 
 
 def json_roundtrip_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,24 +157,32 @@ def json_schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small, merged = scratch_path(spark, "small"), scratch_path(spark, "merged")
-    raw = load_events(configure(spark), sf_dir).select("event_id", "user_id", "event_type", "value", "props")
-    raw.repartition(64, "event_id").write.json(small)
-    compact_text(spark, small, merged)
-    return read_json(spark, merged, raw.schema)
+    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    raw = load_events(configure(spark), sf_dir).select(
+        "event_id", ts.alias("ts"), "user_id", "event_type", "value", "props", F.concat(F.lit("h"), hour_column(F.col("ts"))).alias("H")
+    )
+    # The directories of the small files have plain names, so that only merging gives them a column.
+    raw.repartition(64, "event_id").write.partitionBy("H").json(f"{small}/staged")
+    publish_partitions(spark, small, f"{small}-by-hour", ["H"])
+    compact_text(spark, f"{small}-by-hour", merged)
+    return read_json(spark, merged, StructType([*raw.drop("H").schema.fields, StructField("directory", StringType())]))
 
 
 def parquet_capped_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "capped")
     retained = _retained(spark, sf_dir)
     write_parquet(clustered(retained, ["event_type"]), path)
-    return spark.read.schema(retained.schema).parquet(path)
+    written = spark.read.schema(retained.schema).parquet(path)
+    files = written.groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n"))
+    largest = files.agg((F.max("n") <= MAX_ROWS_PER_FILE).alias("within_cap"))
+    return written.join(F.broadcast(largest), F.lit(True))
 
 
 def publish_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "published")
     retained = _retained(spark, sf_dir)
     for _ in range(2):
-        publish_wide(retained, path, DAY, order_by=["event_id"])
+        publish_wide(retained, path, DAY)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in retained.schema.fields)
     return spark.read.schema(f"{fields}, dt string, et string").parquet(path)
 
@@ -179,25 +195,40 @@ def _write_raw_hours(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def with_directories(events: DataFrame) -> DataFrame:
+    """Type and hour of the directory that holds each row."""
+    parts = F.split(F.url_decode(F.col("_metadata.file_path")), "/")
+    value = lambda i: F.regexp_replace(F.element_at(parts, i), "^(et|hh)=", "")
+    return events.select("*", value(-3).alias("et"), value(-2).alias("hh"))
+
+
 def split_and_narrow_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, split, target = (scratch_path(spark, name) for name in ("raw", "split", "hour"))
     raw_events(spark, sf_dir).write.json(source)
     split_hour(spark, source, split, denied=DENIED)
-    narrow_hour(spark, split, target, "00", hour_column="hour_dir", order_by=["event_id"])
+    narrow_hour(spark, split, target, "00", hour_column="hour_dir")
     return spark.read.option("mergeSchema", "true").parquet(f"{target}/*/00")
 
 
 def preprocess_day_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
     for _ in range(2):
-        preprocess_day(spark, DAY, source, target, denied=DENIED, order_by=["event_id"])
-    return read_published(spark, target, DAY)
+        preprocess_day(spark, DAY, source, target, denied=DENIED)
+    return with_directories(read_published(spark, target, DAY))
+
+
+def preprocess_day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
+    for hours in (range(24), range(12, 24)):
+        preprocess_day(spark, DAY, source, target, hours=hours, publish="run", denied=DENIED)
+    return with_directories(read_published(spark, target, DAY))
 
 
 def preprocess_day_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
-    preprocess_day(spark, DAY, source, target, layout="wide", denied=DENIED, order_by=["event_id"])
-    return spark.read.parquet(target).drop("dt", "et", "hh")
+    preprocess_day(spark, DAY, source, target, layout="wide", denied=DENIED)
+    fields = spark.read.parquet(target).drop("dt", "et", "hh").schema.fields
+    return spark.read.schema(StructType([*fields, *_PLACE])).parquet(target).drop("dt")
 
 
 def _database(spark: SparkSession, label: str) -> str:
@@ -208,6 +239,11 @@ def _database(spark: SparkSession, label: str) -> str:
     return name
 
 
+def _scaled(embedding: Column) -> Column:
+    """Components as whole numbers, so that two engines spell them alike; a power of two keeps their digits."""
+    return F.transform(embedding, lambda x: F.floor(x.cast("double") * (1 << 40)))
+
+
 def _text_time(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss"))
 
@@ -229,9 +265,7 @@ def lake_to_warehouse_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, table).select(
         "vec_id",
         "label",
-        F.size("embedding").alias("dimensions"),
-        F.array_min("embedding").cast("double").alias("least"),
-        F.array_max("embedding").cast("double").alias("greatest"),
+        F.array_join(_scaled(F.col("embedding")).cast("array<string>"), ",").alias("components"),
     )
 
 
@@ -263,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "flat_array_leaves": flat_array_leaves,
     "distinct_event_types": distinct_types,
     "retained_events": retained_events,
+    "skipped_events": skipped_event_counts,
     "events_per_type_hour": events_per_type_hour,
     "events_per_path": events_per_path,
     "version_counts": version_counts_per_group,
@@ -282,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "publish_day": publish_day,
     "split_and_narrow_hour": split_and_narrow_hour,
     "preprocess_day_narrow": preprocess_day_narrow,
+    "preprocess_day_runs": preprocess_day_runs,
     "preprocess_day_wide": preprocess_day_wide,
     "warehouse_to_lake": warehouse_to_lake_orders,
     "lake_to_warehouse": lake_to_warehouse_embeddings,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sluicebox.session import sql_settings
 
@@ -13,10 +14,12 @@ TARGET_MIB = 10
 def compact_text(
     spark: SparkSession, source: str, target: str, target_mib: int = TARGET_MIB, compression: str = "none"
 ) -> None:
-    """Copy the text files under a directory into files of about the target size.
+    """Merge the text files of each directory under ``source`` into files of about the target size.
 
-    Spark packs small files into scan tasks and every task writes one file, so there is no shuffle. A file above
-    the target is divided if its format allows that. Lines keep their bytes; which file they are in changes.
+    The files of ``source/x`` go to ``target/directory=x``; files of different directories, or of directories of the
+    same name below different parents, never share a file unless that name is the same. Spark packs small files into
+    scan tasks and every task writes one file for each directory it meets, so there is no shuffle. A file above the
+    target is divided if its format allows that. Lines keep their bytes; which file they are in changes.
     """
     with sql_settings(
         spark,
@@ -25,4 +28,6 @@ def compact_text(
         spark__sql__files__minPartitionNum=1,
     ):
         lines = spark.read.option("recursiveFileLookup", "true").text(source)
-        lines.write.option("compression", compression).text(target)
+        parent = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        named = lines.select("value", F.url_decode(parent).alias("directory"))
+        named.write.option("compression", compression).partitionBy("directory").text(target)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
@@ -25,6 +27,16 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, to_path = _file_system(spark, path)
+    return fs.exists(to_path(path))
+
+
+def glob_exists(spark: SparkSession, pattern: str) -> bool:
+    fs, to_path = _file_system(spark, pattern)
+    return bool(fs.globStatus(to_path(pattern)))
+
+
 def remove_tree(spark: SparkSession, path: str) -> None:
     fs, to_path = _file_system(spark, path)
     fs.delete(to_path(path), True)
@@ -57,3 +69,57 @@ def publish_partitions(
 
     with ThreadPoolExecutor(concurrent) as pool:
         return sorted(pool.map(move, found))
+
+
+def remove_stale(spark: SparkSession, target: str, hours: Sequence[str], kept: Sequence[str]) -> None:
+    """Remove ``target/*/hour`` for the given hours unless it is among the directories kept."""
+    fs, to_path = _file_system(spark, target)
+    keep = {to_path(path).toUri().getPath() for path in kept}
+    for hour in hours:
+        for status in fs.globStatus(to_path(under(target, "*", hour))) or []:
+            if status.getPath().toUri().getPath() not in keep:
+                fs.delete(status.getPath(), True)
+
+
+# The file in a day's folder that says which run holds each hour.
+CURRENT = "_current"
+
+
+def read_current(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The run of each hour; empty if the folder has no runs."""
+    fs, to_path = _file_system(spark, folder)
+    path = to_path(under(folder, CURRENT))
+    if not fs.exists(path):
+        return {}
+    stream = fs.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def switch_current(spark: SparkSession, folder: str, runs: dict[str, str]) -> None:
+    """Make ``runs`` current in one step: a new file takes the place of the old one by a rename that overwrites."""
+    fs, to_path = _file_system(spark, folder)
+    fresh = to_path(under(folder, f"{CURRENT}.{uuid.uuid4().hex}"))
+    stream = fs.create(fresh)
+    try:
+        stream.write(json.dumps(runs, sort_keys=True).encode())
+    finally:
+        stream.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    how = gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    qualified = [fs.makeQualified(path) for path in (fresh, to_path(under(folder, CURRENT)))]
+    context.rename(*qualified, how)
+
+
+def remove_runs(spark: SparkSession, folder: str, kept: Iterable[str]) -> None:
+    """Remove the runs of a day's folder that are not among those kept."""
+    fs, to_path = _file_system(spark, folder)
+    kept = set(kept)
+    for status in fs.globStatus(to_path(under(folder, "run-*"))) or []:
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sluicebox.functions.dates import day_path, under
 
+# Tables beside the one that is being replaced.
+LOADING, REPLACED = "_loading", "_replaced"
+
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
@@ -26,11 +30,46 @@ def read_day(spark: SparkSession, root: str, day: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> None:
-    """Append to a table, or replace its rows and schema with ``mode="overwrite"``. Creates it if it is missing."""
-    writer = df.write.mode(mode)
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    """Append to a table, or replace its rows and schema with ``mode="overwrite"``. Creates it if it is missing.
+
+    A replaced table is loaded beside the old one first, at a location of its own. Only a finished load takes the name:
+    the old table is renamed, the new one renamed, the old one dropped. A load that fails leaves the old table; a run
+    that ends between the two renames leaves both, and the next one goes on from there.
+    """
+    spark = df.sparkSession
+    if mode != "overwrite":
+        writer = df.write.mode(mode)
+        (writer if path is None else writer.option("path", path)).saveAsTable(name)
+        return
+    new, old = f"{name}{LOADING}", f"{name}{REPLACED}"
+    recover_table(spark, name)
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(new)}")
+    try:
+        writer = df.write.mode("errorifexists")
+        if path is not None:
+            writer = writer.option("path", under(path, f"load-{uuid.uuid4().hex}"))
+        writer.saveAsTable(new)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(new)}")
+        raise
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(old)}")
+    spark.sql(f"ALTER TABLE {quoted(new)} RENAME TO {quoted(name)}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+
+
+def recover_table(spark: SparkSession, name: str) -> None:
+    """Give a table its name back if a replacement ended between its two renames."""
+    old = f"{name}{REPLACED}"
+    if spark.catalog.tableExists(old):
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {quoted(old)}")
+        else:
+            spark.sql(f"ALTER TABLE {quoted(old)} RENAME TO {quoted(name)}")
+
+
+def quoted(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.split("."))
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
