@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import map_batches, numbered, schema_of, text_slices, whole_texts
-from sluicebox.llm.tokens import library_encoder, vocabulary_path
+from sluicebox.llm.tokens import rank_encoder, vocabulary_path
 from sluicebox.session import materialise
 
 CAPACITY = 1024
@@ -107,12 +107,14 @@ def cut_lengths(tokens: int, capacity: int) -> list[int]:
     return ([head] if head else []) + [capacity] * (tokens // capacity)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, rank_path: str, capacity: int = CAPACITY, end_id: int = END_ID
+) -> DataFrame:
     """A row for each piece of each document: the document's ids and ``end_id``, cut only where longer than ``capacity``."""
     arrow = schema_of(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library_encoder(path), struct.pack("<I", end_id)
+        encoder, end = rank_encoder(path, rank_path), struct.pack("<I", end_id)
         for batch in text_slices(batches):
             rows: list[tuple] = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -130,7 +132,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
 
 def pack_documents(
-    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID
+    docs: DataFrame,
+    path: str | None = None,
+    rank_path: str | None = None,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
 ) -> DataFrame:
     """Where each piece of each document goes: ``sequence_id`` and ``offset`` there.
 
@@ -139,7 +145,8 @@ def pack_documents(
     each finds its bin from its length and number. A null text is an empty document, of the end id alone; repeated rows
     are documents of their own, and ties in length go by document, piece and checksum. An empty table gives no row.
     """
-    pieces = materialise(token_pieces(docs, path or vocabulary_path("byte_bpe_50k.json"), capacity, end_id), "pieces")
+    path, rank_path = path or vocabulary_path("byte_bpe_50k.json"), rank_path or vocabulary_path("byte_bpe_50k.tiktoken")
+    pieces = materialise(token_pieces(docs, path, rank_path, capacity, end_id), "pieces")
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = best_fit_decreasing(lengths, capacity)
     runs.sort()
