@@ -16,6 +16,11 @@ from sluicebox.llm.common import list_array, map_batches, schema_of, text_slices
 from sluicebox.llm.tokens import SPECIAL, ByteLevel, WordCache, vocabulary_path
 
 
+#: Ids are below PAIR - 1; NONE is no id.
+PAIR = 1 << 20
+NONE = PAIR - 1
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary file: itself if it prints, else the next from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -23,36 +28,43 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_symbols(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
     """Merge neighbours in the order of their ranks, the leftmost first among equals.
 
-    ``merges`` has the rank and the merged id of each pair. The symbols are a doubly linked list; a queue entry names
-    the pair it was made for and is stale if either symbol has changed since.
+    ``ranks`` has the rank of a pair under left * PAIR + right, ``merged`` the id that a rank gives. The symbols are a
+    doubly linked list. A queue entry is a rank and a place; it is stale if the pair that begins there now has another
+    rank, or none, or if the symbol there has been taken in by its left neighbour: ``begins`` has that rank.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    ids, before, after = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(*found, i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+    rank_of, shift = ranks.get, n.bit_length()
+    mask = (1 << shift) - 1
+    ids, before, after = symbols + [NONE], list(range(-1, n - 1)), list(range(1, n + 1))
+    begins = [rank_of(left * PAIR + right, -1) for left, right in zip(symbols, symbols[1:])]
+    queue = [rank << shift | i for i, rank in enumerate(begins) if rank >= 0]
+    begins += [-1, -1]
     heapify(queue)
     while queue:
-        _, merged, left, pair = heappop(queue)
-        right = after[left]
-        if right < 0 or ids[left] != pair[0] or ids[right] != pair[1]:
+        entry = heappop(queue)
+        rank, left = entry >> shift, entry & mask
+        if begins[left] != rank:
             continue
-        ids[left], ids[right] = merged, -1
+        right = after[left]
+        ids[left] = new = merged[rank]
+        ids[right], begins[right] = NONE, -1
         after[left] = then = after[right]
-        if then >= 0:
+        begins[left] = found = rank_of(new * PAIR + ids[then], -1)
+        if found >= 0:
+            heappush(queue, found << shift | left)
+        if then < n:
             before[then] = left
-            if found := merges.get(pair := (merged, ids[then])):
-                heappush(queue, (*found, left, pair))
-        if (earlier := before[left]) >= 0 and (found := merges.get(pair := (ids[earlier], merged))):
-            heappush(queue, (*found, earlier, pair))
-    out, at = [], 0
-    while at >= 0:
-        out.append(ids[at])
-        at = after[at]
-    return out
+        earlier = before[left]
+        if earlier >= 0:
+            begins[earlier] = found = rank_of(ids[earlier] * PAIR + new, -1)
+            if found >= 0:
+                heappush(queue, found << shift | earlier)
+    return [i for i in ids if i != NONE]
 
 
 class Vocabulary:
@@ -63,9 +75,9 @@ class Vocabulary:
             read = json.load(file)
         ids: dict[str, int] = read["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
-        self.merges = {
-            (ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(read["model"]["merges"])
-        }
+        merges = read["model"]["merges"]
+        self.ranks = {ids[a] * PAIR + ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.merged = [ids[a + b] for a, b in merges]
         letters = byte_letters()
         byte = {letter: b for b, letter in enumerate(letters)}
         self.byte_ids = [ids[letter] for letter in letters]
@@ -77,7 +89,7 @@ class Vocabulary:
         self.level = ByteLevel(self.encode)
 
     def encode_piece(self, piece: str) -> list[int]:
-        return merge_symbols([self.byte_ids[b] for b in piece.encode()], self.merges)
+        return merge_symbols([self.byte_ids[b] for b in piece.encode()], self.ranks, self.merged)
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text; special tokens in it stand for themselves."""
@@ -107,21 +119,27 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def encode_texts(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_texts(
+    df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", decoded: str | None = None
+) -> DataFrame:
     """The key and ``ids``, an array of token ids, of every whole text; a null text is empty and has no ids.
 
-    Rows are independent: repeated rows and null keys are encoded like any other, an empty table gives no row.
+    With ``decoded`` the ids are decoded at once, in the same task, to a column of that name. Rows are independent:
+    repeated rows and null keys are encoded like any other, an empty table gives no row.
     """
     path, pattern = path or vocabulary_path("byte_bpe_50k.json"), _pattern()
     ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>"
+    ddl += f", `{decoded}` string" if decoded else ""
     arrow = schema_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = vocabulary(path, pattern).level
+        words = vocabulary(path, pattern)
         for batch in text_slices(batches, text):
-            ids = [np.frombuffer(level.ids(t or ""), "<u4") for t in batch.column(text).to_pylist()]
-            columns = [batch.column(key).cast(arrow[0].type), list_array(ids, pa.int32()).cast(arrow[1].type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            ids = [np.frombuffer(words.level.ids(t), "<u4") for t in batch.column(text).to_pylist()]
+            columns = [batch.column(key), list_array(ids, pa.int32())]
+            if decoded:
+                columns.append(pa.array([words.decode(i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return map_batches(whole_texts(df, key, text), run, ddl)
 
@@ -136,10 +154,10 @@ def decode_ids(df: DataFrame, path: str | None = None, ids: str = "ids", name: s
         decode = vocabulary(path, pattern).decode
         for batch in batches:
             column = batch.column(ids)
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                texts = [decode(x.as_py() or []) for x in column.slice(start, 1000)]
-                columns = [c.cast(f.type) for c, f in zip([*part.columns, pa.array(texts)], arrow)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip([*batch.columns, pa.array(texts, pa.string())], arrow)], schema=arrow
+            )
 
     return map_batches(df, run, ddl)

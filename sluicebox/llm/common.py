@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.session import materialise
 
-TEXT_BATCH_BYTES = 16 << 20
+TEXT_BATCH_BYTES = 4 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
