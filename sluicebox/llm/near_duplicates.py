@@ -51,10 +51,18 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 
 def least_samples(items: np.ndarray) -> np.ndarray:
-    """The least value of the set under each of SAMPLES hash functions."""
+    """The least value of the set under each of SAMPLES hash functions.
+
+    A product and a sum alone would make the samples depend on each other; folding and multiplying again does not.
+    """
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(items), 512):
-        values = np.multiply.outer(ODD, items[start : start + 512]) + ADD[:, None]
+    for start in range(0, len(items), 256):
+        values = np.multiply.outer(ODD, items[start : start + 256])
+        values += ADD[:, None]
+        values ^= values >> np.uint64(32)
+        values *= M1
+        values ^= values >> np.uint64(29)
+        values *= M2
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
