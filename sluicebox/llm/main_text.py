@@ -293,6 +293,29 @@ def set_apart(root: Node, others: list[Node], rng: random.Random) -> None:
         part.parent.content.insert(rng.randint(0, len(part.parent.content)), part)
 
 
+def vary(root: Node, rng: random.Random) -> None:
+    """Make a page unlike its site's others: short texts, other block tags in the article, less around it."""
+    for n in walk(root):
+        inside = n
+        while inside is not None and inside.tag not in MAIN_TAGS:
+            inside = inside.parent
+        if n.tag == "p" and inside is not None and rng.random() < 0.3:
+            n.tag = rng.choice(["li", "blockquote", "div", "td", "h2", "h3", "pre", "section", "dd"])
+        if rng.random() < 0.5:
+            n.content = [c if isinstance(c, Node) else shortened(c, rng) for c in n.content]
+    root.content = [
+        c for c in root.content if not isinstance(c, Node) or any(m.tag in MAIN_TAGS for m in walk(c)) or rng.random() < 0.6
+    ]
+    main = next(n for n in walk(root) if n.tag in MAIN_TAGS)
+    if rng.random() < 0.3 and len(main.content) > 1:
+        main.content = rng.sample(main.content, rng.randint(1, min(4, len(main.content))))
+
+
+def shortened(run: tuple[str, int], rng: random.Random) -> tuple[str, int]:
+    text = " ".join(run[0].split()[: rng.randint(1, 12)])
+    return text, min(run[1], len(text))
+
+
 def without_names(root: Node) -> None:
     """Take the telling tags and attributes away, so that shape and density have to tell."""
     for n in walk(root):
@@ -303,7 +326,8 @@ def without_names(root: Node) -> None:
 def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
     """Trees from pages whose markup names their article; None if there is no such page.
 
-    Each page teaches three times: as it is, with parts set apart put into it, and with its telling names taken away.
+    Each page teaches four times: as it is, with its telling names taken away, and twice varied, with parts set apart
+    put into it.
     """
     rng = random.Random(seed)
     roots = [r for r in map(parse_page, pages) if any(n.tag in MAIN_TAGS for n in walk(r))]
@@ -317,15 +341,18 @@ def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
         labels.append(wanted[1:])
         return wanted
 
-    for page, root in zip(pages, roots):
+    for root in roots:
         wanted = learn(root)
         without_names(root)
         learn(root, wanted)
-    for root in [r for r in map(parse_page, pages) if any(n.tag in MAIN_TAGS for n in walk(r))]:
-        set_apart(root, leaves, rng)
-        learn(root)
+    for turn in range(2):
+        for root in [r for r in map(parse_page, pages) if any(n.tag in MAIN_TAGS for n in walk(r))]:
+            vary(root, rng)
+            if turn or rng.random() < 0.5:
+                set_apart(root, leaves, rng)
+            learn(root)
     y = np.concatenate(labels) if labels else np.zeros(0)
-    return fit_trees(np.concatenate(rows), y) if len(set(y.tolist())) == 2 else None
+    return fit_trees(np.concatenate(rows), y, rounds=100, depth=4) if len(set(y.tolist())) == 2 else None
 
 
 def extract_text(pages: list[str], trees: Trees | None) -> Iterator[str]:
