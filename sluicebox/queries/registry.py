@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse
 from sluicebox.queries.raw_events import DAY, DENIED, load_events, raw_events
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.compaction import compact_text
-from sluicebox.sources.json_events import read_json, read_types
+from sluicebox.sources.json_events import read_json, read_split
 from sluicebox.sources.layout import publish_partitions
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 from sluicebox.sources.tables import read_day, read_table, register_view, write_table
@@ -144,8 +143,7 @@ def json_roundtrip_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "split")
     write_split(_retained(spark, sf_dir), path)
-    scans = [scan.withColumn("et", F.lit(et)) for et, scan in read_types(spark, path).items()]
-    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
+    return read_split(spark, path)
 
 
 def json_schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
