@@ -1,0 +1,76 @@
+"""The stages one after the other, and every registered query over the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+import corpus_pipeline
+from sluicebox.llm.queries import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_reads_its_whole_table(spark, name):
+    rows = QUERIES[name](spark, SF)
+    table, key = ("pages", "page_id") if name.startswith("op4_") else ("documents", "doc_id")
+    if name.startswith("op7_"):
+        assert rows.select("query_id").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+        return
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert {r[0] for r in rows.select(key).collect()} == want
+
+
+def test_sql(spark):
+    duck = duckdb.connect()
+    for path in Path(SF).glob("*.parquet"):
+        duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    for name, sql in ORACLE.items():
+        df = QUERIES[name](spark, SF)
+        result = duck.execute(sql)
+        columns = [c[0] for c in result.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_registration():
+    assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string"))
+    copies = docs.where("doc_id % 5 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    secret = docs.orderBy("doc_id").limit(1).withColumn("doc_id", F.lit(2_000_000).cast("long"))
+    prose = " ".join(f"{a} {b}" for a in ("river", "morning", "house", "people") for b in ("light", "water", "under", "small") for _ in range(2))
+    secret = secret.withColumn("text", F.lit(prose + " token = 0123456789abcdef0123456789abcdef and so on").cast("string"))
+    docs = docs.unionByName(odd).unionByName(copies).unionByName(copies).unionByName(secret)
+    docs = docs.withColumn("PAGE", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("spans", F.lit("s"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.materialise(stage(spark, before, SF), name)
+        assert docs.columns == before.columns and docs.count() <= before.count()
+        keys = [r[0] for r in docs.select("doc_id").collect()]
+        if name == "quality_rules":
+            assert docs.where("text IS NULL").count() == 0
+        if name == "near_duplicates":
+            assert len(keys) == len(set(keys)) and not {k + 1_000_000 for k in keys} & set(keys)
+        if name == "secret_scan":
+            assert docs.count() == before.count()
+            assert docs.where("text RLIKE '[0-9a-f]{32}' OR n_chars <> length(text)").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r[0] for r in packed.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_nothing_else_imports_these_modules():
+    root = Path(entry_points.__file__).parent
+    others = [p for p in root.glob("sluicebox/**/*.py") if "llm" not in p.parts] + list(root.glob("tests/*.py")) + [root / "bench.py"]
+    assert others and not [p for p in others if "sluicebox.llm" in p.read_text() or "corpus_pipeline" in p.read_text()]

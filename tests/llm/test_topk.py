@@ -1,0 +1,78 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import sluicebox.llm.topk as topk
+
+
+def by_definition(rows, k):
+    vectors = []
+    for at, (key, v) in enumerate(rows):
+        if v and all(x is not None and math.isfinite(x) for x in v):
+            vectors.append((at, key, [math.floor(64 * x) for x in v]))
+    out = []
+    for at, key, v in vectors:
+        if key is None or key % 20:
+            continue
+        scored = [
+            (-sum(a * b for a, b in zip(v, w)), other is None, other or 0, where, other)
+            for where, other, w in vectors
+            if where != at and len(w) == len(v)
+        ]
+        out += [(key, i + 1, s[4], -s[0]) for i, s in enumerate(sorted(scored)[:k])]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("blocks", [(8192, 1024), (16, 3)])
+def test_against_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "ROWS", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    rng = random.Random(5)
+    rows = [(i, [round(rng.gauss(0, 0.3), 3) for _ in range(12)]) for i in range(260)]
+    rows += [(300 + i, rows[7][1]) for i in range(90)]
+    rows += [(400, None), (420, [1.0, None] * 6), (440, [float("nan")] + [0.0] * 11), (460, [float("inf")] * 12), (480, [])]
+    rows += [(None, [0.5] * 12), (500, [1.0, 2.0]), (501, [3.0, -1.0]), (520, [0.0] * 12)]
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<float>, row string")
+    # The floats of the table are what counts, not the literals they came from.
+    exact = [(r.vec_id, r.embedding) for r in df.collect()]
+    found = topk.top_products(df.repartition(5), F.col("vec_id") % 20 == 0, 9)
+    got = sorted(str((r.query_id, r["rank"], r.vec_id, r.score)) for r in found.collect())
+    assert got == by_definition(exact, 9)
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (0, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    found = topk.top_products(df, F.col("vec_id") % 20 == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 0, 8192)] * 2
+
+
+def test_nothing_to_search(spark):
+    df = spark.createDataFrame([(1, [1.0]), (20, None)], "vec_id long, embedding array<float>")
+    for table in (df, df.limit(0)):
+        found = topk.top_products(table, F.col("vec_id") % 20 == 0)
+        assert found.columns == ["query_id", "rank", "vec_id", "score"] and found.count() == 0
+
+
+def test_proof_holds_for_every_prefix_of_segments():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = np.floor(rng.standard_cauchy((500, 16)).clip(-40, 40) * 8)
+    queries = vectors[:20]
+    own = np.eye(20, 500, dtype=bool)
+    left = topk.ImpactIndex(vectors).possible(queries, 5, own)
+    scores = queries @ vectors.T
+    scores[own] = -np.inf
+    for i in range(20):
+        least = np.sort(scores[i])[-5]
+        assert left[i][scores[i] >= least].all() and not left[i][own[i]].any()
+    assert left.sum() < 20 * 100
+
+
+def test_large_components_stay_exact():
+    import numpy as np
+
+    vectors = np.array([[2.0**40, 1.0], [2.0**40, 0.0]])
+    assert topk.exact_scores(vectors, np.array([2.0**40, 3.0])).tolist() == [2**80 + 3, 2**80]
