@@ -25,18 +25,22 @@ TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 1 << 15, 1 << 15, 3
 CONTEXTS, ODDS = 4, 10.0
 #: Windows of the ordinary dictionary and of the cells' evidence.
 ORDINARY_WINDOWS = 100_000
-#: Calibrated thresholds on the evidence of a window: what counts at all, and what counts as a hit.
-SOME, HIT = 0.7, 2.0
+#: Thresholds on the evidence of a window, to choose from: what counts at all, and what counts as a hit.
+SOME, HIT = (0.7, 1.2), (1.5, 2.0, 2.5, 3.0, 3.5)
+#: The calibration looks at texts whose own labels had no part in the evidence: so many parts take turns.
+FOLDS = 4
 
 Cell = tuple[int, int, int]
 
 
 class ToxicityModel(NamedTuple):
-    """Two dictionaries, the evidence of each pair of compressed lengths, and the calibration of a text's score."""
+    """Two dictionaries, the evidence of each pair of compressed lengths, the thresholds, and a text's calibration."""
 
     toxic: bytes
     ordinary: bytes
     evidence: dict[Cell, float]
+    some: float
+    hit: float
     calibration: Logistic
 
 
@@ -105,7 +109,8 @@ def fit_toxicity(texts: list[str], labels: list[int]) -> ToxicityModel:
 
     A toxic text is ordinary in most places, so the toxic dictionary holds the windows of toxic texts whose word speaks
     for them, the most frequent last, where matches are cheapest. The ordinary dictionary is trained on windows of the
-    other texts. The evidence of a cell is how much more often windows of toxic texts fall into it.
+    other texts. The evidence of a cell is how much more often windows of toxic texts fall into it. The thresholds are
+    those whose calibration fits best texts that had no part in the evidence.
     """
     import zstandard
 
@@ -122,22 +127,41 @@ def fit_toxicity(texts: list[str], labels: list[int]) -> ToxicityModel:
     except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
         ordinary_bytes = b"".join(samples)[-ORDINARY_BYTES:] or MARGIN
     cells = WordCache(Lengths(toxic_bytes, ordinary_bytes), 500_000)
+    counted = [Counter(cells[w] for w in ws) for ws in cut]
+    y = np.array(labels, float)
+    fold = np.empty(len(y), np.int64)
+    for kind in (0, 1):  # each part gets as many texts of either kind
+        fold[y == kind] = np.arange((y == kind).sum()) % FOLDS
+    known = [cell_evidence(counted, y, fold != part) for part in range(FOLDS)]
+    values = [
+        np.array([known[part].get(cells[w], 0.0) for w in ws]) for ws, part in zip(cut, fold)
+    ]
+    fits = []
+    for some in SOME:
+        for hit in HIT:
+            model, loss = fit_logistic(np.array([features(v, some, hit) for v in values]), y)
+            fits.append((loss, some, hit, model))
+    _, some, hit, calibration = min(fits, key=lambda f: f[:3])
+    evidence = {c: v for c, v in cell_evidence(counted, y, fold >= 0).items() if v >= some}
+    return ToxicityModel(toxic_bytes, ordinary_bytes, evidence, some, hit, calibration)
+
+
+def cell_evidence(counted: list[Counter], y: np.ndarray, chosen: np.ndarray) -> dict[Cell, float]:
+    """How much more often, as a logarithm, windows of the chosen toxic texts fall into a cell than other windows."""
     counts = Counter(), Counter()
-    for ws, y in zip(cut, labels):
-        counts[int(y)].update(cells[w] for w in ws)
+    for found, label, use in zip(counted, y, chosen):
+        if use:
+            counts[int(label)].update(found)
     totals = [max(1, sum(c.values())) for c in counts]
     prior = 2 * max(1.0, 1e5 / min(totals))
-    share = lambda y, cell: prior + counts[y][cell] * 1e5 / totals[y]
-    evidence = {cell: float(np.log(share(1, cell) / share(0, cell))) for cell in {*counts[0], *counts[1]}}
-    found = np.array([features(np.array([evidence[cells[w]] for w in ws])) for ws in cut])
-    calibration, _ = fit_logistic(found, np.array(labels, float))
-    return ToxicityModel(toxic_bytes, ordinary_bytes, {c: v for c, v in evidence.items() if v >= SOME}, calibration)
+    share = lambda kind, cell: prior + counts[kind][cell] * 1e5 / totals[kind]
+    return {cell: float(np.log(share(1, cell) / share(0, cell))) for cell in {*counts[0], *counts[1]}}
 
 
-def features(values: np.ndarray) -> tuple:
+def features(values: np.ndarray, some: float, hit: float) -> tuple:
     """The evidence above either threshold, as a whole and as a share of the text, in logarithms."""
-    size, hits, some = len(values) + 6, float((values >= HIT).sum()), float(values[values >= SOME].sum())
-    return np.log1p(some), np.log((some + 0.05) / size), np.log1p(hits), np.log((hits + 0.05) / size)
+    size, hits, total = len(values) + 6, float((values >= hit).sum()), float(values[values >= some].sum())
+    return np.log1p(total), np.log((total + 0.05) / size), np.log1p(hits), np.log((hits + 0.05) / size)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_in: Column, rows: int = FIT_TEXTS) -> DataFrame:
@@ -169,8 +193,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text:
         values = [
             np.fromiter(map(value.__getitem__, ws), float, len(ws)) for ws in (windows(t or "") for t in texts)
         ]
-        found = np.array([features(v) for v in values]).reshape(-1, 4)
-        hits = np.array([(v >= HIT).sum() for v in values], np.int64)
+        found = np.array([features(v, model.some, model.hit) for v in values]).reshape(-1, 4)
+        hits = np.array([(v >= model.hit).sum() for v in values], np.int64)
         return {"score": model.calibration.probability(found), "n_toxic_windows": hits}
 
     return map_texts(docs, work, f"{kept}, score double, n_toxic_windows long", keep, text)
