@@ -25,7 +25,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     path, wherever the session was started.
     """
     context = df.sparkSession.sparkContext
-    if context.master.startswith("local["):
+    if context.master == "local" or context.master.startswith("local["):
         folder, known = str(Path(__file__).resolve().parents[2]), context.environment.get("PYTHONPATH", "")
         if folder not in known.split(os.pathsep):
             context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (folder, known)))
