@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from contextlib import contextmanager
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +57,7 @@ def scratch_path(spark: SparkSession, label: str, root: str | None = None) -> st
     """A new path under ``root``, by default in the folder that all executors share.
 
     The folder is ``spark.checkpoint.dir``. Only a local session may do without that setting; it gets a
-    temporary folder, which driver and tasks share because they are one process.
+    temporary folder, which driver and tasks share because they are one process; it is removed when that ends.
     """
     global _local_scratch
     root = root or spark.conf.get("spark.checkpoint.dir", None)
@@ -64,6 +66,7 @@ def scratch_path(spark: SparkSession, label: str, root: str | None = None) -> st
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="sluicebox-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         root = _local_scratch
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -22,7 +22,12 @@ def clustered(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def write_split(df: DataFrame, path: str) -> None:
-    """Gzip JSON lines in one directory per event type; fails if the path exists. Null fields are not written."""
+    """Gzip JSON lines in one directory per event type; fails if the path exists. Null fields are not written.
+
+    A column ``et`` is an error, as it would clash with the directory.
+    """
+    if "et" in df.columns:
+        raise ValueError("the events have a field named 'et', which is taken by the directory of the type")
     split = df.withColumn("et", df["event_type"])
     clustered(split, ["et"]).write.option("compression", "gzip").partitionBy("et").json(path)
 

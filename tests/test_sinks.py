@@ -7,7 +7,7 @@ from sluicebox.plans.preprocess import publish_wide
 from sluicebox.session import sql_settings
 from sluicebox.sources.compaction import compact_text
 from sluicebox.sources.layout import publish_partitions
-from sluicebox.sources.sinks import clustered, write_day, write_parquet
+from sluicebox.sources.sinks import clustered, write_day, write_parquet, write_split
 
 
 def contents(spark, path, schema="id bigint, k string"):
@@ -117,3 +117,9 @@ def test_merged_files_have_about_the_target_size(spark, tmp_path):
     compact_text(spark, str(source), str(target), target_mib=1)
     sizes = [f.stat().st_size for f in target.glob("*/*.txt")]
     assert sum(sizes) == 12 * 300000 and len(sizes) == 4 and max(sizes) <= 1.1 * 1024 * 1024
+
+
+def test_a_field_that_would_clash_with_the_directory(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "event_type string, et string")
+    with pytest.raises(ValueError, match="'et'"):
+        write_split(df, str(tmp_path / "split"))
