@@ -369,6 +369,19 @@ def extract_text(pages: list[str], trees: Trees | None) -> Iterator[str]:
         start += len(rows)
 
 
+def sampled_pages(pages: DataFrame, html: str, rows: int) -> list[str]:
+    """``rows`` different pages at most, the first by a hash of the page.
+
+    Only hashes are sorted, so that no task sends pages that are not among the first; copies of a page are one.
+    """
+    hashed = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.col(html).alias("page"))
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not first:
+        return []
+    found = hashed.where(F.col("h") <= first[-1]).groupBy("h").agg(F.first("page").alias("page"))
+    return [r["page"] for r in sorted(found.collect())]
+
+
 def extract_main_text(pages: DataFrame, keep: list[str], html: str = "html", rows: int = FIT_PAGES) -> DataFrame:
     """The columns ``keep`` and ``main_text`` of every page.
 
@@ -376,9 +389,7 @@ def extract_main_text(pages: DataFrame, keep: list[str], html: str = "html", row
     shuffled. A null or empty page has no text; a page without tags is all text. Repeated rows and null keys are pages
     like any other, an empty table gives no row.
     """
-    source = pages.where(F.col(html).isNotNull()).select(html)
-    taught = source.orderBy(F.xxhash64(html), html).limit(rows).collect()
-    trees = fit_pages([r[0] for r in taught])
+    trees = fit_pages(sampled_pages(pages, html, rows))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
 
     def work(texts: list[str | None]) -> dict[str, object]:
