@@ -49,8 +49,8 @@ def token_caches(byte_level: str, pieces: str) -> tuple[WordCache, WordCache, np
     fallback = np.array([model.is_byte(i) for i in range(model.vocab_size())])
     pack = lambda ids: np.asarray(ids, "<u2").tobytes()
     return (
-        WordCache(lambda word: pack(coding.encode_ordinary(" " + word.decode())), 250_000),
-        WordCache(lambda word: pack(model.encode(word.decode(), num_threads=1)), 250_000),
+        WordCache(lambda word: pack(coding.encode_ordinary(" " + word.decode()))),
+        WordCache(lambda word: pack(model.encode(word.decode(), num_threads=1))),
         fallback,
     )
 
