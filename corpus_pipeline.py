@@ -32,10 +32,20 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
-    rows = materialise(with_page(docs, "text", F.monotonically_increasing_id().alias("ROW")), "rows")
-    copies = near_duplicates(rows, key="ROW", words=5, percent=80).where("NOT kept").select("ROW")
-    return rows.join(copies, "ROW", "left_anti").select("PAGE.*")
+    """Keep one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more.
+
+    A document is named by 64 bits of its key and text, so that no copy of the texts has to be numbered and written.
+    Rows that share their name are repeated rows, of which one stays; these alone are brought together.
+    """
+    name = F.xxhash64("doc_id", "text").alias("NAME")
+    found = near_duplicates(docs.select(name, "text"), key="NAME", words=5, percent=80).select("NAME", "kept")
+    found = materialise(found, "verdicts")
+    gone = found.where("NOT kept").select("NAME").distinct()
+    repeated = found.where("kept").groupBy("NAME").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("NAME")
+    rows = with_page(docs, name)
+    single = rows.join(gone.unionByName(repeated), "NAME", "left_anti")
+    first = rows.join(repeated, "NAME", "left_semi").dropDuplicates(["NAME"])
+    return single.unionByName(first).select("PAGE.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
