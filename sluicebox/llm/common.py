@@ -13,9 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicebox.session import materialise
+from sluicebox.session import materialise, sql_settings
 
 TEXT_BATCH_BYTES = 4 << 20
+TEXT_ROWS = 1000
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
@@ -77,6 +78,15 @@ def map_texts(
     return map_batches(df.select(*keep, *([] if text in keep else [text])), run, schema)
 
 
+def materialise_texts(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that Python makes of whole texts, and read it back.
+
+    Rows go to Python by TEXT_ROWS, as rows with their texts are large and both sides hold a batch.
+    """
+    with sql_settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=TEXT_ROWS):
+        return materialise(df, label)
+
+
 def schema_of(ddl: str) -> pa.Schema:
     """The Arrow schema of a schema string."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, schema_of
+from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of
 from sluicebox.llm.fertility import SPACES, repeated_lines, repeated_words
 from sluicebox.session import materialise
 
@@ -242,7 +242,7 @@ def classify_quality(
     mean = mean.where(held_in) if held_in is not None else mean
     mean = mean.groupBy(F.col("doc_id").alias("LABELLED")).agg((F.avg(label) >= 0.5).cast("double").alias("MEAN"))
     keyed = docs.withColumn("LABEL_KEY", F.col("doc_id"))
-    featured = materialise(view_features(keyed, [*keep, "LABEL_KEY"]), "features")
+    featured = materialise_texts(view_features(keyed, [*keep, "LABEL_KEY"]), "features")
     joined = featured.join(mean, F.col("LABEL_KEY") == F.col("LABELLED"), "left")
     rows = materialise(
         joined.select("LABEL_KEY", *VIEWS, F.coalesce("MEAN", F.lit(-1.0)).alias("LABEL")), "labelled"

@@ -9,9 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import map_texts
+from sluicebox.llm.common import map_texts, materialise_texts
 from sluicebox.llm.tokens import WordCache, vocabulary_path
-from sluicebox.session import materialise
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -49,8 +48,8 @@ def token_caches(byte_level: str, pieces: str) -> tuple[WordCache, WordCache, np
     fallback = np.array([model.is_byte(i) for i in range(model.vocab_size())])
     pack = lambda ids: np.asarray(ids, "<u2").tobytes()
     return (
-        WordCache(lambda word: pack(coding.encode_ordinary(" " + word.decode()))),
-        WordCache(lambda word: pack(model.encode(word.decode(), num_threads=1))),
+        WordCache(lambda word: pack(coding.encode_ordinary(" " + word.decode())), 300_000),
+        WordCache(lambda word: pack(model.encode(word.decode(), num_threads=1)), 300_000),
         fallback,
     )
 
@@ -142,7 +141,7 @@ def quality_rules(df: DataFrame, keep: list[str], language: str = "lang", text:
     rows get the same verdict; an empty table gives no row.
     """
     marked = df.select(*keep, F.coalesce(F.col(language), F.lit("")).alias("LANGUAGE"), F.col(text).alias("TEXT"))
-    measured = materialise(measure_texts(marked, [*keep, "LANGUAGE"], "TEXT"), "measured")
+    measured = materialise_texts(measure_texts(marked, [*keep, "LANGUAGE"], "TEXT"), "measured")
     bands = language_bands(measured, "LANGUAGE")
     joined = measured.join(bands, F.col("LANGUAGE") == F.col("BAND"), "left")
     steady = F.sqrt(F.least(F.lit(1.0), F.col("n_tokens") / STEADY_TOKENS))

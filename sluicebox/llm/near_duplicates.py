@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, schema_of, text_slices
+from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices
 from sluicebox.llm.components import connected_components
+from sluicebox.operators.sampling import first_rows
 from sluicebox.session import materialise
 
 #: Two texts that share 85 % of their shingles miss all 32 bands of 6 with a probability of 3 in 10 million.
@@ -20,6 +21,8 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
 #: Members of a candidate cluster that are compared in one task are two blocks of about this many.
 BLOCK, TILE, COLUMNS = 4096, 512, 16384
+#: Members of a cluster that all others meet first.
+LEADERS = 256
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: a published 64-bit mixer
 _random = np.random.default_rng(20240229)
@@ -137,8 +140,8 @@ def shingle_sets(named: DataFrame, words: int) -> DataFrame:
 class Forest:
     """Labels of connected members; merging two labels says that an edge is new."""
 
-    def __init__(self, size: int):
-        self.label = np.arange(size)
+    def __init__(self, known: np.ndarray):
+        self.label = np.unique(known, return_inverse=True)[1]
 
     def merge(self, a: int, b: int) -> None:
         old, new = self.label[a], self.label[b]
@@ -169,11 +172,19 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], pairs: np.nda
 
 
 def linked_pairs(
-    sets: list[np.ndarray], sketches: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int
+    sets: list[np.ndarray],
+    sketches: np.ndarray,
+    first: np.ndarray,
+    second: np.ndarray,
+    percent: int,
+    known: np.ndarray,
 ) -> list[tuple[int, int]]:
-    """A forest that connects what the links between the members ``first`` and ``second`` connect."""
+    """A forest that connects what the links between the members ``first`` and ``second`` connect.
+
+    Members with the same label in ``known`` are connected already.
+    """
     limit, sizes = sketch_limit(percent), np.array([len(s) for s in sets], np.int64)
-    forest, edges = Forest(len(sets)), []
+    forest, edges = Forest(known), []
     for a in range(0, len(first), TILE):
         left = first[a : a + TILE]
         for b in range(0, len(second), TILE):
@@ -211,15 +222,15 @@ def near_duplicates(
     1. Each text's set gives a size, a name, an odd sketch and band keys. Equal sets are one class, so that a third of
        all rows being copies is one row from here on.
     2. Classes that share a band are joined through the band's least member, never in pairs: clusters of candidates.
-    3. Only texts of clusters with two classes or more are read again for their whole sets. A cluster is cut into blocks
-       of about BLOCK members and two blocks meet in a task, which compares all their sketches and then the sets of all
-       pairs that the sketches leave. It returns a forest of the links, at most one row a member, not the pairs.
+    3. Only texts of clusters are read again for their whole sets. Two blocks of about BLOCK members meet in a task,
+       which compares all their sketches and then the sets of the pairs that the sketches leave. It returns a forest of
+       the links, at most one row a member, not the pairs. See :func:`confirmed_links` for which blocks have to meet.
     4. Components of these links.
 
     A null text, or one without words, has no shingles and is linked with nothing. Rows with the same key are separate
     texts; a null key is never the smallest unless all are null. An empty table gives no row.
     """
-    signed = materialise(signatures(docs, key, text, words), "signatures")
+    signed = materialise_texts(signatures(docs, key, text, words), "signatures")
     name = ["set_a", "set_b"]
     some = F.struct("sketch", "bands", F.col(key).alias("key"), "text_hash")
     classes = materialise(
@@ -254,34 +265,90 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
 def confirmed_links(
     docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, words: int, percent: int
 ) -> DataFrame:
-    """A forest of the links between classes, as edges u, v."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    dealt = clusters.join(sizes.select("root", blocks), "root")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    members = dealt.select(F.col("node").alias("set_a"), "root", "blocks", block).join(classes, "set_a")
-    wanted = members.select("set_a", "root", "blocks", "block", "sketch", "key", "text_hash")
+    """A forest of the links between classes, as edges u, v.
+
+    Within each cluster: (1) a member is alone for certain if too many of its shingles are in no other member's set.
+    (2) The others meet the cluster's leaders, the LEADERS members with the fewest shingles of their own; these are the
+    texts that most others are variants of. Where all members are leaders, all pairs have met. (3) Members that are not
+    linked with the largest component yet meet all members that they are not linked with.
+    """
+    members = materialise(cluster_sets(docs, classes, clusters, key, text, words), "members")
+    items = members.select("root", "set_a", F.explode("items").alias("item"))
+    single = items.groupBy("root", "item").agg(F.count(F.lit(1)).alias("n"), F.min("set_a").alias("set_a")).where("n = 1")
+    own = single.groupBy("set_a").agg(F.count(F.lit(1)).alias("own"))
+    size = F.size("items")
+    scored = members.select("set_a", "root", size.alias("size")).join(own, "set_a", "left").na.fill(0, ["own"])
+    live = materialise(scored.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")).drop("size"), "live")
+    sizes = materialise(live.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    met = first_rows(live.join(sizes.select("root"), "root"), ["root"], LEADERS, ["own", "set_a"], lanes=16)
+    leaders = materialise(met.select("set_a"), "leaders")
+    sets = members.join(live.select("set_a"), "set_a").join(sizes, "root")
+
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    every = sets.withColumn("low", F.pmod(F.xxhash64("set_a"), blocks).cast("int")).withColumn("side", F.lit(0))
+    first = sets.join(leaders, "set_a").withColumn("low", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    columns = ["root", "low", "side", "set_a", "sketch", "items"]
+    dealt = every.select(columns).unionByName(first.withColumn("side", F.lit(1)).select(columns))
+    dealt = dealt.withColumn("label", F.col("set_a"))
+    found = materialise(compared(dealt, ["root", "low"], percent), "found")
+
+    left = sets.where(F.col("members") > LEADERS)
+    labels = connected_components(found).select(F.col("node").alias("set_a"), F.col("root").alias("label"))
+    named = left.join(labels, "set_a", "left").withColumn("label", F.coalesce("label", "set_a"))
+    named = materialise(named.select("root", "set_a", "label"), "labels")
+    counts = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    home = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("home"), F.sum("n").alias("all"))
+    home = home.select("root", F.col("home.label").alias("home"), "home.n", (F.col("all") - F.col("home.n")).alias("rest"))
+    home = materialise(home.where("rest > 0"), "home")
+    parts = home.select(
+        "root",
+        "home",
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"),
+        F.ceil(F.col("rest") / BLOCK).cast("int").alias("rests"),
+    )
+    open_members = named.join(parts, "root").join(members.select("set_a", "sketch", "items"), "set_a")
+    at_home = F.col("label") == F.col("home")
+    count = F.when(at_home, F.col("homes")).otherwise(F.col("rests"))
+    own_block = F.pmod(F.xxhash64("set_a"), count).cast("int") + F.when(at_home, F.col("rests")).otherwise(0)
+    # Blocks of the rest come first; they meet one another and those of the largest component.
+    rests, both = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("rests") + F.col("homes") - 1)
+    others = F.when(at_home, rests).otherwise(both)
+    placed = open_members.withColumn("block", own_block).withColumn("other", F.explode(others))
+    placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    placed = placed.withColumn("side", F.when(F.col("block") == F.col("low"), 0).otherwise(1))
+    rest = compared(placed.select("root", "low", "high", "side", "set_a", "sketch", "items", "label"), ["root", "low", "high"], percent)
+    return found.unionByName(rest)
+
+
+def cluster_sets(
+    docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, words: int
+) -> DataFrame:
+    """``set_a``, ``root``, ``sketch`` and the whole shingle set of each class that is in a cluster."""
+    wanted = clusters.select(F.col("node").alias("set_a"), "root").join(classes, "set_a")
+    wanted = wanted.select("set_a", "root", "sketch", "key", "text_hash")
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     same = F.col("w.key").eqNullSafe(F.col("t.key")) & (F.col("w.text_hash") == F.col("t.text_hash"))
-    found = texts.alias("t").join(wanted.alias("w"), same).select(
-        "w.set_a", "w.root", "w.blocks", "w.block", "w.sketch", "t.text"
-    )
-    sets = shingle_sets(found.dropDuplicates(["set_a"]), words)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = sets.select("set_a", "root", "block", "sketch", "items", other)
-    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    found = texts.alias("t").join(wanted.alias("w"), same).select("w.set_a", "w.root", "w.sketch", "t.text")
+    return shingle_sets(found.dropDuplicates(["set_a"]), words)
+
+
+def compared(dealt: DataFrame, group: list[str], percent: int) -> DataFrame:
+    """A forest of the links between side 0 and side 1 of each group, among members that differ in ``label``.
+
+    A group without a side 1 is compared with itself. A member may stand on both sides.
+    """
     arrow = schema_of("u long, v long")
 
-    def compare(group: pa.Table) -> pa.Table:
-        names = group.column("set_a").to_numpy()
-        sets = [x.values.to_numpy().view(np.uint64) for x in group.column("items")]
-        sketches = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64)
-        block, high, low = (group.column(n).to_numpy() for n in ("block", "high", "low"))
-        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if low[0] == high[0]:
-            second = first
-        edges = linked_pairs(sets, sketches, first, second, percent)
+    def compare(rows: pa.Table) -> pa.Table:
+        names, index, back = np.unique(rows.column("set_a").to_numpy(), return_index=True, return_inverse=True)
+        side = rows.column("side").to_numpy()
+        first, second = np.unique(back[side == 0]), np.unique(back[side == 1])
+        members = rows.take(pa.array(index))
+        sets = [x.values.to_numpy().view(np.uint64) for x in members.column("items")]
+        sketches = np.array(members.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        known = members.column("label").to_numpy()
+        edges = linked_pairs(sets, sketches, first, second if len(second) else first, percent, known)
         u, v = ([int(names[e[side]]) for e in edges] for side in (0, 1))
         return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=arrow)
 
-    return met.groupBy("root", "low", "high").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy(*group).applyInArrow(compare, "u long, v long")

@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import map_batches, numbered, schema_of, text_slices, whole_texts
+from sluicebox.llm.common import map_batches, materialise_texts, numbered, schema_of, text_slices, whole_texts
 from sluicebox.llm.tokens import rank_encoder, vocabulary_path
-from sluicebox.session import materialise
 
 CAPACITY = 1024
 END_ID = 2
@@ -146,7 +145,7 @@ def pack_documents(
     are documents of their own, and ties in length go by document, piece and checksum. An empty table gives no row.
     """
     path, rank_path = path or vocabulary_path("byte_bpe_50k.json"), rank_path or vocabulary_path("byte_bpe_50k.tiktoken")
-    pieces = materialise(token_pieces(docs, path, rank_path, capacity, end_id), "pieces")
+    pieces = materialise_texts(token_pieces(docs, path, rank_path, capacity, end_id), "pieces")
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = best_fit_decreasing(lengths, capacity)
     runs.sort()

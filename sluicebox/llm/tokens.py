@@ -7,11 +7,14 @@ import base64
 import os
 import re
 import sys
+import weakref
 from collections.abc import Callable
 from functools import lru_cache
 
 CACHED_WORDS = 450_000
 CACHED_CHARS = 64
+#: Of all caches of a Python worker.
+WORDS_IN_ALL = 950_000
 #: Fixed value: the one special token of the vocabulary.
 SPECIAL = "<|endoftext|>"
 #: A space before white space or at the end, or a special token: such texts are encoded in one piece.
@@ -34,17 +37,31 @@ def packed(ids: list[int]) -> bytes:
 
 
 class WordCache(dict):
-    """What ``make`` gives for a word. It is cleared when full, so that its memory is bounded whatever the texts hold."""
+    """What ``make`` gives for a word. It is cleared when full, so that its memory is bounded whatever the texts hold.
+
+    A Python worker runs many stages. When all its caches together are too large, those not in use just now are cleared.
+    """
+
+    known: list[weakref.ref] = []
 
     def __init__(self, make: Callable[[str], object], words: int = CACHED_WORDS):
         super().__init__()
         self.make, self.words = make, words
+        WordCache.known = [ref for ref in WordCache.known if ref() is not None] + [weakref.ref(self)]
+
+    def make_room(self) -> None:
+        others = [cache for ref in WordCache.known if (cache := ref()) is not None and cache is not self]
+        if len(self) + sum(map(len, others)) > WORDS_IN_ALL:
+            for cache in others:
+                cache.clear()
 
     def __missing__(self, word: str) -> object:
         value = self.make(word)
         if len(word) <= CACHED_CHARS:
             if len(self) >= self.words:
                 self.clear()
+            if not len(self) % 4096:
+                self.make_room()
             self[word] = value
         return value
 
