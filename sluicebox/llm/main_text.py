@@ -52,6 +52,8 @@ ASIDE_WORDS = set(
     "breadcrumb breadcrumbs pagination pager widget toolbar popup modal copyright".split()
 )
 MAIN_WORDS = set("article content post entry main story body text prose".split())
+#: Blocks whose attributes may name the article; those of a heading, paragraph or list name a part of it.
+HOLDERS = set("div section td table center".split())
 KINDS = {"p": 1, "li": 3, "ul": 3, "ol": 3, "dl": 3, "blockquote": 4, "pre": 4, "figure": 4, "table": 5, "td": 5, "tr": 5}
 KINDS |= {f"h{i}": 2 for i in range(1, 7)} | {t: 6 for t in MAIN_TAGS} | {t: 7 for t in ASIDE_TAGS}
 
@@ -259,6 +261,66 @@ def decode(nodes: list[Node], margins: np.ndarray, most: float = 4.0) -> str:
     return " ".join(runs)
 
 
+def is_apart(node: Node) -> bool:
+    return node.tag in ASIDE_TAGS or any(w in ASIDE_WORDS for w in node.words)
+
+
+def named_main(nodes: list[Node]) -> list[Node]:
+    """The nodes that the markup names as the article, of a page's nodes in page order.
+
+    Tags decide; where a page has none, class, id and role of a block that holds others do, outside parts set apart.
+    """
+    if main := [n for n in nodes if n.tag in MAIN_TAGS]:
+        return main
+    apart: dict[int, bool] = {}
+    for n in nodes:
+        apart[id(n)] = apart.get(id(n.parent), False) or is_apart(n)
+        if n.tag in HOLDERS and not apart[id(n)] and n.content and any(w in MAIN_WORDS for w in n.words):
+            main.append(n)
+    return main
+
+
+def dense_text(nodes: list[Node]) -> str:
+    """The main text by text and link density, for a page whose markup names no article.
+
+    The published rules of Kohlschuetter et al. (2010) on the words and link densities of a block and its neighbours; a
+    block is the text that a node holds itself. On a page of short blocks all count that are not mostly links, and parts
+    that are set apart by name count only if nothing else is left.
+    """
+    if len(nodes) == 1:
+        return " ".join(c[0] for c in nodes[0].content)
+    apart: dict[int, bool] = {}
+    blocks: list[tuple[Node, float, float]] = []
+    for n in nodes:
+        apart[id(n)] = apart.get(id(n.parent), False) or is_apart(n)
+        own = [c for c in n.content if not isinstance(c, Node)]
+        if own:
+            # Texts without spaces have few words, but as many bytes.
+            words = max(n.size[0], sum(len(t.encode()) for t, _ in own) / 8)
+            blocks.append((n, words, sum(k for _, k in own) / max(1, sum(len(t) for t, _ in own))))
+    good, none = [], (None, 0.0, 0.0)
+    for before, block, after in zip([none, *blocks], blocks, [*blocks[1:], none]):
+        if before[2] <= 5 / 9:
+            fine = block[1] > 16 or after[1] > 15 or before[1] > 4
+        else:
+            fine = block[1] > 40 or after[1] > 17
+        good.append(fine and block[2] <= 1 / 3)
+    plain = [density <= 1 / 3 for _, _, density in blocks]
+    beside = [not apart[id(n)] for n, _, _ in blocks]
+    choices = ([g and b for g, b in zip(good, beside)], [p and b for p, b in zip(plain, beside)], good, plain)
+    chosen = next(filter(any, choices), plain)
+    kept = {id(n) for (n, _, _), use in zip(blocks, chosen) if use}
+    runs: list[str] = []
+    stack: list[Node | str] = [nodes[0]]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            runs.append(item)
+        else:
+            stack += [c if isinstance(c, Node) else c[0] for c in reversed(item.content) if isinstance(c, Node) or id(item) in kept]
+    return " ".join(runs)
+
+
 def teaching_labels(nodes: list[Node]) -> np.ndarray:
     """What the markup itself says of the nodes: inside an article and in no part that is set apart, or not.
 
@@ -266,10 +328,10 @@ def teaching_labels(nodes: list[Node]) -> np.ndarray:
     """
     good: dict[int, int] = {}
     inside: dict[int, bool] = {}
+    main = {id(n) for n in named_main(nodes)}
     for n in nodes:
         above = inside.get(id(n.parent), False)
-        apart = n.tag in ASIDE_TAGS or any(w in ASIDE_WORDS for w in n.words)
-        inside[id(n)] = (above or n.tag in MAIN_TAGS) and not apart
+        inside[id(n)] = (above or id(n) in main) and not is_apart(n)
     for n in reversed(nodes):
         own = sum(len(c[0]) for c in n.content if not isinstance(c, Node)) if inside[id(n)] else 0
         good[id(n)] = own + sum(good[id(c)] for c in n.children)
@@ -278,7 +340,7 @@ def teaching_labels(nodes: list[Node]) -> np.ndarray:
 
 def set_apart(root: Node, others: list[Node], rng: random.Random) -> None:
     """Put parts that do not belong to an article into it: what stands around it, and text of other pages by name."""
-    main = next((n for n in walk(root) if n.tag in MAIN_TAGS), None)
+    main = next(iter(named_main(walk(root))), None)
     if main is None:
         return
     for _ in range(rng.randint(1, 3)):
@@ -295,20 +357,21 @@ def set_apart(root: Node, others: list[Node], rng: random.Random) -> None:
 
 def vary(root: Node, rng: random.Random) -> None:
     """Make a page unlike its site's others: short texts, other block tags in the article, less around it."""
+    named = named_main(walk(root))
+    main = {id(n) for n in named}
+    inside: dict[int, bool] = {}
     for n in walk(root):
-        inside = n
-        while inside is not None and inside.tag not in MAIN_TAGS:
-            inside = inside.parent
-        if n.tag == "p" and inside is not None and rng.random() < 0.3:
+        inside[id(n)] = inside.get(id(n.parent), False) or id(n) in main
+        if n.tag == "p" and inside[id(n)] and rng.random() < 0.3:
             n.tag = rng.choice(["li", "blockquote", "div", "td", "h2", "h3", "pre", "section", "dd"])
         if rng.random() < 0.5:
             n.content = [c if isinstance(c, Node) else shortened(c, rng) for c in n.content]
     root.content = [
-        c for c in root.content if not isinstance(c, Node) or any(m.tag in MAIN_TAGS for m in walk(c)) or rng.random() < 0.6
+        c for c in root.content if not isinstance(c, Node) or any(id(m) in main for m in walk(c)) or rng.random() < 0.6
     ]
-    main = next(n for n in walk(root) if n.tag in MAIN_TAGS)
-    if rng.random() < 0.3 and len(main.content) > 1:
-        main.content = rng.sample(main.content, rng.randint(1, min(4, len(main.content))))
+    first = named[0]
+    if rng.random() < 0.3 and len(first.content) > 1:
+        first.content = rng.sample(first.content, rng.randint(1, min(4, len(first.content))))
 
 
 def shortened(run: tuple[str, int], rng: random.Random) -> tuple[str, int]:
@@ -324,13 +387,13 @@ def without_names(root: Node) -> None:
 
 
 def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
-    """Trees from pages whose markup names their article; None if there is no such page.
+    """Trees from pages whose markup names their article, by tag or by attribute; None if there is no such page.
 
     Each page teaches four times: as it is, with its telling names taken away, and twice varied, with parts set apart
     put into it.
     """
     rng = random.Random(seed)
-    roots = [r for r in map(parse_page, pages) if any(n.tag in MAIN_TAGS for n in walk(r))]
+    roots = [r for r in map(parse_page, pages) if named_main(walk(r))]
     leaves = [n for r in roots[:100] for n in walk(r) if n.content and not n.children]
     rows, labels = [], []
 
@@ -346,7 +409,7 @@ def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
         without_names(root)
         learn(root, wanted)
     for turn in range(2):
-        for root in [r for r in map(parse_page, pages) if any(n.tag in MAIN_TAGS for n in walk(r))]:
+        for root in [r for r in map(parse_page, pages) if named_main(walk(r))]:
             vary(root, rng)
             if turn or rng.random() < 0.5:
                 set_apart(root, leaves, rng)
@@ -356,11 +419,11 @@ def fit_pages(pages: list[str], seed: int = 7) -> Trees | None:
 
 
 def extract_text(pages: list[str], trees: Trees | None) -> Iterator[str]:
-    """The main text of each page; without trees the markup's own names decide."""
+    """The main text of each page; without trees the markup's own names decide, and where it names none, density."""
     parsed = [node_features(parse_page(p)) for p in pages]
     if trees is None:
         for nodes, _ in parsed:
-            yield decode(nodes, teaching_labels(nodes) * 2 - 1)
+            yield decode(nodes, teaching_labels(nodes) * 2 - 1) if named_main(nodes) else dense_text(nodes)
         return
     margins = trees.margin(np.concatenate([rows for _, rows in parsed])) if parsed else np.zeros(0)
     start = 0

@@ -191,3 +191,27 @@ def test_extraction_operator(spark):
     texts = {r.page_id: r.main_text for r in found}
     assert texts[1000] == texts[1001] == "" and texts[None] == " ".join(ARTICLE) and texts[0]
     assert extract_main_text(df.limit(0), ["page_id"]).count() == 0
+
+
+def divs(html, words):
+    """The page without telling tags; attributes name the article, or nothing does."""
+    for old, new in (("<article>", f"<div{words}>"), ("</article>", "</div>"), ("<nav>", "<div class=menu>"), ("</nav>", "</div>")):
+        html = html.replace(old, new)
+    return html.replace("<footer>", "<div class=footer>")
+
+
+@pytest.mark.parametrize("words", [" class='post-content'", " role=main", " id=story", ""])
+def test_pages_without_telling_tags(spark, words):
+    rng = random.Random(11)
+    bodies = [[prose(rng, rng.randint(20, 60)).capitalize() + "." for _ in range(rng.randint(3, 8))] for _ in range(40)]
+    rows = [(i, divs(page(rng, b), words)) for i, b in enumerate(bodies)]
+    found = {r.page_id: r.main_text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, html string"), ["page_id"]).collect()}
+    assert [found[i] for i in range(len(rows))] == [" ".join(b) for b in bodies]
+
+
+def test_pages_that_name_no_article_are_not_dropped():
+    text = lambda html: list(extract_text([html], None))[0]
+    assert text("<div>Short one</div>") == "Short one"
+    assert text("<div class='content with-sidebar'><div>Short one</div><ul><li><a href=x>away</a></ul></div>") == "Short one"
+    assert text("<div class=sidebar><div class=text>By the way</div></div><div><p>Short one</p></div>") == "Short one"
+    assert text("<ul><li><a href=x>all of it</a></ul>") == ""
