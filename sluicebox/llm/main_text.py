@@ -27,8 +27,19 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What holds no text for readers: it is left out whatever the trees say.
-UNREAD = set("script style noscript template head title svg iframe object select option button textarea math".split())
+UNREAD = set(
+    "script style noscript template head title svg iframe object select option button textarea annotation annotation-xml".split()
+)
 RAW = set("script style textarea title iframe noscript".split())
+#: Elements in which a slash at the end of a start tag closes it, unless it ends a value without quotes.
+FOREIGN = {"svg", "math"}
+OPEN_VALUE = re.compile(r"=\s*[^\s\"'=<>`]*/$")
+#: Tags of what is left out and may hold others of its kind, beside comments and raw elements, whose tags do not count.
+NESTED = re.compile(
+    r"(?i)<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)"
+    rf"|<(/?)({'|'.join(sorted(UNREAD - RAW, reverse=True))})(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>",
+    re.S,
+)
 BLOCK = set(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup menu "
@@ -106,6 +117,7 @@ def parse_page(html: str) -> Node:
                 return
 
     at, end = 0, len(html)
+    ends: dict[int, int] | None = None
     while at < end:
         match = TOKEN.search(html, at)
         text = html[at : match.start() if match else end]
@@ -128,8 +140,16 @@ def parse_page(html: str) -> Node:
         if tag in VOID:
             parts.append(" ")
             continue
+        attributes = match[3] or match[6] or ""
+        if tag in FOREIGN and is_empty(attributes):
+            continue
+        if tag in RAW:
+            at = skip_raw(html, at, tag)
+            continue
         if tag in UNREAD:
-            at = skip(html, at, tag)
+            ends = element_ends(html) if ends is None else ends
+            at = html.find("<", at) if tag == "option" and at not in ends else ends.get(at, at)
+            at = end if at < 0 else at
             continue
         if tag in CLOSES_P:
             close_open({"p"}, {"table", "td", "th", "article", "body"})
@@ -137,7 +157,6 @@ def parse_page(html: str) -> Node:
             close_open(*GROUPS[tag])
         if tag in BLOCK and tag not in ("html", "body"):
             flush()
-            attributes = match[3] or match[6] or ""
             found = [next(filter(None, a), "") for a in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
             words = [w.lower() for value in found for w in WORD.findall(value)]
             node.content.append(child := Node(tag, words, node))
@@ -149,18 +168,35 @@ def parse_page(html: str) -> Node:
     return root
 
 
-def skip(html: str, at: int, tag: str) -> int:
-    """Behind the end of an element without text for readers. A raw one ends at its end tag whatever it holds."""
-    pattern = re.compile(rf"(?i)<(/?){tag}(?=[\s/>])[^>]*>")
-    depth = 1
-    while match := pattern.search(html, at):
-        at = match.end()
-        depth += -1 if match[1] else int(tag not in RAW)
-        if not depth:
-            return at
-    if tag in ("option", "head", "title", "button", "select"):
-        return at  # never closed: what follows may be the page
-    return len(html)
+def is_empty(attributes: str) -> bool:
+    """Whether a slash ends the start tag of an svg or math element."""
+    return attributes.endswith("/") and not OPEN_VALUE.search(attributes)
+
+
+def skip_raw(html: str, at: int, tag: str) -> int:
+    """Behind the end tag of an element that holds no tags; a title that never ends is passed over."""
+    match = re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>").search(html, at)
+    return match.end() if match else at if tag == "title" else len(html)
+
+
+def element_ends(html: str) -> dict[int, int]:
+    """Where the elements without text for readers end, by the end of their start tag.
+
+    One pass over the page, however many there are. An element that is never closed has no entry: what follows may be
+    the page.
+    """
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for match in NESTED.finditer(html):
+        tag = (match[3] or "").lower()
+        if not tag:
+            continue
+        if not match[2]:
+            if tag not in FOREIGN or not is_empty(match[4]):
+                waiting.setdefault(tag, []).append(match.end())
+        elif waiting.get(tag):
+            ends[waiting[tag].pop()] = match.end()
+    return ends
 
 
 def walk(root: Node) -> list[Node]:

@@ -215,3 +215,33 @@ def test_pages_that_name_no_article_are_not_dropped():
     assert text("<div class='content with-sidebar'><div>Short one</div><ul><li><a href=x>away</a></ul></div>") == "Short one"
     assert text("<div class=sidebar><div class=text>By the way</div></div><div><p>Short one</p></div>") == "Short one"
     assert text("<ul><li><a href=x>all of it</a></ul>") == ""
+
+
+@pytest.mark.parametrize(
+    "part, read",
+    [
+        ("<svg class=icon/>", ""),
+        ("<svg class='icon'/>", ""),
+        ("<svg viewBox='0 0 9 9' /><svg/><svg><svg/><title>no</title></svg>", ""),
+        ("<svg><path d='M0'/>", ""),
+        ("<object data=x>", ""),
+        ("<template>", ""),
+        ("<object>no<object>no</object></object>", ""),
+        ("<!-- <svg> --><svg><!-- <svg> --><text>no</text></svg>", ""),
+        ("<script>var a = '<svg>';</script><svg><text>no</text></svg>", ""),
+        ("<math/>", ""),
+        ("<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>no</annotation></semantics></math>", "x=1"),
+        ("<math><mi>x</mi>", "x"),
+        ("<select><option>no<option>no</select>", ""),
+        ("<datalist><option>no<option>no</datalist>", ""),
+    ],
+)
+def test_unread_elements_lose_nothing_else(part, read):
+    text = lambda html: list(extract_text([html], None))[0]
+    assert text(f"<article><p>before</p>{part}<p>after</p></article>") == " ".join(filter(None, ["before", read, "after"]))
+    assert text(f"{part}<article><p>before</p><p>after</p></article>").endswith("before after")
+
+
+def test_many_open_elements_take_one_pass():
+    html = "<article><p>" + "<svg><object>a " * 50_000 + "</article>"
+    assert list(extract_text([html], None))[0] == " ".join(["a"] * 50_000)
