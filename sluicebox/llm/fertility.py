@@ -25,11 +25,24 @@ STEADY_TOKENS = 512
 BANDS = {"chars_per_token": (-4.5, None), "byte_share": (None, 10.0), "token_entropy": (-3.0, None)}
 #: The least standard deviation of each measure, so that a uniform language has no empty band.
 LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.004, "token_entropy": 0.02}
+#: The spread is at most so many times that of the half of the texts that lies away from the band's limit. Garbage lies
+#: on the side of the limit, so that it cannot widen its own band unless it is half of the language.
+MOST_SPREAD = 1.5
+#: Limits that hold whatever the rest of a language is. Characters a token by language, as text of these languages has
+#: at least, also invented words; random letters a-z have 1.53, letters and digits 1.26, symbols 1.09.
+LANGUAGE_LIMITS = {"en": 1.7, "de": 1.7, "fr": 1.6, "es": 1.57}
+#: For other languages by script, told by bytes a character: Latin letters mostly (below the first number), or others,
+#: whose letters may take several tokens each.
+LATIN_BYTES, LATIN_LIMIT, OTHER_LIMIT = 1.2, 1.3, 0.2
+#: Byte fallbacks are rare in a script that the piece vocabulary knows: up to 0.1 in the samples seen, emojis have 0.8.
+BYTE_LIMIT, ENTROPY_LIMIT = 0.5, 0.3
 
 MEASURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 )
+#: What the limits need besides.
+INTERNAL = "WORD_BYTES bigint"
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +97,8 @@ def entropy(ids: np.ndarray) -> float:
 
 
 def measure_text(text: str, byte_level: WordCache, pieces: WordCache, fallback: np.ndarray) -> tuple:
-    words = text.encode().split()
+    encoded = text.encode()
+    words = encoded.split()
     chars = len(text) - sum(map(text.count, SPACES))
     ids = np.frombuffer(b"".join(map(byte_level.__getitem__, words)), "<u2")
     parts = np.frombuffer(b"".join(map(pieces.__getitem__, words)), "<u2")
@@ -98,6 +112,7 @@ def measure_text(text: str, byte_level: WordCache, pieces: WordCache, fallback:
         chars / len(ids) if len(ids) else 0.0,
         float(fallback[parts].mean()) if len(parts) else 0.0,
         entropy(ids),
+        len(encoded) - len(text) + chars,
     )
 
 
@@ -105,25 +120,31 @@ def measure_texts(df: DataFrame, keep: list[str], text: str = "text") -> DataFra
     """The columns ``keep`` and the measures of every whole text; a null text has no words."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     paths = vocabulary_path("byte_bpe_50k.tiktoken"), vocabulary_path("piece_bpe_32k.model")
-    names = [part.split()[0] for part in MEASURES.split(", ")]
+    made = f"{MEASURES}, {INTERNAL}"
+    names = [part.split()[0] for part in made.split(", ")]
 
     def work(texts: list[str | None]) -> dict[str, object]:
         caches = token_caches(*paths)
         return dict(zip(names, zip(*(measure_text(t or "", *caches) for t in texts))))
 
-    return map_texts(df, work, f"{kept}, {MEASURES}", keep, text)
+    return map_texts(df, work, f"{kept}, {made}", keep, text)
 
 
 def language_bands(measured: DataFrame, language: str) -> DataFrame:
     """Centre and spread of each measure over all of a language's texts that pass the base rules.
 
-    The centre is the median, the spread the distance of the quartiles as a standard deviation. Quantile sketches are
-    merged before the shuffle, so that a language with most of the rows is no large group. A language whose texts all
+    The centre is the median, the spread the distance of the quartiles as a standard deviation, with a floor and, from
+    the quartile away from the limit, a ceiling. Quantile sketches are merged before the shuffle, so that a language with most of the rows is no large group. A language whose texts all
     fail the base rules has no band, and needs none.
     """
     parts = [F.percentile_approx(name, [0.25, 0.5, 0.75], 5000).alias(name) for name in BANDS]
     bands = measured.where(~base_failed()).groupBy(F.col(language).alias("BAND")).agg(*parts)
-    spread = lambda n: F.greatest((F.col(n)[2] - F.col(n)[0]) / 1.349, F.lit(LEAST_SPREAD[n]))
+
+    def spread(name: str) -> Column:
+        low, centre, high = (F.col(name)[i] for i in range(3))
+        away = high - centre if BANDS[name][0] is not None else centre - low
+        return F.greatest(F.least((high - low) / 1.349, away * 2 / 1.349 * MOST_SPREAD), F.lit(LEAST_SPREAD[name]))
+
     columns = [c for n in BANDS for c in (F.col(n)[1].alias(f"{n}_centre"), spread(n).alias(f"{n}_spread"))]
     return bands.select("BAND", *columns)
 
@@ -132,12 +153,26 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def beyond_limit(name: str) -> Column:
+    """Whether a measure is one that no ordinary text has, whatever the other texts of its language are."""
+    if name == "byte_share":
+        return F.col(name) > BYTE_LIMIT
+    if name == "token_entropy":
+        return F.col(name) < ENTROPY_LIMIT
+    code = F.lower(F.substring_index(F.translate("LANGUAGE", "_", "-"), "-", 1))
+    latin = F.col("WORD_BYTES") < LATIN_BYTES * F.col("word_chars")
+    least = F.when(latin, LATIN_LIMIT).otherwise(OTHER_LIMIT)
+    for language, limit in LANGUAGE_LIMITS.items():
+        least = F.when(code == language, limit).otherwise(least)
+    return F.col(name) < least
+
+
 def quality_rules(df: DataFrame, keep: list[str], language: str = "lang", text: str = "text") -> DataFrame:
     """The columns ``keep``, the measures, ``base_failed``, the first ``reason`` against a text, and ``kept``.
 
     A text goes if it fails a base rule, or if a vocabulary fits it much worse than its language: few characters a
     token, many byte fallbacks, or few different tokens, beyond a band around the language's median over the whole
-    corpus. Null and empty texts have no words and fail. Texts without a language are a language of their own. Repeated
+    corpus, or beyond a fixed limit, which also holds for a language of one text or of garbage only. Null and empty texts have no words and fail. Texts without a language are a language of their own. Repeated
     rows get the same verdict; an empty table gives no row.
     """
     marked = df.select(*keep, F.coalesce(F.col(language), F.lit("")).alias("LANGUAGE"), F.col(text).alias("TEXT"))
@@ -149,7 +184,7 @@ def quality_rules(df: DataFrame, keep: list[str], language: str = "lang", text:
     for name, (low, high) in BANDS.items():
         z = (F.col(name) - F.col(f"{name}_centre")) / F.col(f"{name}_spread") * steady
         beyond = z < low if low is not None else z > high
-        reason = reason.when(beyond, name)
+        reason = reason.when(beyond | beyond_limit(name), name)
     measures = [part.split()[0] for part in MEASURES.split(", ")]
     out = joined.select(*keep, *measures, base_failed().alias("base_failed"), reason.alias("reason"))
     return out.withColumn("kept", F.col("reason").isNull())

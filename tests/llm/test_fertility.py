@@ -60,3 +60,50 @@ def test_verdicts(spark):
     assert quality_rules(df.limit(0), ["doc_id"]).count() == 0
     page = df.selectExpr("struct(*) AS PAGE", "text", "lang")
     assert quality_rules(page, ["PAGE"]).where("kept").selectExpr("PAGE.*").columns == df.columns
+
+
+GARBAGE = {
+    "chars_per_token": ("zqxjkvwpfgbh#@^~", 7),
+    "byte_share": ("\U0001f600\U0001f648\U0001f680\U0001f9ea\U0001fa90", 4),
+}
+
+
+def garbage(rng, kind, n=200):
+    letters, size = GARBAGE[kind]
+    return " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+
+
+def kept_keys(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    return {r.doc_id for r in quality_rules(df, ["doc_id"]).where("kept").collect()}
+
+
+def invented(rng, n):
+    return " ".join(rng.choice(WORDS)[:3] + rng.choice(WORDS)[-4:] for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", GARBAGE)
+def test_a_third_of_garbage_does_not_widen_its_band(spark, kind):
+    rng = random.Random(3)
+    rows = [(f"good {i}", invented(rng, rng.randint(200, 400)), "xx") for i in range(100)]
+    rows += [(f"junk {i}", garbage(rng, kind, rng.randint(150, 300)), "xx") for i in range(50)]
+    # As many random letters, which no fixed limit of an unknown language rejects.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(f"good {i}", invented(rng, rng.randint(200, 400)), "yy") for i in range(100, 200)]
+    rows += [
+        (f"junk y{i}", " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(300)), "yy") for i in range(50)
+    ]
+    assert kept_keys(spark, rows) == {k for k, *_ in rows if k.startswith("good")}
+
+
+def test_languages_of_one_text_or_garbage_only(spark):
+    rng = random.Random(4)
+    rows = [(f"junk {lang} {kind}", garbage(rng, kind), f"{lang}{i}") for i, kind in enumerate(GARBAGE) for lang in ("x", "y")]
+    rows += [(f"junk {i}", garbage(rng, "chars_per_token"), "zz") for i in range(20)]
+    rows += [("junk none", garbage(rng, "chars_per_token"), None), ("junk few", " ".join(rng.choice("abc") for _ in range(300)), "f")]
+    # Random letters in a language whose limit is known, also by its region.
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300))
+    rows += [("junk en", letters, "en_GB"), ("good en", invented(rng, 300), "en")]
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и совестью".split()
+    rows += [("good ru", " ".join(rng.choice(russian) for _ in range(200)), "ru")]
+    assert kept_keys(spark, rows) == {"good en", "good ru"}
