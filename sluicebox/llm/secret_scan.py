@@ -33,6 +33,11 @@ DIGEST = re.compile(r"(?ai:(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64
 IDENTIFIER = re.compile(
     r"(?ai:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9/_=+-]+|[/_=+-]*[a-z]+(?:[/_=+-]+[a-z]+)+[/_=+-]*)"
 )
+LEAST_RANDOM = 20
+#: Parts of a run, and those that are words, also several joined by capitals, or numbers. Shorter ones may be of a key.
+UUID = r"(?ai:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+PART = re.compile(rf"(?<![A-Za-z0-9+]){UUID}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
+ORDINARY = re.compile(UUID + r"|[A-Z]?[a-z]{3,19}|[A-Z]{4,19}|[a-z]+(?:[A-Z][a-z]+)+|[0-9]{4,19}|[a-z]{4,19}[0-9]{1,4}")
 
 Span = tuple[str, int, int]
 
@@ -64,15 +69,55 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def is_random(run: str, counts: WordCache, least: float) -> bool:
+    """Below ``least`` characters a token, long enough, and no digest or identifier."""
+    if len(run) < LEAST_RANDOM or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        return False
+    return len(run) < least * counts[run]
+
+
+def random_parts(text: str, start: int, end: int, counts: WordCache, least: float) -> list[Span]:
+    """The whole run, or else the parts of it between separators that are random.
+
+    A key may hold separators itself, so neighbouring parts that are no words, numbers, digests or UUIDs are one part.
+    """
+    if is_random(text[start:end], counts, least):
+        return [("random", start, end)]
+    found, groups = [], []
+    for match in PART.finditer(text, start, end):
+        if ORDINARY.fullmatch(match[0]) or DIGEST.fullmatch(match[0]):
+            groups.append([])
+        elif groups:
+            groups[-1].append(match.span())
+        else:
+            groups.append([match.span()])
+    for group in filter(None, groups):
+        whole = ("random", group[0][0], group[-1][1])
+        # A padded key ends with its padding.
+        while whole[2] < end and text[whole[2]] == "=":
+            whole = ("random", whole[1], whole[2] + 1)
+        if is_random(text[whole[1] : whole[2]], counts, least):
+            found.append(whole)
+        elif len(group) > 1:
+            found += [("random", s, e) for s, e in group if is_random(text[s:e], counts, least)]
+    return found
+
+
 def random_spans(text: str, counts: WordCache, known: list[Span], least: float = CHARS_PER_TOKEN) -> list[Span]:
-    """Runs below ``least`` characters a token that are no digest or identifier and touch no known span."""
+    """Runs and parts of runs below ``least`` characters a token that are no digest or identifier.
+
+    Known spans are cut out of a run, and what is left on either side is looked at like a run.
+    """
     found = []
     for match in CANDIDATE.finditer(text):
-        run, (start, end) = match[0], match.span()
-        if any(s < end and start < e for _, s, e in known) or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
-        if len(run) < least * counts[run]:
-            found.append(("random", start, end))
+        start, end = match.span()
+        for _, s, e in known:  # by start; spans of different kinds may overlap
+            if s < end and start < e:
+                if s > start:
+                    found += random_parts(text, start, s, counts, least)
+                start = max(start, e)
+        if start < end:
+            found += random_parts(text, start, end, counts, least)
     return found
 
 
