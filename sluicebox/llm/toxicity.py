@@ -14,7 +14,8 @@ from sluicebox.llm.common import map_texts
 from sluicebox.llm.logistic import Logistic, fit_logistic
 from sluicebox.llm.tokens import WordCache
 
-#: The model is fitted on so many labelled texts at most, chosen by a hash of their keys.
+#: The model is fitted on so many labelled texts at most, of either kind half if there are as many; within a kind they are
+#: chosen by a hash of their keys.
 FIT_TEXTS = 4000
 #: A window is a word, or a part of so many characters of a longer one; the windows cover the whole text.
 WINDOW = 24
@@ -104,9 +105,11 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> set[str]:
     }
 
 
-def fit_toxicity(texts: list[str], labels: list[int]) -> ToxicityModel:
+def fit_toxicity(texts: list[str], labels: list[int], odds: float = 0.0) -> ToxicityModel:
     """Dictionaries, evidence and calibration from labelled texts.
 
+    ``odds`` are the log odds of a toxic text among all labels beyond those among ``labels``; they go to the calibration.
+
     A toxic text is ordinary in most places, so the toxic dictionary holds the windows of toxic texts whose word speaks
     for them, the most frequent last, where matches are cheapest. The ordinary dictionary is trained on windows of the
     other texts. The evidence of a cell is how much more often windows of toxic texts fall into it. The thresholds are
@@ -142,6 +145,7 @@ def fit_toxicity(texts: list[str], labels: list[int]) -> ToxicityModel:
             model, loss = fit_logistic(np.array([features(v, some, hit) for v in values]), y)
             fits.append((loss, some, hit, model))
     _, some, hit, calibration = min(fits, key=lambda f: f[:3])
+    calibration = calibration._replace(weights=(calibration.weights[0] + odds, *calibration.weights[1:]))
     evidence = {c: v for c, v in cell_evidence(counted, y, fold >= 0).items() if v >= some}
     return ToxicityModel(toxic_bytes, ordinary_bytes, evidence, some, hit, calibration)
 
@@ -164,13 +168,27 @@ def features(values: np.ndarray, some: float, hit: float) -> tuple:
     return np.log1p(total), np.log((total + 0.05) / size), np.log1p(hits), np.log((hits + 0.05) / size)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_in: Column, rows: int = FIT_TEXTS) -> DataFrame:
-    """Texts and labels of ``rows`` labelled keys at most, the first by a hash; several labels of a key are averaged."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, held_in: Column, rows: int = FIT_TEXTS
+) -> tuple[DataFrame, float]:
+    """Texts and labels of ``rows`` labelled keys at most, and the log odds that the labels have beyond the sample's.
+
+    Several labels of a key are averaged. Each kind has half of the rows, and what the other one does not fill, so that
+    a rare kind is not left out; within a kind the first by a hash are taken.
+    """
     mean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & held_in)
-    chosen = mean.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("LABEL"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    keys = mean.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("LABEL"))
+    counts = {r["LABEL"]: r["n"] for r in keys.groupBy("LABEL").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [counts.get(kind, 0) for kind in (0, 1)]
+    ones = min(n[1], max(rows // 2, rows - n[0]))
+    take = [min(n[0], rows - ones), ones]
+    first = [
+        keys.where(F.col("LABEL") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take[kind]) for kind in (0, 1)
+    ]
+    chosen = first[0].unionByName(first[1])
+    odds = float(np.log(n[1] / take[1]) - np.log(n[0] / take[0])) if min(take) else 0.0
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "LABEL").agg(F.min("text").alias("text"))
+    return found.groupBy("doc_id", "LABEL").agg(F.min("text").alias("text")), odds
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -212,17 +230,18 @@ def window_evidence(name: str, model: ToxicityModel) -> WordCache:
     return _cache[name]
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7, rows: int = FIT_TEXTS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document; only held-in labels are used.
 
     Without any held-in label of both kinds there is nothing to learn, and all scores are zero.
     """
-    rows = labelled_sample(docs, labels, "toxic", ~held_out()).select("text", "LABEL").collect()
-    if len({r["LABEL"] for r in rows}) < 2:
+    sample, odds = labelled_sample(docs, labels, "toxic", ~held_out(), rows)
+    found = sample.select("text", "LABEL").collect()
+    if len({r["LABEL"] for r in found}) < 2:
         scored = docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_toxic_windows"))
     else:
-        rows.sort()
-        model = fit_toxicity([r["text"] for r in rows], [r["LABEL"] for r in rows])
+        found.sort()
+        model = fit_toxicity([r["text"] for r in found], [r["LABEL"] for r in found], odds)
         scored = score_toxicity(docs, model, ["doc_id"])
     out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
     return scored.select("doc_id", out, "score", (F.col("score") >= least).cast("int").alias("predicted"), "n_toxic_windows")

@@ -11,7 +11,7 @@ from sluicebox.llm.boosted_trees import fit_trees
 from sluicebox.llm.cotraining import classify_quality
 from sluicebox.llm.logistic import fit_logistic
 from sluicebox.llm.main_text import extract_main_text, extract_text, fit_pages, parse_page, walk
-from sluicebox.llm.toxicity import classify_toxicity, held_out, windows
+from sluicebox.llm.toxicity import classify_toxicity, held_out, labelled_sample, windows
 
 SYLLABLES = "ba ke lo mi nu pa re so ti vu wa ze cho dra fli gro".split()
 INSULTS = "gragnok blurfing snorvel twazzock".split()
@@ -245,3 +245,26 @@ def test_unread_elements_lose_nothing_else(part, read):
 def test_many_open_elements_take_one_pass():
     html = "<article><p>" + "<svg><object>a " * 50_000 + "</article>"
     assert list(extract_text([html], None))[0] == " ".join(["a"] * 50_000)
+
+
+def test_rare_toxicity_is_learnt_from_a_bounded_sample(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(9000):
+        words, toxic = prose(rng, rng.randint(40, 80)).split(), i % 50 == 7
+        for _ in range(5 if toxic else 0):
+            words.insert(rng.randint(0, len(words)), rng.choice(INSULTS))
+        rows.append((i, " ".join(words), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    wanted = labels.where(~held_out()).groupBy("toxic").count().orderBy("toxic").collect()
+    sample, odds = labelled_sample(docs, labels, "toxic", ~held_out(), 300)
+    taken = {r.LABEL: r["count"] for r in sample.groupBy("LABEL").count().collect()}
+    assert taken == {0: 300 - taken[1], 1: min(150, wanted[1]["count"])} and taken[1] > 100
+    assert np.isclose(odds, np.log(wanted[1]["count"] / wanted[0]["count"]) - np.log(taken[1] / taken[0]))
+    found = {r.doc_id: r for r in classify_toxicity(docs, labels, rows=300).where("held_out").collect()}
+    out = [(found[k].predicted, y) for k, _, y in rows if k in found]
+    assert sum(p for p, y in out if y) > 0.9 * sum(y for _, y in out) > 40
+    assert sum(p for p, y in out if not y) < 0.01 * len(out)
+    # A kind that all labels are of leaves the other one no share.
+    assert labelled_sample(docs, labels.where("toxic = 0"), "toxic", ~held_out(), 300)[0].count() == 300
