@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.session import materialise, sql_settings
@@ -20,17 +20,22 @@ TEXT_ROWS = 1000
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """``mapInArrow`` by a function of this library.
+    """``mapInArrow`` by a function of this library."""
+    share_library(df.sparkSession)
+    return df.mapInArrow(run, ddl)
+
+
+def share_library(spark: SparkSession) -> None:
+    """Let Python workers import this library.
 
     A cluster gets the library by ``--py-files`` or in its image. The workers of a local session get its folder on their
     path, wherever the session was started.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.master == "local" or context.master.startswith("local["):
         folder, known = str(Path(__file__).resolve().parents[2]), context.environment.get("PYTHONPATH", "")
         if folder not in known.split(os.pathsep):
             context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (folder, known)))
-    return df.mapInArrow(run, ddl)
 
 
 def whole_texts(df: DataFrame, key: str = "doc_id", text: str = "text", *others: str) -> DataFrame:

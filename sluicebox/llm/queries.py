@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm.bpe import encode_texts
+from sluicebox.llm.common import materialise_texts
 from sluicebox.llm.cotraining import classify_quality
 from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.main_text import extract_main_text
 from sluicebox.llm.near_duplicates import near_duplicates
 from sluicebox.llm.packing import pack_documents
+from sluicebox.llm.recursive_bpe import encode_by_queries
 from sluicebox.llm.secret_scan import KINDS, scan_secrets
 from sluicebox.llm.sharding import shard_documents
+from sluicebox.llm.token_alignment import align_tokens
 from sluicebox.llm.topk import top_products
 from sluicebox.llm.toxicity import classify_toxicity, held_out
+from sluicebox.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +98,24 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), ["doc_id"])
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["vec_id"])
+    exact = F.col("deviation")
+    return whitened.withColumn("deviation", exact.try_cast("bigint")).withColumn("deviation_exact", exact)
+
+
+def op12_hashed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(documents(spark, sf_dir))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return materialise_texts(aligned.withColumn("groups", digest), "aligned").withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_by_queries(documents(spark, sf_dir), decoded="decoded")
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return materialise_texts(coded.select("doc_id", "n_tokens", *digests), "coded")
+
+
 QUERIES: dict[str, Query] = {
     "op1_cotrained_quality": op1_cotrained_quality,
     "op2_dictionary_toxicity": op2_dictionary_toxicity,
@@ -105,6 +127,9 @@ QUERIES: dict[str, Query] = {
     "op8_odd_sketch_duplicates": op8_odd_sketch_duplicates,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_tokeniser_fertility": op10_tokeniser_fertility,
+    "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+    "op12_hashed_alignment": op12_hashed_alignment,
+    "op13_recursive_bpe": op13_recursive_bpe,
 }
 ORACLE: dict[str, str] = {
     "op7_impact_ordered_topk": """

@@ -1,0 +1,111 @@
+"""Encoding and decoding by recursive queries against the tiktoken library."""
+
+import base64
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import sluicebox.llm.recursive_bpe as recursive_bpe
+from sluicebox.llm.recursive_bpe import MergeTables, decode_by_queries, encode_by_queries, merge_tables
+from sluicebox.llm.tokens import vocabulary_path
+
+PATH = vocabulary_path("byte_bpe_50k.tiktoken")
+ODD = ["", " ", "  ", "a\n \nb", "a\x1c b", "b\u0085 c", " a   b ", "it's 're", "<|endoftext|> x", "日本 語 🙂 🙂🙂", "a\x00 b"]
+
+
+def library(path):
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+LIBRARY = library(PATH)
+
+
+def unpack(ids):
+    return np.frombuffer(ids, "<u4").tolist()
+
+
+def tables():
+    return merge_tables(PATH, public_tokenizers.PATTERN)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\x1c\u0085 abé1'.日🙂")) | st.text(max_size=20), max_size=5))
+def test_any_text(texts):
+    ids = tables().encode(texts)
+    assert [unpack(i) for i in ids] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert tables().decode(ids) == [t.encode() for t in texts]
+
+
+def test_long_words_and_runs():
+    rng = random.Random(3)
+    texts = ["a" * 3001, "ab" * 1500 + "b", "é" * 700, "".join(rng.choices("etaoinshrdlu", k=2500)), "=" * 999]
+    texts += ["".join(rng.choices("aab", k=n)) for n in range(60, 130)]
+    assert [unpack(i) for i in tables().encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_portions_do_not_matter(monkeypatch):
+    texts = ["one two three " * 40, "", "uncharacteristically " * 9, "x"]
+    whole = tables().encode(texts)
+    fresh = MergeTables(PATH, public_tokenizers.PATTERN)
+    monkeypatch.setattr(recursive_bpe, "ROWS", 7)
+    monkeypatch.setattr(recursive_bpe, "CACHED_WORDS", 2)
+    assert fresh.encode(texts) == whole and fresh.encode(texts) == whole
+    assert fresh.decode(whole) == [t.encode() for t in texts]
+
+
+def test_vocabulary_with_tokens_that_do_not_encode_to_themselves(tmp_path):
+    """There contracting a pair can make one of a lower rank, so that only the leftmost pair may be contracted."""
+    extra = [b"abc", b"xab", b"bc", b"ab", b"cab", b"ca", b"aa", b"aaab"]
+    lines = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)]
+    lines += [base64.b64encode(token) + b" %d" % (256 + i) for i, token in enumerate(extra)]
+    path = tmp_path / "small.tiktoken"
+    path.write_bytes(b"\n".join(lines))
+    small, own = library(path), MergeTables(str(path), public_tokenizers.PATTERN)
+    assert own.connection.sql("SELECT rank FROM early").fetchall()
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcx", k=n)) for n in range(1, 200)]
+    assert [unpack(i) for i in own.encode(texts)] == [small.encode_ordinary(t) for t in texts]
+
+
+def test_tables_of_any_rows(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(ODD)] + [(None, "null key", None), (7, None, None), (7, "twice", "")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    coded = encode_by_queries(df.repartition(3), decoded="decoded")
+    assert coded.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    found = sorted((str(r.doc_id), r.n_tokens, unpack(r.ids), bytes(r.decoded)) for r in coded.collect())
+    ids = [(k, LIBRARY.encode_ordinary(t or ""), (t or "").encode()) for k, t, _ in rows]
+    assert found == sorted((str(k), len(i), i, text) for k, i, text in ids)
+    again = decode_by_queries(coded.drop("decoded")).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in again) == sorted((str(k), t) for k, _, t in ids)
+    assert encode_by_queries(df.limit(0)).count() == 0
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert [bytes(r.decoded) for r in decode_by_queries(nothing).collect()] == [b""]
+
+
+def test_unknown_ids_are_an_error():
+    with pytest.raises(ValueError, match="does not have"):
+        tables().decode([np.array([60000], "<u4").tobytes()])
+
+
+def test_query_over_the_table(spark):
+    import hashlib
+
+    from sluicebox.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op13_recursive_bpe"](spark, folder).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    for key, text in texts.items():
+        ids = LIBRARY.encode_ordinary(text)
+        row = got[key]
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
