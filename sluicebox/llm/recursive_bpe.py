@@ -6,7 +6,6 @@ import base64
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +13,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from sluicebox.llm.common import map_batches, schema_of, text_slices, whole_texts
-from sluicebox.llm.tokens import vocabulary_path
+from sluicebox.llm.tokens import IN_ONE_PIECE, vocabulary_path
 
 #: Token rows of one query; a longer word has a query of its own.
 ROWS = 400_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 CACHED_CHARS = 64
 #: A word with the space before it. The pattern never joins what stands before such a space with what follows.
 UNITS = re.compile(r" (?=\S)")
@@ -97,14 +96,12 @@ DECODE = """
 """
 
 
-def rows_of(lists: list[np.ndarray], names: tuple[str, str, str]) -> pa.Table:
-    """A row for each element of some arrays: which array, which place, and the element."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    number = np.repeat(np.arange(len(lists)), sizes)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = (np.arange(len(number)) - starts).astype(np.int32)
-    values = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-    return pa.table(dict(zip(names, (number, place, values))))
+def rows_of(values: np.ndarray, sizes: list[int], names: tuple[str, str, str]) -> pa.Table:
+    """A row for each element of some arrays that follow each other: which array, which place, and the element."""
+    length = np.array(sizes, np.int64)
+    starts = np.cumsum(length) - length
+    place = (np.arange(len(values)) - np.repeat(starts, length)).astype(np.int32)
+    return pa.table(dict(zip(names, (np.repeat(np.arange(len(length)), length), place, values.astype(np.int32)))))
 
 
 def in_portions(items: Iterable, size, most: int) -> Iterator[list]:
@@ -120,6 +117,11 @@ def in_portions(items: Iterable, size, most: int) -> Iterator[list]:
         yield held
 
 
+def unpack(ids: bytes) -> list[int]:
+    """Packed ids as numbers."""
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class MergeTables:
     """The vocabulary's merges and strings as tables of a DuckDB database in memory, one for each Python worker.
 
@@ -139,6 +141,7 @@ class MergeTables:
         self.pieces = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         parts = [
             (ranks[token[:i]], ranks[token[i:]], rank)
             for token, rank in ranks.items()
@@ -152,7 +155,7 @@ class MergeTables:
         self._load("vocabulary", pa.table(strings))
         self.short = SHORT.format(allowed=ANY_MERGE)
         made = self._merged(SHORT.format(allowed=UP_TO_OWN_RANK), list(ranks), np.array([*ranks.values()], np.int32))
-        odd = {rank for rank, ids in zip(ranks.values(), made) if ids.tolist() != [rank]}
+        odd = {rank for rank, ids in zip(ranks.values(), made) if unpack(ids) != [rank]}
         early = sorted({int(x) for l, r, k in parts if k in odd for x in (l, r) if x > k})
         self._load("early", pa.table({"rank": pa.array(early, pa.int32())}))
         self.long = LONG.format(choice=LEFTMOST_IF_EARLY if early else ALL_OF_RANK)
@@ -169,39 +172,51 @@ class MergeTables:
         finally:
             self.connection.unregister(name)
 
-    def _merged(self, query: str, words: list[bytes], limits: np.ndarray | None = None) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _merged(self, query: str, words: list[bytes], limits: np.ndarray | None = None) -> list[bytes]:
+        out: list[bytes] = []
         for part in in_portions(words, len, ROWS):
-            symbols = rows_of([self.byte_ids[np.frombuffer(word, np.uint8)] for word in part], ("w", "p", "t"))
+            symbols = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
             if limits is not None:
                 most = pa.table({"w": np.arange(len(part)), "most": limits[len(out) : len(out) + len(part)]})
                 self.connection.register("limits", most)
-            found = self._run(query, "symbols", symbols)
-            sizes = np.bincount(found["w"].to_numpy(), minlength=len(part))
-            out += np.split(found["t"].to_numpy().astype("<u4"), np.cumsum(sizes)[:-1])
+            found = self._run(query, "symbols", rows_of(symbols, list(map(len, part)), ("w", "p", "t")))
+            ends = 4 * np.cumsum(np.bincount(found["w"].to_numpy(), minlength=len(part)))
+            ids = found["t"].to_numpy().astype("<u4").tobytes()
+            out += [ids[start:end] for start, end in zip([0, *ends.tolist()], ends.tolist())]
         return out
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """The packed ids of words, each encoded by itself."""
-        short = [word for word in words if len(word) <= SHORT_BYTES]
-        long = [word for word in words if len(word) > SHORT_BYTES]
-        made = zip(short + long, self._merged(self.short, short) + self._merged(self.long, long))
-        return {word: ids.tobytes() for word, ids in made}
+        words = [(piece, piece.encode()) for piece in pieces]
+        short = [word for word in words if len(word[1]) <= SHORT_BYTES]
+        long = [word for word in words if len(word[1]) > SHORT_BYTES]
+        made = self._merged(self.short, [w for _, w in short]) + self._merged(self.long, [w for _, w in long])
+        return {piece: ids for (piece, _), ids in zip(short + long, made)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of texts. Distinct new words of all of them are encoded together."""
-        units = [UNITS.split(text) for text in texts]
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = {unit for first, *others in units for unit in (first, *(" " + word for word in others))} - known.keys()
-        pieces = {unit: [piece.encode() for piece in self.pieces(unit)] for unit in new}
-        ids = self.encode_words(sorted({piece for found in pieces.values() for piece in found}))
-        made = {unit: b"".join(map(ids.__getitem__, found)) for unit, found in pieces.items()}
-        get = lambda unit: made[unit] if unit in made else known[unit]
-        out = [b"".join(map(get, (first, *(" " + word for word in others)))) for first, *others in units]
-        room = max(0, CACHED_WORDS - len(known))
-        known.update(islice(((unit, i) for unit, i in made.items() if len(unit) <= CACHED_CHARS), room))
+        """Little-endian unsigned 32-bit ids of texts. Words that are new in any of them are encoded together.
+
+        ``words`` has what follows a space, with the ids that it has together with that space, and ``parts`` the matches
+        of the pattern. Both keep a bounded number.
+        """
+        known, parts = self.words, self.parts
+        for cache in (known, parts):
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
+        split = [UNITS.split(text) if IN_ONE_PIECE.search(text) else text.split(" ") for text in texts]
+        heads = [self.pieces(words[0]) for words in split]
+        new = list({word for words in split for word in words[1:]} - known.keys())
+        pieces = [self.pieces(" " + word) for word in new]
+        fresh = list({piece for found in (*heads, *pieces) for piece in found} - parts.keys())
+        parts.update(self.encode_pieces(fresh))
+        ids = parts.__getitem__
+        known.update((word, b"".join(map(ids, found))) for word, found in zip(new, pieces))
+        get = known.__getitem__
+        out = [b"".join(map(ids, head)) + b"".join(map(get, words[1:])) for head, words in zip(heads, split)]
+        for cache, added in ((known, new), (parts, fresh)):
+            for place, word in enumerate(added):
+                if len(word) > CACHED_CHARS or place >= CACHED_WORDS:
+                    del cache[word]
         return out
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
@@ -213,7 +228,8 @@ class MergeTables:
         ]
         out: list[list[bytes]] = [[] for _ in texts]
         for part in in_portions(blocks, lambda block: len(block[1]), ROWS):
-            found = self._run(DECODE, "tokens", rows_of([ids for _, ids in part], ("g", "p", "t")))
+            values = np.concatenate([ids for _, ids in part])
+            found = self._run(DECODE, "tokens", rows_of(values, [len(ids) for _, ids in part], ("g", "p", "t")))
             if len(found) != len(part):
                 raise ValueError("ids that the vocabulary does not have")
             for (number, _), text in zip(part, found["bytes"].to_pylist()):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import sluicebox.llm.recursive_bpe as recursive_bpe
-from sluicebox.llm.recursive_bpe import MergeTables, decode_by_queries, encode_by_queries, merge_tables
+from sluicebox.llm.recursive_bpe import MergeTables, decode_by_queries, encode_by_queries, merge_tables, unpack
 from sluicebox.llm.tokens import vocabulary_path
 
 PATH = vocabulary_path("byte_bpe_50k.tiktoken")
@@ -27,10 +27,6 @@ def library(path):
 LIBRARY = library(PATH)
 
 
-def unpack(ids):
-    return np.frombuffer(ids, "<u4").tolist()
-
-
 def tables():
     return merge_tables(PATH, public_tokenizers.PATTERN)
 
