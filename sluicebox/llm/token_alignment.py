@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +27,10 @@ CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 WHITE = re.compile(r"\s")
 #: What sentencepiece writes for a space.
 SPACE = "▁"
-CACHED_WORDS, CACHED_CHARS = 150_000, 64
+#: Words that can be encoded one behind the other: no white space but single line ends within them.
+JOINABLE = re.compile(r"\S+(?:\n\S+)*\n?")
+#: So many letters of joined words are one text for the libraries.
+JOINED_CHARS = 1 << 15
 #: A task passes its counts on when it holds so many different pairs.
 HELD_PAIRS = 1_000_000
 #: Pairs are dealt to so many tables by a hash; vocabularies of 50,000 and 32,000 ids have 12.6 million pairs a table.
@@ -47,14 +50,18 @@ class Paths(NamedTuple):
     pieces: str
 
 
-class Word(NamedTuple):
-    """The alignment of a word: its tokens, the groups as text, and a number for the pair of each link."""
+class Words(NamedTuple):
+    """The alignment of some words: the number of each; how many tokens, groups and links each has, and the pairs of the
+    links, word by word. A word that the second vocabulary gives back with other bytes is broken and has no link."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
+    number: dict[str, int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
     pairs: np.ndarray
+    broken: np.ndarray
+    groups: list[str]
 
 
 class Aligner:
@@ -77,10 +84,12 @@ class Aligner:
         coding = tiktoken.Encoding("public", pat_str=paths.pattern, mergeable_ranks=ranks, special_tokens={})
         self.whole = lambda text: library.encode(text, add_special_tokens=False).ids
         self.plain = coding.encode_ordinary
-        self.bytes_a = {rank: token for token, rank in ranks.items()}
         self.second = sentencepiece.SentencePieceProcessor(model_file=paths.pieces)
         self.base = self.second.vocab_size()
         self.bytes_b = [self._piece(i) for i in range(self.base)]
+        self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size_a[list(ranks.values())] = [len(token) for token in ranks]
+        self.size_b = np.array([len(piece) for piece in self.bytes_b], np.int64)
 
     def _piece(self, number: int) -> bytes:
         piece = self.second.id_to_piece(number)
@@ -93,37 +102,70 @@ class Aligner:
             return CUT.split(text)
         return text.split(" ")
 
-    def word(self, text: str) -> Word | None:
-        """The alignment of a word with a space before it; None if the second vocabulary has other bytes.
+    def align(self, words: Iterable[str], grouped: bool) -> Words:
+        """The alignment of different words, each with a space before it; ``grouped`` asks for the groups as text.
+
+        Words of letters, digits and signs are encoded one behind the other in long texts, as both vocabularies begin a
+        token with each word; should one ever not, the words of that text are encoded by themselves, like all others.
+        """
+        alone, joined, size = [], [[]], 0
+        for word in words:
+            if SPACE in word or not JOINABLE.fullmatch(word):
+                alone.append(word)
+                continue
+            if size > JOINED_CHARS:
+                joined.append([])
+                size = 0
+            joined[-1].append(word)
+            size += len(word) + 1
+        joined = joined if joined[0] else []
+        parts = []
+        for part, second in zip(joined, self.second.encode([" ".join(part) for part in joined], num_threads=1)):
+            made = self._aligned(part, self.plain(" " + " ".join(part)), second, grouped)
+            if made is None:
+                alone += part
+            else:
+                parts.append((part, made))
+        for word in alone:
+            made = self._aligned([word], self.whole(" " + word), self.second.encode(word, num_threads=1), grouped)
+            parts.append(([word], made or ([0], [0], [0], [0], [], [True], [""])))
+        number = {word: i for i, word in enumerate(chain.from_iterable(part for part, _ in parts))}
+        columns = list(zip(*(made for _, made in parts))) or [[]] * 7
+        arrays = [np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in columns[:5]]
+        broken = np.concatenate([np.zeros(0, bool), *columns[5]]).astype(bool)
+        return Words(number, *arrays, broken, list(chain.from_iterable(columns[6])))
+
+    def _aligned(self, words: list[str], a: list[int], b: list[int], grouped: bool) -> tuple | None:
+        """The alignment of words that follow each other; None if bytes differ or a token holds parts of two words.
 
         Every stretch between two ends of tokens is in one token of each side, and each overlapping pair has exactly
         one such stretch, so that the stretches are the links.
         """
-        spaced = " " + text
-        a = self.whole(spaced) if WHITE.search(text) else self.plain(spaced)
-        b = self.second.encode(text, num_threads=1)
-        if not a or b"".join(map(self.bytes_b.__getitem__, b)) != spaced.encode():
+        text = "".join(" " + word for word in words).encode()
+        if b"".join(map(self.bytes_b.__getitem__, b)) != text:
             return None
-        size_a, size_b = ([len(table[i]) for i in ids] for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        pairs, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = size_a[0], size_b[0]
-        while True:
-            pairs.append(a[i] * self.base + b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-            elif end_a < end_b:
-                i += 1
-                end_a += size_a[i]
-            else:
-                j += 1
-                end_b += size_b[j]
-        return Word(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64))
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        if not len(a) or end_a[-1] != len(text):
+            return None
+        ends = np.cumsum([1 + len(word.encode()) for word in words])
+        cuts, stretches = np.intersect1d(end_a, end_b, True), np.union1d(end_a, end_b)
+        if not np.isin(ends, cuts).all():
+            return None
+        until = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts, stretches)]
+        counts = [np.diff(u, prepend=0) for u in until]
+        pairs = a[np.searchsorted(end_a, stretches)] * self.base + b[np.searchsorted(end_b, stretches)]
+        groups = [""] * len(words)
+        if grouped:
+            of_a, of_b = (np.searchsorted(x, cuts, "right").tolist() for x in (end_a, end_b))
+            ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+            made = [
+                f"{ids_a[i] if k - i == 1 else ','.join(ids_a[i:k])}|{ids_b[j] if m - j == 1 else ','.join(ids_b[j:m])}"
+                for i, k, j, m in zip([0, *of_a], of_a, [0, *of_b], of_b)
+            ]
+            to = until[2].tolist()
+            groups = [";".join(made[i:k]) for i, k in zip([0, *to], to)]
+        return *counts, pairs, np.zeros(len(words), bool), groups
 
 
 @lru_cache(maxsize=2)
@@ -138,23 +180,16 @@ def second_ids(paths: Paths) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=paths.pieces).vocab_size()
 
 
-class Known(dict):
-    """What ``make`` gives for words, worked out for all new words of some texts at once, and kept up to a bound."""
+def laid_out(texts: list[list[str]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of texts, one text behind the other, and where each text begins, with the end."""
+    starts = np.cumsum([0, *map(len, texts)])
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, starts[-1]), starts
 
-    def __init__(self, make: Callable[[list[str]], Iterable[object]]):
-        super().__init__()
-        self.make = make
 
-    def of(self, texts: list[list[str]]) -> list[list[object]]:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = list({word for words in texts for word in words} - self.keys())
-        self.update(zip(new, self.make(new)))
-        out = [list(map(self.__getitem__, words)) for words in texts]
-        for place, word in enumerate(new):
-            if len(word) > CACHED_CHARS or place >= CACHED_WORDS:
-                del self[word]
-        return out
+def per_text(values: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of the values of each text's words."""
+    total = np.concatenate(([0], np.cumsum(values[place])))
+    return total[starts[1:]] - total[starts[:-1]]
 
 
 def summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,24 +230,21 @@ def count_links(texts: DataFrame, paths: Paths, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(paths)
-        known = Known(lambda words: map(align.word, words))
+        both = aligner(paths)
         held, size = [], 0
         for batch in text_slices(batches, text):
-            texts = [align.words(t) for t in batch.column(text).to_pylist() if t]
-            times, found = Counter(), {}
-            for words, values in zip(texts, known.of(texts)):
-                if None not in values:
-                    times.update(words)
-                    found.update(zip(words, values))
-            links = [found[word].pairs for word in times]
-            weights = np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) for x in links])
-            held.append((np.concatenate(links) if links else np.zeros(0, np.int64), weights))
-            size += len(weights)
-            if size >= 2 * HELD_PAIRS:
+            split = [both.words(t) for t in batch.column(text).to_pylist() if t]
+            words = both.align(set(chain.from_iterable(split)), False)
+            place, starts = laid_out(split, words.number)
+            whole = per_text(words.broken.astype(np.int64), place, starts) == 0
+            times = np.bincount(place[np.repeat(whole, np.diff(starts))], minlength=len(words.broken))
+            weights = np.repeat(times, words.n_links)
+            held.append(summed(words.pairs[weights > 0], weights[weights > 0]))
+            size += len(held[-1][0])
+            if size >= HELD_PAIRS:
                 held = [summed(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
-                if size >= HELD_PAIRS:
+                if 2 * size >= HELD_PAIRS:
                     yield rows(*held[0])
                     held, size = [], 0
         if size:
@@ -378,6 +410,13 @@ def look_up(sent: list, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def per_link(values: np.ndarray, of: np.ndarray, n_links: np.ndarray) -> np.ndarray:
+    """The sum over each word's links of a value of their pairs."""
+    total = np.concatenate(([0], np.cumsum(values[of], dtype=np.int64)))
+    ends = np.cumsum(n_links)
+    return total[ends] - total[ends - n_links]
+
+
 RESULT = (
     "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, `groups` string"
 )
@@ -418,40 +457,29 @@ def align_tokens(
     ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, {RESULT}"
     arrow = schema_of(ddl)
 
-    def measured(align: Aligner, words: list[str]) -> Iterator[tuple | None]:
-        """What a word adds to a document. Words that only texts without tokens hold have uncounted pairs: -1."""
-        found = list(map(align.word, words))
-        real = [word for word in found if word is not None]
-        if real:
-            pairs = np.concatenate([word.pairs for word in real])
-            counts = look_up(sent, pairs)
-            starts = np.cumsum([0, *(len(word.pairs) for word in real[:-1])])
-            counted = np.minimum.reduceat(counts, starts) > 0
-            total = np.where(counted, np.add.reduceat(counts, starts), -1).tolist()
-            ties = np.add.reduceat((counts == best[pairs % base]).astype(np.int64), starts).tolist()
-            real = [
-                (w.n_a, w.n_b, w.n_groups, len(w.pairs), n, s, w.groups) for w, n, s in zip(real, ties, total)
-            ]
-        rest = iter(real)
-        return (None if word is None else next(rest) for word in found)
-
-    nothing = (0, 0, 0, 0, 0, 0, "")
-
-    def document(words: list[tuple | None]) -> tuple:
-        if not words or None in words:
-            return nothing
-        *numbers, groups = zip(*words)
-        if min(numbers[-1]) < 0:
-            raise RuntimeError("the texts hold a pair of tokens that they did not hold when pairs were counted")
-        return *map(sum, numbers), ";".join(groups)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(paths)
-        known = Known(partial(measured, align))
+        both = aligner(paths)
         for batch in text_slices(batches, text):
-            found = known.of([align.words(t) if t else [] for t in batch.column(text).to_pylist()])
-            columns = [batch.column(key), *map(list, zip(*map(document, found)))]
-            made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+            split = [both.words(t) if t else [] for t in batch.column(text).to_pylist()]
+            words = both.align(set(chain.from_iterable(split)), True)
+            pairs, of = np.unique(words.pairs, return_inverse=True)
+            counts = look_up(sent, pairs)
+            # A pair without a count can only be in texts without tokens.
+            uncounted = per_link(counts == 0, of, words.n_links) > 0
+            ties = per_link(counts == best[pairs % base], of, words.n_links)
+            total = per_link(counts, of, words.n_links)
+            place, starts = laid_out(split, words.number)
+            numbers = np.array([words.n_a, words.n_b, words.n_groups, words.n_links, ties, total])
+            sums = np.array([per_text(n, place, starts) for n in numbers])
+            none = (per_text(words.broken.astype(np.int64), place, starts) > 0) | (np.diff(starts) == 0)
+            if per_text(uncounted.astype(np.int64), place, starts)[~none].any():
+                raise RuntimeError("the texts hold a pair of tokens that they did not hold when pairs were counted")
+            ids = place.tolist()
+            groups = [
+                "" if empty else ";".join(map(words.groups.__getitem__, ids[start:end]))
+                for empty, start, end in zip(none.tolist(), starts.tolist(), starts[1:].tolist())
+            ]
+            columns = [batch.column(key), *map(pa.array, np.where(none, 0, sums)), pa.array(groups, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return map_batches(texts, run, ddl)

@@ -66,14 +66,18 @@ def by_definition(texts):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(" \n\t\x1c ▁abé1'.<日🙂"), max_size=30) | st.text(max_size=30))
 def test_words_join_to_the_whole_text(text):
-    align = token_alignment.aligner(default_paths())
-    words = [align.word(w) for w in align.words(text)] if text else [None]
+    both = token_alignment.aligner(default_paths())
+    split = both.words(text) if text else []
+    words = both.align(set(split), True)
+    numbers = [words.number[word] for word in split]
     expected = by_definition([text])[0]
-    if None in words:
+    if not split or words.broken[numbers].any():
         assert expected == (0, 0, 0, 0, 0, 0, "")
     else:
-        assert ";".join(w.groups for w in words) == expected[6]
-        assert sum(len(w.pairs) for w in words) == expected[3]
+        assert ";".join(words.groups[i] for i in numbers) == expected[6]
+        found = (words.n_a, words.n_b, words.n_groups, words.n_links)
+        assert tuple(int(n[numbers].sum()) for n in found) == expected[:4]
+        assert len(words.pairs) == words.n_links.sum()
 
 
 def default_paths():
@@ -91,7 +95,7 @@ def test_against_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(token_alignment, "HELD_PAIRS", 40)
         monkeypatch.setattr(token_alignment, "FAN_IN", 3)
-        monkeypatch.setattr(token_alignment, "CACHED_WORDS", 5)
+        monkeypatch.setattr(token_alignment, "JOINED_CHARS", 10)
     rows = [(i, t, 1) for i, t in enumerate(ODD)]
     rows += [(100 + i, f"the number {i} of {'many ' * (i % 5)}documents, naïveté {i * 7919}", 2) for i in range(60)]
     rows += [(500, "copies of one text", 3)] * 30 + [(None, None, 4), (None, "no key", 4), (7, "used twice", 5)]
