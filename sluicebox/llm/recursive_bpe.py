@@ -17,7 +17,7 @@ from sluicebox.llm.tokens import IN_ONE_PIECE, vocabulary_path
 
 #: Token rows of one query; a longer word has a query of its own.
 ROWS = 400_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 350_000
 CACHED_CHARS = 64
 #: A word with the space before it. The pattern never joins what stands before such a space with what follows.
 UNITS = re.compile(r" (?=\S)")
@@ -140,7 +140,6 @@ class MergeTables:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.pieces = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         parts = [
             (ranks[token[:i]], ranks[token[i:]], rank)
@@ -187,38 +186,50 @@ class MergeTables:
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """The packed ids of words, each encoded by itself."""
-        words = [(piece, piece.encode()) for piece in pieces]
-        short = [word for word in words if len(word[1]) <= SHORT_BYTES]
-        long = [word for word in words if len(word[1]) > SHORT_BYTES]
-        made = self._merged(self.short, [w for _, w in short]) + self._merged(self.long, [w for _, w in long])
-        return {piece: ids for (piece, _), ids in zip(short + long, made)}
+        words = list(map(str.encode, pieces))
+        short = [word for word in words if len(word) <= SHORT_BYTES]
+        long = [word for word in words if len(word) > SHORT_BYTES]
+        made = dict(zip(short + long, self._merged(self.short, short) + self._merged(self.long, long)))
+        return dict(zip(pieces, map(made.__getitem__, words)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of texts. Words that are new in any of them are encoded together.
+        """Little-endian unsigned 32-bit ids of texts.
 
-        ``words`` has what follows a space, with the ids that it has together with that space, and ``parts`` the matches
-        of the pattern. Both keep a bounded number.
+        The different words of all texts are matched by the pattern once, and those of the matches that are new are
+        encoded together. ``parts`` has the ids of a bounded number of matches.
         """
-        known, parts = self.words, self.parts
-        for cache in (known, parts):
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
+        parts = self.parts
+        if len(parts) > CACHED_WORDS:
+            parts.clear()
         split = [UNITS.split(text) if IN_ONE_PIECE.search(text) else text.split(" ") for text in texts]
         heads = [self.pieces(words[0]) for words in split]
-        new = list({word for words in split for word in words[1:]} - known.keys())
-        pieces = [self.pieces(" " + word) for word in new]
-        fresh = list({piece for found in (*heads, *pieces) for piece in found} - parts.keys())
+        words = {word for words in split for word in words[1:]}
+        # Words with one space each, before them, are matched one behind the other.
+        spaced = [word for word in words if " " in word]
+        joined = list(words.difference(spaced))
+        found = self.pieces("".join([" " + word for word in joined]))
+        others = [self.pieces(" " + word) for word in spaced]
+        fresh = list({piece for pieces in (found, *heads, *others) for piece in pieces} - parts.keys())
         parts.update(self.encode_pieces(fresh))
         ids = parts.__getitem__
-        known.update((word, b"".join(map(ids, found))) for word, found in zip(new, pieces))
-        get = known.__getitem__
+        made = dict(zip(joined, self._by_word(joined, found)))
+        made.update((word, b"".join(map(ids, pieces))) for word, pieces in zip(spaced, others))
+        get = made.__getitem__
         out = [b"".join(map(ids, head)) + b"".join(map(get, words[1:])) for head, words in zip(heads, split)]
-        for cache, added in ((known, new), (parts, fresh)):
-            for place, word in enumerate(added):
-                if len(word) > CACHED_CHARS or place >= CACHED_WORDS:
-                    del cache[word]
+        for place, piece in enumerate(fresh):
+            if len(piece) > CACHED_CHARS or place >= CACHED_WORDS:
+                del parts[piece]
         return out
 
+    def _by_word(self, words: list[str], pieces: list[str]) -> list[bytes]:
+        """The ids of each word and the space before it, given the pieces of all words one behind the other."""
+        made = list(map(self.parts.__getitem__, pieces))
+        letters = np.cumsum([0, *map(len, pieces)])
+        places = np.concatenate(([0], np.cumsum([1 + len(word) for word in words], dtype=np.int64)))
+        cuts = np.cumsum([0, *map(len, made)])[np.searchsorted(letters, places)].tolist()
+        ids = b"".join(made)
+        return [ids[start:end] for start, end in zip(cuts, cuts[1:])]
+
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """The bytes of packed ids: the vocabulary's strings, aggregated in the order of the ids."""
         blocks = [
