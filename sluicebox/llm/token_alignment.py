@@ -87,6 +87,8 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_file=paths.pieces)
         self.base = self.second.vocab_size()
         self.bytes_b = [self._piece(i) for i in range(self.base)]
+        #: An id with what follows it: another token of its side, the other side, or another group.
+        self.spelt = [f"{i}{mark}" for i in range(max(self.base, max(ranks.values()) + 1)) for mark in ",|;"]
         self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size_a[list(ranks.values())] = [len(token) for token in ranks]
         self.size_b = np.array([len(piece) for piece in self.bytes_b], np.int64)
@@ -149,22 +151,28 @@ class Aligner:
         if not len(a) or end_a[-1] != len(text):
             return None
         ends = np.cumsum([1 + len(word.encode()) for word in words])
-        cuts, stretches = np.intersect1d(end_a, end_b, True), np.union1d(end_a, end_b)
-        if not np.isin(ends, cuts).all():
+        marks = np.zeros(len(text) + 1, np.uint8)
+        marks[end_a] = 1
+        marks[end_b] += 2
+        if not (marks[ends] == 3).all():
             return None
+        cuts, stretches = np.flatnonzero(marks == 3), np.flatnonzero(marks)
         until = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts, stretches)]
         counts = [np.diff(u, prepend=0) for u in until]
         pairs = a[np.searchsorted(end_a, stretches)] * self.base + b[np.searchsorted(end_b, stretches)]
         groups = [""] * len(words)
         if grouped:
-            of_a, of_b = (np.searchsorted(x, cuts, "right").tolist() for x in (end_a, end_b))
-            ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            made = [
-                f"{ids_a[i] if k - i == 1 else ','.join(ids_a[i:k])}|{ids_b[j] if m - j == 1 else ','.join(ids_b[j:m])}"
-                for i, k, j, m in zip([0, *of_a], of_a, [0, *of_b], of_b)
-            ]
-            to = until[2].tolist()
-            groups = [";".join(made[i:k]) for i, k in zip([0, *to], to)]
+            of_a, of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+            # Tokens in the order of the text: those of the first vocabulary before the others of their group.
+            place_a = np.arange(len(a)) + np.searchsorted(of_b, of_a)
+            place_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")
+            code = np.empty(len(a) + len(b), np.int64)
+            code[place_a] = 3 * a + (marks[end_a] == 3)
+            code[place_b] = 3 * b + 2 * (marks[end_b] == 3)
+            spelt = list(map(self.spelt.__getitem__, code.tolist()))
+            letters = np.cumsum([0, *map(len, spelt)])[np.concatenate(([0], until[0] + until[1]))].tolist()
+            joined = "".join(spelt)
+            groups = [joined[start : end - 1] for start, end in zip(letters, letters[1:])]
         return *counts, pairs, np.zeros(len(words), bool), groups
 
 
