@@ -10,9 +10,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluicebox.llm.tokens import WordCache
 from sluicebox.session import materialise, sql_settings
 
 TEXT_BATCH_BYTES = 4 << 20
@@ -20,9 +21,15 @@ TEXT_ROWS = 1000
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """``mapInArrow`` by a function of this library."""
+    """``mapInArrow`` by a function of this library; a worker that turns to another one forgets its cached words."""
     share_library(df.sparkSession)
-    return df.mapInArrow(run, ddl)
+    owner = f"{run.__module__}.{run.__qualname__}"
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordCache.begin(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, ddl)
 
 
 def share_library(spark: SparkSession) -> None:
@@ -83,6 +90,30 @@ def map_texts(
     return map_batches(df.select(*keep, *([] if text in keep else [text])), run, schema)
 
 
+def measures(df: DataFrame, inputs: Column, work: Callable[[pa.Array], dict[str, object]], schema: str, rows: int) -> Column:
+    """A struct of what ``work`` makes of a column, ``rows`` values at a time.
+
+    Only this column goes to Python, and only the struct comes back; the other columns of a row stay where they are.
+    """
+    share_library(df.sparkSession)
+    arrow = schema_of(schema)
+    owner = f"{work.__module__}.{work.__qualname__}"
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        WordCache.begin(owner)
+        for batch in batches:
+            parts = []
+            for start in range(0, max(1, len(batch)), rows):
+                made = work(batch.slice(start, rows))
+                columns = [
+                    c.cast(f.type) if isinstance(c := made[f.name], pa.Array) else pa.array(c, f.type) for f in arrow
+                ]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(arrow)))
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, f"struct<{schema}>")(inputs)
+
+
 def materialise_texts(df: DataFrame, label: str) -> DataFrame:
     """Write a table that Python makes of whole texts, and read it back.
 

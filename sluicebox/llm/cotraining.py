@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of
+from sluicebox.llm.common import list_array, map_batches, materialise_texts, measures
 from sluicebox.llm.fertility import SPACES, repeated_lines, repeated_words
 from sluicebox.session import materialise
 
@@ -23,8 +23,13 @@ RIDGE = 1.0
 #: Documents below this probability of good quality are rejected.
 LEAST_SCORE = 0.5
 LANGUAGES, SOURCES = 8, 16
+#: So many texts are looked at before their features go on.
+FEATURED_ROWS = 200
+#: Features count up to so many standard deviations, log odds of a view up to so much.
+MOST_DEVIATIONS, MOST_MARGIN = 8, 12
 
 VIEWS = ("content", "meta")
+MARGINS = ("content_margin", "meta_margin")
 
 
 class View(NamedTuple):
@@ -35,7 +40,7 @@ class View(NamedTuple):
     weights: np.ndarray
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack((np.ones(len(x)), np.clip((x - self.centre) / self.spread, -8, 8)))
+        return np.column_stack((np.ones(len(x)), np.clip((x - self.centre) / self.spread, -MOST_DEVIATIONS, MOST_DEVIATIONS)))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.design(x) @ self.weights
@@ -87,36 +92,23 @@ def meta_features(text: str, language: str | None, source: str | None, chars: in
 
 
 def view_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the features of both views. Columns ``lang``, ``source``, ``n_chars`` may be null."""
-    names = ["lang", "source", "n_chars"]
-    inner = docs.select(
-        *keep,
-        F.struct(
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-            F.col("lang").cast("string").alias("lang"),
-            F.col("source").cast("string").alias("source"),
-            F.col("n_chars").cast("long").alias("n_chars"),
-        ).alias("INPUT"),
+    """The columns ``keep`` and, in ``VIEWS``, the features of both views. ``lang``, ``source``, ``n_chars`` may be null."""
+    inputs = F.struct(
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
+        F.col("n_chars").cast("long").alias("n_chars"),
     )
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    ddl = f"{kept}, content array<double>, meta array<double>"
-    arrow = schema_of(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                page = part.column("INPUT")
-                texts = page.field("text").to_pylist()
-                extra = zip(texts, *(page.field(n).to_pylist() for n in names))
-                made = {
-                    "content": list_array([np.array(content_features(t)) for t in texts], pa.float64()),
-                    "meta": list_array([np.array(meta_features(*e)) for e in extra], pa.float64()),
-                }
-                columns = [made[n] if n in made else part.column(n) for n in arrow.names]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    def work(pages: pa.StructArray) -> dict[str, object]:
+        texts, *others = (pages.field(i).to_pylist() for i in range(4))
+        return {
+            "content": list_array([np.array(content_features(t)) for t in texts], pa.float64()),
+            "meta": list_array([np.array(meta_features(*e)) for e in zip(texts, *others)], pa.float64()),
+        }
 
-    return map_batches(inner, run, ddl)
+    views = measures(docs, inputs, work, "content array<double>, meta array<double>", FEATURED_ROWS)
+    return docs.select(*keep, views.alias("VIEWS"))
 
 
 def matrix(column: pa.ListArray, rows: int) -> np.ndarray:
@@ -224,7 +216,7 @@ def fit_views(rows: DataFrame) -> tuple[View, View, np.ndarray] | None:
 
 
 def both(views: tuple[View, View], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    margins = (np.clip(v.margin(x), -12, 12) for v, x in zip(views, (a, b)))
+    margins = (np.clip(v.margin(x), -MOST_MARGIN, MOST_MARGIN) for v, x in zip(views, (a, b)))
     return np.column_stack((np.ones(len(a)), *margins))
 
 
@@ -242,27 +234,31 @@ def classify_quality(
     mean = mean.where(held_in) if held_in is not None else mean
     mean = mean.groupBy(F.col("doc_id").alias("LABELLED")).agg((F.avg(label) >= 0.5).cast("double").alias("MEAN"))
     keyed = docs.withColumn("LABEL_KEY", F.col("doc_id"))
-    featured = materialise_texts(view_features(keyed, [*keep, "LABEL_KEY"]), "features")
+    written = materialise_texts(view_features(keyed, [*keep, "LABEL_KEY"]), "features")
+    featured = written.select(*keep, "LABEL_KEY", "VIEWS.*")
     joined = featured.join(mean, F.col("LABEL_KEY") == F.col("LABELLED"), "left")
     rows = materialise(
         joined.select("LABEL_KEY", *VIEWS, F.coalesce("MEAN", F.lit(-1.0)).alias("LABEL")), "labelled"
     )
     model = fit_views(rows)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    ddl = f"{kept}, content_margin double, meta_margin double, score double"
-    arrow = schema_of(ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (matrix(batch.column(v), batch.num_rows) for v in VIEWS)
-            design = both(model[:2], a, b) if model and batch.num_rows else np.zeros((batch.num_rows, 3))
-            made = {
-                "content_margin": pa.array(design[:, 1]),
-                "meta_margin": pa.array(design[:, 2]),
-                "score": pa.array(sigmoid(design @ model[2]) if model else np.ones(len(design))),
-            }
-            columns = [made[n] if n in made else batch.column(n) for n in arrow.names]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    scored = map_batches(featured.select(*keep, *VIEWS), run, ddl)
-    return scored.withColumn("kept", F.col("score") >= LEAST_SCORE)
+    if model is None:
+        margins, log_odds = [F.lit(0.0), F.lit(0.0)], None
+    else:
+        margins = [margin_column(view, F.col(name)) for view, name in zip(model[:2], VIEWS)]
+        log_odds = F.lit(float(model[2][0])) + sum(F.lit(float(w)) * F.col(n) for w, n in zip(model[2][1:], MARGINS))
+    scored = featured.select(*keep, *(m.alias(n) for m, n in zip(margins, MARGINS)))
+    score = F.lit(1.0) if log_odds is None else 1 / (1 + F.exp(-clipped(log_odds, 35.0)))
+    return scored.withColumn("score", score).withColumn("kept", F.col("score") >= LEAST_SCORE)
+
+
+def clipped(value: Column, most: float) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), value))
+
+
+def margin_column(view: View, features: Column) -> Column:
+    """The clipped log odds of a view as a column expression."""
+    total = F.lit(float(view.weights[0]))
+    for i, (centre, spread, weight) in enumerate(zip(view.centre, view.spread, view.weights[1:])):
+        deviation = (F.get(features, F.lit(i)) - F.lit(float(centre))) / F.lit(float(spread))
+        total = total + F.lit(float(weight)) * clipped(deviation, float(MOST_DEVIATIONS))
+    return clipped(total, float(MOST_MARGIN))

@@ -6,11 +6,13 @@ import base64
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import map_texts, materialise_texts
+from sluicebox.llm.common import materialise_texts, measures
 from sluicebox.llm.tokens import WordCache, vocabulary_path
+from sluicebox.session import materialise
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -37,6 +39,9 @@ LATIN_BYTES, LATIN_LIMIT, OTHER_LIMIT = 1.2, 1.3, 0.2
 #: Byte fallbacks are rare in a script that the piece vocabulary knows: up to 0.1 in the samples seen, emojis have 0.8.
 BYTE_LIMIT, ENTROPY_LIMIT = 0.5, 0.3
 
+#: So many texts are measured before their measures go on.
+MEASURED_ROWS = 200
+
 MEASURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
@@ -117,17 +122,17 @@ def measure_text(text: str, byte_level: WordCache, pieces: WordCache, fallback:
 
 
 def measure_texts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the measures of every whole text; a null text has no words."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    """The columns ``keep`` and, in ``MEASURED``, the measures of every whole text; a null text has no words."""
     paths = vocabulary_path("byte_bpe_50k.tiktoken"), vocabulary_path("piece_bpe_32k.model")
     made = f"{MEASURES}, {INTERNAL}"
     names = [part.split()[0] for part in made.split(", ")]
 
-    def work(texts: list[str | None]) -> dict[str, object]:
+    def work(texts: pa.Array) -> dict[str, object]:
         caches = token_caches(*paths)
-        return dict(zip(names, zip(*(measure_text(t or "", *caches) for t in texts))))
+        found = [measure_text(t or "", *caches) for t in texts.to_pylist()]
+        return dict(zip(names, zip(*found) if found else [[]] * len(names)))
 
-    return map_texts(df, work, f"{kept}, {made}", keep, text)
+    return df.select(*keep, measures(df, F.col(text), work, made, MEASURED_ROWS).alias("MEASURED"))
 
 
 def language_bands(measured: DataFrame, language: str) -> DataFrame:
@@ -176,8 +181,10 @@ def quality_rules(df: DataFrame, keep: list[str], language: str = "lang", text:
     rows get the same verdict; an empty table gives no row.
     """
     marked = df.select(*keep, F.coalesce(F.col(language), F.lit("")).alias("LANGUAGE"), F.col(text).alias("TEXT"))
-    measured = materialise_texts(measure_texts(marked, [*keep, "LANGUAGE"], "TEXT"), "measured")
-    bands = language_bands(measured, "LANGUAGE")
+    written = materialise_texts(measure_texts(marked, [*keep, "LANGUAGE"], "TEXT"), "measured")
+    measured = written.select(*keep, "LANGUAGE", "MEASURED.*")
+    # A written table of a few rows has a known size, so that the texts are joined with it where they are.
+    bands = materialise(language_bands(measured, "LANGUAGE"), "bands")
     joined = measured.join(bands, F.col("LANGUAGE") == F.col("BAND"), "left")
     steady = F.sqrt(F.least(F.lit(1.0), F.col("n_tokens") / STEADY_TOKENS))
     reason = F.when(base_failed(), "base rules")

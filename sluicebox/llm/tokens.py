@@ -43,12 +43,22 @@ class WordCache(dict):
     """
 
     known: list[weakref.ref] = []
+    owner: str | None = None
 
     def __init__(self, make: Callable[[str], object], words: int = CACHED_WORDS):
         super().__init__()
         self.make, self.words = make, words
         WordCache.known = [ref for ref in WordCache.known if ref() is not None] + [weakref.ref(self)]
 
+    @classmethod
+    def begin(cls, owner: str) -> None:
+        """Clear all caches of this worker if its last task was another's: later stages get the memory back."""
+        if cls.owner != owner:
+            cls.owner = owner
+            for ref in cls.known:
+                if (cache := ref()) is not None:
+                    cache.clear()
+
     def make_room(self) -> None:
         others = [cache for ref in WordCache.known if (cache := ref()) is not None and cache is not self]
         if len(self) + sum(map(len, others)) > WORDS_IN_ALL:

@@ -23,7 +23,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_reads_its_whole_table(spark, name):
     rows = QUERIES[name](spark, SF)
-    table, key = ("pages", "page_id") if name.startswith("op4_") else ("documents", "doc_id")
+    tables = {"op4": ("pages", "page_id"), "op11": ("embeddings", "vec_id")}
+    table, key = tables.get(name.split("_")[0], ("documents", "doc_id"))
     if name.startswith("op7_"):
         assert rows.select("query_id").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
         return
