@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.llm.tokens import WordCache
 from sluicebox.session import materialise, sql_settings
+from sluicebox.sources.layout import remove_tree
 
 TEXT_BATCH_BYTES = 4 << 20
 TEXT_ROWS = 1000
@@ -123,6 +124,12 @@ def materialise_texts(df: DataFrame, label: str) -> DataFrame:
         return materialise(df, label)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing will read again."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        remove_tree(df.sparkSession, folder)
+
+
 def schema_of(ddl: str) -> pa.Schema:
     """The Arrow schema of a schema string."""
     from pyspark.sql.pandas.types import to_arrow_schema

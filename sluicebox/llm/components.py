@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.llm.common import discard
 from sluicebox.session import materialise
 
 
@@ -30,7 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
         stars = _to_least(large.distinct())
         small = stars.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        last = edges
         edges = materialise(small.unionByName(stars.select("u", F.col("least").alias("v"))).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

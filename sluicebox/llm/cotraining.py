@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, materialise_texts, measures
+from sluicebox.llm.common import discard, list_array, map_batches, materialise_texts, measures
 from sluicebox.llm.fertility import SPACES, repeated_lines, repeated_words
 from sluicebox.session import materialise
 
@@ -241,6 +241,7 @@ def classify_quality(
         joined.select("LABEL_KEY", *VIEWS, F.coalesce("MEAN", F.lit(-1.0)).alias("LABEL")), "labelled"
     )
     model = fit_views(rows)
+    discard(rows)
     if model is None:
         margins, log_odds = [F.lit(0.0), F.lit(0.0)], None
     else:
