@@ -55,6 +55,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     for name in ("day", "directory", "source", "result", "copy"):
         job.add_argument(name)
     job.add_argument("--overwrite", action="store_true", help="replace the result table and the lake path")
+    job.add_argument("--run", help="name that retries share; a repeated run replaces what it wrote before")
     return parser.parse_args(argv)
 
 
@@ -101,7 +102,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     else:
         modes = {"mode": "overwrite", "lake_mode": "overwrite"} if args.overwrite else {}
         tables = {"source": args.source, "result": args.result, "copy": args.copy}
-        country_chain(spark, args.day, args.directory, **tables, **modes)
+        country_chain(spark, args.day, args.directory, **tables, **modes, run=args.run)
 
 
 if __name__ == "__main__":

@@ -32,12 +32,14 @@ from sluicebox.sources.json_events import (
 )
 from sluicebox.sources.layout import (
     glob_exists,
+    path_exists,
     publish_partitions,
     read_current,
     remove_runs,
     remove_stale,
     remove_tree,
     switch_current,
+    touch_lease,
 )
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 
@@ -155,6 +157,13 @@ def _concurrently(jobs: Sequence[Callable[[], object]], concurrent: int) -> list
             raise
 
 
+def _leased(spark: SparkSession, folder: str, job: Callable[[], object]) -> object:
+    """Run a write job and say that its run is alive."""
+    done = job()
+    touch_lease(spark, folder)
+    return done
+
+
 def _directory(hour: str) -> Column:
     """Hour and type of a staged directory, for choosing directories without reading them."""
     return F.concat(F.col(hour), F.lit("/"), F.coalesce(F.col("et"), F.lit("")))
@@ -196,8 +205,10 @@ def write_groups(
     ``move`` writes everything to a new folder below ``staging``, by default ``target``, and then renames the finished
     directories to ``target/type/hour/``. A failed write leaves the target as it was; types that the given hours no
     longer have are removed. ``run`` writes to ``target/run-.../n/et=type/hh=hour/``, on any store, and then makes the
-    run current for its hours by replacing one small file, which :func:`read_published` follows: whenever a run ends,
-    the hours are all old or all new. The run that was current before stays for its readers until the next one.
+    run current for its hours by one small file of the next number, which :func:`read_published` follows: whenever a run
+    ends, the hours are all old or all new. Runs may end at the same time; each takes over its own hours and leaves the
+    others to the runs that hold them, see :func:`switch_current`. The run that was current before stays for its readers
+    until the next one, and a run that is still being written stays as long as it touches its lease.
     Returns the directories written, for ``run`` its folder.
     """
     if publish == "run":
@@ -210,12 +221,13 @@ def write_groups(
         for number, (split, groups) in enumerate(found):
             place = under(folder, str(number)) if publish == "move" else under(folder, f"batch{number}")
             jobs += write_staged(split, groups, place, hour, max_rows)
+        if publish == "run":
+            touch_lease(spark, folder)
+            jobs = [partial(_leased, spark, folder, job) for job in jobs]
         _concurrently(jobs, concurrent)
         if publish == "run":
-            before = read_current(spark, target)
-            now = {**before, **dict.fromkeys(hours, name)}
-            switch_current(spark, target, now)
-            remove_runs(spark, target, {*before.values(), *now.values()})
+            switch_current(spark, target, hours, name)
+            remove_runs(spark, target)
             return [folder]
         moved = publish_partitions(spark, f"{folder}/*", target, ["et", hour])
         remove_stale(spark, target, hours, moved)
@@ -377,6 +389,9 @@ def read_published(
     paths = [under(folder, event_type, hour)]
     if current:
         wanted = [(h, run) for h, run in sorted(current.items()) if hour in ("*", h)]
+        for run in {run for _, run in wanted}:
+            if not path_exists(spark, under(folder, run)):
+                raise FileNotFoundError(f"{under(folder, run)} is current, but gone")
         paths = [under(folder, run, "*", "*", f"et={event_type}", f"{hour_column}={h}") for h, run in wanted]
         paths = [path for path in paths if glob_exists(spark, path)]
         if not paths:

@@ -184,6 +184,7 @@ ORACLE: dict[str, str] = {
     "split_and_narrow_hour": _after("narrowed", "SELECT * FROM narrowed", "event_type"),
     "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "preprocess_day_runs": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
+    "concurrent_publish": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "warehouse_to_lake": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -196,4 +197,7 @@ ORACLE: dict[str, str] = {
     "lake_to_warehouse_lineitem": """
         SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM lineitem""",
     "country_chain": _after("flat", "SELECT DISTINCT country FROM flat"),
+    "country_chain_retried": _after(
+        "flat", "SELECT country, CASE WHEN country = 'US' THEN 2 ELSE 1 END::BIGINT AS runs FROM flat GROUP BY country"
+    ),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,15 @@ def preprocess_day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_directories(read_published(spark, target, DAY))
 
 
+def concurrent_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of some hours each, at the same time and into the same day."""
+    source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
+    publish = lambda hours: preprocess_day(spark, DAY, source, target, hours=hours, publish="run", denied=DENIED)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(publish, (range(8), range(8, 16), range(16, 24))))
+    return with_directories(read_published(spark, target, DAY))
+
+
 def preprocess_day_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
     preprocess_day(spark, DAY, source, target, layout="wide", denied=DENIED)
@@ -290,6 +300,20 @@ def country_chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, copy)
 
 
+def country_chain_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the chain over different users, each repeated; the result table has every run once."""
+    events, test = _database(configure(spark), "events"), _database(spark, "test")
+    users = _flat(spark, sf_dir).select("user_id", "country").distinct()
+    lake = scratch_path(spark, "lake")
+    names = {"source": f"{events}.user_info", "result": f"{test}.result", "copy": f"{test}.copy"}
+    parts = {"all": users, "us": users.where("country = 'US'")}
+    for run, part in parts.items():
+        write_table(part, dated_table(f"{events}.user_info", DAY), "overwrite")
+        for _ in range(2):
+            copy = country_chain(spark, DAY, under(lake, run), **names, run=run)
+    return read_table(spark, copy).groupBy("country").agg(F.count(F.lit(1)).alias("runs"))
+
+
 QUERIES: dict[str, Query] = {
     "flat_events": flat_events,
     "flat_array_leaves": flat_array_leaves,
@@ -316,9 +340,11 @@ QUERIES: dict[str, Query] = {
     "split_and_narrow_hour": split_and_narrow_hour,
     "preprocess_day_narrow": preprocess_day_narrow,
     "preprocess_day_runs": preprocess_day_runs,
+    "concurrent_publish": concurrent_publish,
     "preprocess_day_wide": preprocess_day_wide,
     "warehouse_to_lake": warehouse_to_lake_orders,
     "lake_to_warehouse": lake_to_warehouse_embeddings,
     "lake_to_warehouse_lineitem": lake_to_warehouse_lineitem,
     "country_chain": country_chain_query,
+    "country_chain_retried": country_chain_retried,
 }

@@ -1,3 +1,4 @@
+import os
 import random
 from pathlib import Path
 
@@ -8,6 +9,7 @@ from pyspark.sql.types import StructType
 from sluicebox.functions.predicates import VERSION_PATTERN
 from sluicebox.plans import preprocess
 from sluicebox.plans.preprocess import narrow_hour, preprocess_day, read_published, split_events, split_hour
+from sluicebox.sources import layout
 from sluicebox.sources.json_events import read_types
 from sluicebox.sources.sinks import write_split
 
@@ -103,6 +105,60 @@ def test_runs_and_moved_output_agree(spark, raw, tmp_path):
         run(spark, source, two, [0], publish="later")
 
 
+@pytest.mark.parametrize("first", [0, 1])
+@pytest.mark.parametrize("module, step", [(preprocess, "switch_current"), (layout, "_create_manifest")])
+def test_runs_that_overlap_keep_each_others_hours(spark, raw, tmp_path, monkeypatch, first, module, step):
+    """A whole run of the other hour ends when the first has written its folder, or when the first has read what is
+    current and is about to say what will be."""
+    target, folder = str(tmp_path / "events"), tmp_path / "events/2018/06/01"
+    source = raw(h00=[event("a", 1), event("b", 2)], h01=[event("a", 3)])
+    real, waiting = getattr(module, step), [1 - first]
+
+    def after_the_other(*args):
+        if waiting:
+            run(spark, source, target, [waiting.pop()], publish="run")
+        return real(*args)
+
+    monkeypatch.setattr(module, step, after_the_other)
+    run(spark, source, target, [first], publish="run")
+    assert not waiting and sorted(r.event_id for r in read_published(spark, target, DAY).collect()) == [1, 2, 3]
+    current = layout.read_current(spark, str(folder))
+    assert set(current) == {"00", "01"} and set(current.values()) <= {p.name for p in folder.glob("run-*")}
+    assert sorted(p.name for p in folder.glob("_current*")) == ["_current.1", "_current.2"]
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    folder = str(tmp_path / "day")
+    Path(folder, "run-a").mkdir(parents=True)
+    layout.switch_current(spark, folder, ["00"], "run-a")
+    assert not layout._create_manifest(spark, folder, 1, {"00": "run-b"})
+    assert layout.read_current(spark, folder) == {"00": "run-a"} and not list(Path(folder).glob("_new*"))
+    with pytest.raises(FileNotFoundError, match="nothing was published"):
+        layout.switch_current(spark, folder, ["01"], "run-gone")
+
+
+def test_leases_protect_runs_that_are_written(spark, tmp_path):
+    folder = tmp_path / "day"
+    for name in ("run-a", "run-b", "run-c", "run-live", "run-dead"):
+        (folder / name).mkdir(parents=True)
+        layout.touch_lease(spark, str(folder / name))
+    for name in ("run-a", "run-b", "run-c"):
+        layout.switch_current(spark, str(folder), ["00"], name)
+    os.utime(folder / "run-dead" / "_lease", (1, 1))
+    layout.remove_runs(spark, str(folder))
+    assert sorted(p.name for p in folder.glob("run-*")) == ["run-b", "run-c", "run-live"]
+    assert sorted(p.name for p in folder.glob("_current*")) == ["_current.2", "_current.3"]
+
+
+def test_a_run_that_is_gone_is_an_error(spark, raw, tmp_path):
+    target = str(tmp_path / "events")
+    run(spark, raw(h00=[event("a", 1)], h01=[event("a", 3)]), target, [0, 1], publish="run")
+    folder = next((tmp_path / "events/2018/06/01").glob("run-*"))
+    folder.rename(folder.with_name("moved"))
+    with pytest.raises(FileNotFoundError, match="gone"):
+        read_published(spark, target, DAY)
+
+
 def test_a_run_replaces_its_hours_at_once(spark, raw, tmp_path, monkeypatch):
     target = str(tmp_path / "events")
     run(spark, raw(h00=[event("a", 1), event("b", 2)], h01=[event("a", 3)]), target, [0, 1], publish="run")

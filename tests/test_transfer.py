@@ -2,7 +2,17 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from sluicebox.plans.transfer import country_chain, distinct_countries, lake_to_warehouse, warehouse_to_lake
-from sluicebox.sources.tables import read_day, read_extract, read_table, recover_table, register_view, write_table
+from sluicebox.plans import transfer
+from sluicebox.sources.tables import (
+    append_run,
+    read_day,
+    read_extract,
+    read_rows,
+    read_table,
+    recover_table,
+    register_view,
+    write_table,
+)
 
 DAY = "20180601"
 SF = "/root/testdata/sf0.001"
@@ -123,6 +133,51 @@ def test_country_chain(spark, database, tmp_path):
     assert read_table(spark, f"{database}.copy_{DAY}").count() == 3
 
 
+CHAIN_STEPS = ["claim_day", "distinct_countries", "append_run", "write_day", "lake_to_warehouse"]
+
+
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("step", CHAIN_STEPS)
+def test_a_chain_that_failed_is_repeated(spark, database, tmp_path, monkeypatch, step, after):
+    users = spark.createDataFrame([(1, "US"), (2, "US"), (3, None), (4, "IS")], "user_id int, country string")
+    write_table(users, f"{database}.u_{DAY}", "overwrite")
+    names = {"source": f"{database}.u", "result": f"{database}.r", "copy": f"{database}.c"}
+    lake, real = str(tmp_path / "lake"), getattr(transfer, step)
+
+    def fails(*args, **kwargs):
+        if after:
+            real(*args, **kwargs)
+        raise RuntimeError("stopped")
+
+    for _ in range(2):
+        monkeypatch.setattr(transfer, step, fails)
+        with pytest.raises(RuntimeError, match="stopped"):
+            country_chain(spark, DAY, lake, **names, run="first")
+        monkeypatch.undo()
+    country_chain(spark, DAY, lake, **names, run="first")
+    once = [("IS",), ("US",), (None,)]
+    assert rows(read_rows(spark, f"{database}.r_{DAY}")) == once
+    assert rows(read_day(spark, lake, DAY)) == once and rows(read_table(spark, f"{database}.c_{DAY}")) == once
+
+
+def test_other_runs_append(spark, database, tmp_path):
+    names = {"source": f"{database}.u", "result": f"{database}.r", "copy": f"{database}.c"}
+    lake = str(tmp_path / "lake")
+    for run, values in (("o'ne", [(1, "US")]), ("two", [(1, "DE"), (2, "US")]), ("o'ne", [(1, "IS")])):
+        write_table(spark.createDataFrame(values, "user_id int, country string"), f"{database}.u_{DAY}", "overwrite")
+        if run == "two":
+            with pytest.raises(FileExistsError, match="belongs to run"):
+                country_chain(spark, DAY, lake, **names, run=run)
+        country_chain(spark, DAY, lake, **names, run=run, lake_mode="overwrite")
+        if run != "two":
+            transfer.create_file(spark, lake, f"_chain.{DAY}", run)
+    assert rows(read_table(spark, f"{database}.r_{DAY}")) == [("DE", "two"), ("IS", "o'ne"), ("US", "two")]
+    append_run(spark.createDataFrame([], "country string"), f"{database}.r_{DAY}", "o'ne")
+    assert rows(read_rows(spark, f"{database}.r_{DAY}")) == [("DE",), ("US",)]
+    with pytest.raises(ValueError, match="columns"):
+        append_run(spark.range(1), f"{database}.r_{DAY}", "three")
+
+
 def test_view(spark):
     register_view(spark.range(3), "three_rows")
     assert spark.sql("SELECT count(*) AS n FROM three_rows").first().n == 3
