@@ -178,6 +178,8 @@ ORACLE: dict[str, str] = {
         SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts, user_id, event_type, value, props,
                'h' || strftime(ts, '%H') AS directory
         FROM events""",
+    "compacted_file_counts": """
+        SELECT 'h' || strftime(ts, '%H') AS directory, count(*) AS lines, true AS as_few_as_needed FROM events GROUP BY 1""",
     "parquet_capped_write": _after("retained", "SELECT *, true AS within_cap FROM retained"),
     "publish_day": _after("narrowed", "SELECT *, '20180601' AS dt, event_type AS et FROM narrowed"),
     # All events are one hour here, so the type alone makes a group.

@@ -167,6 +167,23 @@ def compact_small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, merged, StructType([*raw.drop("H").schema.fields, StructField("directory", StringType())]))
 
 
+def compacted_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each hour's lines are in as many merged files as their bytes need, and how many lines there are."""
+    small, merged = scratch_path(spark, "small"), scratch_path(spark, "merged")
+    raw = load_events(configure(spark), sf_dir).select("event_id", "user_id", F.concat(F.lit("h"), hour_column(F.col("ts"))).alias("H"))
+    raw.repartition(16, "event_id").write.partitionBy("H").json(f"{small}/staged")
+    publish_partitions(spark, small, f"{small}-by-hour", ["H"])
+    compact_text(spark, f"{small}-by-hour", merged, target_mib=1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(merged)
+    place = F.regexp_extract("_metadata.file_path", "directory=([^/]*)/", 1).alias("directory")
+    files = lines.select(place, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    of_file = files.groupBy("directory", "file").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("lines"))
+    counts = of_file.groupBy("directory").agg(
+        F.sum("lines").alias("lines"), (F.count(F.lit(1)) <= F.ceil(F.sum("size") / (1 << 20))).alias("as_few_as_needed")
+    )
+    return counts
+
+
 def parquet_capped_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "capped")
     retained = _retained(spark, sf_dir)
@@ -335,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "json_partition_scan": json_partition_scan,
     "json_schema_on_read": json_schema_on_read,
     "compact_small_files": compact_small_files,
+    "compacted_file_counts": compacted_file_counts,
     "parquet_capped_write": parquet_capped_write,
     "publish_day": publish_day,
     "split_and_narrow_hour": split_and_narrow_hour,

@@ -1,3 +1,6 @@
+import random
+from urllib.parse import unquote
+
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.plans.preprocess import publish_wide
 from sluicebox.session import sql_settings
+from sluicebox.sources import compaction
 from sluicebox.sources.compaction import compact_text
 from sluicebox.sources.layout import publish_partitions
 from sluicebox.sources.sinks import clustered, write_day, write_parquet, write_split
@@ -92,7 +96,7 @@ def test_wide_rerun_gives_the_same_table(spark, tmp_path):
         publish_wide(df.withColumn("dt", F.lit(1)), path, "20180602")
 
 
-def test_small_files_are_merged_without_a_shuffle(spark, tmp_path):
+def test_small_files_are_merged(spark, tmp_path):
     source, target = tmp_path / "small", str(tmp_path / "merged")
     lines = []
     for i in range(40):
@@ -119,6 +123,35 @@ def test_merged_files_have_about_the_target_size(spark, tmp_path):
     assert sum(sizes) == 12 * 300000 and len(sizes) == 4 and max(sizes) <= 1.1 * 1024 * 1024
 
 
+@pytest.mark.parametrize("lane", [100_000, 7])
+def test_each_directory_has_as_many_files_as_its_bytes_need(spark, tmp_path, monkeypatch, lane):
+    """Twenty directories of small, large and empty files, read and merged by many tasks."""
+    monkeypatch.setattr(compaction, "LANE_FILES", lane)
+    rng, source, target, mib = random.Random(6), tmp_path / "small", tmp_path / "merged", 1 << 20
+    want, lanes = {}, {}
+    for d in range(20):
+        folder = source / f"d {d}%"
+        folder.mkdir(parents=True)
+        lines = []
+        for i in range(rng.randint(1, 25)):
+            part = [f"{d}-{i}-{j}-" + "x" * rng.randint(0, 200) for j in range(rng.choice([0, 3, 50, 400, 9000 if d < 3 else 80]))]
+            (folder / f"f{i}.txt").write_text("".join(f"{line}\n" for line in part))
+            lines += part
+            lanes[folder.name] = -(-(i + 1) // lane)
+        want[folder.name] = lines
+    compact_text(spark, str(source), str(target), target_mib=1)
+    found = {}
+    for file in target.glob("*/*.txt"):
+        found.setdefault(unquote(file.parent.name.removeprefix("directory=")), []).append(file)
+    for name, lines in want.items():
+        got = [line for file in found.get(name, []) for line in file.read_text().splitlines()]
+        assert sorted(got) == sorted(lines)
+        needed = -(-sum(len(line) + 1 for line in lines) // mib)
+        assert len(found.get(name, [])) <= needed + lanes[name]
+    assert set(found) <= set(want)
+    assert max(file.stat().st_size for files in found.values() for file in files) < 3 * mib
+
+
 def test_a_field_that_would_clash_with_the_directory(spark, tmp_path):
     df = spark.createDataFrame([("a", "x")], "event_type string, et string")
     with pytest.raises(ValueError, match="'et'"):
