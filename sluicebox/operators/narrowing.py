@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
-    DataType,
-    DecimalType,
-    DoubleType,
-    FloatType,
-    LongType,
-    NullType,
-    StringType,
-    StructField,
-    StructType,
-    VariantType,
-)
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
+from sluicebox.functions.types import parse_variant_type, read_type
 from sluicebox.operators.lookups import join_lookup
 from sluicebox.operators.sampling import newest_version_sample
 from sluicebox.operators.versions import KEYS, VERSION, newest_version
@@ -90,28 +77,6 @@ def _plain(data_type: DataType) -> bool:
     return isinstance(data_type, (BooleanType, DoubleType, LongType, StringType))
 
 
-def read_type(data_type: DataType) -> DataType | None:
-    """The type that the JSON reader gives to values whose variants have this type; None for an empty struct."""
-    if isinstance(data_type, StructType):
-        fields = [(f.name, read_type(f.dataType)) for f in data_type.fields]
-        kept = [StructField(name, inner) for name, inner in fields if inner is not None]
-        return StructType(sorted(kept, key=lambda f: f.name)) if kept else None
-    if isinstance(data_type, ArrayType):
-        inner = read_type(data_type.elementType)
-        return None if inner is None else ArrayType(inner)
-    if isinstance(data_type, DecimalType):
-        return data_type if data_type.scale == 0 else DoubleType()
-    if isinstance(data_type, FloatType):
-        return DoubleType()
-    return StringType() if isinstance(data_type, (NullType, VariantType)) else data_type
-
-
-def parse_variant_type(text: str) -> DataType:
-    """The type that Spark spells as the schema of a variant; names may be quoted."""
-    parts = re.split(r"(`(?:[^`]|``)*`)", text)
-    return DataType.fromDDL("".join(p if p.startswith("`") else p.replace("OBJECT<", "STRUCT<") for p in parts))
-
-
 def group_schemas(
     shown: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS
 ) -> list[tuple[tuple, StructType]]:

@@ -13,10 +13,11 @@ from typing import NamedTuple
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sluicebox.functions.dates import day_path, hour_name, under
 from sluicebox.functions.predicates import DENIED_TYPES
+from sluicebox.functions.types import common_schema
 from sluicebox.operators.event_types import count_left_out, retain_event_types
 from sluicebox.operators.flatten import DROPPED_FIELDS, flatten_events
 from sluicebox.operators.narrowing import group_schemas, narrow_wide, newest_rows, typed_columns
@@ -24,8 +25,6 @@ from sluicebox.operators.versions import VERSION, newest_version
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.json_events import (
     batch_hours,
-    infer_hour_schemas,
-    infer_json_schema,
     kept_schema,
     read_hours,
     read_split,
@@ -41,7 +40,9 @@ from sluicebox.sources.layout import (
     switch_current,
     touch_lease,
 )
+from sluicebox.sources.reconcile import read_reconciled
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
+from sluicebox.sources.staged_lines import hour_lines, read_staged, stage_lines
 
 log = logging.getLogger(__name__)
 
@@ -49,23 +50,46 @@ log = logging.getLogger(__name__)
 CONCURRENT_WRITES = 32
 
 
+class Narrowed(NamedTuple):
+    """Values of a column that narrowing took from the events of one type within one hour.
+
+    The reason is ``dropped`` where the rows of the newest version show no such column, and ``misfit`` where a value
+    does not fit the type that they show.
+    """
+
+    hour: str
+    event_type: str
+    column: str
+    reason: str
+    n: int
+
+
 class Published(list):
-    """The directories written, and in ``skipped`` how many events were left out, by reason and type.
+    """The directories written, in ``skipped`` how many events were left out, by reason and type, and in ``narrowed``
+    how many values the events that stay have lost.
 
     The reasons are those of :func:`left_out_reason`, and ``no version`` for the types of an hour without a version.
     """
 
-    def __init__(self, paths: Iterable[str] = (), skipped: dict[tuple[str, str | None], int] | None = None):
+    def __init__(
+        self,
+        paths: Iterable[str] = (),
+        skipped: dict[tuple[str, str | None], int] | None = None,
+        narrowed: Iterable[Narrowed] = (),
+    ):
         super().__init__(paths)
         self.skipped = skipped or {}
+        self.narrowed = sorted(narrowed)
 
 
 class Group(NamedTuple):
-    """Events of one type within one hour, and the schema that the rows of their newest version show."""
+    """Events of one type within one hour, the schema that the rows of their newest version show, and the values that
+    all of them hold, by column."""
 
     hour: str
     event_type: str
     schema: StructType
+    values: dict[str, int]
 
 
 def split_events(
@@ -90,9 +114,14 @@ def split_hour(
     """The raw JSON lines below one folder to gzip JSON lines in one folder per event type."""
     configure(spark)
     dropped = list(dropped)
-    schema = kept_schema(infer_json_schema(spark, [source]), dropped, fix_locale)
-    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(source)
-    write_split(split_events(raw, denied, dropped, fix_locale), split)
+    scratch = scratch_path(spark, "run")
+    try:
+        lines = spark.read.option("recursiveFileLookup", "true").text(source).withColumn("HOUR", F.lit("all"))
+        staged = stage_lines(lines, ["all"], scratch)
+        raw = read_staged(spark, staged, ["all"], kept_schema(staged.schemas["all"], dropped, fix_locale), None)
+        write_split(split_events(raw, denied, dropped, fix_locale), split)
+    finally:
+        remove_tree(spark, scratch)
 
 
 def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
@@ -129,15 +158,76 @@ def find_groups(
     version show, and the number of events by type that are left out as their group has none."""
     columns = [c for c in split.columns if c not in (hour, "et")]
     keys = [hour, "event_type"]
-    counts = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
     if VERSION not in columns:
-        left = counts.groupBy("event_type").agg(F.sum("N").alias("N"))
+        left = split.groupBy("event_type").agg(F.count(F.lit(1)).alias("N"))
         return [], report_skipped({("no version", r["event_type"]): r["N"] for r in left.collect()})
     newest = materialise(newest_version(split, keys, order=order), "newest", scratch)
-    left = counts.join(newest, keys, "left_anti").groupBy("event_type").agg(F.sum("N").alias("N"))
-    skipped = report_skipped({("no version", r["event_type"]): r["N"] for r in left.collect()})
+    held = [F.count(F.col(f"`{c}`")) for c in columns]
+    counts = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"), F.array(*held).alias("HELD"))
+    values = {(r[hour], r["event_type"]): (r["N"], dict(zip(columns, r["HELD"], strict=True))) for r in counts.collect()}
     shown = newest_rows(split, newest, keys, rows=rows, order_by=order_by)
-    return [Group(*values, schema) for values, schema in group_schemas(shown, columns, keys)], skipped
+    groups = [Group(*group, schema, values[group][1]) for group, schema in group_schemas(shown, columns, keys)]
+    left = Counter()
+    for group in values.keys() - {group[:2] for group in groups}:
+        left["no version", group[1]] += values[group][0]
+    return groups, report_skipped(dict(left))
+
+
+def count_misfits(split: DataFrame, alike: Sequence[Group], hour: str = "hh") -> list[Narrowed]:
+    """Values that became null, or lost elements, as they do not fit the schema that these groups have in common.
+
+    One grouped aggregate over the columns whose type differs from the split's, and over the directories of the groups
+    only; none, which is usual, costs no job. Counted from the staged table and not by observing the write, so that a
+    write task that is repeated counts once.
+    """
+    schema = alike[0].schema
+    found = {f.name: f.dataType for f in split.schema.fields}
+    odd = [f for f in schema.fields if found[f.name].simpleString() != f.dataType.simpleString()]
+    if not odd:
+        return []
+    typed = typed_columns(split, StructType(odd))
+    part = split.where(_directory(hour).isin([f"{g.hour}/{g.event_type}" for g in alike]))
+    pairs = part.select(
+        hour, "event_type", *[F.col(f"`{f.name}`").alias(f"OLD{i}") for i, f in enumerate(odd)],
+        *[column.alias(f"NEW{i}") for i, column in enumerate(typed)],
+    )
+    lost = []
+    for i, field in enumerate(odd):
+        old, new = F.col(f"OLD{i}"), F.col(f"NEW{i}")
+        gone = old.isNotNull() & new.isNull()
+        if isinstance(found[field.name], ArrayType) and isinstance(field.dataType, ArrayType):
+            gone |= F.size(F.array_compact(new)) < F.size(F.array_compact(old))
+        lost.append(F.count(F.when(gone, 1)))
+    counts = pairs.groupBy(hour, "event_type").agg(F.array(*lost).alias("LOST")).collect()
+    return [
+        Narrowed(row[hour], row["event_type"], field.name, "misfit", n)
+        for row in counts
+        for field, n in zip(odd, row["LOST"], strict=True)
+        if n
+    ]
+
+
+def narrowed_values(split: DataFrame, groups: Sequence[Group], hour: str = "hh", concurrent: int = 8) -> list[Narrowed]:
+    """All values that narrowing takes from the events of these groups, see :class:`Narrowed`."""
+    out = []
+    for group in groups:
+        kept = set(group.schema.names)
+        lost = [(column, n) for column, n in group.values.items() if n and column not in kept]
+        out += [Narrowed(group.hour, group.event_type, column, "dropped", n) for column, n in lost]
+    with ThreadPoolExecutor(concurrent) as pool:
+        for found in pool.map(lambda alike: count_misfits(split, alike, hour), same_schema(groups)):
+            out += found
+    for lost in out:
+        log.warning("narrowing took %d values of %s from %r of hour %s: %s", lost.n, lost.column, lost.event_type, lost.hour, lost.reason)
+    return out
+
+
+def same_schema(groups: Sequence[Group]) -> list[list[Group]]:
+    """The groups, with those of the same schema together."""
+    by_schema: dict[str, list[Group]] = {}
+    for group in groups:
+        by_schema.setdefault(group.schema.json(), []).append(group)
+    return list(by_schema.values())
 
 
 def report_skipped(skipped: dict[tuple[str, str | None], int]) -> dict[tuple[str, str | None], int]:
@@ -176,16 +266,13 @@ def write_staged(
 
     A job reads only the directories of its groups and shuffles nothing.
     """
-    by_schema: dict[str, list[Group]] = {}
-    for group in groups:
-        by_schema.setdefault(group.schema.json(), []).append(group)
 
     def write(number: int, alike: list[Group]) -> None:
         part = split.where(_directory(hour).isin([f"{group.hour}/{group.event_type}" for group in alike]))
         typed = part.select(*typed_columns(split, alike[0].schema), "et", hour)
         write_parquet(typed, under(staged, str(number)), ["et", hour], max_rows=max_rows)
 
-    return [partial(write, number, alike) for number, alike in enumerate(by_schema.values())]
+    return [partial(write, number, alike) for number, alike in enumerate(same_schema(groups))]
 
 
 def write_groups(
@@ -265,7 +352,7 @@ def narrow_hour(
         paths = write_groups(
             spark, [(staged, groups)], target, [hour], hour_column, publish=publish, max_rows=max_rows
         )
-        return Published(paths, skipped)
+        return Published(paths, skipped, narrowed_values(staged, groups, hour_column))
     finally:
         remove_tree(spark, scratch)
 
@@ -324,7 +411,8 @@ def preprocess_day(
     of its events shows; for ``publish`` see :func:`write_groups`. ``wide`` writes one table under ``target`` with the
     partitions ``dt``, ``et`` and the hour. A given ``schema`` spares the scan that infers one. ``order`` is the order of
     versions. ``rows`` limits the rows of the newest version that are looked at, by default all, and ``order_by`` then
-    orders them. Returns the directories published (narrow only) and what was left out.
+    orders them. Returns the directories published (narrow only), what was left out, and (narrow only) the values that
+    narrowing took from the events that stay. Without a schema the raw files are read once, see :func:`stage_lines`.
     """
     if layout not in ("narrow", "wide"):
         raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
@@ -338,7 +426,10 @@ def preprocess_day(
     skipped: Counter[tuple[str, str | None]] = Counter()
 
     def staged_split(batch: Sequence[str], batch_schema: StructType) -> DataFrame:
-        raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
+        if lines is None:
+            raw = read_hours(spark, source, day, batch, batch_schema, hour_column)
+        else:
+            raw = read_staged(spark, lines, batch, batch_schema, hour_column)
         flat = flatten_events(raw, dropped, fix_locale)
         check_reserved(flat)
         seen = Observation()
@@ -352,14 +443,16 @@ def preprocess_day(
         return split
 
     try:
+        lines = None
+        if schema is None:
+            lines = stage_lines(hour_lines(spark, source, day, names), names, scratch_path(spark, "raw", scratch))
         if layout == "wide":
-            base = under(source, day_path(day))
-            found = schema or infer_json_schema(spark, [under(base, name) for name in names])
+            found = schema or common_schema(lines.schemas.values())
             split = staged_split(names, kept_schema(found, dropped, fix_locale))
             publish_wide(split, target, day, hour_column, staged=True, max_rows=max_rows, **narrowing)
             return Published([], skipped)
         if schema is None:
-            batches = batch_hours(infer_hour_schemas(spark, source, day, names), dropped, fix_locale)
+            batches = batch_hours(lines.schemas, dropped, fix_locale)
         else:
             batches = [(names, kept_schema(schema, dropped, fix_locale))]
         splits = [staged_split(batch, batch_schema) for batch, batch_schema in batches]
@@ -372,17 +465,33 @@ def preprocess_day(
         paths = write_groups(
             spark, grouped, day_target, names, hour_column, publish=publish, staging=target, max_rows=max_rows
         )
-        return Published(paths, skipped)
+        narrowed = [lost for split, groups in grouped for lost in narrowed_values(split, groups, hour_column)]
+        return Published(paths, skipped, narrowed)
     finally:
         remove_tree(spark, scratch)
 
 
+def with_place(events: DataFrame, hour_column: str = "hh") -> DataFrame:
+    """Type and hour of the published directory that holds each row, as ``et`` and ``hour_column``."""
+    parts = F.split(F.url_decode(F.col("_metadata.file_path")), "/")
+    value = lambda i, name: F.regexp_replace(F.element_at(parts, i), f"^{name}=", "").alias(name)
+    return events.select("*", value(-3, "et"), value(-2, hour_column))
+
+
 def read_published(
-    spark: SparkSession, target: str, day: str, event_type: str = "*", hour: str = "*", hour_column: str = "hh"
+    spark: SparkSession,
+    target: str,
+    day: str,
+    event_type: str = "*",
+    hour: str = "*",
+    hour_column: str = "hh",
+    place: bool = False,
 ) -> DataFrame:
-    """Narrow output of a day; several directories are read as one table if their common columns agree in type.
+    """Narrow output of a day as one table. A column whose type differs between hours or types has the least type that
+    holds all its values, see :func:`read_reconciled`.
 
-    If the day was published by runs, each hour is read from its current run.
+    If the day was published by runs, each hour is read from its current run. ``place`` adds the type and the hour of
+    the directory.
     """
     folder = under(target, day_path(day))
     current = read_current(spark, folder)
@@ -396,4 +505,5 @@ def read_published(
         paths = [path for path in paths if glob_exists(spark, path)]
         if not paths:
             raise FileNotFoundError(f"nothing is published for type {event_type!r} and hour {hour!r} in {folder}")
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
+    placed = partial(with_place, hour_column=hour_column) if place else lambda events: events
+    return read_reconciled(spark, paths, placed)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from sluicebox.functions.dates import day_path, under
+from sluicebox.functions.types import ambiguous, parse_variant_type
+from sluicebox.functions.types import read_type as read_type_of
 from sluicebox.operators.flatten import DROPPED_FIELDS, flat_columns, prune_schema
 from sluicebox.sources.layout import escape_value
 from sluicebox.session import sql_settings
@@ -128,8 +130,45 @@ def read_type(spark: SparkSession, split_root: str, event_type: str) -> DataFram
     return read_json(spark, under(split_root, f"et={escape_value(event_type)}"))
 
 
-def read_types(spark: SparkSession, split_root: str, concurrent: int = 8) -> dict[str, DataFrame]:
-    """Every type of a split with its own inferred schema, in the order of the names."""
-    types = [row["et"] or "" for row in list_types(spark, split_root).collect()]
+def type_schemas(spark: SparkSession, split_root: str, concurrent: int = 8) -> dict[str, StructType]:
+    """The schema that the lines of each type of a split show, in the order of the names.
+
+    One grouped aggregate over all lines, whatever the number of types: the lines are parsed on the executors, schemas
+    are merged before the shuffle, and a row with a type's name and schema comes to the driver. Types are those that the
+    JSON reader infers. Types with lines that only the reader accepts (quotes of the other kind, numbers that are none, a
+    name twice in an object), or with numbers whose variants are :func:`ambiguous`, are left to the reader.
+    """
+    with sql_settings(spark, spark__sql__sources__partitionColumnTypeInference__enabled="false"):
+        lines = spark.read.schema("value string, et string").format("text").load(split_root)
+    event, odd = parsed_line("value")
+    found = lines.groupBy("et").agg(F.schema_of_variant_agg(event).alias("shown"), F.max(odd).alias("odd")).collect()
+
+    def schema(row) -> StructType:
+        if row["odd"] or ambiguous(row["shown"]):
+            return infer_json_schema(spark, [under(split_root, f"et={escape_value(row['et'] or '')}")])
+        return shown_schema(row["shown"])
+
+    found.sort(key=lambda row: row["et"] or "")
     with ThreadPoolExecutor(concurrent) as pool:
-        return dict(zip(types, pool.map(lambda et: read_type(spark, split_root, et), types), strict=True))
+        return {row["et"] or "": shown for row, shown in zip(found, pool.map(schema, found), strict=True)}
+
+
+def parsed_line(name: str) -> tuple[Column, Column]:
+    """A line as a variant if it is a JSON object, and whether it may be one that only the JSON reader accepts."""
+    line = F.ltrim(F.col(name))
+    event = F.when(line.startswith("{"), F.try_parse_json(F.col(name)))
+    return event, F.coalesce(line != "", F.lit(False)) & event.isNull()
+
+
+def shown_schema(text: str | None) -> StructType:
+    """The schema that the JSON reader gives to lines whose variants have this merged type."""
+    found = None if text in (None, "VOID") else read_type_of(parse_variant_type(text))
+    return found if isinstance(found, StructType) else StructType([])
+
+
+def read_types(spark: SparkSession, split_root: str) -> dict[str, DataFrame]:
+    """Every type of a split with the schema its own lines show, in the order of the names."""
+    return {
+        et: read_json(spark, under(split_root, f"et={escape_value(et)}"), schema)
+        for et, schema in type_schemas(spark, split_root).items()
+    }

@@ -39,6 +39,12 @@ def glob_exists(spark: SparkSession, pattern: str) -> bool:
     return bool(fs.globStatus(to_path(pattern)))
 
 
+def list_glob(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern."""
+    fs, to_path = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(to_path(pattern)) or []]
+
+
 def remove_tree(spark: SparkSession, path: str) -> None:
     fs, to_path = _file_system(spark, path)
     fs.delete(to_path(path), True)

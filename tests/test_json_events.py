@@ -1,5 +1,6 @@
 import gzip
 import json
+import shutil
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -15,8 +16,10 @@ from sluicebox.sources.json_events import (
     read_json,
     read_type,
     read_types,
+    type_schemas,
 )
 from sluicebox.sources.sinks import write_split
+from sluicebox.sources.staged_lines import hour_lines, read_staged, stage_lines
 
 # Parsing a schema text needs a session.
 pytestmark = pytest.mark.usefixtures("spark")
@@ -120,3 +123,58 @@ def test_listing_types_reads_no_content(spark, tmp_path):
     plan = list_types(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" in plan and "ReadSchema: struct<>" in plan
     assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
+
+
+LINES = {
+    "a": [{"x": 1, "s": {"q": 1, "e": {}}}, {"x": 2.5, "s": {"r": [1, None]}}],
+    "whole": [{"x": 1}, {"x": 1.0}],
+    "point": [{"x": 1.0, "l": [2.0]}],
+    "big": [{"x": 12345678901234567890}, {"x": 1}],
+    "mixed": [{"x": 1, "y": None, "z": True}, {"x": {"k": 1}, "z": "t"}],
+    "odd": ['{"x":1}', "{'y':2}", '{"z":NaN}', "{broken", "   ", '[{"w":1},{"w":2}]'],
+    "007": [{"x": "1"}],
+}
+
+
+def test_types_are_inferred_in_one_pass_as_the_reader_would(spark, write_lines, tmp_path):
+    for kind, lines in LINES.items():
+        write_lines(f"split/et={kind}/a.json", lines)
+    path = str(tmp_path / "split")
+    found = type_schemas(spark, path)
+    assert list(found) == sorted(LINES)
+    for kind, schema in found.items():
+        alone = infer_json_schema(spark, [f"{path}/et={kind}"])
+        assert schema.simpleString() == alone.simpleString(), kind
+    rows = read_types(spark, path)["odd"].collect()
+    assert len(rows) == 6 and {r.w for r in rows} == {None, 1, 2}
+
+
+def test_many_types_cost_as_many_jobs_as_few(spark, write_lines, tmp_path):
+    jobs = []
+    for name, kinds in (("few", 2), ("many", 60)):
+        for kind in range(kinds):
+            write_lines(f"{name}/et=t{kind}/a.json", [{"event_type": f"t{kind}", f"f{kind}": kind}])
+        spark.sparkContext.setJobGroup(name, name)
+        found = type_schemas(spark, str(tmp_path / name))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        assert {k: s.names for k, s in found.items()} == {f"t{k}": ["event_type", f"f{k}"] for k in range(kinds)}
+    assert jobs[1] <= jobs[0] + 1, jobs  # listing more than 32 folders may be a job
+
+
+def test_staged_hours_are_read_once_and_as_the_reader_would(spark, write_lines, tmp_path):
+    hours = {f"{i:02d}": kind for i, kind in enumerate([*LINES, "empty"])}
+    for hour, kind in hours.items():
+        write_lines(f"raw/2018/06/01/{hour}/a.json", LINES.get(kind, [""]))
+    root, folder = str(tmp_path / "raw"), str(tmp_path / "staged")
+    want = infer_hour_schemas(spark, root, "20180601", list(hours))
+    rows = {h: read_hours(spark, root, "20180601", [h], want[h]) for h in hours if want[h].fields}
+    rows = {hour: sorted(map(str, df.collect())) for hour, df in rows.items()}
+    staged = stage_lines(hour_lines(spark, root, "20180601", list(hours)), list(hours), folder)
+    assert {h: s.simpleString() for h, s in staged.schemas.items()} == {h: s.simpleString() for h, s in want.items()}
+    shutil.rmtree(root)
+    for hour, expected in rows.items():
+        found = read_staged(spark, staged, [hour], want[hour])
+        assert sorted(map(str, found.collect())) == expected
+    assert read_staged(spark, staged, ["23"], want["00"]).collect() == []
+    with pytest.raises(ValueError):
+        read_staged(spark, staged, ["00"], ddl("hh string"))

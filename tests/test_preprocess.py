@@ -264,7 +264,7 @@ def test_nothing_is_published_if_an_hour_fails(spark, raw, tmp_path, monkeypatch
 
 
 def test_given_schema_spares_the_inference(spark, raw, tmp_path, monkeypatch):
-    monkeypatch.setattr(preprocess, "infer_hour_schemas", None)
+    monkeypatch.setattr(preprocess, "stage_lines", None)
     source = raw(h00=[event("a", 1, x=1, y=2)], h01=[event("a", 2)])
     target = str(tmp_path / "events")
     schema = StructType.fromDDL(
