@@ -217,8 +217,11 @@ def narrowed_values(split: DataFrame, groups: Sequence[Group], hour: str = "hh",
     with ThreadPoolExecutor(concurrent) as pool:
         for found in pool.map(lambda alike: count_misfits(split, alike, hour), same_schema(groups)):
             out += found
+    by_reason = Counter()
     for lost in out:
-        log.warning("narrowing took %d values of %s from %r of hour %s: %s", lost.n, lost.column, lost.event_type, lost.hour, lost.reason)
+        by_reason[lost.reason] += lost.n
+    for reason, n in sorted(by_reason.items()):
+        log.warning("narrowing took %d values: %s", n, reason)
     return out
 
 

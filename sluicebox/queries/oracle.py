@@ -95,6 +95,34 @@ def _after(last: str, query: str, group: str = "hh, event_type") -> str:
     return "WITH " + ",\n".join(f"{name} AS ({steps[name]})" for name in needed) + "\n" + query
 
 
+def _narrowed_values() -> str:
+    """Values of columns that the newest version does not show, and serials of other versions that its type cannot hold.
+
+    Version nine has serials of a digit and no legacy field; any other one has longer ones than a long holds.
+    """
+    nine = "app_version_name LIKE '9.%'"
+    lost = " UNION ALL ".join(
+        f"SELECT hh, event_type, '{c}' AS \"column\", 'dropped' AS reason, count({c}) AS n "
+        f"FROM retained JOIN flags USING (hh, event_type) WHERE n_{c} = 0 GROUP BY hh, event_type HAVING count({c}) > 0"
+        for c in COLUMN_TYPES
+    )
+    others = f"""
+        SELECT hh, event_type, count(*) AS n
+        FROM retained JOIN (SELECT hh, event_type FROM newest WHERE {nine}) USING (hh, event_type)
+        WHERE app_version_code <> '9' GROUP BY hh, event_type"""
+    return f"""
+        {lost}
+        UNION ALL SELECT hh, event_type, 'legacy', 'dropped', n FROM ({others})
+        UNION ALL SELECT hh, event_type, 'serial', 'misfit', n FROM ({others})"""
+
+
+def _lines_schema() -> str:
+    """The columns of a type's lines that hold any value; the type is the name of its directory."""
+    types = {"event_type": "string", "hh": "string", **COLUMN_TYPES}
+    shown = ", ".join(f"CASE WHEN count({c}) > 0 THEN '{c}:{types[c]}' END" for c in sorted(types))
+    return f"SELECT event_type AS et, 'struct<' || concat_ws(',', {shown}) || '>' AS lines_schema FROM retained GROUP BY event_type"
+
+
 def _schema_text() -> str:
     types = {"hh": "string", "event_type": "string", **COLUMN_TYPES}
     fields = []
@@ -187,6 +215,17 @@ ORACLE: dict[str, str] = {
     "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "preprocess_day_runs": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "concurrent_publish": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
+    "reconciled_hours": _after(
+        "newest",
+        """SELECT event_id, event_type,
+                  CASE WHEN cast(hh AS integer) % 3 = 0 THEN cast(event_id % 1000 AS varchar)
+                       WHEN cast(hh AS integer) % 3 = 1 THEN cast(event_id % 1000 AS varchar) || '.5'
+                       ELSE 's' || cast(event_id % 7 AS varchar) END AS score,
+                  event_type AS et, hh
+           FROM retained SEMI JOIN newest USING (hh, event_type)""",
+    ),
+    "narrowed_values": _after("flags", _narrowed_values()),
+    "type_partition_schemas": _after("retained", _lines_schema()),
     "preprocess_day_wide": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "warehouse_to_lake": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sluicebox.functions.dates import dated_table, day_column, day_path_column, hour_column, under
+from sluicebox.functions.dates import dated_table, day_column, day_path, day_path_column, hour_column, under
 from sluicebox.functions.predicates import is_version
 from sluicebox.operators.event_types import count_events, distinct_event_types, retain_event_types, skipped_events
 from sluicebox.operators.flatten import flatten_events
@@ -25,10 +25,10 @@ from sluicebox.plans.preprocess import (
     split_hour,
 )
 from sluicebox.plans.transfer import country_chain, lake_to_warehouse, warehouse_to_lake
-from sluicebox.queries.raw_events import DAY, DENIED, load_events, raw_events
+from sluicebox.queries.raw_events import DAY, DENIED, FIELDS, load_events, raw_events
 from sluicebox.session import configure, materialise, scratch_path
 from sluicebox.sources.compaction import compact_text
-from sluicebox.sources.json_events import read_json, read_split
+from sluicebox.sources.json_events import read_json, read_split, type_schemas
 from sluicebox.sources.layout import publish_partitions
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
 from sluicebox.sources.tables import read_day, read_table, register_view, write_table
@@ -249,6 +249,46 @@ def concurrent_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_directories(read_published(spark, target, DAY))
 
 
+#: Fields whose type differs: ``score`` by the hour, ``serial`` by the version, beside ``legacy`` that some versions lack.
+_SCORE = """parse_json(CASE CAST(hh AS INT) % 3 WHEN 0 THEN string(event_id % 1000)
+                   WHEN 1 THEN string(event_id % 1000 + 0.5D) ELSE '"s' || event_id % 7 || '"' END)"""
+_NINE = "user_id % 12 + 1 = 9"
+_SERIAL = f"CASE WHEN {_NINE} THEN decimal(event_id % 5) ELSE 12345678901234567890 END"
+_LEGACY = f"CASE WHEN NOT ({_NINE}) THEN string(event_id % 3) END"
+
+
+def _write_uneven_hours(spark: SparkSession, sf_dir: str, **fields: str) -> str:
+    """Raw JSON lines as of :func:`_write_raw_hours` with more fields, from the columns of the table and the hour."""
+    staged, root = scratch_path(spark, "hours"), scratch_path(spark, "raw")
+    added = [f"{expression} AS {name}" for name, expression in fields.items()]
+    raw = load_events(spark, sf_dir).withColumn("hh", F.date_format("ts", "HH")).selectExpr(*FIELDS, *added)
+    clustered(raw, ["hh"]).write.partitionBy("hh").json(f"{staged}/0")
+    publish_partitions(spark, staged, under(root, day_path(DAY)), ["hh"])
+    return root
+
+
+def reconciled_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day whose hours disagree on the type of a column, read as one table."""
+    source, target = _write_uneven_hours(spark, sf_dir, score=_SCORE), scratch_path(spark, "events")
+    preprocess_day(spark, DAY, source, target, denied=DENIED)
+    return read_published(spark, target, DAY, place=True).select("event_id", "event_type", "score", "et", "hh")
+
+
+def narrowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values narrowing takes from the events of each hour and type, by column and reason."""
+    source, target = _write_uneven_hours(spark, sf_dir, serial=_SERIAL, legacy=_LEGACY), scratch_path(spark, "events")
+    done = preprocess_day(spark, DAY, source, target, denied=DENIED)
+    return spark.createDataFrame(done.narrowed, "hh string, event_type string, column string, reason string, n bigint")
+
+
+def type_partition_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema that each type's lines of a split show."""
+    path = scratch_path(spark, "split")
+    write_split(_retained(spark, sf_dir), path)
+    rows = [(et, schema.simpleString()) for et, schema in type_schemas(spark, path).items()]
+    return spark.createDataFrame(rows, "et string, lines_schema string")
+
+
 def preprocess_day_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events")
     preprocess_day(spark, DAY, source, target, layout="wide", denied=DENIED)
@@ -359,6 +399,9 @@ QUERIES: dict[str, Query] = {
     "preprocess_day_narrow": preprocess_day_narrow,
     "preprocess_day_runs": preprocess_day_runs,
     "concurrent_publish": concurrent_publish,
+    "reconciled_hours": reconciled_hours,
+    "narrowed_values": narrowed_values,
+    "type_partition_schemas": type_partition_schemas,
     "preprocess_day_wide": preprocess_day_wide,
     "warehouse_to_lake": warehouse_to_lake_orders,
     "lake_to_warehouse": lake_to_warehouse_embeddings,

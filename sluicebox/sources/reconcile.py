@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ def read_reconciled(
     """
     try:
         return placed(spark.read.option("mergeSchema", "true").parquet(*patterns))
-    except PySparkException as error:
-        if "CANNOT_MERGE" not in str(error.getCondition() or "") and "CANNOT_MERGE_SCHEMAS" not in str(error):
+    except (Py4JJavaError, PySparkException) as error:  # a failed job reaches Python as either
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
     folders = sorted({path for pattern in patterns for path in list_glob(spark, pattern)})
     with ThreadPoolExecutor(concurrent) as pool:
