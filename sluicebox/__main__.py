@@ -41,6 +41,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     job.add_argument("--order-by", default="", help="columns that order these rows, such as event_id")
     job.add_argument("--max-rows", type=int, default=MAX_ROWS_PER_FILE, help="rows per Parquet file")
     job.add_argument("--hour-column", default="hh")
+    job.add_argument("--work", help="folder in which a run leaves what it staged, for its repetition if it fails")
 
     job = jobs.add_parser("warehouse-to-lake")
     for name in ("day", "dataset", "table", "directory"):
@@ -84,6 +85,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             hours=parse_hours(args.hours),
             layout=args.layout,
             publish=args.publish,
+            work=args.work,
             fix_locale=args.fix_locale,
             schema=read_schema(args.schema_file) if args.schema_file else None,
             order=args.order,

@@ -42,7 +42,8 @@ from sluicebox.sources.layout import (
 )
 from sluicebox.sources.reconcile import read_reconciled
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
-from sluicebox.sources.staged_lines import hour_lines, read_staged, stage_lines
+from sluicebox.sources.staged_lines import hour_lines, read_staged, stage_hours, stage_lines
+from sluicebox.sources.work import Work, input_prints
 
 log = logging.getLogger(__name__)
 
@@ -133,6 +134,11 @@ def stage_split(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
     check_reserved(flat)
     split = flat.withColumn("et", F.col("event_type"))
     clustered(split, [hour, "et"]).write.partitionBy(hour, "et").parquet(path)
+    return read_stage(flat, path, hour)
+
+
+def read_stage(flat: DataFrame, path: str, hour: str = "hh") -> DataFrame:
+    """What :func:`stage_split` wrote for these events."""
     fields = [f for f in flat.schema.fields if f.name not in (hour, "et")]
     partitions = [StructField(hour, StringType()), StructField("et", StringType())]
     return flat.sparkSession.read.schema(StructType([*fields, *partitions])).parquet(path)
@@ -407,6 +413,7 @@ def preprocess_day(
     rows: int | None = None,
     max_rows: int = MAX_ROWS_PER_FILE,
     hour_column: str = "hh",
+    work: str | None = None,
 ) -> Published:
     """Events under ``source/yyyy/mm/dd/hh/`` to Parquet; the target is written after every hour was worked out.
 
@@ -416,6 +423,10 @@ def preprocess_day(
     versions. ``rows`` limits the rows of the newest version that are looked at, by default all, and ``order_by`` then
     orders them. Returns the directories published (narrow only), what was left out, and (narrow only) the values that
     narrowing took from the events that stay. Without a schema the raw files are read once, see :func:`stage_lines`.
+
+    ``work`` names a folder for a run that may be repeated. What a run that failed or was killed has staged there is used
+    again by the next one: raw lines of hours whose files have the same names, lengths and times, and events split from
+    the same hours by the same rules. The folder is removed once the run has published; one run at a time may use it.
     """
     if layout not in ("narrow", "wide"):
         raise ValueError(f"layout must be 'narrow' or 'wide', not {layout!r}")
@@ -425,6 +436,8 @@ def preprocess_day(
     names = [hour_name(hour) for hour in hours]
     denied, dropped = list(denied), list(dropped)
     scratch = scratch_path(spark, "run")
+    kept = Work(spark, under(work, f"day-{day}")) if work else None
+    prints = input_prints(spark, source, day, names) if kept else {}
     narrowing = {"order": order, "order_by": order_by, "rows": rows, "scratch": scratch}
     skipped: Counter[tuple[str, str | None]] = Counter()
 
@@ -435,24 +448,38 @@ def preprocess_day(
             raw = read_staged(spark, lines, batch, batch_schema, hour_column)
         flat = flatten_events(raw, dropped, fix_locale)
         check_reserved(flat)
+        rules = [source, day, {hour: prints.get(hour) for hour in batch}, batch_schema.json(), denied, dropped]
+        depends = [*rules, fix_locale, hour_column]
+        done = kept.find("split", depends) if kept else None
+        if done:
+            skipped.update(report_skipped({(reason, None): n for reason, n in done["skipped"].items()}))
+            return read_stage(flat, done["folder"], hour_column)
         seen = Observation()
         observed = flat.observe(seen, *count_left_out(denied))
-        split = stage_split(retain_event_types(observed, denied), scratch_path(spark, "split", scratch), hour_column)
+        place = scratch_path(spark, "split", kept.folder if kept else scratch)
+        split = stage_split(retain_event_types(observed, denied), place, hour_column)
         try:
             counts = seen.get
         except Py4JJavaError:  # nothing is retained: Spark then drops the plan with the counts in it
             counts = flat.agg(*count_left_out(denied)).first().asDict()
+        if kept:
+            kept.finish("split", depends, {"folder": place, "skipped": {reason: n for reason, n in counts.items() if n}})
         skipped.update(report_skipped({(reason, None): n for reason, n in counts.items() if n}))
         return split
 
     try:
         lines = None
-        if schema is None:
+        if schema is None and kept:
+            place = scratch_path(spark, "raw", kept.folder)
+            lines = stage_hours(spark, source, day, names, place, kept, prints)
+        elif schema is None:
             lines = stage_lines(hour_lines(spark, source, day, names), names, scratch_path(spark, "raw", scratch))
         if layout == "wide":
             found = schema or common_schema(lines.schemas.values())
             split = staged_split(names, kept_schema(found, dropped, fix_locale))
             publish_wide(split, target, day, hour_column, staged=True, max_rows=max_rows, **narrowing)
+            if kept:
+                remove_tree(spark, kept.folder)
             return Published([], skipped)
         if schema is None:
             batches = batch_hours(lines.schemas, dropped, fix_locale)
@@ -469,6 +496,8 @@ def preprocess_day(
             spark, grouped, day_target, names, hour_column, publish=publish, staging=target, max_rows=max_rows
         )
         narrowed = [lost for split, groups in grouped for lost in narrowed_values(split, groups, hour_column)]
+        if kept:
+            remove_tree(spark, kept.folder)
         return Published(paths, skipped, narrowed)
     finally:
         remove_tree(spark, scratch)

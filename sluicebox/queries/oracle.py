@@ -215,6 +215,7 @@ ORACLE: dict[str, str] = {
     "preprocess_day_narrow": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "preprocess_day_runs": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "concurrent_publish": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
+    "resumed_day": _after("narrowed", f"SELECT {_NARROWED_COLUMNS}, event_type AS et, hh FROM narrowed"),
     "reconciled_hours": _after(
         "newest",
         """SELECT event_id, event_type,

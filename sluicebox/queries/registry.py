@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sluicebox.functions.dates import dated_table, day_column, day_path, day_path_column, hour_column, under
+from sluicebox.functions.dates import dated_table, day_column, day_path, day_path_column, hour_column, hour_name, under
 from sluicebox.functions.predicates import is_version
 from sluicebox.operators.event_types import count_events, distinct_event_types, retain_event_types, skipped_events
 from sluicebox.operators.flatten import flatten_events
@@ -31,7 +31,9 @@ from sluicebox.sources.compaction import compact_text
 from sluicebox.sources.json_events import read_json, read_split, type_schemas
 from sluicebox.sources.layout import publish_partitions
 from sluicebox.sources.sinks import MAX_ROWS_PER_FILE, clustered, write_parquet, write_split
+from sluicebox.sources.staged_lines import stage_hours
 from sluicebox.sources.tables import read_day, read_table, register_view, write_table
+from sluicebox.sources.work import Work, input_prints
 
 _PLACE = [StructField("et", StringType()), StructField("hh", StringType())]
 
@@ -249,6 +251,16 @@ def concurrent_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_directories(read_published(spark, target, DAY))
 
 
+def resumed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day whose first run was lost after it had staged half of the hours."""
+    source, target, work = _write_raw_hours(spark, sf_dir), scratch_path(spark, "events"), scratch_path(spark, "work")
+    hours, kept = [hour_name(hour) for hour in range(12)], Work(spark, under(work, f"day-{DAY}"))
+    prints = input_prints(spark, source, DAY, hours)
+    stage_hours(spark, source, DAY, hours, scratch_path(spark, "raw", kept.folder), kept, prints)
+    preprocess_day(spark, DAY, source, target, denied=DENIED, work=work)
+    return read_published(spark, target, DAY, place=True)
+
+
 #: Fields whose type differs: ``score`` by the hour, ``serial`` by the version, beside ``legacy`` that some versions lack.
 _SCORE = """parse_json(CASE CAST(hh AS INT) % 3 WHEN 0 THEN string(event_id % 1000)
                    WHEN 1 THEN string(event_id % 1000 + 0.5D) ELSE '"s' || event_id % 7 || '"' END)"""
@@ -399,6 +411,7 @@ QUERIES: dict[str, Query] = {
     "preprocess_day_narrow": preprocess_day_narrow,
     "preprocess_day_runs": preprocess_day_runs,
     "concurrent_publish": concurrent_publish,
+    "resumed_day": resumed_day,
     "reconciled_hours": reconciled_hours,
     "narrowed_values": narrowed_values,
     "type_partition_schemas": type_partition_schemas,

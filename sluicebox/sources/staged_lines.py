@@ -14,15 +14,16 @@ from sluicebox.functions.dates import day_path, under
 from sluicebox.functions.types import ambiguous, common_schema
 from sluicebox.sources.json_events import infer_json_schema, parsed_line, shown_schema
 from sluicebox.sources.layout import path_exists
+from sluicebox.sources.work import Work
 
 # Lines in a staged file, which one task reads later.
 MAX_LINES_PER_FILE = 500_000
 
 
 class StagedLines(NamedTuple):
-    """The folder of lines by hour, and the schema that each hour shows."""
+    """The folder that holds the lines of each hour, and the schema that they show."""
 
-    folder: str
+    folders: dict[str, str]
     schemas: dict[str, StructType]
 
 
@@ -70,7 +71,23 @@ def stage_lines(lines: DataFrame, hours: Sequence[str], folder: str) -> StagedLi
 
     with ThreadPoolExecutor(4) as pool:
         schemas = dict(zip(hours, pool.map(schema, hours), strict=True))
-    return StagedLines(folder, schemas)
+    return StagedLines(dict.fromkeys(hours, folder), schemas)
+
+
+def stage_hours(
+    spark: SparkSession, root: str, day: str, hours: Sequence[str], folder: str, work: Work, prints: dict[str, str]
+) -> StagedLines:
+    """The staged lines of some hours: those that an earlier run has staged from the same files, and others anew."""
+    depends = {hour: [root, day, hour, prints[hour]] for hour in hours}
+    found = {hour: work.find("lines", depends[hour]) for hour in hours}
+    missing = [hour for hour in hours if found[hour] is None]
+    if missing:
+        fresh = stage_lines(hour_lines(spark, root, day, missing), missing, folder)
+        for hour in missing:
+            found[hour] = {"folder": folder, "schema": fresh.schemas[hour].jsonValue()}
+            work.finish("lines", depends[hour], found[hour])
+    schemas = {hour: StructType.fromJson(made["schema"]) for hour, made in found.items()}
+    return StagedLines({hour: made["folder"] for hour, made in found.items()}, schemas)
 
 
 def read_staged(
@@ -79,7 +96,8 @@ def read_staged(
     """The events of some staged hours by the JSON reader with a schema, and the hour of each. An hour may have none."""
     if hour_column in schema.names:
         raise ValueError(f"the events have a field named {hour_column!r}, which is taken by the hour of the path")
-    folders = [path for hour in hours if path_exists(spark, path := under(staged.folder, f"HOUR={hour}"))]
+    known = [hour for hour in hours if hour in staged.folders]
+    folders = [path for hour in known if path_exists(spark, path := under(staged.folders[hour], f"HOUR={hour}"))]
     if folders:
         reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
         events = reader.json(folders)
