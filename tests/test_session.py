@@ -56,7 +56,7 @@ def test_command_line(monkeypatch):
     more = ["--denied", "a,b", "--dropped", "", "--order", "numeric", "--rows", "10", "--max-rows", "5", "--publish", "run"]
     cli.main(["preprocess", "20180601", "a", "b", *more, "--hour-column", "hour"])
     kept = {"hours": [0, 1], "layout": "narrow", "publish": "move", "fix_locale": False, "schema": None, "order_by": []}
-    kept |= {"order": "text", "rows": None, "max_rows": 100_000, "hour_column": "hh"}
+    kept |= {"order": "text", "rows": None, "max_rows": 100_000, "hour_column": "hh", "work": None}
     kept |= {"denied": ("Event1", "Event2", "Event3"), "dropped": ("awsAccountId", "client_context")}
     assert calls[0] == ("preprocess_day", ("20180601", "s3a://raw/", "s3a://out/"), kept)
     assert calls[1][2]["hours"] == list(range(24))
