@@ -53,7 +53,8 @@ def test_command_line(monkeypatch):
     cli.main(["lake-to-warehouse", "20180601", "s3a://in/", "d", "t"])
     cli.main(["country-chain", "20180601", "s3a://in/", "e.u", "t.r", "t.c"])
     cli.main(["country-chain", "20180601", "s3a://in/", "e.u", "t.r", "t.c", "--overwrite"])
-    more = ["--denied", "a,b", "--dropped", "", "--order", "numeric", "--rows", "10", "--max-rows", "5", "--publish", "run"]
+    cli.main(["country-chain", "20180601", "s3a://in/", "e.u", "t.r", "t.c", "--run", "r1"])
+    more = ["--work", "s3a://work/", "--denied", "a,b", "--dropped", "", "--order", "numeric", "--rows", "10", "--max-rows", "5", "--publish", "run"]
     cli.main(["preprocess", "20180601", "a", "b", *more, "--hour-column", "hour"])
     kept = {"hours": [0, 1], "layout": "narrow", "publish": "move", "fix_locale": False, "schema": None, "order_by": []}
     kept |= {"order": "text", "rows": None, "max_rows": 100_000, "hour_column": "hh", "work": None}
@@ -62,11 +63,12 @@ def test_command_line(monkeypatch):
     assert calls[1][2]["hours"] == list(range(24))
     assert calls[2] == ("warehouse_to_lake", ("20180601", "d.t", "s3a://out/"), {"mode": "errorifexists"})
     assert calls[3] == ("lake_to_warehouse", ("20180601", "s3a://in/", "d.t"), {})
-    tables = {"source": "e.u", "result": "t.r", "copy": "t.c"}
+    tables = {"source": "e.u", "result": "t.r", "copy": "t.c", "run": None}
     assert calls[4] == ("country_chain", ("20180601", "s3a://in/"), tables)
     assert calls[5][2] == {**tables, "mode": "overwrite", "lake_mode": "overwrite"}
-    chosen = {"denied": ["a", "b"], "dropped": [], "order": "numeric", "rows": 10, "max_rows": 5, "publish": "run"}
-    assert calls[6][2] | chosen | {"hour_column": "hour"} == calls[6][2]
+    assert calls[6][2] == {**tables, "run": "r1"}
+    chosen = {"work": "s3a://work/", "denied": ["a", "b"], "dropped": [], "order": "numeric", "rows": 10, "max_rows": 5, "publish": "run"}
+    assert calls[7][2] | chosen | {"hour_column": "hour"} == calls[7][2]
 
 
 def test_preprocess_from_the_command_line(spark, write_lines, tmp_path):
