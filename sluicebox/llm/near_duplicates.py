@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices
@@ -15,12 +15,16 @@ from sluicebox.llm.components import connected_components
 from sluicebox.operators.sampling import first_rows
 from sluicebox.session import materialise
 
-#: Two texts that share 85 % of their shingles miss all 32 bands of 6 with a probability of 3 in 10 million.
-BANDS, BAND_ROWS = 32, 6
-SAMPLES = BANDS * BAND_ROWS
+SAMPLES = 192
+#: Two texts that are just similar enough share no band with this probability at most; see :func:`banding`.
+MISSED = 1e-6
 SKETCH_BITS = 512
-#: Members of a candidate cluster that are compared in one task are two blocks of about this many.
-BLOCK, TILE, COLUMNS = 4096, 512, 16384
+#: Members of a candidate cluster that are compared in one task are two blocks of about this many, or of about so many
+#: bytes of shingle sets if that is less.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+TILE, COLUMNS = 512, 16384
+#: Rows that look up the same class or component are divided among so many tasks.
+LANES = 64
 #: Members of a cluster that all others meet first.
 LEADERS = 256
 
@@ -79,10 +83,23 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * PLACE[2], (len(samples), BANDS)).copy()
-    parts = samples.reshape(len(samples), BANDS, BAND_ROWS)
-    for i in range(BAND_ROWS):
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and samples a band, for sets that are ``percent`` similar: as selective as MISSED allows.
+
+    32 bands of 6 at 85 %, which miss 3 in 10 million pairs just at the threshold, and 38 of 5 at 80 %, as many. Below
+    7 % even bands of one sample miss more than MISSED, which is an error.
+    """
+    for rows in range(SAMPLES, 0, -1):
+        bands = SAMPLES // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    raise ValueError(f"{SAMPLES} samples cannot find sets that are only {percent} % similar")
+
+
+def band_keys(samples: np.ndarray, bands: int, size: int) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * PLACE[2], (len(samples), bands)).copy()
+    parts = samples[:, : bands * size].reshape(len(samples), bands, size)
+    for i in range(size):
         keys = mix(keys * PLACE[3] + parts[:, :, i])
     return keys.view(np.int64)
 
@@ -99,8 +116,9 @@ def sketch_limit(percent: int) -> int:
     return int(np.ceil(odd + 4 * np.sqrt(odd)))
 
 
-def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Key, text checksum, set size, a 128-bit name of the set, odd sketch and band keys of each text."""
+    bands, size = banding(percent)
     ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, text_hash long, {SIGNED}"
     arrow = schema_of(ddl)
 
@@ -113,7 +131,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 pa.array([int(s.sum().view(np.int64)) for s in sets], pa.int64()),
                 pa.array([int(mix(s).sum().view(np.int64)) for s in sets], pa.int64()),
                 list_array(list(odd_sketches(samples)), pa.int64()),
-                list_array(list(band_keys(samples)), pa.int64()),
+                list_array(list(band_keys(samples, bands, size)), pa.int64()),
             ]
             columns = [batch.column(key), batch.column("text_hash"), *made]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -222,15 +240,15 @@ def near_duplicates(
     1. Each text's set gives a size, a name, an odd sketch and band keys. Equal sets are one class, so that a third of
        all rows being copies is one row from here on.
     2. Classes that share a band are joined through the band's least member, never in pairs: clusters of candidates.
-    3. Only texts of clusters are read again for their whole sets. Two blocks of about BLOCK members meet in a task,
-       which compares all their sketches and then the sets of the pairs that the sketches leave. It returns a forest of
+    3. Only texts of clusters are read again for their whole sets. Two blocks of about BLOCK members or BLOCK_BYTES meet
+       in a task, which compares all their sketches and then the sets of the pairs that the sketches leave. It returns a forest of
        the links, at most one row a member, not the pairs. See :func:`confirmed_links` for which blocks have to meet.
     4. Components of these links.
 
     A null text, or one without words, has no shingles and is linked with nothing. Rows with the same key are separate
     texts; a null key is never the smallest unless all are null. An empty table gives no row.
     """
-    signed = materialise_texts(signatures(docs, key, text, words), "signatures")
+    signed = materialise_texts(signatures(docs, key, text, words, percent), "signatures")
     name = ["set_a", "set_b"]
     some = F.struct("sketch", "bands", F.col(key).alias("key"), "text_hash")
     classes = materialise(
@@ -245,15 +263,31 @@ def near_duplicates(
     roots = connected_components(links).select(F.col("node").alias("set_a"), "root")
     joined = classes.select("set_a", "least_key").join(roots, "set_a")
     components = joined.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    linked = joined.join(components, "root").select("set_a", "component_id")
+    linked = looked_up(joined, components, "root").select("set_a", "component_id")
     whole = classes.select("set_a", "least_key").join(linked, "set_a", "left")
     of_class = whole.select("set_a", F.coalesce("component_id", "least_key").alias("component_id"))
-    rows = signed.where("n_shingles > 0").select(key, "text_hash", "n_shingles", "set_a").join(of_class, "set_a")
+    rows = looked_up(signed.where("n_shingles > 0").select(key, "text_hash", "n_shingles", "set_a"), of_class, "set_a")
     empty = signed.where("n_shingles = 0").select(key, "text_hash", "n_shingles", F.col(key).alias("component_id"))
     every = rows.select(key, "text_hash", "n_shingles", "component_id").unionByName(empty)
     return every.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """Join rows with the one row that ``table`` has for their value of ``by``.
+
+    A value of many rows is divided by a hash of the row into LANES lanes, and the table's row is copied only to those
+    lanes that hold one.
+    """
+    dealt = rows.withColumn("LANE", F.pmod(F.xxhash64(*rows.columns), F.lit(LANES)))
+    lanes = dealt.select(by, "LANE").distinct().join(table, by)
+    return dealt.join(lanes, [by, "LANE"]).drop("LANE")
+
+
+def blocks(members: str, size: str) -> Column:
+    """Over how many blocks a cluster's members, and the bytes of their sets, are to be spread."""
+    return F.ceil(F.greatest(F.col(members) / BLOCK, F.col(size) * 8 / BLOCK_BYTES, F.lit(1))).cast("int")
+
+
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """``node``, a class, and ``root``, its cluster, for the classes that share a band with another one."""
     members = classes.select("set_a", F.explode("bands").alias("band"))
@@ -268,9 +302,10 @@ def confirmed_links(
     """A forest of the links between classes, as edges u, v.
 
     Within each cluster: (1) a member is alone for certain if too many of its shingles are in no other member's set.
-    (2) The others meet the cluster's leaders, the LEADERS members with the fewest shingles of their own; these are the
-    texts that most others are variants of. Where all members are leaders, all pairs have met. (3) Members that are not
-    linked with the largest component yet meet all members that they are not linked with.
+    (2) The others meet the cluster's leaders, the LEADERS members with the fewest shingles of their own, or as many of
+    them as BLOCK_BYTES hold; these are the texts that most others are variants of. Where all members are leaders, all
+    pairs have met. (3) Members that are not linked with the largest component yet meet all members that they are not
+    linked with.
     """
     members = materialise(cluster_sets(docs, classes, clusters, key, text, words), "members")
     items = members.select("root", "set_a", F.explode("items").alias("item"))
@@ -278,35 +313,43 @@ def confirmed_links(
     own = single.groupBy("set_a").agg(F.count(F.lit(1)).alias("own"))
     size = F.size("items")
     scored = members.select("set_a", "root", size.alias("size")).join(own, "set_a", "left").na.fill(0, ["own"])
-    live = materialise(scored.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")).drop("size"), "live")
-    sizes = materialise(live.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    live = materialise(scored.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")), "live")
+    grouped = live.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
+    sizes = materialise(grouped.where("members > 1"), "sizes")
     met = first_rows(live.join(sizes.select("root"), "root"), ["root"], LEADERS, ["own", "set_a"], lanes=16)
-    leaders = materialise(met.select("set_a"), "leaders")
+    before = F.sum("size").over(Window.partitionBy("root").orderBy("own", "set_a").rowsBetween(Window.unboundedPreceding, -1))
+    fitting = met.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") + F.col("size")) * 8 <= BLOCK_BYTES)
+    leaders = materialise(fitting.select("root", "set_a"), "leaders")
     sets = members.join(live.select("set_a"), "set_a").join(sizes, "root")
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    every = sets.withColumn("low", F.pmod(F.xxhash64("set_a"), blocks).cast("int")).withColumn("side", F.lit(0))
-    first = sets.join(leaders, "set_a").withColumn("low", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    count = blocks("members", "total")
+    every = sets.withColumn("low", F.pmod(F.xxhash64("set_a"), count).cast("int")).withColumn("side", F.lit(0))
+    first = sets.join(leaders.select("set_a"), "set_a").withColumn("low", F.explode(F.sequence(F.lit(0), count - 1)))
     columns = ["root", "low", "side", "set_a", "sketch", "items"]
     dealt = every.select(columns).unionByName(first.withColumn("side", F.lit(1)).select(columns))
     dealt = dealt.withColumn("label", F.col("set_a"))
     found = materialise(compared(dealt, ["root", "low"], percent), "found")
 
-    left = sets.where(F.col("members") > LEADERS)
+    led = leaders.groupBy("root").agg(F.count(F.lit(1)).alias("led"))
+    left = sets.join(led, "root", "left").where(F.col("members") > F.coalesce("led", F.lit(0)))
     labels = connected_components(found).select(F.col("node").alias("set_a"), F.col("root").alias("label"))
     named = left.join(labels, "set_a", "left").withColumn("label", F.coalesce("label", "set_a"))
-    named = materialise(named.select("root", "set_a", "label"), "labels")
-    counts = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
-    home = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("home"), F.sum("n").alias("all"))
-    home = home.select("root", F.col("home.label").alias("home"), "home.n", (F.col("all") - F.col("home.n")).alias("rest"))
-    home = materialise(home.where("rest > 0"), "home")
-    parts = home.select(
+    named = materialise(named.select("root", "set_a", "label", size.alias("size")), "labels")
+    counts = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    home = counts.groupBy("root").agg(
+        F.max(F.struct("n", "label", "total")).alias("home"), F.sum("n").alias("all"), F.sum("total").alias("total")
+    )
+    home = home.select(
         "root",
-        "home",
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"),
-        F.ceil(F.col("rest") / BLOCK).cast("int").alias("rests"),
+        F.col("home.label").alias("home"),
+        "home.n",
+        F.col("home.total").alias("home_total"),
+        (F.col("all") - F.col("home.n")).alias("rest"),
+        (F.col("total") - F.col("home.total")).alias("rest_total"),
     )
-    open_members = named.join(parts, "root").join(members.select("set_a", "sketch", "items"), "set_a")
+    home = materialise(home.where("rest > 0"), "home")
+    parts = home.select("root", "home", blocks("n", "home_total").alias("homes"), blocks("rest", "rest_total").alias("rests"))
+    open_members = named.drop("size").join(parts, "root").join(members.select("set_a", "sketch", "items"), "set_a")
     at_home = F.col("label") == F.col("home")
     count = F.when(at_home, F.col("homes")).otherwise(F.col("rests"))
     own_block = F.pmod(F.xxhash64("set_a"), count).cast("int") + F.when(at_home, F.col("rests")).otherwise(0)

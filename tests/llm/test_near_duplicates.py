@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import sluicebox.llm.near_duplicates as near
 from sluicebox.llm.components import connected_components
@@ -52,9 +53,13 @@ def corpus(seed, group):
     return list(enumerate(rows, 100))
 
 
-@pytest.mark.parametrize(("words", "percent", "block", "leaders"), [(3, 85, 4096, 256), (5, 80, 30, 6), (3, 70, 20, 1)])
-def test_against_brute_force(spark, monkeypatch, words, percent, block, leaders):
+@pytest.mark.parametrize(
+    ("words", "percent", "block", "leaders", "size"),
+    [(3, 85, 4096, 256, 32 << 20), (5, 80, 30, 6, 32 << 20), (3, 70, 20, 1, 32 << 20), (3, 40, 4096, 256, 8000), (5, 80, 4096, 8, 900)],
+)
+def test_against_brute_force(spark, monkeypatch, words, percent, block, leaders, size):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_BYTES", size)
     monkeypatch.setattr(near, "LEADERS", leaders)
     monkeypatch.setattr(near, "TILE", 16 if block < 100 else 512)
     rows = corpus(words, 150)
@@ -65,6 +70,50 @@ def test_against_brute_force(spark, monkeypatch, words, percent, block, leaders)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_bands_lose_few_pairs_at_any_threshold():
+    assert near.banding(85) == (32, 6) and near.banding(80) == (38, 5)
+    for percent in range(7, 101):
+        bands, size = near.banding(percent)
+        assert bands * size <= near.SAMPLES and (1 - (percent / 100) ** size) ** bands <= near.MISSED
+    with pytest.raises(ValueError):
+        near.banding(5)
+
+
+def test_a_cluster_of_long_texts_is_compared_in_blocks_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_BYTES", 4 << 20)
+    real, most = near.compared, []
+
+    def compared(dealt, group, percent):
+        sets = dealt.groupBy(*group).agg(F.sum(F.size("items") * 8).alias("total"), F.count(F.lit(1)).alias("n"))
+        most.extend((r["total"], r["n"]) for r in sets.collect())
+        return real(dealt, group, percent)
+
+    monkeypatch.setattr(near, "compared", compared)
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(150_000)]
+    rows = []
+    for i in range(30):
+        copy = list(base)
+        for _ in range(400):
+            copy[rng.randrange(len(copy))] = f"new{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    assert sum(len(t) for _, t in rows) > 30_000_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = near.near_duplicates(df, words=3, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, 0) for i in range(30)}
+    whole = sum(r.n_shingles * 8 for r in found)
+    assert whole > 30 << 20 and max(size for size, _ in most) <= 4 * near.BLOCK_BYTES and max(n for _, n in most) < 30
+
+
+def test_rows_of_one_value_are_looked_up_in_many_tasks(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("set_a"))
+    table = rows.select("set_a").distinct().where("set_a <> 4500").withColumn("value", F.col("set_a") * 2)
+    found = near.looked_up(rows, table, "set_a")
+    assert sorted((r.id, r.value) for r in found.collect()) == [
+        (i, 14 if i < 4000 else 2 * i) for i in range(5000) if i != 4500
+    ]
+
+
 def test_null_and_repeated_keys(spark):
     text = "the same text of many words here"
     rows = [(None, text), (5, text), (5, text), (3, "something else is written here"), (3, None), (None, None)]

@@ -47,7 +47,7 @@ def test_sql(spark):
 def test_registration():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
     assert set(ORACLE) <= set(entry_points.oracle_sql())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def base_failed(text):
