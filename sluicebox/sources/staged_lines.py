@@ -1,4 +1,4 @@
-"""Raw JSON lines, read once: staged as they are while their schemas are worked out."""
+"""Raw JSON lines, read once: staged as they are, and their schemas worked out from there."""
 
 from __future__ import annotations
 
@@ -6,18 +6,19 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sluicebox.functions.dates import day_path, under
-from sluicebox.functions.types import ambiguous, common_schema
-from sluicebox.sources.json_events import infer_json_schema, parsed_line, shown_schema
+from sluicebox.sources.json_events import infer_json_schema
 from sluicebox.sources.layout import path_exists
 from sluicebox.sources.work import Work
 
 # Lines in a staged file, which one task reads later.
 MAX_LINES_PER_FILE = 500_000
+# Hours inferred at once; an hour of few files leaves tasks free for the next one.
+CONCURRENT_HOURS = 8
 
 
 class StagedLines(NamedTuple):
@@ -35,41 +36,23 @@ def hour_lines(spark: SparkSession, root: str, day: str, hours: Sequence[str]) -
 
 
 def stage_lines(lines: DataFrame, hours: Sequence[str], folder: str) -> StagedLines:
-    """Write the lines by hour to ``folder``, and learn the schema of each hour in the same pass.
+    """Write the lines by hour to ``folder``, and learn the schema of each hour from what is written there.
 
-    This is the only read of the raw files. Each task parses its lines to variants and merges their types by hour, as
-    observed metrics of the write; nothing is shuffled, and a type name an hour reaches the driver. A repeated task
-    merges the same types again, so a lost executor changes nothing. The staged lines keep their text, not the variant:
-    a number in a column of mixed types must keep the digits it came with. They are files of bounded size even if the
-    raw ones are not to be split.
-
-    Lines that only the JSON reader may accept are set apart by the write, and the reader adds their fields; lines that
-    it cannot read either show none. An hour with numbers whose variants are :func:`ambiguous` is left to the reader, from
-    the staged lines. Blank lines are no events.
+    This is the only read of the raw files: a map-only write of their text. The JSON reader then infers the hours from
+    the staged lines, some at a time; a type for each task comes to the driver. Types are thus those of the reader,
+    whatever numbers and odd lines an hour holds, and each line is parsed once for them. The staged lines keep their
+    text, as a number in a column of mixed types must keep the digits it came with. They are files of bounded size even
+    if the raw ones are not to be split. Blank lines are no events.
     """
     spark = lines.sparkSession
-    event, odd = parsed_line("value")
-    parsed = lines.where(F.col("value").rlike(r"\S")).withColumn("EVENT", event).withColumn("ODD", odd)
-    seen = Observation()
-    of_hour = {hour: F.col("HOUR") == hour for hour in hours}
-    observed = parsed.observe(
-        seen,
-        *[F.schema_of_variant_agg(F.when(is_hour, F.col("EVENT"))).alias(f"schema {h}") for h, is_hour in of_hour.items()],
-        *[F.count(F.when(is_hour & F.col("ODD"), 1)).alias(f"odd {h}") for h, is_hour in of_hour.items()],
-    )
-    writer = observed.select("value", "HOUR", "ODD").write.partitionBy("HOUR", "ODD")
+    writer = lines.where(F.col("value").rlike(r"\S")).select("value", "HOUR").write.partitionBy("HOUR")
     writer.option("compression", "lz4").option("maxRecordsPerFile", MAX_LINES_PER_FILE).text(folder)
-    metrics = seen.get
 
     def schema(hour: str) -> StructType:
-        shown, place = metrics[f"schema {hour}"], under(folder, f"HOUR={hour}")
-        if ambiguous(shown):
-            return infer_json_schema(spark, [place])
-        if metrics[f"odd {hour}"]:
-            return common_schema([shown_schema(shown), infer_json_schema(spark, [under(place, "ODD=true")])])
-        return shown_schema(shown)
-
-    with ThreadPoolExecutor(4) as pool:
+        place = under(folder, f"HOUR={hour}")
+        return infer_json_schema(spark, [place]) if path_exists(spark, place) else StructType([])
+
+    with ThreadPoolExecutor(CONCURRENT_HOURS) as pool:
         schemas = dict(zip(hours, pool.map(schema, hours), strict=True))
     return StagedLines(dict.fromkeys(hours, folder), schemas)
 
@@ -101,7 +84,7 @@ def read_staged(
     if folders:
         reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
         events = reader.json(folders)
-        hour = F.regexp_extract(F.col("_metadata.file_path"), "/HOUR=([^/]*)/ODD=", 1)
+        hour = F.regexp_extract(F.col("_metadata.file_path"), "/HOUR=([^/]*)/", 1)
     else:
         events, hour = spark.createDataFrame([], schema), F.lit("")
     return events if hour_column is None else events.withColumn(hour_column, hour)

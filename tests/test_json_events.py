@@ -4,8 +4,10 @@ import shutil
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql.readwriter import DataFrameWriter
 from pyspark.sql.types import StructType
 
+from sluicebox.sources import staged_lines
 from sluicebox.sources.json_events import (
     batch_hours,
     infer_hour_schemas,
@@ -178,3 +180,23 @@ def test_staged_hours_are_read_once_and_as_the_reader_would(spark, write_lines,
     assert read_staged(spark, staged, ["23"], want["00"]).collect() == []
     with pytest.raises(ValueError):
         read_staged(spark, staged, ["00"], ddl("hh string"))
+
+
+def test_staging_parses_each_line_once_for_its_types(spark, write_lines, tmp_path, monkeypatch):
+    """The write moves text only, whatever the number of hours, and the reader infers each hour once."""
+    hours, plans, inferred = [f"{i:02d}" for i in range(12)], [], []
+    for hour in hours:
+        write_lines(f"raw/2018/06/01/{hour}/a.json", [{"event_type": "a", f"f{hour}": 1}, {"event_type": "b", "x": "t"}])
+    real_text, real_infer = DataFrameWriter.text, staged_lines.infer_json_schema
+
+    def text(writer, path, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return real_text(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    monkeypatch.setattr(staged_lines, "infer_json_schema", lambda s, p: (inferred.extend(p), real_infer(s, p))[1])
+    folder = str(tmp_path / "staged")
+    staged = stage_lines(hour_lines(spark, str(tmp_path / "raw"), "20180601", hours), hours, folder)
+    assert len(plans) == 1 and "parseJson" not in plans[0] and "CollectMetrics" not in plans[0]
+    assert sorted(inferred) == [f"{folder}/HOUR={hour}" for hour in hours]
+    assert {h: s.names for h, s in staged.schemas.items()} == {h: ["event_type", f"f{h}", "x"] for h in hours}
