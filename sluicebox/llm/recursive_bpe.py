@@ -91,7 +91,7 @@ LEFTMOST_IF_EARLY = """best NOT IN (SELECT rank FROM early)
     OR p = min(CASE WHEN rank = best THEN p END) OVER (PARTITION BY w)"""
 
 DECODE = """
-    SELECT g, unhex(string_agg(hex, '' ORDER BY p)) AS bytes
+    SELECT g, string_agg(letters, '' ORDER BY p) AS letters
     FROM tokens JOIN vocabulary ON tokens.t = vocabulary.t GROUP BY g ORDER BY g
 """
 
@@ -141,6 +141,7 @@ class MergeTables:
         self.pieces = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         parts = [
             (ranks[token[:i]], ranks[token[i:]], rank)
             for token, rank in ranks.items()
@@ -150,7 +151,7 @@ class MergeTables:
         left, right, rank = np.array(parts, np.int32).reshape(-1, 3).T
         self.connection = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self._load("merges", pa.table({"l": left, "r": right, "rank": rank}))
-        strings = {"t": pa.array(ranks.values(), pa.int32()), "hex": [token.hex() for token in ranks]}
+        strings = {"t": pa.array(ranks.values(), pa.int32()), "letters": [token.decode("latin-1") for token in ranks]}
         self._load("vocabulary", pa.table(strings))
         self.short = SHORT.format(allowed=ANY_MERGE)
         made = self._merged(SHORT.format(allowed=UP_TO_OWN_RANK), list(ranks), np.array([*ranks.values()], np.int32))
@@ -195,30 +196,33 @@ class MergeTables:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts.
 
-        The different words of all texts are matched by the pattern once, and those of the matches that are new are
-        encoded together. ``parts`` has the ids of a bounded number of matches.
+        The different words of all texts that are new are matched by the pattern once, and those of the matches that are
+        new are encoded together. ``words`` has the ids of a bounded number of words, each with the space before it, and
+        ``parts`` those of a bounded number of matches.
         """
-        parts = self.parts
-        if len(parts) > CACHED_WORDS:
-            parts.clear()
+        parts, known = self.parts, self.words
+        for cache in (parts, known):
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
         split = [UNITS.split(text) if IN_ONE_PIECE.search(text) else text.split(" ") for text in texts]
-        heads = [self.pieces(words[0]) for words in split]
-        words = {word for words in split for word in words[1:]}
+        heads = [self.pieces(words.pop(0)) for words in split]
+        words = list(set().union(*split).difference(known))
         # Words with one space each, before them, are matched one behind the other.
         spaced = [word for word in words if " " in word]
-        joined = list(words.difference(spaced))
+        joined = list(set(words).difference(spaced)) if spaced else words
         found = self.pieces("".join([" " + word for word in joined]))
         others = [self.pieces(" " + word) for word in spaced]
-        fresh = list({piece for pieces in (found, *heads, *others) for piece in pieces} - parts.keys())
+        fresh = list(set(found).union(*heads, *others).difference(parts))
         parts.update(self.encode_pieces(fresh))
         ids = parts.__getitem__
-        made = dict(zip(joined, self._by_word(joined, found)))
-        made.update((word, b"".join(map(ids, pieces))) for word, pieces in zip(spaced, others))
-        get = made.__getitem__
-        out = [b"".join(map(ids, head)) + b"".join(map(get, words[1:])) for head, words in zip(heads, split)]
-        for place, piece in enumerate(fresh):
-            if len(piece) > CACHED_CHARS or place >= CACHED_WORDS:
-                del parts[piece]
+        known.update(zip(joined, self._by_word(joined, found)))
+        known.update((word, b"".join(map(ids, pieces))) for word, pieces in zip(spaced, others))
+        get = known.__getitem__
+        out = [b"".join(map(ids, head)) + b"".join(map(get, words)) for head, words in zip(heads, split)]
+        for cache, new in ((parts, fresh), (known, words)):
+            for place, word in enumerate(new):
+                if len(word) > CACHED_CHARS or place >= CACHED_WORDS:
+                    del cache[word]
         return out
 
     def _by_word(self, words: list[str], pieces: list[str]) -> list[bytes]:
@@ -243,8 +247,8 @@ class MergeTables:
             found = self._run(DECODE, "tokens", rows_of(values, [len(ids) for _, ids in part], ("g", "p", "t")))
             if len(found) != len(part):
                 raise ValueError("ids that the vocabulary does not have")
-            for (number, _), text in zip(part, found["bytes"].to_pylist()):
-                out[number].append(text)
+            for (number, _), text in zip(part, found["letters"].to_pylist()):
+                out[number].append(text.encode("latin-1"))
         return [b"".join(parts) for parts in out]
 
 

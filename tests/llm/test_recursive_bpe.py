@@ -105,3 +105,12 @@ def test_query_over_the_table(spark):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_words_that_are_known_are_not_matched_again():
+    own = MergeTables(PATH, public_tokenizers.PATTERN)
+    texts = ["first it's known, uncharacteristically so", "second it's  known  so", "third " + "é" * 100 + " so"]
+    whole, real, matched = own.encode(texts), own.pieces, []
+    own.pieces = lambda text: (matched.append(text), real(text))[1]
+    assert own.encode(texts) == whole == [np.array(LIBRARY.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert [text for text in matched if text] == ["first", "second", "third", " " + "é" * 100]  # a long word is not kept
