@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices
+from sluicebox.llm.common import discard, list_array, map_batches, materialise_texts, schema_of, text_slices
 from sluicebox.llm.components import connected_components
 from sluicebox.operators.sampling import first_rows
 from sluicebox.session import materialise
@@ -245,6 +245,8 @@ def near_duplicates(
        the links, at most one row a member, not the pairs. See :func:`confirmed_links` for which blocks have to meet.
     4. Components of these links.
 
+    Sketches and bands of rows, classes and whole sets are removed from the shared folder as soon as nothing reads them.
+
     A null text, or one without words, has no shingles and is linked with nothing. Rows with the same key are separate
     texts; a null key is never the smallest unless all are null. An empty table gives no row.
     """
@@ -258,16 +260,22 @@ def near_duplicates(
         .select("set_a", "least_key", "some.*"),
         "classes",
     )
+    named = materialise(signed.select(key, "text_hash", "n_shingles", "set_a"), "named")
+    discard(signed)
     clusters = candidate_clusters(classes)
-    links = materialise(confirmed_links(docs, classes, clusters, key, text, words, percent), "links")
+    members = materialise(cluster_sets(docs, classes, clusters, key, text, words), "members")
+    least = materialise(classes.select("set_a", "least_key"), "least")
+    discard(classes)
+    links = materialise(confirmed_links(members, percent), "links")
+    discard(members)
     roots = connected_components(links).select(F.col("node").alias("set_a"), "root")
-    joined = classes.select("set_a", "least_key").join(roots, "set_a")
+    joined = least.join(roots, "set_a")
     components = joined.groupBy("root").agg(F.min("least_key").alias("component_id"))
     linked = looked_up(joined, components, "root").select("set_a", "component_id")
-    whole = classes.select("set_a", "least_key").join(linked, "set_a", "left")
+    whole = least.join(linked, "set_a", "left")
     of_class = whole.select("set_a", F.coalesce("component_id", "least_key").alias("component_id"))
-    rows = looked_up(signed.where("n_shingles > 0").select(key, "text_hash", "n_shingles", "set_a"), of_class, "set_a")
-    empty = signed.where("n_shingles = 0").select(key, "text_hash", "n_shingles", F.col(key).alias("component_id"))
+    rows = looked_up(named.where("n_shingles > 0"), of_class, "set_a")
+    empty = named.where("n_shingles = 0").select(key, "text_hash", "n_shingles", F.col(key).alias("component_id"))
     every = rows.select(key, "text_hash", "n_shingles", "component_id").unionByName(empty)
     return every.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
@@ -296,10 +304,8 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     return materialise(connected_components(edges.select(F.col("set_a").alias("u"), F.col("least").alias("v"))), "clusters")
 
 
-def confirmed_links(
-    docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, words: int, percent: int
-) -> DataFrame:
-    """A forest of the links between classes, as edges u, v.
+def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
+    """A forest of the links between the classes of :func:`cluster_sets`, as edges u, v.
 
     Within each cluster: (1) a member is alone for certain if too many of its shingles are in no other member's set.
     (2) The others meet the cluster's leaders, the LEADERS members with the fewest shingles of their own, or as many of
@@ -307,7 +313,6 @@ def confirmed_links(
     pairs have met. (3) Members that are not linked with the largest component yet meet all members that they are not
     linked with.
     """
-    members = materialise(cluster_sets(docs, classes, clusters, key, text, words), "members")
     items = members.select("root", "set_a", F.explode("items").alias("item"))
     single = items.groupBy("root", "item").agg(F.count(F.lit(1)).alias("n"), F.min("set_a").alias("set_a")).where("n = 1")
     own = single.groupBy("set_a").agg(F.count(F.lit(1)).alias("own"))
