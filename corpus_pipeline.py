@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicebox.llm.common import with_possible
 from sluicebox.llm.cotraining import classify_quality
 from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.near_duplicates import near_duplicates
@@ -35,17 +36,22 @@ def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep one document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more.
 
     A document is named by 64 bits of its key and text, so that no copy of the texts has to be numbered and written.
-    Rows that share their name are repeated rows, of which one stays; these alone are brought together.
+    Rows that share their name are repeated rows, of which one stays; these alone are brought together. Most rows that
+    are kept pass a filter of the other ones' names and are not shuffled.
     """
     name = F.xxhash64("doc_id", "text").alias("NAME")
     found = near_duplicates(docs.select(name, "text"), key="NAME", words=5, percent=80).select("NAME", "kept")
     found = materialise(found, "verdicts")
     gone = found.where("NOT kept").select("NAME").distinct()
     repeated = found.where("kept").groupBy("NAME").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("NAME")
-    rows = with_page(docs, name)
-    single = rows.join(gone.unionByName(repeated), "NAME", "left_anti")
-    first = rows.join(repeated, "NAME", "left_semi").dropDuplicates(["NAME"])
-    return single.unionByName(first).select("PAGE.*")
+    others = materialise(
+        gone.withColumn("first", F.lit(False)).unionByName(repeated.withColumn("first", F.lit(True))), "others"
+    )
+    rows = with_possible(with_page(docs, name), others, ["NAME"])
+    met = rows.where("POSSIBLE").join(others, "NAME", "left")
+    first = met.where("first").select("NAME", "PAGE").dropDuplicates(["NAME"])
+    kept = rows.where("NOT POSSIBLE").select("PAGE").unionByName(met.where("first IS NULL").select("PAGE"))
+    return kept.unionByName(first.select("PAGE")).select("PAGE.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from sluicebox.sources.layout import remove_tree
 
 TEXT_BATCH_BYTES = 4 << 20
 TEXT_ROWS = 1000
+#: A filter for semi-joins has at most so many rows of 64 bits, whatever it is made of.
+FILTER_WORDS = 1 << 18
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
@@ -145,6 +147,20 @@ def list_array(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
 
 
+def with_possible(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with POSSIBLE, which is false only if ``table`` has no row with the same ``columns``.
+
+    Rows with large columns need no shuffle to find out that a join would not meet them. The filter sets one of
+    64 * FILTER_WORDS bits for each row of ``table``, so that it can be broadcast at any size of the input; the fuller
+    it is, the more rows are possible, and a join has to follow for these.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6).cast("int").alias("WORD"), place.bitwiseAND(F.lit(63)).cast("int").alias("BIT")
+    bits = table.select(word, bit).groupBy("WORD").agg(F.expr("bit_or(shiftleft(1L, BIT))").alias("BITS"))
+    found = rows.select("*", word, bit).join(F.broadcast(bits), "WORD", "left")
+    return found.withColumn("POSSIBLE", F.expr("coalesce(getbit(BITS, BIT) = 1, false)")).select(*rows.columns, "POSSIBLE")
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each group gaplessly from 0, ordered by ``order``; equal rows are numbered as they stand.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices
+from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices, with_possible
 from sluicebox.llm.components import connected_components
 from sluicebox.operators.sampling import first_rows
 from sluicebox.session import materialise
@@ -292,7 +292,9 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     """``node``, a class, and ``root``, its cluster, for the classes that share a band with another one."""
     members = classes.select("set_a", F.explode("bands").alias("band"))
     bands = members.groupBy("band").agg(F.min("set_a").alias("least"), F.count(F.lit(1)).alias("n"))
-    edges = members.join(bands.where("n > 1").drop("n"), "band").where("set_a <> least")
+    shared = materialise(bands.where("n > 1").drop("n"), "bands")
+    met = with_possible(members, shared, ["band"]).where("POSSIBLE").drop("POSSIBLE")
+    edges = met.join(shared, "band").where("set_a <> least")
     return materialise(connected_components(edges.select(F.col("set_a").alias("u"), F.col("least").alias("v"))), "clusters")
 
 
@@ -324,7 +326,9 @@ def confirmed_links(
 
     count = blocks("members", "total")
     every = sets.withColumn("low", F.pmod(F.xxhash64("set_a"), count).cast("int")).withColumn("side", F.lit(0))
-    first = sets.join(leaders.select("set_a"), "set_a").withColumn("low", F.explode(F.sequence(F.lit(0), count - 1)))
+    # A cluster that is one block of leaders is compared with itself.
+    several = sets.where((F.col("members") > LEADERS) | (count > 1))
+    first = several.join(leaders.select("set_a"), "set_a").withColumn("low", F.explode(F.sequence(F.lit(0), count - 1)))
     columns = ["root", "low", "side", "set_a", "sketch", "items"]
     dealt = every.select(columns).unionByName(first.withColumn("side", F.lit(1)).select(columns))
     dealt = dealt.withColumn("label", F.col("set_a"))
@@ -366,10 +370,14 @@ def confirmed_links(
 def cluster_sets(
     docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, words: int
 ) -> DataFrame:
-    """``set_a``, ``root``, ``sketch`` and the whole shingle set of each class that is in a cluster."""
+    """``set_a``, ``root``, ``sketch`` and the whole shingle set of each class that is in a cluster.
+
+    Texts that are in no cluster are left out by a filter before the join, most of them without a shuffle.
+    """
     wanted = clusters.select(F.col("node").alias("set_a"), "root").join(classes, "set_a")
-    wanted = wanted.select("set_a", "root", "sketch", "key", "text_hash")
+    wanted = materialise(wanted.select("set_a", "root", "sketch", "key", "text_hash"), "wanted")
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    texts = with_possible(texts, wanted, ["key", "text_hash"]).where("POSSIBLE").drop("POSSIBLE")
     same = F.col("w.key").eqNullSafe(F.col("t.key")) & (F.col("w.text_hash") == F.col("t.text_hash"))
     found = texts.alias("t").join(wanted.alias("w"), same).select("w.set_a", "w.root", "w.sketch", "t.text")
     return shingle_sets(found.dropDuplicates(["set_a"]), words)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import sluicebox.llm.common as common
 import sluicebox.llm.near_duplicates as near
 from sluicebox.llm.components import connected_components
 
@@ -155,3 +156,38 @@ def test_components_against_brute_force(spark, seed):
     alone = {u for u, v in edges if u == v} - {x for u, v in edges if u != v for x in (u, v)}
     assert found == {n: x for n, x in label.items() if n not in alone}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_possible_rows_are_all_that_a_join_would_meet(spark, monkeypatch):
+    rows = spark.range(20000).withColumn("name", F.when(F.col("id") % 7 > 0, F.concat(F.lit("n"), "id")))
+    table = rows.where("id % 100 = 3").unionByName(rows.where("id = 7"))
+    for words, most in ((1 << 18, 250), (4, 20000)):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        found = common.with_possible(rows, table, ["id", "name"])
+        assert found.columns == ["id", "name", "POSSIBLE"] and found.count() == 20000
+        possible = {r.id for r in found.where("POSSIBLE").collect()}
+        assert {r.id for r in table.collect()} <= possible and len(possible) <= most
+    assert not common.with_possible(rows, table.limit(0), ["id"]).where("POSSIBLE IS NULL OR POSSIBLE").count()
+
+
+def test_texts_are_not_shuffled_for_nothing(spark, monkeypatch):
+    """Texts without a candidate are left out before the join, and small clusters are dealt once."""
+    real_sets, real_compared, plans, sides = near.cluster_sets, near.compared, [], []
+
+    def sets(*args):
+        found = real_sets(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    def compared(dealt, group, percent):
+        sides.append({(r.side, r.n) for r in dealt.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return real_compared(dealt, group, percent)
+
+    monkeypatch.setattr(near, "cluster_sets", sets)
+    monkeypatch.setattr(near, "compared", compared)
+    rows = corpus(3, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near.near_duplicates(df.repartition(2), words=3, percent=85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(by_definition(rows, 3, 85))
+    assert "getbit" in plans[0]
+    assert {side for side, _ in sides[0]} == {0} and not sides[1]
