@@ -27,10 +27,12 @@ CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 WHITE = re.compile(r"\s")
 #: What sentencepiece writes for a space.
 SPACE = "▁"
-#: Words that can be encoded one behind the other: no white space but single line ends within them.
-JOINABLE = re.compile(r"\S+(?:\n\S+)*\n?")
+#: White space that is neither a space nor a line end.
+OTHER_WHITE = re.compile(r"[^\S\n ]")
 #: So many letters of joined words are one text for the libraries.
 JOINED_CHARS = 1 << 15
+#: A task keeps the alignments of its words until it has so many words, or letters of words.
+KNOWN_WORDS, KNOWN_CHARS = 450_000, 16 << 20
 #: A task passes its counts on when it holds so many different pairs.
 HELD_PAIRS = 1_000_000
 #: Pairs are dealt to so many tables by a hash; vocabularies of 50,000 and 32,000 ids have 12.6 million pairs a table.
@@ -64,6 +66,14 @@ class Words(NamedTuple):
     groups: list[str]
 
 
+def in_line(line: str, count: int) -> bool:
+    """Whether ``count`` words with a space between them can be encoded one behind the other: none is empty, begins with
+    white space, has any within it but single line ends, or has SPACE."""
+    if line.count(" ") != count - 1 or line[:1] in ("", " ", "\n") or line[-1] == " ":
+        return False
+    return not ("  " in line or " \n" in line or "\n\n" in line or SPACE in line or OTHER_WHITE.search(line))
+
+
 class Aligner:
     """Tokens of both vocabularies and how their bytes overlap, one for each Python worker."""
 
@@ -110,26 +120,26 @@ class Aligner:
         Words of letters, digits and signs are encoded one behind the other in long texts, as both vocabularies begin a
         token with each word; should one ever not, the words of that text are encoded by themselves, like all others.
         """
-        alone, joined, size = [], [[]], 0
-        for word in words:
-            if SPACE in word or not JOINABLE.fullmatch(word):
-                alone.append(word)
-                continue
-            if size > JOINED_CHARS:
-                joined.append([])
-                size = 0
-            joined[-1].append(word)
-            size += len(word) + 1
-        joined = joined if joined[0] else []
-        parts = []
-        for part, second in zip(joined, self.second.encode([" ".join(part) for part in joined], num_threads=1)):
-            made = self._aligned(part, self.plain(" " + " ".join(part)), second, grouped)
+        words = list(words)
+        alone, joined, parts = [], [], []
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // JOINED_CHARS)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+            part = words[start:end]
+            if not in_line(line := " ".join(part), len(part)):
+                alone += [word for word in part if not in_line(word, 1)]
+                part = [word for word in part if in_line(word, 1)]
+                line = " ".join(part)
+            if part:
+                joined.append((part, line))
+        for (part, line), second in zip(joined, self.second.encode([line for _, line in joined], num_threads=1)):
+            made = self._aligned(line, len(part), self.plain(" " + line), second, grouped)
             if made is None:
                 alone += part
             else:
                 parts.append((part, made))
         for word in alone:
-            made = self._aligned([word], self.whole(" " + word), self.second.encode(word, num_threads=1), grouped)
+            made = self._aligned(word, 1, self.whole(" " + word), self.second.encode(word, num_threads=1), grouped)
             parts.append(([word], made or ([0], [0], [0], [0], [], [True], [""])))
         number = {word: i for i, word in enumerate(chain.from_iterable(part for part, _ in parts))}
         columns = list(zip(*(made for _, made in parts))) or [[]] * 7
@@ -137,20 +147,21 @@ class Aligner:
         broken = np.concatenate([np.zeros(0, bool), *columns[5]]).astype(bool)
         return Words(number, *arrays, broken, list(chain.from_iterable(columns[6])))
 
-    def _aligned(self, words: list[str], a: list[int], b: list[int], grouped: bool) -> tuple | None:
-        """The alignment of words that follow each other; None if bytes differ or a token holds parts of two words.
+    def _aligned(self, line: str, count: int, a: list[int], b: list[int], grouped: bool) -> tuple | None:
+        """The alignment of the words of a line, or of one word; None if bytes differ or a token is in two words.
 
         Every stretch between two ends of tokens is in one token of each side, and each overlapping pair has exactly
         one such stretch, so that the stretches are the links.
         """
-        text = "".join(" " + word for word in words).encode()
+        text = (" " + line).encode()
         if b"".join(map(self.bytes_b.__getitem__, b)) != text:
             return None
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         if not len(a) or end_a[-1] != len(text):
             return None
-        ends = np.cumsum([1 + len(word.encode()) for word in words])
+        spaces = np.flatnonzero(np.frombuffer(text, np.uint8)[1:] == 32) + 1 if count > 1 else []
+        ends = np.append(spaces, len(text)).astype(np.int64)
         marks = np.zeros(len(text) + 1, np.uint8)
         marks[end_a] = 1
         marks[end_b] += 2
@@ -160,7 +171,7 @@ class Aligner:
         until = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts, stretches)]
         counts = [np.diff(u, prepend=0) for u in until]
         pairs = a[np.searchsorted(end_a, stretches)] * self.base + b[np.searchsorted(end_b, stretches)]
-        groups = [""] * len(words)
+        groups = [""] * count
         if grouped:
             of_a, of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
             # Tokens in the order of the text: those of the first vocabulary before the others of their group.
@@ -173,7 +184,37 @@ class Aligner:
             letters = np.cumsum([0, *map(len, spelt)])[np.concatenate(([0], until[0] + until[1]))].tolist()
             joined = "".join(spelt)
             groups = [joined[start : end - 1] for start, end in zip(letters, letters[1:])]
-        return *counts, pairs, np.zeros(len(words), bool), groups
+        return *counts, pairs, np.zeros(count, bool), groups
+
+
+class KnownWords:
+    """What a task has found out about its words, kept from one slice of its texts to the next.
+
+    ``measure`` gives an array for each value that is kept of the words, from their alignment.
+    """
+
+    def __init__(self, both: Aligner, grouped: bool, measure: Callable[[Words], list[np.ndarray]]):
+        self.both, self.grouped, self.measure = both, grouped, measure
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.values, self.groups, self.letters = {}, None, [], 0
+
+    def full(self) -> bool:
+        return len(self.number) >= KNOWN_WORDS or self.letters >= KNOWN_CHARS
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Align the words of texts, each split into words, that are not known yet."""
+        new = set(chain.from_iterable(texts)).difference(self.number)
+        if not new and self.values:
+            return
+        words = self.both.align(new, self.grouped)
+        first = len(self.number)
+        self.number.update((word, first + i) for word, i in words.number.items())
+        self.letters += sum(map(len, new))
+        self.groups += words.groups
+        made = self.measure(words)
+        self.values = list(map(np.concatenate, zip(self.values, made))) if self.values else made
 
 
 @lru_cache(maxsize=2)
@@ -239,23 +280,34 @@ def count_links(texts: DataFrame, paths: Paths, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(paths)
-        held, size = [], 0
+        known = KnownWords(both, False, lambda words: [words.broken.astype(np.int64), words.n_links, words.pairs])
+        held, times = [], np.zeros(0, np.int64)
+
+        def settle() -> None:
+            """Add the links of the words that are known, as often as texts had them, and forget the words."""
+            weights = np.repeat(times, known.values[1])
+            held.append(summed(known.values[2][weights > 0], weights[weights > 0]))
+            known.clear()
+
         for batch in text_slices(batches, text):
             split = [both.words(t) for t in batch.column(text).to_pylist() if t]
-            words = both.align(set(chain.from_iterable(split)), False)
-            place, starts = laid_out(split, words.number)
-            whole = per_text(words.broken.astype(np.int64), place, starts) == 0
-            times = np.bincount(place[np.repeat(whole, np.diff(starts))], minlength=len(words.broken))
-            weights = np.repeat(times, words.n_links)
-            held.append(summed(words.pairs[weights > 0], weights[weights > 0]))
-            size += len(held[-1][0])
-            if size >= HELD_PAIRS:
-                held = [summed(*map(np.concatenate, zip(*held)))]
-                size = len(held[0][0])
-                if 2 * size >= HELD_PAIRS:
-                    yield rows(*held[0])
-                    held, size = [], 0
-        if size:
+            known.learn(split)
+            broken = known.values[0]
+            place, starts = laid_out(split, known.number)
+            whole = per_text(broken, place, starts) == 0
+            seen = np.bincount(place[np.repeat(whole, np.diff(starts))], minlength=len(broken))
+            seen[: len(times)] += times
+            times = seen
+            if known.full():
+                settle()
+                times = np.zeros(0, np.int64)
+                if sum(len(pairs) for pairs, _ in held) >= HELD_PAIRS:
+                    held[:] = [summed(*map(np.concatenate, zip(*held)))]
+                    if 2 * len(held[0][0]) >= HELD_PAIRS:
+                        yield rows(*held.pop())
+        if len(times):
+            settle()
+        if sum(len(pairs) for pairs, _ in held):
             yield rows(*summed(*map(np.concatenate, zip(*held))))
 
     return map_batches(texts, run, COUNTED)
@@ -467,27 +519,34 @@ def align_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(paths)
-        for batch in text_slices(batches, text):
-            split = [both.words(t) if t else [] for t in batch.column(text).to_pylist()]
-            words = both.align(set(chain.from_iterable(split)), True)
+
+        def measure(words: Words) -> list[np.ndarray]:
             pairs, of = np.unique(words.pairs, return_inverse=True)
             counts = look_up(sent, pairs)
             # A pair without a count can only be in texts without tokens.
-            uncounted = per_link(counts == 0, of, words.n_links) > 0
+            uncounted = per_link(counts == 0, of, words.n_links)
             ties = per_link(counts == best[pairs % base], of, words.n_links)
             total = per_link(counts, of, words.n_links)
-            place, starts = laid_out(split, words.number)
-            numbers = np.array([words.n_a, words.n_b, words.n_groups, words.n_links, ties, total])
-            sums = np.array([per_text(n, place, starts) for n in numbers])
-            none = (per_text(words.broken.astype(np.int64), place, starts) > 0) | (np.diff(starts) == 0)
-            if per_text(uncounted.astype(np.int64), place, starts)[~none].any():
+            broken = words.broken.astype(np.int64)
+            return [words.n_a, words.n_b, words.n_groups, words.n_links, ties, total, broken, uncounted]
+
+        known = KnownWords(both, True, measure)
+        for batch in text_slices(batches, text):
+            split = [both.words(t) if t else [] for t in batch.column(text).to_pylist()]
+            known.learn(split)
+            place, starts = laid_out(split, known.number)
+            *sums, broken, uncounted = (per_text(n, place, starts) for n in known.values)
+            none = (broken > 0) | (np.diff(starts) == 0)
+            if uncounted[~none].any():
                 raise RuntimeError("the texts hold a pair of tokens that they did not hold when pairs were counted")
             ids = place.tolist()
             groups = [
-                "" if empty else ";".join(map(words.groups.__getitem__, ids[start:end]))
+                "" if empty else ";".join(map(known.groups.__getitem__, ids[start:end]))
                 for empty, start, end in zip(none.tolist(), starts.tolist(), starts[1:].tolist())
             ]
             columns = [batch.column(key), *map(pa.array, np.where(none, 0, sums)), pa.array(groups, pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            if known.full():
+                known.clear()
 
     return map_batches(texts, run, ddl)

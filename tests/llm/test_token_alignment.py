@@ -1,6 +1,7 @@
 """Alignment of two vocabularies against marking every byte with its tokens, and the perfect hash against its promise."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -139,3 +140,49 @@ def test_other_pairs_are_told_apart():
     ordered[table.number(keys)] = keys
     number, known = token_alignment.verified(table, ordered, np.arange(3000))
     assert known.tolist() == [i % 3 == 0 for i in range(3000)] and (ordered[number[known]] == keys).all()
+
+
+def test_words_are_aligned_once_and_forgotten_when_many(monkeypatch):
+    both = token_alignment.aligner(default_paths())
+    real, asked = both.align, []
+    monkeypatch.setattr(both, "align", lambda words, grouped: asked.extend(words) or real(words, grouped))
+    known = token_alignment.KnownWords(both, True, lambda words: [words.n_a, words.n_links])
+    slices = [[["one", "two"], [], ["two"]], [[]], [["two", "three", "a  b"], ["one"]], [["▁", "three"]]]
+    for texts in slices:
+        known.learn(texts)
+    assert sorted(asked) == sorted({word for texts in slices for text in texts for word in text})
+    whole = real(set(asked), True)
+    for word, i in known.number.items():
+        j = whole.number[word]
+        assert known.groups[i] == whole.groups[j]
+        assert [v[i] for v in known.values] == [whole.n_a[j], whole.n_links[j]]
+    assert not known.full()
+    monkeypatch.setattr(token_alignment, "KNOWN_CHARS", 15)
+    assert known.full()
+    known.clear()
+    assert not known.full() and not known.number and not known.groups
+    monkeypatch.setattr(token_alignment, "KNOWN_WORDS", 0)
+    assert known.full()
+
+
+@pytest.mark.parametrize(("words", "pairs"), [(1 << 20, 1 << 20), (5, 1 << 20), (5, 40)])
+def test_slices_share_words(spark, monkeypatch, words, pairs):
+    """Over many slices a task, with words kept, forgotten in between, and counts passed on early."""
+    import sluicebox.llm.common as common
+
+    monkeypatch.setattr(token_alignment, "KNOWN_WORDS", words)
+    monkeypatch.setattr(token_alignment, "HELD_PAIRS", pairs)
+    monkeypatch.setattr(common, "TEXT_BATCH_BYTES", 60)
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    rows += [(100 + i, f"the number {i % 9} of {'many ' * (i % 5)}documents, naïveté {i * 7919}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(str(tuple(r)) for r in align_tokens(df).collect())
+    assert got == sorted(str((k, *e)) for (k, _), e in zip(rows, by_definition([t for _, t in rows])))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\x1c ▁aé1"), max_size=4), min_size=1, max_size=4))
+def test_lines_hold_what_can_stand_in_a_line(words):
+    fits = [bool(re.fullmatch(r"\S+(?:\n\S+)*\n?", word)) and "▁" not in word for word in words]
+    assert [token_alignment.in_line(word, 1) for word in words] == fits
+    assert token_alignment.in_line(" ".join(words), len(words)) == all(fits)
