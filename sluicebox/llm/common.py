@@ -31,10 +31,16 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         WordCache.begin(owner)
         yield from run(batches)
+        release_arrow()
 
     return df.mapInArrow(alone, ddl)
 
 
+def release_arrow() -> None:
+    """Give back what Arrow keeps of freed batches; an idle Python worker would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def share_library(spark: SparkSession) -> None:
     """Let Python workers import this library.
 
@@ -113,6 +119,7 @@ def measures(df: DataFrame, inputs: Column, work: Callable[[pa.Array], dict[str,
                 ]
                 parts.append(pa.StructArray.from_arrays(columns, fields=list(arrow)))
             yield pa.concat_arrays(parts)
+        release_arrow()
 
     return F.arrow_udf(run, f"struct<{schema}>")(inputs)
 

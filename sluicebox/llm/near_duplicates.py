@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import list_array, map_batches, materialise_texts, schema_of, text_slices, with_possible
+from sluicebox.llm.common import list_array, map_batches, materialise_texts, release_arrow, schema_of, text_slices, with_possible
 from sluicebox.llm.components import connected_components
 from sluicebox.operators.sampling import first_rows
 from sluicebox.session import materialise
@@ -23,6 +23,8 @@ SKETCH_BITS = 512
 #: bytes of shingle sets if that is less.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
 TILE, COLUMNS = 512, 16384
+#: After a group of more bytes a task gives back the memory that Arrow keeps.
+RELEASED_BYTES = 1 << 20
 #: Rows that look up the same class or component are divided among so many tasks.
 LANES = 64
 #: Members of a cluster that all others meet first.
@@ -400,6 +402,9 @@ def compared(dealt: DataFrame, group: list[str], percent: int) -> DataFrame:
         known = members.column("label").to_numpy()
         edges = linked_pairs(sets, sketches, first, second if len(second) else first, percent, known)
         u, v = ([int(names[e[side]]) for e in edges] for side in (0, 1))
+        if rows.nbytes > RELEASED_BYTES:
+            del rows, members, sets
+            release_arrow()
         return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=arrow)
 
     return dealt.groupBy(*group).applyInArrow(compare, "u long, v long")

@@ -191,3 +191,27 @@ def test_texts_are_not_shuffled_for_nothing(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(by_definition(rows, 3, 85))
     assert "getbit" in plans[0]
     assert {side for side, _ in sides[0]} == {0} and not sides[1]
+
+
+def test_workers_keep_no_arrow_memory_of_tasks_that_ended(spark):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [pa.array([1] * 1000) for _ in range(10)]
+            yield batch.slice(0, len(kept))
+
+    real, calls = common.pa.default_memory_pool, []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    common.pa.default_memory_pool = Pool
+    try:
+        df = type("Frame", (), {"sparkSession": spark, "mapInArrow": lambda self, task, ddl: task})()
+        task = common.map_batches(df, run, "id long")
+        made = list(task(iter([common.pa.record_batch({"id": [1, 2]})])))
+    finally:
+        common.pa.default_memory_pool = real
+    assert made[0].num_rows == 2 and calls == [1]
