@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import with_possible
+from sluicebox.llm.common import materialise_texts, with_possible
 from sluicebox.llm.cotraining import classify_quality
 from sluicebox.llm.fertility import quality_rules
 from sluicebox.llm.near_duplicates import near_duplicates
@@ -55,10 +55,13 @@ def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
+    """Replace secrets in the texts; every document stays.
+
+    The rows are written here, as whoever writes them otherwise sends ten thousand texts to Python at once.
+    """
     clean = redact_secrets(with_page(docs, "text"), "PAGE")
     new = {"text": F.col("redacted"), "n_chars": F.char_length("redacted").cast("long")}
-    return clean.select(*(new.get(c, F.col(f"PAGE.`{c}`")).alias(c) for c in docs.columns))
+    return materialise_texts(clean.select(*(new.get(c, F.col(f"PAGE.`{c}`")).alias(c) for c in docs.columns)), "redacted")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def release_arrow() -> None:
-    """Give back what Arrow keeps of freed batches; an idle Python worker would hold it through later stages."""
+    """Give back what Arrow and the C library keep of freed memory; an idle Python worker would hold it through later stages."""
     pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def share_library(spark: SparkSession) -> None:

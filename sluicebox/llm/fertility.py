@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import materialise_texts, measures
-from sluicebox.llm.tokens import WordCache, vocabulary_path
+from sluicebox.llm.tokens import WordCache, kept_by_task, vocabulary_path
 from sluicebox.session import materialise
 
 #: Fixed values of the base rules.
@@ -50,7 +49,7 @@ MEASURES = (
 INTERNAL = "WORD_BYTES bigint"
 
 
-@lru_cache(maxsize=2)
+@kept_by_task
 def token_caches(byte_level: str, pieces: str) -> tuple[WordCache, WordCache, np.ndarray]:
     """Ids of a word under the byte-level and the piece vocabulary, and which piece ids stand for a byte."""
     import public_tokenizers

@@ -311,7 +311,7 @@ def confirmed_links(
     pairs have met. (3) Members that are not linked with the largest component yet meet all members that they are not
     linked with.
     """
-    members = materialise(cluster_sets(docs, classes, clusters, key, text, words), "members")
+    members = materialise_texts(cluster_sets(docs, classes, clusters, key, text, words), "members")
     items = members.select("root", "set_a", F.explode("items").alias("item"))
     single = items.groupBy("root", "item").agg(F.count(F.lit(1)).alias("n"), F.min("set_a").alias("set_a")).where("n = 1")
     own = single.groupBy("set_a").agg(F.count(F.lit(1)).alias("own"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sluicebox.llm.common import map_texts
-from sluicebox.llm.tokens import WordCache, vocabulary_path
+from sluicebox.llm.common import map_texts, measures
+from sluicebox.llm.tokens import WordCache, kept_by_task, vocabulary_path
 
 #: The base patterns. A match below the least length is dropped.
 ASSIGN = re.compile(
@@ -38,11 +38,13 @@ LEAST_RANDOM = 20
 UUID = r"(?ai:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
 PART = re.compile(rf"(?<![A-Za-z0-9+]){UUID}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
 ORDINARY = re.compile(UUID + r"|[A-Z]?[a-z]{3,19}|[A-Z]{4,19}|[a-z]+(?:[A-Z][a-z]+)+|[0-9]{4,19}|[a-z]{4,19}[0-9]{1,4}")
+#: So many texts are redacted before they go on.
+REDACTED_ROWS = 200
 
 Span = tuple[str, int, int]
 
 
-@lru_cache(maxsize=2)
+@kept_by_task
 def token_counts(path: str) -> WordCache:
     """The number of tokens of a string under a tiktoken vocabulary."""
     import public_tokenizers
@@ -156,12 +158,16 @@ def scan_secrets(df: DataFrame, keep: list[str], text: str = "text", path: str |
 
 
 def redact_secrets(df: DataFrame, row: str, text: str = "text", path: str | None = None) -> DataFrame:
-    """The struct column ``row`` and ``redacted``, the text with its secrets replaced; a null text stays null."""
+    """The struct column ``row`` and ``redacted``, the text with its secrets replaced; a null text stays null.
+
+    Only the text goes to Python and back, as the row may hold it once more.
+    """
     path = path or vocabulary_path("byte_bpe_50k.tiktoken")
 
-    def work(texts: list[str | None]) -> dict[str, object]:
+    def work(texts: pa.Array) -> dict[str, object]:
         counts = token_counts(path)
-        clean = [None if t is None else redact_text(t, find_secrets(t, counts)) for t in texts]
+        clean = [None if t is None else redact_text(t, find_secrets(t, counts)) for t in texts.to_pylist()]
         return {"redacted": pa.array(clean, pa.string())}
 
-    return map_texts(df, work, f"`{row}` {df.schema[row].dataType.simpleString()}, redacted string", [row], text)
+    redacted = measures(df, F.col(text), work, "redacted string", REDACTED_ROWS).getField("redacted")
+    return df.select(row, redacted.alias("redacted"))

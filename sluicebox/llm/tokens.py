@@ -36,6 +36,17 @@ def packed(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
+#: What :func:`kept_by_task` keeps in this Python worker.
+_kept: list = []
+
+
+def kept_by_task(load: Callable) -> Callable:
+    """Keep what ``load`` returns until a task of another function begins in this Python worker."""
+    kept = lru_cache(maxsize=2)(load)
+    _kept.append(kept)
+    return kept
+
+
 class WordCache(dict):
     """What ``make`` gives for a word. It is cleared when full, so that its memory is bounded whatever the texts hold.
 
@@ -52,9 +63,11 @@ class WordCache(dict):
 
     @classmethod
     def begin(cls, owner: str) -> None:
-        """Clear all caches of this worker if its last task was another's: later stages get the memory back."""
+        """Clear all caches and vocabularies of this worker if its last task was another's: later stages get the memory back."""
         if cls.owner != owner:
             cls.owner = owner
+            for kept in _kept:
+                kept.cache_clear()
             for ref in cls.known:
                 if (cache := ref()) is not None:
                     cache.clear()
@@ -99,7 +112,7 @@ class ByteLevel:
         )
 
 
-@lru_cache(maxsize=2)
+@kept_by_task
 def library_encoder(path: str) -> ByteLevel:
     """The tokenizers library's ids, one encoder for each Python worker; its own threads are off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,7 +124,7 @@ def library_encoder(path: str) -> ByteLevel:
     return ByteLevel(lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@lru_cache(maxsize=2)
+@kept_by_task
 def rank_encoder(path: str, rank_path: str) -> ByteLevel:
     """The same ids with words from the same vocabulary's rank file, by a library that is faster on single words.
 

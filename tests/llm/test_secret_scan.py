@@ -2,11 +2,14 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sluicebox.llm.secret_scan import base_spans, find_secrets, redact_secrets, redact_text, scan_secrets, token_counts
-from sluicebox.llm.tokens import vocabulary_path
+from sluicebox.llm.tokens import WordCache, vocabulary_path
 
-COUNTS = token_counts(vocabulary_path("byte_bpe_50k.tiktoken"))
+PATH = vocabulary_path("byte_bpe_50k.tiktoken")
+COUNTS = token_counts(PATH)
 KEY = "mF9xQ2vZ7kLp3RtY8wBn4HsJ6dGc1VeA"
 
 
@@ -104,3 +107,21 @@ def test_known_forms_in_paths_are_no_keys():
         "/usr/lib/x86_64-linux-gnu/libstdc/python3.11/site-packages/numpy_core_multiarray_umath",
     ):
         assert [k for k, _, _ in find_secrets(known, COUNTS) if k == "random"] == [], known
+
+
+def test_only_texts_of_few_rows_go_to_python(spark, capsys):
+    df = spark.createDataFrame([(1, "k token=abcdef"), (2, None)], "doc_id long, text string")
+    redact_secrets(df.select(F.struct("*").alias("PAGE"), "text"), "PAGE").explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    clean = corpus_pipeline.secrets(spark, df, "")
+    assert clean.inputFiles() and sorted(map(tuple, clean.collect())) == [(1, "k [secret]"), (2, None)]
+
+
+def test_a_worker_forgets_the_vocabulary_of_another_function():
+    WordCache.begin("one")
+    kept = token_counts(PATH)
+    WordCache.begin("one")
+    assert token_counts(PATH) is kept
+    WordCache.begin("another")
+    assert token_counts(PATH) is not kept
