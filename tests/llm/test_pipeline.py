@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
+import sluicebox.session as session
 from sluicebox.llm.packing import cut_lengths
 from sluicebox.llm.queries import ORACLE, QUERIES
 from sluicebox.llm.secret_scan import find_secrets, redact_text, token_counts
@@ -101,6 +102,40 @@ def test_stages(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stages_write_verdicts_instead_of_texts(spark, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        monkeypatch.setattr(session, "scratch_path", lambda spark, label, root=None: f"{tmp_path}/{name}/{label}")
+        stage(spark, docs, SF).count()
+        written = [spark.read.parquet(str(p)).schema for p in (tmp_path / name).iterdir() if list(p.glob("*.parquet"))]
+        assert written and not [s for s in written if "text:" in s.simpleString() or "PAGE" in s.simpleString()]
+
+
+def test_rows_go_by_the_verdict_on_their_values(spark):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    rows = [(1, "a", "x", None, 1, "k"), (2, "a", None, "x", 1, "k"), (3, None, "x", "a", 1, "k"), (4, "a", "x", "x", None, "k")]
+    columns = "text", "lang", "source", "n_chars"
+    docs = spark.createDataFrame(rows * 2, ddl)
+    for gone in range(1, 5):
+        judged = docs.select(*corpus_pipeline.value_names(*columns), (F.col("doc_id") != gone).alias("kept"))
+        left = corpus_pipeline.passing(docs, judged, *columns)
+        assert left.columns == docs.columns
+        assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [r for r in rows * 2 if r[0] != gone]))
+    unknown = docs.select(*corpus_pipeline.value_names(*columns), F.lit(None).cast("boolean").alias("kept"))
+    assert corpus_pipeline.passing(docs, unknown, *columns).count() == 0
+
+
+def test_a_run_removes_what_earlier_stages_returned(spark, monkeypatch, tmp_path):
+    real = corpus_pipeline.materialise
+    names = [name for name, _ in corpus_pipeline.STAGES[:-1]]
+    place = lambda df, label: real(df, label, str(tmp_path) if label in names else None)
+    monkeypatch.setattr(corpus_pipeline, "materialise", place)
+    packed = corpus_pipeline.run(spark, SF)
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir() if list(p.glob("*.parquet"))}
+    assert left == {names[-1]} and packed.count() > 0
+    assert spark.read.parquet(f"{SF}/documents.parquet").count() > 0
+
+
 def test_nothing_else_imports_these_modules():
     root = Path(entry_points.__file__).parent
     others = [p for p in root.glob("sluicebox/**/*.py") if "llm" not in p.parts] + list(root.glob("tests/*.py")) + [root / "bench.py"]
